@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(F.col(column), F.lit("")).alias(column)
 
 
 def shared_dir(spark: SparkSession) -> str:

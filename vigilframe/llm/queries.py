@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_prefix_target
 from .embeddings import OP5_SQL, op5_embedding_neardup
+from .lattice_lm import op4_lattice_lm
 from .packing import op2_best_fit_packing
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op6_simhash_neardup
 from .suffix_dedup import op10_suffix_dedup
+from .toxicity import op9_toxicity_crf
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_lattice_lm": op4_lattice_lm,
     "op5_embedding_neardup": op5_embedding_neardup,
     "op6_simhash_neardup": op6_simhash_neardup,
     "op8_chat_prefix_target": op8_chat_prefix_target,
+    "op9_toxicity_crf": op9_toxicity_crf,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL = {"op5_embedding_neardup": OP5_SQL, "op8_chat_prefix_target": OP8_SQL}

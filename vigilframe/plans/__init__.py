@@ -1,6 +1,6 @@
 """Query plans over the views, each beside its oracle SQL."""
 
-from . import filters, joins, scalars
+from . import aggregates, filters, joins, scalars
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "filters", "joins", "scalars"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "filters", "joins", "scalars"]

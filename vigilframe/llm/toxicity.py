@@ -27,6 +27,8 @@ PRECISION, SMOOTHING = 0.7, 2.0
 PREFIXES = (4, 5, 6, 7, 8)
 #: Tokens on each side of one with features that belong to its chain. Between chains the state is clean.
 CONTEXT = 3
+#: Longest chain; a longer run of evidence is cut, so that padded arrays stay small.
+CHAIN = 40
 ITERATIONS, RATE, DECAY = 150, 0.1, 1e-3
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -94,7 +96,10 @@ class Chain:
         out: list[list[int]] = []
         for i in (i for i, t in enumerate(tokens) if t[2]):
             if out and i - CONTEXT <= out[-1][1]:
-                out[-1][1] = i + CONTEXT + 1
+                if i + CONTEXT + 1 - out[-1][0] <= CHAIN:
+                    out[-1][1] = i + CONTEXT + 1
+                elif i >= out[-1][1]:
+                    out.append([out[-1][1], i + CONTEXT + 1])
             else:
                 out.append([max(0, i - CONTEXT), i + CONTEXT + 1])
         return [tokens[a:b] for a, b in out]
@@ -127,7 +132,21 @@ class Chain:
         return out, size
 
     def fit(self, chains: list[list[tuple[int, ...]]], truth: list[list[int]]) -> None:
-        """Gradient ascent (Adam) on the conditional likelihood of the token labels."""
+        """Gradient ascent (Adam) on the conditional likelihood of the token labels, chains of like length together."""
+        order = sorted(range(len(chains)), key=lambda k: len(chains[k]))
+        groups = [self._padded([chains[k] for k in some], [truth[k] for k in some]) for some in (order[k : k + 2048] for k in range(0, len(order), 2048))]
+        value = np.concatenate([np.zeros(len(self.index)), [self.bias], np.zeros(4)])
+        first, second = np.zeros_like(value), np.zeros_like(value)
+        for step in range(1, ITERATIONS + 1):
+            self.weights, self.bias, self.moves = value[:-5], value[-5], value[-4:].reshape(2, 2)
+            grad = sum(self._gradient(*g) for g in groups) / len(chains) - DECAY * value
+            first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
+            value = value + RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        self.weights, self.bias, self.moves = value[:-5], float(value[-5]), value[-4:].reshape(2, 2)
+
+    @staticmethod
+    def _padded(chains: list[list[tuple[int, ...]]], truth: list[list[int]]) -> tuple:
+        """Sizes, labels, moves seen, and where which feature stands."""
         size = np.array([len(c) for c in chains])
         label = np.zeros((len(chains), size.max()))
         at, which = [], []
@@ -137,26 +156,20 @@ class Chain:
                 at += [i * label.shape[1] + t] * len(active)
                 which += active
         inside = np.arange(label.shape[1]) < size[:, None]
-        states = label.astype(int)
-        seen = np.zeros((2, 2))
+        states, seen = label.astype(int), np.zeros((2, 2))
         np.add.at(seen, (states[:, :-1][inside[:, 1:]], states[:, 1:][inside[:, 1:]]), 1)
         seen[0] += np.bincount(states[:, 0], minlength=2)
-        at, which = np.array(at, int), np.array(which, int)
-        value = np.concatenate([np.zeros(len(self.index)), [self.bias], np.zeros(4)])
-        first, second = np.zeros_like(value), np.zeros_like(value)
-        for step in range(1, ITERATIONS + 1):
-            self.weights, self.bias, self.moves = value[:-5], value[-5], value[-4:].reshape(2, 2)
-            scores = (np.bincount(at, self.weights[which], label.size) + self.bias).reshape(label.shape)
-            toxic, pairs, _ = self.marginals(scores, size)
-            off = np.where(inside, label - toxic, 0.0)
-            expected = pairs.sum((0, 1))
-            expected[0] += [(1 - toxic[:, 0]).sum(), toxic[:, 0].sum()]
-            moves = seen - expected
-            moves[0, 0] = 0
-            grad = np.concatenate([np.bincount(which, off.ravel()[at], len(self.index)), [off.sum()], moves.ravel()]) / len(chains) - DECAY * value
-            first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
-            value = value + RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-        self.weights, self.bias, self.moves = value[:-5], float(value[-5]), value[-4:].reshape(2, 2)
+        return size, label, inside, seen, np.array(at, int), np.array(which, int)
+
+    def _gradient(self, size, label, inside, seen, at, which) -> np.ndarray:
+        scores = (np.bincount(at, self.weights[which], label.size) + self.bias).reshape(label.shape)
+        toxic, pairs, _ = self.marginals(scores, size)
+        off = np.where(inside, label - toxic, 0.0)
+        expected = pairs.sum((0, 1))
+        expected[0] += [(1 - toxic[:, 0]).sum(), toxic[:, 0].sum()]
+        moves = seen - expected
+        moves[0, 0] = 0
+        return np.concatenate([np.bincount(which, off.ravel()[at], len(self.index)), [off.sum()], moves.ravel()])
 
     def tag(self, texts: list[str]) -> list[list[tuple[int, int, float]]]:
         """(start, end, chance) of the tokens of each text's chains, by code points of the text in lower case."""

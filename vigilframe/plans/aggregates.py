@@ -17,7 +17,12 @@ from .registry import query
 
 C = F.col
 _NOW = f"TIMESTAMP '{NOW}'"
-_now = F.lit(NOW).cast("timestamp")
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
 
 
 @query("agg_score", INC + "SELECT incident_id, priority_score FROM inc")
@@ -82,7 +87,7 @@ def agg_hotspots(spark, sf_dir):
     return r.groupBy("zone").agg(F.count("*").alias("n"), F.round(F.sum(F.when(C("n") <= 10, weight)), 2).alias("score"), F.min_by("doc_id", "n").alias("latest"), F.array_join(recent, ",").alias("recent"))
 
 
-_HEALTH = ", h AS (SELECT user_id % 14 AS provider, arg_max(event_type, event_id) AS last_event, max(event_id) AS at FROM events GROUP BY ALL), st AS (SELECT provider, at, CASE last_event WHEN 'error' THEN 'error' WHEN 'view' THEN 'cached' WHEN 'signup' THEN 'stale' ELSE 'live' END AS status FROM h)\n"
+_HEALTH = ", h AS (SELECT user_id % 14 AS provider, arg_max(event_type, event_id) AS last_event, max(event_id) AS seen_at FROM events GROUP BY ALL), st AS (SELECT provider, seen_at, CASE last_event WHEN 'error' THEN 'error' WHEN 'view' THEN 'cached' WHEN 'signup' THEN 'stale' ELSE 'live' END AS status FROM h)\n"
 
 
 def health(spark, sf_dir):
@@ -117,7 +122,7 @@ def agg_latest_cursor(spark, sf_dir):
     return observations(spark, sf_dir).agg(F.max("event_id").alias("cursor"), F.unix_micros(F.max_by("ingested_at", "event_id")).alias("at"))
 
 
-@query("agg_oldest_source", _HEALTH + "SELECT max((SELECT max(event_id) FROM events) - at) AS oldest FROM st")
+@query("agg_oldest_source", _HEALTH + "SELECT max((SELECT max(event_id) FROM events) - seen_at) AS oldest FROM st")
 def agg_oldest_source(spark, sf_dir):
     h = health(spark, sf_dir)
     return h.agg(F.max("at").alias("newest"), F.min("at").alias("least")).select((C("newest") - C("least")).alias("oldest"))
@@ -204,7 +209,7 @@ def ret_overflow(spark, sf_dir):
 @query("ret_kind_days", f"SELECT event_id FROM l WHERE epoch_us(ingested_at) < epoch_us({_NOW}) - CASE kind WHEN 'earthquake' THEN 30 WHEN 'weather_alert' THEN 14 WHEN 'tropical_cyclone' THEN 30 WHEN 'tsunami' THEN 30 WHEN 'volcano' THEN 90 WHEN 'wildfire' THEN 14 WHEN 'disaster_declaration' THEN 365 WHEN 'aviation_hazard' THEN 14 WHEN 'news_item' THEN 7 END * 86400000000")
 def ret_kind_days(spark, sf_dir):
     days = lookup.retention_days(C("kind")).cast("long")
-    return latest_observations(observations(spark, sf_dir)).where(F.unix_micros("ingested_at") < F.unix_micros(_now) - days * F.lit(86400000000)).select("event_id")
+    return latest_observations(observations(spark, sf_dir)).where(F.unix_micros("ingested_at") < F.unix_micros(_now()) - days * F.lit(86400000000)).select("event_id")
 
 
 @query("ret_cascade", "SELECT incident_id, count(*) FILTER (old) AS removed, bool_and(old) AS orphan FROM (SELECT *, ingested_at < TIMESTAMP '2024-01-17 12:00:00' AS old FROM m) GROUP BY incident_id HAVING count(*) FILTER (old) > 0")

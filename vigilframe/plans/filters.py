@@ -14,7 +14,12 @@ from .scalars import sql_km
 
 C = F.col
 _NOW = f"TIMESTAMP '{NOW}'"
-_now = F.lit(NOW).cast("timestamp")
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
 #: The scored incidents in SQL, as a continuation of the views.
 INC = f""", s AS (
  SELECT incident_id, max(CASE severity WHEN 'Extreme' THEN 40 WHEN 'Severe' THEN 30 WHEN 'Moderate' THEN 20 WHEN 'Minor' THEN 10 ELSE 0 END) AS impact,
@@ -103,9 +108,9 @@ def flt_search(spark, sf_dir):
 
 @query("flt_timeline_window", f"SELECT event_id, h FROM (SELECT event_id, unnest([1, 6, 24, 168]) AS h, ingested_at FROM o) WHERE epoch_us(ingested_at) >= epoch_us({_NOW}) - h * 3600000000 AND ingested_at <= {_NOW}")
 def flt_timeline_window(spark, sf_dir):
-    o = observations(spark, sf_dir).where(C("ingested_at").between(F.expr(f"TIMESTAMP '{NOW}' - INTERVAL 168 HOURS"), _now))
+    o = observations(spark, sf_dir).where(C("ingested_at").between(F.expr(f"TIMESTAMP '{NOW}' - INTERVAL 168 HOURS"), _now()))
     hours = o.select("event_id", "ingested_at", F.explode(F.array(*map(F.lit, (1, 6, 24, 168)))).alias("h"))
-    return hours.where(F.unix_micros("ingested_at") >= F.unix_micros(_now) - C("h") * F.lit(3600000000)).select("event_id", "h")
+    return hours.where(F.unix_micros("ingested_at") >= F.unix_micros(_now()) - C("h") * F.lit(3600000000)).select("event_id", "h")
 
 
 @query("flt_active", "SELECT event_id FROM l WHERE status IN ('active','updated') AND lon IS NOT NULL AND kind NOT IN ('marine_observation','water_level','fireball')")

@@ -154,12 +154,17 @@ def _related(o, left_kind, right_kinds, rule, left_columns=(), right_columns=())
     return time_range_join(a, b, "a_event_at", "b_event_at", hours, km=km)
 
 
-_PAIR = [C("a_event_id").alias("source"), C("b_event_id").alias("target")]
+
+
+def _pair():
+    return [C("a_event_id").alias("source"), C("b_event_id").alias("target")]
+
+
 
 
 @query("rel_tsunami_quake", f"SELECT a.event_id AS source, b.event_id AS target FROM l a JOIN l b ON a.kind = 'tsunami' AND b.kind = 'earthquake' AND {_H} <= 21600 AND {_KM} <= 1000")
 def rel_tsunami_quake(spark, sf_dir):
-    return _related(_latest(spark, sf_dir), "tsunami", ["earthquake"], "tsunami_relation").select(*_PAIR)
+    return _related(_latest(spark, sf_dir), "tsunami", ["earthquake"], "tsunami_relation").select(*_pair())
 
 
 _WEATHER = ("CONVECT", "THUNDER", "TURB", "ICING", "ICE", "HAIL", "SEV")
@@ -171,7 +176,7 @@ def rel_aviation(spark, sf_dir):
     hazard = F.upper(C("a_hazard_type"))
     ash = _related(o, "aviation_hazard", ["volcano"], "aviation_ash", ["hazard_type"]).where(hazard.contains("VOLCAN") | F.trim(hazard).isin("VA", "ASH"))
     weather = _related(o, "aviation_hazard", ["weather_alert"], "aviation_weather", ["hazard_type"]).where(hazard.rlike("|".join(_WEATHER)))
-    return ash.select(*_PAIR).unionByName(weather.select(*_PAIR))
+    return ash.select(*_pair()).unionByName(weather.select(*_pair()))
 
 
 _COVER = f"(SELECT *, {_TOK.format('headline')} AS t FROM l WHERE kind {{}} 'news_item')"

@@ -12,17 +12,22 @@ from .registry import query
 _obs = observations
 C = F.col
 _NOW = f"TIMESTAMP '{NOW}'"
-_now = F.lit(NOW).cast("timestamp")
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
 _TOKENS = "list_filter(regexp_extract_all(lower(strip_accents({})), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','at','for','in','of','on','the','to','update'))"
 _ASCII = "regexp_replace({}, '[^\\x00-\\x7F]', '', 'g')"
 
 
-def over_obs(name: str, columns: dict, sql: str):
+def over_obs(name: str, columns, sql: str):
     """Registers a query that selects columns of every observation version."""
 
     @query(name, f"SELECT event_id, {sql} FROM o")
     def run(spark, sf_dir, columns=columns):
-        return _obs(spark, sf_dir).select("event_id", *(c.alias(n) for n, c in columns.items()))
+        return _obs(spark, sf_dir).select("event_id", *(c.alias(n) for n, c in columns().items()))
 
     return run
 
@@ -35,38 +40,38 @@ def _case(values: dict, c: str, other: str) -> str:
 _R = "CASE {} WHEN '{}' THEN 4 WHEN '{}' THEN 3 WHEN '{}' THEN 2 WHEN '{}' THEN 1 ELSE 0 END"
 over_obs(
     "fn_rank",
-    {"severity_rank": lookup.severity_rank(C("severity")), "urgency_rank": lookup.urgency_rank(C("urgency")), "certainty_rank": lookup.certainty_rank(C("certainty"))},
+    lambda: {"severity_rank": lookup.severity_rank(C("severity")), "urgency_rank": lookup.urgency_rank(C("urgency")), "certainty_rank": lookup.certainty_rank(C("certainty"))},
     f"{_R.format('severity', 'Extreme', 'Severe', 'Moderate', 'Minor')} AS severity_rank, {_R.format('urgency', 'Immediate', 'Expected', 'Future', 'Past')} AS urgency_rank, {_R.format('certainty', 'Observed', 'Likely', 'Possible', 'Unlikely')} AS certainty_rank",
 )
-over_obs("fn_lane", {"lane": lookup.lane(C("kind"))}, _case({k: v[0] for k, v in TAXONOMY.items()}, "kind", "'optional_signal'") + " AS lane")
+over_obs("fn_lane", lambda: {"lane": lookup.lane(C("kind"))}, _case({k: v[0] for k, v in TAXONOMY.items()}, "kind", "'optional_signal'") + " AS lane")
 over_obs(
     "fn_provenance",
-    {"provenance": lookup.provenance(C("kind"), C("urgency"), C("certainty"))},
+    lambda: {"provenance": lookup.provenance(C("kind"), C("urgency"), C("certainty"))},
     """CASE WHEN kind IN ('weather_alert','tropical_cyclone','tsunami') THEN 'Warning' WHEN kind = 'aviation_hazard' THEN 'Official advisory'
  WHEN kind = 'disaster_declaration' THEN 'Administrative declaration' WHEN kind IN ('news_item') THEN 'Media coverage'
  WHEN urgency = 'Future' OR certainty IN ('Possible','Unlikely') THEN 'Forecast' ELSE 'Observation' END AS provenance""",
 )
 over_obs(
     "fn_category_filter",
-    {k: lookup.in_filter(C("kind"), k) for k in [*FILTER_KINDS, "global"]},
+    lambda: {k: lookup.in_filter(C("kind"), k) for k in [*FILTER_KINDS, "global"]},
     ", ".join(f"kind IN ({', '.join(repr(x) for x in v)}) AS {k}" for k, v in FILTER_KINDS.items()) + ", true AS \"global\"",
 )
 _KN = [(34, "TS"), (64, "C1"), (83, "C2"), (96, "C3"), (113, "C4"), (137, "C5")]
 _steps = lambda c, steps, under: "CASE " + " ".join(f"WHEN {c} >= {n} THEN '{x}'" for n, x in sorted(steps, reverse=True)) + f" ELSE '{under}' END"
-over_obs("fn_storm_category", {"category": lookup.bucket(C("value"), _KN, "TD")}, _steps("value", _KN, "TD") + " AS category")
+over_obs("fn_storm_category", lambda: {"category": lookup.bucket(C("value"), _KN, "TD")}, _steps("value", _KN, "TD") + " AS category")
 _MAG = [(4, "moderate"), (5, "strong"), (6, "major")]
-over_obs("fn_mag_class", {"class": lookup.bucket(C("k") / 10, _MAG, "minor")}, _steps("k / 10.0", _MAG, "minor") + " AS class")
+over_obs("fn_mag_class", lambda: {"class": lookup.bucket(C("k") / 10, _MAG, "minor")}, _steps("k / 10.0", _MAG, "minor") + " AS class")
 _KP = [(4, "active"), (5, "storm"), (7, "severe")]
-over_obs("fn_kp_class", {"class": lookup.bucket(C("k") % 10, _KP, "quiet")}, _steps("k % 10", _KP, "quiet") + " AS class")
-over_obs("fn_compass", {"point": geo.compass_point((C("k") * 3.7) % 360)}, "(['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'])[CAST(floor(((k * 3.7) % 360) / 22.5 + 0.5) AS INT) % 16 + 1] AS point")
-over_obs("fn_metric_get", {"hazard": F.create_map(F.lit("hazard_type"), C("hazard_type"), F.lit("storm_name"), C("storm_name"))["hazard_type"]}, "hazard_type AS hazard")
-over_obs("fn_ids", {"observation_id": C("observation_id"), "incident_id": F.concat(F.lit("incident:"), C("kind"), F.lit(":"), F.substring(F.sha2("observation_id", 256), 1, 24))}, "observation_id, concat('incident:', kind, ':', substr(sha256(observation_id), 1, 24)) AS incident_id")
-over_obs("fn_content_hash", {"content_hash": C("content_hash")}, "content_hash")
-over_obs("fn_edit_delta", {"delta": F.coalesce(C("k") - F.when(C("k") % 4 != 0, F.length("headline")), F.lit(0))}, "coalesce(k - CASE WHEN k % 4 <> 0 THEN length(headline) END, 0) AS delta")
-over_obs("fn_norm_lon", {"lon360": geo.normalized_longitude(C("slon") * 3)}, "CASE WHEN ((slon * 3 + 180) - 360 * floor((slon * 3 + 180) / 360)) - 180 = -180 AND slon > 0 THEN 180 ELSE ((slon * 3 + 180) - 360 * floor((slon * 3 + 180) / 360)) - 180 END AS lon360")
-over_obs("fn_valid_point", {"valid": geo.valid_point(C("slon") * 1.5, C("slat") * 1.2)}, "(slon * 1.5 BETWEEN -180 AND 180 AND slat * 1.2 BETWEEN -90 AND 90) AS valid")
-over_obs("fn_in_bounds", {"inside": geo.in_bounds(C("slon"), C("slat"), 150, -20, -120, 45), "plain": geo.in_bounds(C("slon"), C("slat"), -20, -95, 60, 45)}, "((slon >= 150 OR slon <= -120) AND slat BETWEEN -20 AND 45) AS inside, (slon BETWEEN -20 AND 60 AND slat BETWEEN -90 AND 45) AS plain")
-over_obs("fn_bbox_overlap", {"hit": geo.boxes_overlap(C("slon") - 1, C("slat") - 1, C("slon") + 1, C("slat") + 1, -30.0, -10.0, 40.0, 50.0)}, "(slon - 1 <= 40 AND slon + 1 >= -30 AND slat - 1 <= 50 AND slat + 1 >= -10) AS hit")
+over_obs("fn_kp_class", lambda: {"class": lookup.bucket(C("k") % 10, _KP, "quiet")}, _steps("k % 10", _KP, "quiet") + " AS class")
+over_obs("fn_compass", lambda: {"point": geo.compass_point((C("k") * 3.7) % 360)}, "(['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'])[CAST(floor(((k * 3.7) % 360) / 22.5 + 0.5) AS INT) % 16 + 1] AS point")
+over_obs("fn_metric_get", lambda: {"hazard": F.create_map(F.lit("hazard_type"), C("hazard_type"), F.lit("storm_name"), C("storm_name"))["hazard_type"]}, "hazard_type AS hazard")
+over_obs("fn_ids", lambda: {"observation_id": C("observation_id"), "incident_id": F.concat(F.lit("incident:"), C("kind"), F.lit(":"), F.substring(F.sha2("observation_id", 256), 1, 24))}, "observation_id, concat('incident:', kind, ':', substr(sha256(observation_id), 1, 24)) AS incident_id")
+over_obs("fn_content_hash", lambda: {"content_hash": C("content_hash")}, "content_hash")
+over_obs("fn_edit_delta", lambda: {"delta": F.coalesce(C("k") - F.when(C("k") % 4 != 0, F.length("headline")), F.lit(0))}, "coalesce(k - CASE WHEN k % 4 <> 0 THEN length(headline) END, 0) AS delta")
+over_obs("fn_norm_lon", lambda: {"lon360": geo.normalized_longitude(C("slon") * 3)}, "CASE WHEN ((slon * 3 + 180) - 360 * floor((slon * 3 + 180) / 360)) - 180 = -180 AND slon > 0 THEN 180 ELSE ((slon * 3 + 180) - 360 * floor((slon * 3 + 180) / 360)) - 180 END AS lon360")
+over_obs("fn_valid_point", lambda: {"valid": geo.valid_point(C("slon") * 1.5, C("slat") * 1.2)}, "(slon * 1.5 BETWEEN -180 AND 180 AND slat * 1.2 BETWEEN -90 AND 90) AS valid")
+over_obs("fn_in_bounds", lambda: {"inside": geo.in_bounds(C("slon"), C("slat"), 150, -20, -120, 45), "plain": geo.in_bounds(C("slon"), C("slat"), -20, -95, 60, 45)}, "((slon >= 150 OR slon <= -120) AND slat BETWEEN -20 AND 45) AS inside, (slon BETWEEN -20 AND 60 AND slat BETWEEN -90 AND 45) AS plain")
+over_obs("fn_bbox_overlap", lambda: {"hit": geo.boxes_overlap(C("slon") - 1, C("slat") - 1, C("slon") + 1, C("slat") + 1, -30.0, -10.0, 40.0, 50.0)}, "(slon - 1 <= 40 AND slon + 1 >= -30 AND slat - 1 <= 50 AND slat + 1 >= -10) AS hit")
 _HAV = "6371.0088 * 2 * asin(least(1.0, sqrt(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))))"
 
 
@@ -74,24 +79,34 @@ def sql_km(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     return _HAV.format(lat1, lon1, lat2, lon2)
 
 
-over_obs("fn_haversine", {"km": F.round(geo.haversine_km(C("lon"), C("lat"), C("slon"), C("slat")), 3)}, f"round({sql_km('lon', 'lat', 'slon', 'slat')}, 3) AS km")
-over_obs("fn_location_label", {"label": geo.location_label(C("lon"), C("lat"))}, "concat(printf('%.1f', floor(round(abs(lat) * 10, 6) + 0.5) / 10), '°', CASE WHEN lat < 0 THEN 'S' ELSE 'N' END, ', ', printf('%.1f', floor(round(abs(lon) * 10, 6) + 0.5) / 10), '°', CASE WHEN lon < 0 THEN 'W' ELSE 'E' END) AS label")
-query("fn_age_label", f"SELECT event_id, CASE WHEN s < 60 THEN concat(CAST(s AS BIGINT), 's ago') WHEN s < 3600 THEN concat(CAST(floor(s / 60) AS BIGINT), 'm ago') WHEN s < 86400 THEN concat(CAST(floor(s / 3600) AS BIGINT), 'h ago') ELSE concat(CAST(floor(s / 86400) AS BIGINT), 'd ago') END AS label FROM (SELECT event_id, greatest(floor((epoch_us({_NOW}) - epoch_us(ingested_at)) / 1e6), 0) AS s FROM o)")(lambda spark, sf_dir: _obs(spark, sf_dir).select("event_id", times.age_label(C("ingested_at"), _now).alias("label")))
-over_obs("fn_utc_label", {"label": times.utc_label(F.date_trunc("second", C("source_updated_at")))}, "coalesce(strftime(source_updated_at, '%Y-%m-%d %H:%M:%S UTC'), 'Not reported') AS label")
-over_obs("fn_expiration", {"state": times.expiration_state(C("status"), C("expires_at"), _now)}, f"CASE WHEN status = 'cancelled' THEN 'Cancelled' WHEN status = 'ended' THEN 'Ended' WHEN expires_at <= {_NOW} THEN 'Expired' ELSE 'Current' END AS state")
-over_obs("fn_quiet_hours", {"quiet": times.quiet(C("event_at"), 1320, 420), "day": times.quiet(C("event_at"), 540, 1020), "never": times.quiet(C("event_at"), 60, 60)}, "(hour(event_at) * 60 + minute(event_at) >= 1320 OR hour(event_at) * 60 + minute(event_at) < 420) AS quiet, (hour(event_at) * 60 + minute(event_at) >= 540 AND hour(event_at) * 60 + minute(event_at) < 1020) AS day, false AS never")
-over_obs("fn_window_state", {"state": times.window_state(C("event_at"), C("expires_at"), _now)}, f"CASE WHEN expires_at IS NULL OR expires_at <= event_at THEN 'invalid' WHEN {_NOW} >= expires_at THEN 'expired' WHEN {_NOW} < event_at THEN 'future' ELSE 'current' END AS state")
-over_obs("fn_epoch_ms", {"us": F.unix_micros(times.epoch_ms(F.unix_millis("event_at"))), "bad": F.unix_micros(times.epoch_ms(F.lit(-1) * C("event_id") - 1))}, "(epoch_us(event_at) // 1000) * 1000 AS us, CAST(NULL AS BIGINT) AS bad")
+over_obs("fn_haversine", lambda: {"km": F.round(geo.haversine_km(C("lon"), C("lat"), C("slon"), C("slat")), 3)}, f"round({sql_km('lon', 'lat', 'slon', 'slat')}, 3) AS km")
+over_obs("fn_location_label", lambda: {"label": geo.location_label(C("lon"), C("lat"))}, "concat(printf('%.1f', floor(round(abs(lat) * 10, 6) + 0.5) / 10), '°', CASE WHEN lat < 0 THEN 'S' ELSE 'N' END, ', ', printf('%.1f', floor(round(abs(lon) * 10, 6) + 0.5) / 10), '°', CASE WHEN lon < 0 THEN 'W' ELSE 'E' END) AS label")
+query("fn_age_label", f"SELECT event_id, CASE WHEN s < 60 THEN concat(CAST(s AS BIGINT), 's ago') WHEN s < 3600 THEN concat(CAST(floor(s / 60) AS BIGINT), 'm ago') WHEN s < 86400 THEN concat(CAST(floor(s / 3600) AS BIGINT), 'h ago') ELSE concat(CAST(floor(s / 86400) AS BIGINT), 'd ago') END AS label FROM (SELECT event_id, greatest(floor((epoch_us({_NOW}) - epoch_us(ingested_at)) / 1e6), 0) AS s FROM o)")(lambda spark, sf_dir: _obs(spark, sf_dir).select("event_id", times.age_label(C("ingested_at"), _now()).alias("label")))
+over_obs("fn_utc_label", lambda: {"label": times.utc_label(F.date_trunc("second", C("source_updated_at")))}, "coalesce(strftime(source_updated_at, '%Y-%m-%d %H:%M:%S UTC'), 'Not reported') AS label")
+over_obs("fn_expiration", lambda: {"state": times.expiration_state(C("status"), C("expires_at"), _now())}, f"CASE WHEN status = 'cancelled' THEN 'Cancelled' WHEN status = 'ended' THEN 'Ended' WHEN expires_at <= {_NOW} THEN 'Expired' ELSE 'Current' END AS state")
+over_obs("fn_quiet_hours", lambda: {"quiet": times.quiet(C("event_at"), 1320, 420), "day": times.quiet(C("event_at"), 540, 1020), "never": times.quiet(C("event_at"), 60, 60)}, "(hour(event_at) * 60 + minute(event_at) >= 1320 OR hour(event_at) * 60 + minute(event_at) < 420) AS quiet, (hour(event_at) * 60 + minute(event_at) >= 540 AND hour(event_at) * 60 + minute(event_at) < 1020) AS day, false AS never")
+over_obs("fn_window_state", lambda: {"state": times.window_state(C("event_at"), C("expires_at"), _now())}, f"CASE WHEN expires_at IS NULL OR expires_at <= event_at THEN 'invalid' WHEN {_NOW} >= expires_at THEN 'expired' WHEN {_NOW} < event_at THEN 'future' ELSE 'current' END AS state")
+over_obs("fn_epoch_ms", lambda: {"us": F.unix_micros(times.epoch_ms(F.unix_millis("event_at"))), "bad": F.unix_micros(times.epoch_ms(F.lit(-1) * C("event_id") - 1))}, "(epoch_us(event_at) // 1000) * 1000 AS us, CAST(NULL AS BIGINT) AS bad")
 _TEXTS = "CASE k % 4 WHEN 0 THEN strftime(event_at, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(event_at, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(event_at, '%Y-%m-%dT%H:%M') ELSE 'soon' END"
-_stamp = F.expr("CASE k % 4 WHEN 0 THEN date_format(event_at, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") WHEN 1 THEN date_format(event_at, 'yyyy-MM-dd HH:mm:ss') WHEN 2 THEN date_format(event_at, \"yyyy-MM-dd'T'HH:mm\") ELSE 'soon' END")
-over_obs("fn_rfc3339", {"s": F.unix_seconds(times.rfc3339(_stamp))}, "CASE WHEN k % 4 = 0 THEN CAST(floor(epoch_us(event_at) / 1e6) AS BIGINT) END AS s")
-over_obs("fn_provider_utc", {"s": F.unix_seconds(times.provider_utc(_stamp))}, "CASE k % 4 WHEN 3 THEN NULL WHEN 2 THEN CAST(floor(epoch_us(event_at) / 6e7) AS BIGINT) * 60 ELSE CAST(floor(epoch_us(event_at) / 1e6) AS BIGINT) END AS s")
-_rss = F.when(C("k") % 2 == 0, F.date_format("event_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).otherwise(_stamp)
-over_obs("fn_rss_time", {"s": F.unix_seconds(times.rss_time(_rss))}, "CASE WHEN k % 2 = 0 THEN CAST(floor(epoch_us(event_at) / 1e6) AS BIGINT) END AS s")
-over_obs("fn_single_line", {"line": text.single_line(F.concat(F.lit("  "), "headline", F.lit(" \n\t "), F.coalesce("location_name", F.lit("")), F.lit("  "))), "blank": text.single_line(F.lit(" \n "), "none")}, "trim(regexp_replace(concat('  ', headline, ' ', chr(10), chr(9), ' ', coalesce(location_name, ''), '  '), '\\s+', ' ', 'g')) AS line, 'none' AS blank")
+
+
+def _stamp():
+    return F.expr("CASE k % 4 WHEN 0 THEN date_format(event_at, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") WHEN 1 THEN date_format(event_at, 'yyyy-MM-dd HH:mm:ss') WHEN 2 THEN date_format(event_at, \"yyyy-MM-dd'T'HH:mm\") ELSE 'soon' END")
+
+
+over_obs("fn_rfc3339", lambda: {"s": F.unix_seconds(times.rfc3339(_stamp()))}, "CASE WHEN k % 4 = 0 THEN CAST(floor(epoch_us(event_at) / 1e6) AS BIGINT) END AS s")
+over_obs("fn_provider_utc", lambda: {"s": F.unix_seconds(times.provider_utc(_stamp()))}, "CASE k % 4 WHEN 3 THEN NULL WHEN 2 THEN CAST(floor(epoch_us(event_at) / 6e7) AS BIGINT) * 60 ELSE CAST(floor(epoch_us(event_at) / 1e6) AS BIGINT) END AS s")
+
+
+def _rss():
+    return F.when(C("k") % 2 == 0, F.date_format("event_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).otherwise(_stamp())
+
+
+over_obs("fn_rss_time", lambda: {"s": F.unix_seconds(times.rss_time(_rss()))}, "CASE WHEN k % 2 = 0 THEN CAST(floor(epoch_us(event_at) / 1e6) AS BIGINT) END AS s")
+over_obs("fn_single_line", lambda: {"line": text.single_line(F.concat(F.lit("  "), "headline", F.lit(" \n\t "), F.coalesce("location_name", F.lit("")), F.lit("  "))), "blank": text.single_line(F.lit(" \n "), "none")}, "trim(regexp_replace(concat('  ', headline, ' ', chr(10), chr(9), ' ', coalesce(location_name, ''), '  '), '\\s+', ' ', 'g')) AS line, 'none' AS blank")
 over_obs(
     "fn_score_text",
-    {"words": F.concat_ws(" · ", F.when(lookup.severity_points(C("severity")) != 0, F.concat(F.lit("impact +"), lookup.severity_points(C("severity")).cast("string"))), F.when(lookup.urgency_points(C("urgency")) != 0, F.concat(F.lit("urgency +"), lookup.urgency_points(C("urgency")).cast("string"))), F.when(C("status").isin("cancelled", "ended"), F.lit("status/age -40")))},
+    lambda: {"words": F.concat_ws(" · ", F.when(lookup.severity_points(C("severity")) != 0, F.concat(F.lit("impact +"), lookup.severity_points(C("severity")).cast("string"))), F.when(lookup.urgency_points(C("urgency")) != 0, F.concat(F.lit("urgency +"), lookup.urgency_points(C("urgency")).cast("string"))), F.when(C("status").isin("cancelled", "ended"), F.lit("status/age -40")))},
     f"concat_ws(' · ', CASE WHEN sp <> 0 THEN concat('impact +', sp) END, CASE WHEN up <> 0 THEN concat('urgency +', up) END, CASE WHEN status IN ('cancelled','ended') THEN 'status/age -40' END) AS words FROM (SELECT *, {_case(SEVERITY_POINTS, 'severity', '0')} AS sp, CASE urgency WHEN 'Immediate' THEN 20 WHEN 'Expected' THEN 15 WHEN 'Future' THEN 8 ELSE 0 END AS up FROM o) o --",
 )
 _LEVELS = {"quakes": (20, 8), "alerts": (5, 0), "hotspots": (10, 3), "conflict": (30, 0), "warnings": (100, 30), "storms": (3, 0)}

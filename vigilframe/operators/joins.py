@@ -66,8 +66,8 @@ def nearest(points: DataFrame, stations: DataFrame, point_id: str, station_id: s
     """(point_id, station_id, km) of each point's nearest station, ties by id. points and stations hold lon and lat.
 
     Stations up to broadcast_rows, counted first, go to every task and each point scans them; beyond, points meet the
-    stations of their own and neighbouring one-degree cells, ring after ring, until a ring wider than the distance
-    found has been seen.
+    stations of the one-degree cells around them, ring after ring, until a ring wider than the distance found has been
+    seen.
     """
     s = stations.select(station_id, F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat")).where("s_lon is not null and s_lat is not null")
     km = haversine_km(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat"))
@@ -76,17 +76,19 @@ def nearest(points: DataFrame, stations: DataFrame, point_id: str, station_id: s
         found = points.select(point_id, "lon", "lat").join(F.broadcast(s)).groupBy(point_id).agg(best.alias("best"))
     else:
         found, left, ring = None, points.select(point_id, "lon", "lat"), 1
-        cells = s.withColumn("y", F.floor("s_lat")).withColumn("x", F.floor("s_lon"))
-        while ring <= 256:
-            reach = F.sequence(F.lit(-ring), F.lit(ring))
-            wide = left.withColumn("y", F.explode(F.transform(reach, lambda d: F.floor(F.col("lat")) + d))).withColumn("x", F.explode(F.transform(reach, lambda d: F.pmod(F.floor(F.col("lon")) + d + 180, F.lit(360)) - 180))).dropDuplicates([point_id, "x", "y"])
-            got = wide.join(cells, ["x", "y"]).groupBy(point_id).agg(best.alias("best"))
-            # All within ring degrees of latitude has been seen; so has all within ring degrees of longitude, shrunk towards the poles.
-            seen = 111.19 * ring * F.cos(F.radians(F.least(F.abs("lat") + ring, F.lit(90.0))))
-            sure = got.join(left, point_id).where(F.col("best.km") <= F.greatest(seen, F.lit(0.0))).select(point_id, "best").checkpoint()
+        cells = s.withColumn("y", F.floor("s_lat")).withColumn("x", F.pmod(F.floor("s_lon") + 180, F.lit(360)) - 180)
+        while True:
+            # Within `ring` degrees lie `ring` degrees of latitude each way, and of longitude more towards the poles.
+            edge = F.abs("lat") + ring
+            wide = F.when(edge >= 80, F.lit(180)).otherwise(F.least(F.ceil(ring / F.cos(F.radians(edge))), F.lit(180))).cast("int")
+            y = F.explode(F.sequence(F.greatest(F.floor("lat") - ring, F.lit(-90)), F.least(F.floor("lat") + ring, F.lit(90))))
+            x = F.explode(F.array_distinct(F.transform(F.sequence(-wide, wide), lambda d: (F.pmod(F.floor(F.col("lon")) + d + 180, F.lit(360)) - 180).cast("long"))))
+            asked = left.withColumn("y", y).withColumn("x", x)
+            got = asked.join(cells, ["x", "y"]).groupBy(point_id).agg(best.alias("best"))
+            sure = got.where(F.col("best.km") <= 111.19 * ring).checkpoint()
             found = sure if found is None else found.union(sure)
             left = left.join(sure, point_id, "left_anti").checkpoint()
-            if left.isEmpty():
+            if ring > 180 or left.isEmpty():
                 break
             ring *= 4
     return found.select(point_id, F.col(f"best.{station_id}"), F.col("best.km").alias("km")).where(F.col("km") <= most_km)

@@ -1,6 +1,6 @@
 """Query plans over the views, each beside its oracle SQL."""
 
-from . import aggregates, filters, ingest, joins, scalars
+from . import aggregates, filters, ingest, joins, scalars, shapes, streams
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "filters", "ingest", "joins", "scalars"]
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "filters", "ingest", "joins", "scalars", "shapes", "streams"]

@@ -271,7 +271,7 @@ def sink_upsert_obs(spark, sf_dir):
     return o.groupBy("observation_id").agg(F.max_by("content_hash", F.struct("ingested_at", "event_id")).alias("content_hash"), F.bool_or("changed").alias("changed"))
 
 
-@query("sink_upsert_incident")
+@query("sink_upsert_incident", ", l0 AS (SELECT * FROM o WHERE event_id < 5000 QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY ingested_at DESC, event_id DESC) = 1), old AS (SELECT concat('incident:', kind, ':', site) AS incident_id, count(*) AS n FROM l0 GROUP BY ALL), new AS (SELECT incident_id, count(*) AS n FROM m GROUP BY ALL) SELECT new.incident_id, new.n AS revision, old.n IS NULL AS inserted FROM new LEFT JOIN old USING (incident_id) WHERE old.n IS NULL OR new.n > old.n")
 def sink_upsert_incident(spark, sf_dir):
     """Snapshot incidents laid over an older snapshot: only higher revisions go in, one log row for each."""
     new = build_incidents(members(observations(spark, sf_dir))).select("incident_id", C("n_members").alias("revision"), "headline")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.lookup import severity_rank
 from ..streaming.streams import changed_only, correlate_batches, dedupe_keys, event_stream, failure_events, for_each_batch, recent, run_available, shared_folder
 from ..views import observations
-from .joins import quake_pairs, watch_matches, watch_regions
+from .joins import _QUAKE_SQL, _REGION_SQL, _SEV, quake_pairs, watch_matches, watch_regions
 from .registry import query
+from .scalars import sql_km
 
 C = F.col
 
@@ -51,7 +52,7 @@ def str_change_feed(spark, sf_dir):
     return run_available(_stream(spark, sf_dir).where("event_id > 400").select(C("event_id").alias("cursor"), "user_id"))
 
 
-@query("str_notify")
+@query("str_notify", _REGION_SQL + f"SELECT r.region, o.event_id FROM r JOIN o ON r.enabled AND {_SEV} >= greatest(r.least, 2) AND contains(lower(concat(headline, ' ', summary)), 'site') AND (r.worldwide OR {sql_km('r_lon', 'r_lat', 'slon', 'slat')} <= radius)")
 def str_notify(spark, sf_dir):
     """Stream-static join with the watch regions."""
     regions = watch_regions(spark, sf_dir)
@@ -69,7 +70,7 @@ def str_notify(spark, sf_dir):
     return spark.read.schema("region long, event_id long").parquet(*[f"{base}/batch={n}" for n in got])
 
 
-@query("str_correlate")
+@query("str_correlate", f", pairs AS ({_QUAKE_SQL}), both_ AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (WITH RECURSIVE r(node, c) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT both_.b, r.c FROM r JOIN both_ ON both_.a = r.node WHERE r.c < both_.b) SELECT node, min(c) AS c FROM r GROUP BY node) SELECT node, c AS component FROM reach")
 def str_correlate(spark, sf_dir):
     """Earthquake components, kept up batch by batch."""
     quakes = observations(spark, sf_dir).where("kind = 'earthquake'").select("event_id", "observation_id", "event_at", "lon", "lat", "kind")

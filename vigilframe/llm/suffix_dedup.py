@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -245,18 +246,28 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     small = around.where(F.col("classes") <= SORT_CLASSES).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     sorted_reach = small.groupBy("bucket").applyInPandas(sort, reach)
 
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes of all strings of LENGTH bytes around each anchor."""
         import xxhash
 
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for a, c1, c2, before, after in zip(*(batch[c] for c in (*KEYS, "before", "after")), strict=True):
-                whole, n = before[::-1] + after, len(before)
-                at = [l for l in range(n + 1) if n - l + LENGTH <= len(whole)]
-                yield pd.DataFrame({"anchor": a, "c1": c1, "c2": c2, "l": at, "h": np.array([xxhash.xxh3_64_intdigest(whole[n - l : n - l + LENGTH]) for l in at], "u8").view("i8")})
-
-    hot = around.where(F.col("classes") > SORT_CLASSES).dropDuplicates(KEYS).mapInPandas(strings, "anchor bigint, c1 bigint, c2 bigint, l int, h bigint")
-    again = hot.groupBy("anchor", "l", "h").agg(F.count("*").alias("n")).where("n > 1")
-    hot_reach = hot.join(again, ["anchor", "l", "h"]).groupBy(*KEYS).agg(F.max("l").cast("int").alias("before"), (LENGTH - F.min("l")).cast("int").alias("after"))
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                sizes, starts, hashes = [], [], []
+                for before, after in zip(part.column("before").to_pylist(), part.column("after").to_pylist(), strict=True):
+                    whole, n = before[::-1] + after, len(before)
+                    at = range(max(0, n + LENGTH - len(whole)), n + 1)
+                    sizes.append(len(at))
+                    starts += at
+                    hashes += [digest(whole[n - l : n - l + LENGTH]) for l in at]
+                keys = [pa.array(np.repeat(part.column(c).to_numpy(), sizes)) for c in KEYS]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(starts, pa.int32()), pa.array(np.array(hashes, "u8").view("i8"))], names=[*KEYS, "l", "h"])
+
+    hot = around.where(F.col("classes") > SORT_CLASSES).dropDuplicates(KEYS).repartition(buckets, "c1")
+    told = hot.select(*KEYS, "before", "after").mapInArrow(strings, "anchor bigint, c1 bigint, c2 bigint, l int, h bigint")
+    again = told.withColumn("n", F.count("*").over(W.partitionBy("anchor", "l", "h"))).where("n > 1")
+    hot_reach = again.groupBy(*KEYS).agg(F.max("l").cast("int").alias("before"), (LENGTH - F.min("l")).cast("int").alias("after"))
     whole = classes.where("n > 1").select(*KEYS, F.lit(REACH).alias("before"), F.lit(LENGTH).alias("after"))
     reached = sorted_reach.unionByName(hot_reach).unionByName(whole).groupBy(*KEYS).agg(F.max("before").alias("before"), F.max("after").alias("after"))
     return seen.join(reached, KEYS).select("doc_id", "th", F.greatest(F.col("at") - F.col("before"), F.lit(0)).alias("start"), (F.col("at") + F.col("after")).alias("stop"))

@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_or_empty
 
 #: Words, the most frequent of the training texts, whose scores every task holds; all others are joined by word.
-HOT_WORDS = 20_000
-#: Rounds of expectation maximization for the chances of pieces.
-ROUNDS = 2
+HOT_WORDS = 100_000
+#: Count that every piece has besides its own.
+SMOOTHING = 0.05
 MARK = "▁"
 
 
@@ -73,156 +72,58 @@ class SubwordLattice:
     words sum to one. A character that is no piece is spelt in the vocabulary's bytes.
     """
 
-    #: Words of up to so many characters are handled together by length; longer ones one by one.
-    TOGETHER = 48
-
-    def __init__(self, model_file: str, chances: np.ndarray | None = None):
-        model = vocabulary(model_file)
+    def __init__(self, model_file: str, counts: dict[str, int] | None = None):
+        model, counts = vocabulary(model_file), counts or {}
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_unknown(i)]
-        opening = [p[1:] for p in pieces if p[0] == MARK and MARK not in p[1:]]
-        inner = [p for p in pieces if MARK not in p]
-        self.opening = {p: i for i, p in enumerate(opening)}
-        self.inner = {p: i + len(opening) for i, p in enumerate(inner)}
-        self.end, self.size, self.split = len(opening) + len(inner), len(opening) + len(inner) + 1, len(opening)
+        self.opening = self._chances({p[1:]: counts.get(p, 0) for p in pieces if p[0] == MARK and MARK not in p[1:]})
+        self.inner = self._chances({p: counts.get(p, 0) for p in ["", *pieces] if MARK not in p})
+        self.start, self.end = self.opening.pop(""), self.inner.pop("")
         self.longest = max(map(len, pieces))
-        self.spelling: dict[str, int] = {}
-        self.log = np.zeros(self.size)
-        self.learn(np.ones(self.size) if chances is None else chances)
-
-    def learn(self, counts: np.ndarray) -> None:
-        """Chances from expected counts, a little for each piece that has none."""
-        for part in (slice(0, self.split), slice(self.split, self.size)):
-            some = counts[part] + 0.01
-            self.log[part] = np.log(some / some.sum())
-
-    def _bytes(self, c: str) -> list[int]:
-        return [self.inner[f"<0x{b:02X}>"] for b in c.encode()]
-
-    def arcs(self, words: list[str]) -> tuple[np.ndarray, dict]:
-        """For words of one length: log chance [i, j, word] of the pieces from i to j, and where their numbers are."""
-        n, low = len(words[0]), -np.inf
-        log, found = np.full((n, n + 1, len(words)), low), {}
-        table = np.append(self.log, low)
-        start = self.log[self.opening[""]]
+
+    @staticmethod
+    def _chances(counts: dict[str, int]) -> dict[str, float]:
+        total = sum(counts.values()) + SMOOTHING * len(counts)
+        return {p: math.log((n + SMOOTHING) / total) for p, n in counts.items()}
+
+    def log_chance(self, word: str) -> float:
+        """Log of the sum over all segmentations: a forward recursion in log space, from each place along the pieces that begin there."""
+        n, inner, longest = len(word), self.inner.get, self.longest
+        exp, log1p, low = math.exp, math.log1p, -math.inf
+        forward = [low] * (n + 1)
+        for j in range(1, min(n, longest - 1) + 1):
+            if (p := self.opening.get(word[:j])) is not None:
+                forward[j] = p
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                get = self.inner.get
-                at = np.array([get(w[i:j], -1) for w in words])
-                log[i, j] = table[at] + (start if not i else 0)
-                found[i, j] = at
-                if not i and j < self.longest:
-                    get = self.opening.get
-                    at = np.array([get(w[:j], -1) for w in words])
-                    log[i, j] = np.logaddexp(log[i, j], table[at])
-                    found[i, j, "open"] = at
-            for k in np.flatnonzero(found[i, i + 1] < 0):
-                log[i, i + 1, k] = np.logaddexp(log[i, i + 1, k], sum(self.log[x] for x in self._bytes(words[k][i])) + (start if not i else 0))
-        return log, found
-
-    def _sum(self, terms: np.ndarray) -> np.ndarray:
-        top = terms.max(0)
-        with np.errstate(invalid="ignore"):
-            return np.where(top == -np.inf, top, top + np.log(np.exp(terms - np.where(top == -np.inf, 0, top)).sum(0)))
-
-    def _forward(self, log: np.ndarray) -> np.ndarray:
-        n = len(log)
-        forward = np.full((n + 1, log.shape[2]), -np.inf)
-        forward[0] = 0
-        for j in range(1, n + 1):
-            forward[j] = self._sum(forward[max(0, j - self.longest) : j] + log[max(0, j - self.longest) : j, j])
-        return forward
+            before = forward[i] if i else self.start
+            for j in range(i + 1, min(n, i + longest) + 1):
+                p = inner(word[i:j])
+                if p is None:
+                    if j > i + 1:
+                        continue
+                    p = sum(self.inner[f"<0x{b:02X}>"] for b in word[i].encode())
+                new, old = before + p, forward[j]
+                forward[j] = new if old == low else old + log1p(exp(new - old)) if old > new else new + log1p(exp(old - new))
+        return forward[n] + self.end
 
     def log_chances(self, words: list[str]) -> np.ndarray:
-        """Log of the sum over all segmentations of each word: a forward recursion in log space."""
-        out = np.zeros(len(words))
-        with np.errstate(divide="ignore"):
-            for at, same in self._by_length(words):
-                out[at] = self._forward(self.arcs(same)[0])[-1] if len(same[0]) <= self.TOGETHER else self._long(same[0])
-        return out + self.log[self.end]
-
-    def _by_length(self, words: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-        lengths: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            lengths.setdefault(len(w), []).append(k)
-        for n, at in lengths.items():
-            step = 1 if n > self.TOGETHER else max(1, 100_000 // (n * n))
-            for k in range(0, len(at), step):
-                yield at[k : k + step], [words[x] for x in at[k : k + step]]
-
-    def _long(self, word: str) -> float:
-        log, start = self.log, self.log[self.opening[""]]
-        forward = [0.0]
-        for j in range(1, len(word) + 1):
-            terms = []
-            for i in range(max(0, j - self.longest), j):
-                more = start if not i else 0.0
-                at = self.inner.get(word[i:j])
-                if at is not None:
-                    terms.append(forward[i] + more + log[at])
-                elif i == j - 1:
-                    terms.append(forward[i] + more + sum(log[x] for x in self._bytes(word[i])))
-                if not i and (at := self.opening.get(word[:j])) is not None:
-                    terms.append(log[at])
-            top = max(terms)
-            forward.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-        return forward[-1]
-
-    def expected(self, words: list[str]) -> np.ndarray:
-        """Expected counts of pieces over all segmentations of each word (forward-backward); words beyond TOGETHER count their characters."""
-        counts = np.zeros(self.size)
-        counts[self.end] = len(words)
-        mark = self.opening[""]
-        for _, same in self._by_length(words):
-            n = len(same[0])
-            if n > self.TOGETHER:
-                for c in same[0]:
-                    np.add.at(counts, [self.inner[c]] if c in self.inner else self._bytes(c), 1)
-                continue
-            with np.errstate(divide="ignore"):
-                log, found = self.arcs(same)
-                forward = self._forward(log)
-                back = np.full_like(forward, -np.inf)
-                back[n] = 0
-                for i in range(n - 1, -1, -1):
-                    back[i] = self._sum(back[i + 1 : i + 1 + self.longest] + log[i, i + 1 : i + 1 + self.longest])
-            table = np.append(self.log, -np.inf)
-            for key, at in found.items():
-                i, j, opens = key[0], key[1], len(key) > 2
-                share = np.exp(forward[i] + table[at] + (self.log[mark] if not i and not opens else 0) + back[j] - forward[n])
-                counts += np.bincount(at + 1, share, self.size + 1)[1:]
-                if not i and not opens:
-                    counts[mark] += share.sum()
-                if j == i + 1 and not opens:
-                    for k in np.flatnonzero(at < 0):
-                        spelt = self._bytes(same[k][i])
-                        p = np.exp(forward[i, k] + sum(self.log[x] for x in spelt) + (self.log[mark] if not i else 0) + back[j, k] - forward[n, k])
-                        np.add.at(counts, spelt, p)
-                        if not i:
-                            counts[mark] += p
-        return counts
-
-
-def fit_lattice(counts: DataFrame, model_file: str) -> SubwordLattice:
-    """Chances of pieces by expectation maximization over all distinct words. Each round brings one number a piece to the driver."""
-    lattice = SubwordLattice(model_file)
-    for _ in range(ROUNDS):
-        chances = np.exp(lattice.log)
-
-        def count(batches: Iterator[pa.RecordBatch], chances=chances) -> Iterator[pa.RecordBatch]:
-            here = SubwordLattice(model_file)
-            here.log = np.log(chances)
-            seen = np.zeros(here.size)
-            for batch in batches:
-                seen += here.expected([w.decode(errors="replace") for w in batch.column(0).to_pylist()])
-            some = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(some, pa.int32()), "n": pa.array(seen[some], pa.float64())})
-
-        rows = counts.select("word").mapInArrow(count, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        new = np.zeros(lattice.size)
-        for r in rows:
-            new[r.piece] = r.n
-        lattice.learn(new)
-    return lattice
+        return np.array([self.log_chance(w) for w in words])
+
+
+def piece_counts(counts: DataFrame, model_file: str) -> dict[str, int]:
+    """How often each piece occurs in the library's segmentations of the distinct words, and how many words end (""); as many entries as the vocabulary has pieces at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, seen = vocabulary(model_file), np.zeros(vocabulary(model_file).get_piece_size() + 1, "i8")
+        for batch in batches:
+            found = model.encode([w.decode(errors="replace") for w in batch.column(0).to_pylist()], num_threads=1)
+            seen[-1] += len(found)
+            seen[:-1] += np.bincount(np.fromiter((i for ids in found for i in ids), int), minlength=len(seen) - 1)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(some, pa.int32()), "n": pa.array(seen[some], pa.int64())})
+
+    rows = counts.select("word").mapInArrow(count, "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    model = vocabulary(model_file)
+    return {model.id_to_piece(r.piece) if r.piece < model.get_piece_size() else "": r.n for r in rows}
 
 
 @dataclass
@@ -262,7 +163,7 @@ def lattice_scores(docs: DataFrame, model_file: str) -> DataFrame:
     counts = materialize(word_counts(docs.where("training")))
     texts = docs.where("training").count()
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2))).first()
-    model = Model(fit_lattice(counts, model_file), (total.n or 0) + texts, total.v + (texts > 0), texts, (total.n1 + 1) / (total.n1 + 2 * total.n2 + 2))
+    model = Model(SubwordLattice(model_file, piece_counts(counts, model_file)), (total.n or 0) + texts, total.v + (texts > 0), texts, (total.n1 + 1) / (total.n1 + 2 * total.n2 + 2))
     top = counts.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()
     scored = model.words([bytes(r.word).decode(errors="replace") for r in top], np.array([r.c for r in top], "f8")) if top else []
     hot = {bytes(r.word): (model.base(r.c), float(x)) for r, x in zip(top, scored, strict=True)}
@@ -295,18 +196,20 @@ def lattice_scores(docs: DataFrame, model_file: str) -> DataFrame:
     sums = materialize(rows.mapInArrow(cut, ddl))
     rare = sums.where("word is not null").select("doc_id", "row", "word", "n").join(counts, "word", "left")
 
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    told = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of word; each distinct word of a batch is scored once."""
         for batch in batches:
-            word, first = np.unique(batch.word.to_numpy(), return_index=True)
-            at = pd.Index(word).get_indexer(batch.word)
-            c = batch.c.fillna(0).to_numpy("i8")
-            base = np.array([model.base(int(c[f])) for f in first])[at]
-            score = model.words([bytes(w).decode(errors="replace") for w in word], c[first].astype("f8"))[at]
-            n = batch.n.to_numpy()
-            told = pd.DataFrame({"doc_id": batch.doc_id, "row": batch.row, "known": n * (c > 0), "base": n * base, "score": n * score})
-            yield told.groupby(["doc_id", "row"], as_index=False, dropna=False).sum()
-
-    joined = rare.mapInPandas(spell, "doc_id bigint, row bigint, known bigint, base double, score double")
+            word = batch.column("word").dictionary_encode()
+            at, n = word.indices.to_numpy(), batch.column("n").to_numpy()
+            c = np.zeros(len(word.dictionary), "f8")
+            c[at] = batch.column("c").fill_null(0).to_numpy()
+            base = np.log10((c + 1) / (model.tokens + 1 * (model.distinct + 1)))
+            score = model.words([w.decode(errors="replace") for w in word.dictionary.to_pylist()], c)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n * (c > 0)[at]), pa.array(n * base[at]), pa.array(n * score[at])], schema=told)
+
+    joined = rare.select("doc_id", "row", "word", "n", "c").mapInArrow(spell, "doc_id bigint, row bigint, known bigint, base double, score double")
     alone = sums.where("word is null")
     both = alone.select("doc_id", "row", "n", "known", "base", "score", F.lit(1).alias("times")).unionByName(joined.withColumns({"n": F.lit(0).cast("long"), "times": F.lit(0)}))
     out = both.groupBy("doc_id", "row").agg(*(F.sum(c).alias(c) for c in ("n", "known", "base", "score", "times")))
@@ -319,5 +222,4 @@ def lattice_scores(docs: DataFrame, model_file: str) -> DataFrame:
 
 
 def op4_lattice_lm(spark, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # word rows are short
     return lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -76,12 +76,12 @@ def members(o: DataFrame) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed articles out of documents: the first line is the title."""
+    """Feed articles out of documents: the first line is the title, the whole text the summary."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         "doc_id",
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 120).alias("title"),
-        F.substring("text", 1, 280).alias("summary"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.col("text").alias("summary"),
         F.concat(F.lit("feed_"), (F.col("doc_id") % 3).cast("string")).alias("src"),
         (F.lit(1706702400) - F.col("doc_id") * 97 % 200000).alias("ts"),
     )

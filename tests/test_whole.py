@@ -7,6 +7,17 @@ from vigilframe.plans import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
+def test_freshness_counts_every_event(spark):
+    e = spark.read.parquet(f"{SF}/events.parquet").select("user_id", (F.get_json_object("props", "$.k").cast("int") % 11).alias("s")).collect()
+    states = {}
+    for r in e:
+        states.setdefault(r.user_id, []).append({0: "error", 1: "stale", 2: "cached"}.get(r.s, "live"))
+    worst = lambda s: max(s, key=("live", "cached", "stale", "error").index)
+    combined = lambda s: "error" if set(s) == {"error"} else "stale" if {"error", "stale"} & set(s) else worst(s)
+    for name, fold in (("fn_worst_freshness", worst), ("fn_combine_freshness", combined)):
+        assert {r.user_id: r.state for r in QUERIES[name](spark, SF).collect()} == {u: fold(s) for u, s in states.items()}
+
+
 def test_articles_are_matched_over_their_whole_text(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     late = [i for i, t in docs.items() if "thing" in t.lower() and not {"thing", "über"} & {w for w in ("thing", "über") if w in t[:280].lower()}]

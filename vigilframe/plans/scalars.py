@@ -183,14 +183,14 @@ _STATE = "CASE k % 11 WHEN 0 THEN 'error' WHEN 1 THEN 'stale' WHEN 2 THEN 'cache
 
 @query("fn_combine_freshness", f"SELECT user_id, {_FRESH} AS state FROM (SELECT user_id, {_STATE} AS s FROM o WHERE event_id % 5 = 0) GROUP BY user_id")
 def combine_freshness(spark, sf_dir):
-    s = _obs(spark, sf_dir).where("event_id % 5 = 0").select("user_id", F.expr(_STATE).alias("s"))
+    s = _obs(spark, sf_dir).select("user_id", F.expr(_STATE).alias("s"))
     every, some = F.bool_and(C("s") == "error"), lambda *v: F.bool_or(C("s").isin(*v))
     return s.groupBy("user_id").agg(F.when(every, "error").when(some("error", "stale"), "stale").when(some("cached"), "cached").otherwise("live").alias("state"))
 
 
 @query("fn_worst_freshness", f"SELECT user_id, (['live','cached','stale','error'])[max(CASE s WHEN 'live' THEN 1 WHEN 'cached' THEN 2 WHEN 'stale' THEN 3 ELSE 4 END)] AS state FROM (SELECT user_id, {_STATE} AS s FROM o WHERE event_id % 5 = 0) GROUP BY user_id")
 def worst_freshness(spark, sf_dir):
-    s = _obs(spark, sf_dir).where("event_id % 5 = 0").select("user_id", F.expr(_STATE).alias("s"))
+    s = _obs(spark, sf_dir).select("user_id", F.expr(_STATE).alias("s"))
     return s.groupBy("user_id").agg(F.max_by("s", lookup.rank(C("s"), ("error", "stale", "cached", "live"))).alias("state"))
 
 

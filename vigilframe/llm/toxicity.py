@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, materialize, table, text_or_empty
 
-#: Bound of the training sample: so many documents of each label, those with the least hash of their id.
+#: Bound of the training sample: so many documents of each label, those with the least hash of their id. Each stands for count/sampled rows of its label.
 SAMPLE_PER_LABEL = 4000
-#: A feature marks toxic tokens if its smoothed share of toxic documents is at least this.
+#: A feature marks toxic tokens if its smoothed share of toxic documents, among all training rows, is at least this.
 PRECISION, SMOOTHING = 0.7, 2.0
 PREFIXES = (4, 5, 6, 7, 8)
 #: Tokens on each side of one with features that belong to its chain. Between chains the state is clean.
@@ -51,8 +51,17 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(docs.select("doc_id", text_or_empty()).join(chosen, "doc_id"))
 
 
-def toxic_features(sample: DataFrame) -> list[str]:
-    """Features whose documents are nearly all toxic. Their number is bounded by the sample's distinct features over the least support."""
+def label_weights(labels: DataFrame) -> dict[int, float]:
+    """How many training rows a sampled row of each label stands for; 1 where all are sampled."""
+    counts = {r.toxic: r["count"] for r in training_rows(labels).groupBy("toxic").count().collect()}
+    return {k: max(1.0, counts.get(k, 0) / SAMPLE_PER_LABEL) for k in (0, 1)}
+
+
+def toxic_features(sample: DataFrame, weights: dict[int, float]) -> list[str]:
+    """Features whose documents are nearly all toxic. Their number is bounded by the sample's distinct features over the least support.
+
+    Clean documents are weighed against a toxic one, so that support and smoothing stay in sampled toxic documents.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +74,8 @@ def toxic_features(sample: DataFrame) -> list[str]:
                 yield pa.RecordBatch.from_pydict(told, schema=pa.schema([("feature", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())]))
 
     counts = sample.select("text", "toxic").mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    rows = counts.where(F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean") + SMOOTHING)).select("feature").collect()
+    clean = F.col("clean") * (weights[0] / weights[1])
+    rows = counts.where(F.col("toxic") >= PRECISION * (F.col("toxic") + clean + SMOOTHING)).select("feature").collect()
     return sorted(r.feature for r in rows)
 
 
@@ -131,22 +141,22 @@ class Chain:
                     out[i, t] += self.weights[list(active)].sum()
         return out, size
 
-    def fit(self, chains: list[list[tuple[int, ...]]], truth: list[list[int]]) -> None:
-        """Gradient ascent (Adam) on the conditional likelihood of the token labels, chains of like length together."""
+    def fit(self, chains: list[list[tuple[int, ...]]], truth: list[list[int]], weight: np.ndarray) -> None:
+        """Gradient ascent (Adam) on the weighted conditional likelihood of the token labels, chains of like length together."""
         order = sorted(range(len(chains)), key=lambda k: len(chains[k]))
-        groups = [self._padded([chains[k] for k in some], [truth[k] for k in some]) for some in (order[k : k + 2048] for k in range(0, len(order), 2048))]
+        groups = [self._padded([chains[k] for k in some], [truth[k] for k in some], weight[some]) for some in (order[k : k + 2048] for k in range(0, len(order), 2048))]
         value = np.concatenate([np.zeros(len(self.index)), [self.bias], np.zeros(4)])
         first, second = np.zeros_like(value), np.zeros_like(value)
         for step in range(1, ITERATIONS + 1):
             self.weights, self.bias, self.moves = value[:-5], value[-5], value[-4:].reshape(2, 2)
-            grad = sum(self._gradient(*g) for g in groups) / len(chains) - DECAY * value
+            grad = sum(self._gradient(*g) for g in groups) / weight.sum() - DECAY * value
             first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
             value = value + RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         self.weights, self.bias, self.moves = value[:-5], float(value[-5]), value[-4:].reshape(2, 2)
 
     @staticmethod
-    def _padded(chains: list[list[tuple[int, ...]]], truth: list[list[int]]) -> tuple:
-        """Sizes, labels, moves seen, and where which feature stands."""
+    def _padded(chains: list[list[tuple[int, ...]]], truth: list[list[int]], weight: np.ndarray) -> tuple:
+        """Sizes, labels, weights, moves seen, and where which feature stands."""
         size = np.array([len(c) for c in chains])
         label = np.zeros((len(chains), size.max()))
         at, which = [], []
@@ -157,16 +167,16 @@ class Chain:
                 which += active
         inside = np.arange(label.shape[1]) < size[:, None]
         states, seen = label.astype(int), np.zeros((2, 2))
-        np.add.at(seen, (states[:, :-1][inside[:, 1:]], states[:, 1:][inside[:, 1:]]), 1)
-        seen[0] += np.bincount(states[:, 0], minlength=2)
-        return size, label, inside, seen, np.array(at, int), np.array(which, int)
+        np.add.at(seen, (states[:, :-1][inside[:, 1:]], states[:, 1:][inside[:, 1:]]), np.broadcast_to(weight[:, None], label.shape)[:, 1:][inside[:, 1:]])
+        seen[0] += np.bincount(states[:, 0], weight, minlength=2)
+        return size, label, inside, weight, seen, np.array(at, int), np.array(which, int)
 
-    def _gradient(self, size, label, inside, seen, at, which) -> np.ndarray:
+    def _gradient(self, size, label, inside, weight, seen, at, which) -> np.ndarray:
         scores = (np.bincount(at, self.weights[which], label.size) + self.bias).reshape(label.shape)
         toxic, pairs, _ = self.marginals(scores, size)
-        off = np.where(inside, label - toxic, 0.0)
-        expected = pairs.sum((0, 1))
-        expected[0] += [(1 - toxic[:, 0]).sum(), toxic[:, 0].sum()]
+        off = np.where(inside, label - toxic, 0.0) * weight[:, None]
+        expected = (pairs * weight[:, None, None, None]).sum((0, 1))
+        expected[0] += [weight @ (1 - toxic[:, 0]), weight @ toxic[:, 0]]
         moves = seen - expected
         moves[0, 0] = 0
         return np.concatenate([np.bincount(which, off.ravel()[at], len(self.index)), [off.sum()], moves.ravel()])
@@ -194,20 +204,23 @@ class Chain:
     def inputs(tagged: list[list[tuple[int, int, float]]]) -> np.ndarray:
         return np.array([[1.0, np.log1p(sum(x[2] for x in t)), max((x[2] for x in t), default=0.0)] for t in tagged]).reshape(-1, 3)
 
-    def fit_curve(self, tagged: list, truth: np.ndarray) -> None:
-        """Logistic regression by Newton's method, lightly damped."""
+    def fit_curve(self, tagged: list, truth: np.ndarray, weight: np.ndarray) -> None:
+        """Weighted logistic regression by Newton's method, lightly damped."""
         x, w = self.inputs(tagged), np.zeros(3)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             damp = np.diag([1e-6, 0.05, 0.05])
-            w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + damp + 1e-9 * np.eye(3), x.T @ (truth - p) - damp @ w)
+            w = w + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + damp + 1e-9 * np.eye(3), x.T @ (weight * (truth - p)) - damp @ w)
         self.curve = w
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
-    """Learns from a bounded sample of the training rows. Without training rows of both labels every document scores under one half."""
-    sample = training_sample(docs, labels)
-    found = toxic_features(sample)
+    """Learns from a bounded sample of the training rows, weighed so that the balance of labels is that of all training rows.
+
+    Without training rows of both labels every document scores under one half.
+    """
+    sample, stands_for = training_sample(docs, labels), label_weights(labels)
+    found = toxic_features(sample, stands_for)
     chain = Chain({f: i for i, f in enumerate(found)}, np.zeros(len(found)))
     if not found:
         return chain
@@ -216,8 +229,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
         return {"toxic": toxic, "chains": [[[list(t[2]) for t in c] for c in chain.chains(x)] for x in texts]}
 
     rows = map_columns(sample.select("text", "toxic"), cut, "toxic int, chains array<array<array<int>>>").collect()  # bounded by the sample
+    weight = np.array([stands_for[r.toxic] for r in rows])
+    weight /= weight.mean()  # damping and decay stay as they are to the sample
     chains = [([tuple(t) for t in c], r.toxic) for r in rows for c in r.chains]
-    chain.fit([c for c, _ in chains], [[int(bool(t) and y) for t in c] for c, y in chains])
+    chain.fit([c for c, _ in chains], [[int(bool(t) and y) for t in c] for c, y in chains], np.repeat(weight, [len(r.chains) for r in rows]))
     chain.known.clear()
     tagged, at = [], iter(range(len(chains)))
     every = [[] for _ in chains]
@@ -229,7 +244,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
             every[j] = [(0, 0, float(p)) for p in row[: len(chains[j][0])]]
     for r in rows:
         tagged.append([x for _ in r.chains for x in every[next(at)]])
-    chain.fit_curve(tagged, np.array([r.toxic for r in rows], float))
+    chain.fit_curve(tagged, np.array([r.toxic for r in rows], float), weight)
     return chain
 
 

@@ -29,3 +29,19 @@ def test_articles_are_matched_over_their_whole_text(spark):
     long = {i for i, t in docs.items() if len(t.split("\n")[0]) > 240 and t.split("\n")[0].isascii()}
     titles = {r.doc_id: r.title for r in QUERIES["fn_norm_title"](spark, SF).collect()}
     assert long and all(len(titles[i]) > 120 for i in long)
+
+
+def test_replay_holds_no_component_in_a_task(spark):
+    from vigilframe.operators.lifecycle import correlate_replay
+
+    n = 40
+    o = spark.createDataFrame([(i, f"p:{i * 7919 % 101}", i // 2, "volcano") for i in range(n)], "event_id long, observation_id string, t long, kind string").withColumn("ingested_at", F.timestamp_seconds("t"))
+    pairs = sorted({(i, j) for i in range(n) for j in range(i + 1, min(n, i + 4)) if i % 3})
+    got = correlate_replay(o, spark.createDataFrame(pairs, "a long, b long"))
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    rows = [(r.event_id, r.own) for r in o.orderBy("ingested_at", "observation_id").select("event_id", F.concat(F.lit("incident:volcano:"), F.substring(F.sha2("observation_id", 256), 1, 24)).alias("own")).collect()]
+    want = {}
+    for i, own in rows:
+        near = [want[x] for p in pairs if i in p for x in p if x in want]
+        want[i] = min(near, default=own)
+    assert {r.event_id: r.incident for r in got.collect()} == want

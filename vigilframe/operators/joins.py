@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import band_degrees, haversine_km
@@ -94,13 +94,17 @@ def nearest(points: DataFrame, stations: DataFrame, point_id: str, station_id: s
     return found.select(point_id, F.col(f"best.{station_id}"), F.col("best.km").alias("km")).where(F.col("km") <= most_km)
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): the smallest node reachable over links. Labels fall to the least neighbour's and jump along; each round is checkpointed."""
-    context = links.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Rounds are checkpointed to spark.checkpoint.dir, or to a folder of our own where it is unset."""
+    if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
-        context.setCheckpointDir(links.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigilframe-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigilframe-"))
+
+
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component): the smallest node reachable over links. Labels fall to the least neighbour's and jump along; each round is checkpointed."""
+    checkpoint_dir(links.sparkSession)
     both = links.select(F.col(a).alias("node"), F.col(b).alias("other")).union(links.select(b, a)).distinct().checkpoint()
     label = both.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("label")).checkpoint()
     while True:

@@ -2,39 +2,37 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import components
+from .joins import checkpoint_dir
 from .scoring import EFFECTIVE
 
 
 def correlate_replay(observed: DataFrame, pairs: DataFrame) -> DataFrame:
     """(event_id, incident): each row in order of arrival joins the matching incident with the smallest id, or founds one.
 
-    A row that bridges two incidents joins one; they aren't merged. A row can't leave its component of the pair graph,
-    so components replay apart; rows without a pair found an incident each and need no replay. A component's pairs are
-    an adjacency list for each row, so a task holds its component's rows and links, nothing squared beyond them.
+    A row that bridges two incidents joins one; they aren't merged. A row takes the least incident of the earlier rows
+    it is linked to, each of which took its own likewise. So its incident is the least of the founders, rows without an
+    earlier link, that links lead back to. Founders' names move on along the links, from earlier to later rows, until
+    none falls: a round for each link of the shortest way back at most. Rounds are checkpointed; no task holds a component.
     """
-    parts = components(pairs, "a", "b")
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("links"))
-    arrived = observed.select("event_id", "observation_id", "ingested_at", "kind")
-    name = lambda c: F.concat(F.lit("incident:"), "kind", F.lit(":"), F.substring(F.sha2(c, 256), 1, 24))
-    rows = arrived.join(parts, arrived.event_id == parts.node).join(both, arrived.event_id == both.a).select("event_id", "observation_id", "ingested_at", "component", "links", name("observation_id").alias("own"))
-
-    def replay(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ingested_at", "observation_id"])
-        where: dict[int, str] = {}
-        for row in part.itertuples():
-            near = [where[x] for x in row.links if x in where]
-            where[row.event_id] = min(near) if near else row.own
-        return pd.DataFrame({"event_id": list(where), "incident": list(where.values())})
-
-    joined = rows.groupBy("component").applyInPandas(replay, "event_id long, incident string")
-    alone = arrived.join(parts, arrived.event_id == parts.node, "left_anti").select("event_id", name("observation_id").alias("incident"))
-    return joined.unionByName(alone)
+    checkpoint_dir(observed.sparkSession)
+    name = F.concat(F.lit("incident:"), "kind", F.lit(":"), F.substring(F.sha2("observation_id", 256), 1, 24))
+    arrived = observed.select("event_id", F.struct("ingested_at", "observation_id", "event_id").alias("at"), name.alias("own")).checkpoint()
+    known = pairs.select("a", "b").where("a <> b").distinct()
+    for end in ("a", "b"):
+        known = known.join(arrived.select(F.col("event_id").alias(end), F.col("at").alias(f"{end}_at")), end)
+    first = F.col("a_at") < F.col("b_at")
+    links = known.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late")).distinct().checkpoint()
+    label = arrived.join(links.select(F.col("late").alias("event_id")).distinct(), "event_id", "left_anti").select("event_id", F.col("own").alias("incident"))
+    label = moved = label.checkpoint()
+    while not moved.isEmpty():
+        told = links.join(moved.select(F.col("event_id").alias("early"), "incident"), "early").groupBy(F.col("late").alias("event_id")).agg(F.min("incident").alias("told"))
+        both = label.join(told, "event_id", "full").select("event_id", F.least("incident", "told").alias("incident"), (F.col("told").isNotNull() & (F.col("incident").isNull() | (F.col("told") < F.col("incident")))).alias("fell")).checkpoint()
+        label, moved = both.drop("fell"), both.where("fell").drop("fell")
+    return label
 
 
 def revision_chain(observed: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -34,14 +34,14 @@ def simhash(text: str) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp), fp a signed long. Null texts count as empty."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", kind: str = "bigint") -> DataFrame:
+    """(key, fp), fp a signed long. Null texts count as empty."""
 
     def run(keys: list, texts: list[str]) -> dict:
         fps = np.array([simhash(t) for t in texts], "u8").view("i8")
-        return {"doc_id": keys, "fp": fps.tolist()}
+        return {key: keys, "fp": fps.tolist()}
 
-    return map_columns(docs.select("doc_id", text_or_empty()), run, "doc_id bigint, fp bigint")
+    return map_columns(docs.select(key, text_or_empty()), run, f"{key} {kind}, fp bigint")
 
 
 class BKTree:
@@ -129,6 +129,15 @@ def op6_simhash_neardup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; repeated rows of one doc_id stay as one."""
-    kept = simhash_components(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """Of each component the row with the smallest (doc_id, hash of the text), null ids last; rows equal in both stay as one.
+
+    Components are of fingerprints, so rows of different ones all stay, whatever their ids.
+    """
+    sha = F.coalesce(F.sha2("text", 256), F.lit(""))
+    keyed = docs.withColumn("row_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), sha))
+    prints = materialize(fingerprints(keyed, "row_key", "string"))
+    doc_id = F.split_part("row_key", F.lit(":"), F.lit(1)).try_cast("bigint")
+    firsts = prints.groupBy("fp").agg(F.min(F.struct(doc_id.isNull().alias("last"), doc_id.alias("doc_id"), "row_key")).alias("first"))
+    parts = connected_components(near_links(firsts.select("fp", F.col("fp").alias("id"))))
+    kept = firsts.join(parts, firsts.fp == parts.node, "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
+    return keyed.dropDuplicates(["row_key"]).join(kept.select("first.row_key"), "row_key", "left_semi").select(*docs.columns)

@@ -1,6 +1,7 @@
 """Winnowing fingerprints in DataFrame expressions alone.
 
-A text's units are its words, runs without white space, cut after UNIT code points. Rolling hashes of GRAM units; of
+A text's units don't depend on where in it they stand: each character of a script without spaces, words of up to UNIT
+code points, and longer runs parted after characters of a fixed class. Rolling hashes of GRAM units; of
 every WINDOW neighbouring hashes the least is chosen, the rightmost of equal ones. Two texts that share
 GRAM + WINDOW - 1 units in a row share a chosen hash. Positions are kept.
 """
@@ -14,6 +15,13 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 
 UNIT, GRAM, WINDOW = 16, 4, 4
+#: Words cut at every UNIT code points from their start.
+STRIDE = rf"\S{{1,{UNIT}}}"
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+_REST, _ENDS = rf"[\S&&[^{_ALONE}]]", r"\p{Punct}aeiouAEIOU048"
+_INNER = rf"[\S&&[^{_ALONE}{_ENDS}]]"
+#: A character of a script without spaces; a whole short run; of a longer run what ends with one of _ENDS, or its tail.
+PARTED = rf"[{_ALONE}]|(?<!{_REST}){_REST}{{1,{UNIT}}}+(?!{_REST})|{_INNER}*+[{_ENDS}]|{_INNER}++"
 #: Low bits of a chosen number: the gram's place, turned round so that the rightmost of equal hashes is the least.
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
@@ -26,13 +34,13 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def chosen(text: Column) -> Column:
-    """Numbers chosen from a text, in order of place: a hash in the high bits, its place in the low ones.
+def chosen(text: Column, unit: str = STRIDE) -> Column:
+    """Numbers chosen from a text, in order of place: a hash in the high bits, its place in the low ones. unit is a pattern of units.
 
     A text of fewer than GRAM units is one gram; one without units, but not empty, is one gram of itself; an empty one
     has none. Places beyond PLACE_BITS wrap round; hashes don't.
     """
-    units = F.regexp_extract_all(text, F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0))
+    units = F.regexp_extract_all(text, F.lit(unit), F.lit(0))
 
     def grams(h: Column) -> Column:
         last = F.greatest(F.size(h) - GRAM, F.lit(0))
@@ -98,23 +106,23 @@ def with_next(docs: DataFrame, more) -> DataFrame:
     return joined.select("doc_id", "text", "x", F.col("next.text").alias("next_text"), F.col("next.x").alias("next_x"))
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, unit: str = STRIDE) -> DataFrame:
     """(doc_id, text, edited, chosen, edited_chosen, next_chosen) of each row; hashes() and places() read the chosen numbers.
 
     edited is the text with its last floor(n/2) code points replaced by as many of the next row's first, or all of
     them. Null texts are empty, an empty text has no hashes; rows of one doc_id are ordered by text; null ids come
     last; a lone row's next is itself; an empty table gives an empty one; further columns don't matter.
     """
-    rows = with_next(docs.select("doc_id", text_or_empty()), chosen)
+    rows = with_next(docs.select("doc_id", text_or_empty()), lambda text: chosen(text, unit))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     both = rows.select("doc_id", "text", edited.alias("edited"), F.col("x").alias("chosen"), F.col("next_x").alias("next_chosen"))
-    once = let(F.col("edited"), lambda e: F.struct(e.alias("edited"), chosen(e).alias("edited_chosen")))
+    once = let(F.col("edited"), lambda e: F.struct(e.alias("edited"), chosen(e, unit).alias("edited_chosen")))
     return both.select("doc_id", "text", "chosen", "next_chosen", F.explode(F.array(once)).alias("e")).select("doc_id", "text", "e.edited", "chosen", "e.edited_chosen", "next_chosen")
 
 
 def op3_winnowing(spark, sf_dir: str) -> DataFrame:
-    found = fingerprint_documents(table(spark, sf_dir, "documents"))
+    found = fingerprint_documents(table(spark, sf_dir, "documents"), PARTED)
     shown = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
     near = lambda c: likeness(hashes(F.col("chosen")), hashes(F.col(c)))
     return found.select(

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import json
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import AREA_WORDS, STOP_WORDS
 
-#: Latin letters with marks, and the plain letters they fold to, up to U+017F; letters that fold to none go.
-_MARKED = "".join(chr(c) for c in range(0xC0, 0x180))
 
 
-def _fold() -> str:
+@cache
+def _fold() -> tuple[str, str, dict[str, str]]:
+    """By compatibility decomposition: characters that leave one ASCII character, these, and those that leave several."""
+    import sys
     import unicodedata
 
-    plain = [unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in _MARKED]
-    return [c for c, p in zip(_MARKED, plain, strict=True) if len(p) == 1], [p for p in plain if len(p) == 1], [c for c, p in zip(_MARKED, plain, strict=True) if not p]
+    left = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(0x80, sys.maxunicode + 1) if unicodedata.decomposition(chr(c))}
+    one = {c: p for c, p in left.items() if len(p) == 1}
+    return "".join(one), "".join(one.values()), {c: p for c, p in left.items() if len(p) > 1}
 
 
 def ascii_fold(c: Column) -> Column:
-    """Marked Latin letters without their marks; all other letters beyond ASCII go."""
-    marked, plain, _ = _fold()
-    return F.regexp_replace(F.translate(c, "".join(marked), "".join(plain)), r"[^\x00-\x7F]", "")
+    """Characters as what compatibility decomposition leaves of them in ASCII: letters without their marks; all others beyond ASCII go."""
+    marked, plain, several = _fold()
+    among = "[" + "".join(several) + "]"
+    spelt = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    wide = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(spelt[x], x)), "")
+    return F.regexp_replace(F.translate(F.when(c.rlike(among), wide).otherwise(c), marked, plain), r"[^\x00-\x7F]", "")
 
 
 def title_tokens(c: Column) -> Column:
@@ -47,11 +55,35 @@ def single_line(c: Column, fallback: str = "") -> Column:
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("")), F.lit(fallback))
 
 
+_ENTITY = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*;)"
+
+
+def unescaped(c: Column) -> Column:
+    """Entities as characters, in one pass: numbers, and all names with their semicolon; unknown ones stay."""
+    from html.entities import html5
+
+    simple = c
+    for coded, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        simple = F.replace(simple, F.lit(coded), F.lit(plain))
+    names = F.from_json(F.lit(json.dumps({f"&{k}": v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+
+    def decoded(e: Column) -> Column:
+        digits = F.regexp_extract(e, "^&#[xX]?([0-9a-fA-F]+);?$", 1)
+        number = F.when(e.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+        good = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        said = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(e.startswith("&#"), F.when(good, said).otherwise(F.lit("\ufffd"))).otherwise(F.coalesce(names[e], e))
+
+    found = F.regexp_extract_all(c, F.lit(f"({_ENTITY})"), F.lit(1))
+    between = F.split(c, _ENTITY, -1)
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.size(between) - 1), lambda i: F.concat(F.get(between, i), F.coalesce(decoded(F.get(found, i)), F.lit("")))), "")
+    other = c.rlike("&(?!(?:lt|gt|quot|amp|#39);)(?:#|[A-Za-z])")
+    return F.when(other, whole).otherwise(simple)
+
+
 def clean_markup(c: Column, most: int = 4000) -> Column:
     """Entities back to characters first, then tags to blanks, white space squeezed, cut."""
-    for coded, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(coded), F.lit(plain))
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " ")), 1, most)
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(unescaped(c), "<[^>]*>", " "), r"\s+", " ")), 1, most)
 
 
 def safe_url(c: Column) -> Column:
@@ -73,5 +105,5 @@ def csv_cell(c: Column, numeric: bool = False) -> Column:
     line = single_line(c.cast("string"))
     guarded = F.when(line.rlike("^[=+\\-@＝＋－＠]"), F.concat(F.lit("\t"), line)).otherwise(line)
     if numeric:
-        guarded = F.when(F.expr("true") & c.cast("double").isNotNull(), c.cast("string")).otherwise(guarded)
+        guarded = F.when(c.try_cast("double").isNotNull(), F.regexp_replace(c.cast("string"), r"\.0$", "")).otherwise(guarded)
     return F.concat(F.lit('"'), F.replace(guarded, F.lit('"'), F.lit('""')), F.lit('"'))

@@ -7,16 +7,18 @@ what doesn't parse or lacks its key leaves no row here and a row in diagnostics(
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_markup, safe_url
+from ..functions import geometry
+from ..functions.text import clean_markup, safe_url, unescaped
 from ..functions.times import epoch_ms, provider_utc, rfc3339, rss_time
 
 C = F.col
 #: Columns of every job's result; metrics are texts by key.
-OBSERVATION = ("provider_id", "record_id", "kind", "headline", "summary", "status", "severity", "urgency", "certainty", "event_at", "effective_at", "updated_at", "expires_at", "lon", "lat", "metrics", "source_url", "ingested_at")
+OBSERVATION = ("provider_id", "record_id", "kind", "headline", "summary", "status", "severity", "urgency", "certainty", "event_at", "effective_at", "updated_at", "expires_at", "geometry", "lon", "lat", "location_name", "metrics", "source_url", "ingested_at")
 _TYPES = {"event_at": "timestamp", "effective_at": "timestamp", "updated_at": "timestamp", "expires_at": "timestamp", "lon": "double", "lat": "double", "metrics": "map<string,string>"}
 _DEFAULTS = {"status": "active", "severity": "Unknown", "urgency": "Unknown", "certainty": "Unknown"}
 PROVIDERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -53,6 +55,23 @@ def _each(payloads: DataFrame, schema: str, path: str, alias: str = "r") -> Data
     return parsed.select("*", F.explode(f"doc.{path}").alias(alias))
 
 
+def centre(shape: Column, k: int) -> Column:
+    """Longitude (0) or latitude (1) of the middle of a GeoJSON geometry given as text; null if it isn't a valid one."""
+    kind, coordinates = F.get_json_object(shape, "$.type"), F.get_json_object(shape, "$.coordinates")
+    return F.when(geometry.valid(kind, coordinates), geometry.centroid(geometry.points(kind, coordinates), k))
+
+
+def placed(shape: Column) -> dict[str, Column]:
+    """A record's geometry, where it is a valid one, and its middle."""
+    kind, coordinates = F.get_json_object(shape, "$.type"), F.get_json_object(shape, "$.coordinates")
+    return {"geometry": F.when(geometry.valid(kind, coordinates), shape), "lon": centre(shape, 0), "lat": centre(shape, 1)}
+
+
+def first_filled(*columns: Column) -> Column:
+    """The first that is neither null nor empty: a field under one of its names."""
+    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in columns))
+
+
 def _number(c: Column) -> Column:
     return c.cast("string").try_cast("double")
 
@@ -73,45 +92,66 @@ def nws(p: DataFrame) -> DataFrame:
     q = C("r.properties")
     states = F.array_sort(F.array_distinct(F.transform(F.filter(q["geocode"]["UGC"], lambda u: u.rlike("^[A-Z]{2}[CZ][0-9]{3}$")), lambda u: F.substring(u, 1, 2))))
     known = lambda c, *v: F.when(c.isin(*v), c).otherwise("Unknown")
+    r = _each(p, f"features array<struct<id string, geometry string, properties struct<{fields}>>>", "features")
+    r = r.where(first_filled(q["event"]).isNotNull() & first_filled(q["headline"]).isNotNull())
+    told = F.nullif(clean_markup(q["instruction"], 1500), F.lit(""))
+    said = F.substring(F.trim(F.concat(F.coalesce(clean_markup(q["description"]), F.lit("")), F.coalesce(F.concat(F.lit("\n\nInstructions: "), told), F.lit("")))), 1, 4000)
     return observation(
-        _each(p, f"features array<struct<id string, properties struct<{fields}>>>", "features"), record_id=F.coalesce(q["id"], C("r.id")), kind="weather_alert", headline=F.coalesce(q["headline"], q["event"]), summary=clean_markup(q["description"]),
+        r, record_id=F.coalesce(q["id"], C("r.id")), kind="weather_alert", headline=F.substring(q["headline"], 1, 300), summary=said, **placed(C("r.geometry")), location_name=F.substring(q["areaDesc"], 1, 300), source_url=safe_url(C("r.id")),
         status=F.when(q["messageType"] == "Cancel", "cancelled").when(q["messageType"] == "Update", "updated").otherwise("active"), severity=known(q["severity"], "Extreme", "Severe", "Moderate", "Minor"), urgency=known(q["urgency"], "Immediate", "Expected", "Future", "Past"), certainty=known(q["certainty"], "Observed", "Likely", "Possible", "Unlikely"),
-        event_at=rfc3339(q["onset"]), effective_at=rfc3339(q["effective"]), updated_at=rfc3339(q["sent"]), expires_at=rfc3339(q["expires"]), metrics=metrics(state_codes=F.nullif(F.array_join(states, ","), F.lit("")), affected_area=q["areaDesc"]),
+        event_at=rfc3339(q["onset"]), effective_at=rfc3339(q["effective"]), updated_at=rfc3339(q["sent"]), expires_at=rfc3339(q["expires"]), metrics=metrics(event_name=q["event"], state_codes=F.nullif(F.array_join(states, ","), F.lit("")), affected_area=q["areaDesc"], instruction=F.when(F.length(told) <= 500, told), sender=F.nullif(q["senderName"], F.lit(""))),
     )
 
 
 @register_provider("noaa_aviation_weather")
 def sigmet(p: DataFrame) -> DataFrame:
-    r = _each(p, "features array<struct<properties struct<icaoId string, airSigmetType string, alphaChar string, hazard string, seriesId string, validTimeFrom string, validTimeTo string, rawAirSigmet string>>>", "features")
+    """Advisories: the key's parts, the window and a geometry are needed; the source's own severity stays a metric."""
+    numbers = {"source_severity": "severity", "altitude_high_1": "altitudeHi1", "altitude_high_2": "altitudeHi2", "altitude_low_1": "altitudeLow1", "altitude_low_2": "altitudeLow2", "movement_direction": "movementDir", "movement_speed": "movementSpd"}
+    fields = ", ".join(f"{v} double" for v in numbers.values())
+    r = _each(p, f"features array<struct<geometry string, properties struct<icaoId string, airSigmetType string, alphaChar string, hazard string, seriesId string, validTimeFrom string, validTimeTo string, rawAirSigmet string, {fields}>>>", "features")
     q = C("r.properties")
     since, until = provider_utc(q["validTimeFrom"]), provider_utc(q["validTimeTo"])
-    r = r.where(since.isNotNull() & until.isNotNull() & (until > since))
+    needed = [first_filled(q[n]).isNotNull() for n in ("airSigmetType", "hazard", "seriesId", "validTimeFrom", "validTimeTo")]
+    r = r.where(reduce(Column.__and__, needed) & C("r.geometry").isNotNull() & since.isNotNull() & until.isNotNull() & (until > since))
+    state = F.when(C("ingested_at") >= until, "expired").when(C("ingested_at") < since, "future").otherwise("current")
     return observation(
-        r, record_id=F.concat_ws(":", q["icaoId"], q["airSigmetType"], F.coalesce(q["seriesId"], q["alphaChar"]), q["validTimeFrom"]), kind="aviation_hazard", headline=F.concat_ws(" ", q["airSigmetType"], q["hazard"]), summary=q["rawAirSigmet"],
-        status=F.when(until <= C("ingested_at"), "ended").otherwise("active"), effective_at=since, expires_at=until, metrics=metrics(hazard_type=q["hazard"], window=F.when(C("ingested_at") >= until, "expired").when(C("ingested_at") < since, "future").otherwise("current")),
+        r, record_id=F.concat_ws(":", F.nullif(q["icaoId"], F.lit("")), q["airSigmetType"], q["seriesId"], q["validTimeFrom"]), kind="aviation_hazard", headline=F.concat_ws(" ", F.trim(q["hazard"]), F.trim(q["airSigmetType"]), F.trim(q["seriesId"])), summary=clean_markup(q["rawAirSigmet"]),
+        status=F.when(state == "expired", "ended").otherwise("active"), effective_at=since, expires_at=until, **placed(C("r.geometry")), location_name=q["icaoId"], source_url="https://aviationweather.gov/sigmet",
+        metrics=metrics(hazard_type=F.trim(q["hazard"]), advisory_type=q["airSigmetType"], series_id=q["seriesId"], validity_state=state, icao_id=F.nullif(q["icaoId"], F.lit("")), alpha_character=F.nullif(q["alphaChar"], F.lit("")), **{k: q[v] for k, v in numbers.items()}),
     )
 
 
 @register_provider("openfema_declarations")
 def fema(p: DataFrame) -> DataFrame:
-    r = _each(p, "DisasterDeclarationsSummaries array<struct<id string, disasterNumber string, state string, declarationType string, declarationDate string, incidentType string, declarationTitle string, incidentBeginDate string, incidentEndDate string, disasterCloseoutDate string, designatedArea string, lastRefresh string>>", "DisasterDeclarationsSummaries")
+    """Declarations. Some fields go by either of two names; the first that is filled holds. Without a closing date the status is unknown."""
+    texts = "id disasterNumber state declarationType disasterType declarationDate incidentType declarationTitle title incidentBeginDate incidentEndDate disasterCloseoutDate designatedArea declaredCountyArea lastRefresh lastIAFilingDate placeCode fipsStateCode fipsCountyCode fyDeclared".split()
+    flags = {"ih_program_declared": "ihProgramDeclared", "ia_program_declared": "iaProgramDeclared", "pa_program_declared": "paProgramDeclared", "hm_program_declared": "hmProgramDeclared", "tribal_request": "tribalRequest"}
+    each = p.select("*", F.explode(F.from_json("body", "DisasterDeclarationsSummaries array<string>")["DisasterDeclarationsSummaries"]).alias("record"))
+    r = each.withColumn("r", F.from_json("record", f"{', '.join(f'{n} string' for n in texts)}, {', '.join(f'{n} boolean' for n in flags.values())}"))
     q = C("r")
-    needed = ("id", "disasterNumber", "state", "declarationType", "declarationDate", "incidentType", "declarationTitle")
-    whole = F.lit(True)
-    for n in needed:
-        whole = whole & F.coalesce(F.trim(q[n]) != "", F.lit(False))
-    r = r.where(whole & q["state"].rlike("^[A-Z]{2}$") & q["disasterNumber"].rlike("^[0-9]+$"))
+    kind, title, area, closed = first_filled(q["declarationType"], q["disasterType"]), first_filled(q["declarationTitle"], q["title"]), first_filled(q["designatedArea"], q["declaredCountyArea"]), first_filled(q["disasterCloseoutDate"], F.get_json_object("record", "$.disasterCloseOutDate"))
+    declared = provider_utc(q["declarationDate"])
+    needed = [c.isNotNull() for c in (first_filled(q["id"]), kind, title, first_filled(q["incidentType"]), declared)]
+    r = r.where(reduce(Column.__and__, needed) & q["state"].rlike("^[A-Za-z]{2}$") & q["disasterNumber"].rlike("^[0-9]+$"))
+    state = F.upper(q["state"])
+    where = F.concat_ws(", ", area, state)
+    iso = lambda c: F.date_format(provider_utc(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return observation(
-        r, record_id=q["id"], kind="disaster_declaration", headline=q["declarationTitle"], summary=q["incidentType"], status=F.when(q["disasterCloseoutDate"].isNotNull(), "ended").otherwise("active"), event_at=rfc3339(q["declarationDate"]), updated_at=rfc3339(q["lastRefresh"]),
-        metrics=metrics(state_code=q["state"], incident_type=q["incidentType"], declared_area=q["designatedArea"], incident_begin=q["incidentBeginDate"], incident_end=q["incidentEndDate"], disaster_number=q["disasterNumber"]),
+        r, record_id=q["id"], kind="disaster_declaration", headline=F.substring(title, 1, 300), summary=F.format_string("FEMA %s declaration %s for %s. Incident type: %s.", kind, q["disasterNumber"], where, q["incidentType"]),
+        status=F.when(provider_utc(closed).isNotNull(), "ended").otherwise("unknown"), effective_at=declared, updated_at=provider_utc(q["lastRefresh"]), location_name=where, source_url=F.concat(F.lit("https://www.fema.gov/disaster/"), q["disasterNumber"]),
+        metrics=metrics(
+            disaster_number=q["disasterNumber"], declaration_type=kind, incident_type=q["incidentType"], state_code=state, declared_area=area, declaration_date=iso(q["declarationDate"]), incident_begin=iso(q["incidentBeginDate"]), incident_end=iso(q["incidentEndDate"]), last_refresh=iso(q["lastRefresh"]),
+            last_ia_filing_date=iso(q["lastIAFilingDate"]), place_code=q["placeCode"], fips_state_code=q["fipsStateCode"], fips_county_code=q["fipsCountyCode"], fiscal_year=q["fyDeclared"], **{k: q[v] for k, v in flags.items()},
+        ),
     )
 
 
 def items(p: DataFrame, schema: str, tag: str = "item") -> DataFrame:
     """Rows of an XML feed's items or entries, whatever stands around them."""
-    parts = F.regexp_extract_all("body", F.lit(f"(?s)<{tag}[ >].*?</{tag}>"), F.lit(0))
+    # What stands in CDATA or a comment is text, so an item's end inside it doesn't end the item.
+    parts = F.regexp_extract_all("body", F.lit(f"(?s)<{tag}[ >](?:<!\\[CDATA\\[.*?\\]\\]>|<!--.*?-->|.)*?</{tag}>"), F.lit(0))
     rows = p.select("*", F.posexplode(parts).alias("place", "xml"))
-    bare = F.regexp_replace(F.regexp_replace("xml", r"<(/?)(?:dc|georss|media|content):", "<$1"), r'\sxmlns(:\w+)?="[^"]*"', "")
+    bare = F.regexp_replace(F.regexp_replace("xml", r"<(/?)[A-Za-z][\w.-]*:", "<$1"), r'\sxmlns(:\w+)?="[^"]*"', "")
     return rows.withColumn("r", F.from_xml(bare, schema, {"rowTag": tag, "mode": "PERMISSIVE", "attributePrefix": "_", "valueTag": "_VALUE"}))
 
 
@@ -120,15 +160,51 @@ def _point(c: Column, k: int) -> Column:
     return F.get(F.split(F.trim(c), r"[\s,]+"), k).try_cast("double")
 
 
+#: A buoy report's labels, the metrics they become, the pattern of the number and its unit.
+_READINGS = {
+    "Wind Speed": ("wind_speed", r"(-?\d+(?:\.\d+)?)\s*knots?", "kn"),
+    "Wind Gust": ("wind_gust", r"(-?\d+(?:\.\d+)?)\s*knots?", "kn"),
+    "Significant Wave Height": ("significant_wave_height", r"(-?\d+(?:\.\d+)?)\s*ft", "ft"),
+    "Dominant Wave Period": ("dominant_wave_period", r"(-?\d+(?:\.\d+)?)\s*sec", "s"),
+    "Average Period": ("average_wave_period", r"(-?\d+(?:\.\d+)?)\s*sec", "s"),
+    "Visibility": ("visibility", r"(-?\d+(?:\.\d+)?)\s*(?:nmi|nautical miles?)", "nmi"),
+    "Tide": ("tide", r"(-?\d+(?:\.\d+)?)\s*ft", "ft"),
+    "Air Temperature": ("air_temperature", r"\((-?\d+(?:\.\d+)?)\s*°C\)", "°C"),
+    "Water Temperature": ("water_temperature", r"\((-?\d+(?:\.\d+)?)\s*°C\)", "°C"),
+    "Dew Point": ("dew_point", r"\((-?\d+(?:\.\d+)?)\s*°C\)", "°C"),
+    "Atmospheric Pressure": ("atmospheric_pressure", r"\((-?\d+(?:\.\d+)?)\s*mb\)", "hPa"),
+    "Pressure Tendency": ("pressure_tendency", r"\((-?\d+(?:\.\d+)?)\s*mb\)", "hPa"),
+    "Wind Direction": ("wind_direction", r"\((-?\d+(?:\.\d+)?)°\)", "degrees"),
+    "Mean Wave Direction": ("mean_wave_direction", r"\((-?\d+(?:\.\d+)?)°\)", "degrees"),
+}
+_POINTED = ("Wind Direction", "Mean Wave Direction")
+
+
 @register_provider("ndbc_observations")
 def ndbc(p: DataFrame) -> DataFrame:
+    """Buoy reports: known labels become numbers with their units ("12.0 kn"), directions their compass points too; other labels stay as text."""
     r = items(p, "title string, description string, link string, guid string, point string")
-    key = F.regexp_extract("r.guid", r"NDBC-(\w+)-\d{12}", 1)
-    at = F.try_to_timestamp(F.regexp_extract("r.guid", r"-(\d{12})", 1), F.lit("yyyyMMddHHmm"))
-    text = C("r.description")
-    names, values = (F.regexp_extract_all(text, F.lit(r"<(?:strong|b)>\s*([^<:]+):\s*</(?:strong|b)>\s*([^<]+)"), F.lit(k)) for k in (1, 2))
-    found = F.map_from_entries(F.transform(F.arrays_zip(names.alias("n"), values.alias("v")), lambda x: F.struct(F.concat(F.lit("source_"), F.regexp_replace(F.lower(F.trim(x["n"])), "[^a-z0-9]+", "_")), F.trim(x["v"]))))
-    return observation(r.where(key != ""), record_id=F.regexp_extract("r.guid", r"(NDBC-\w+-\d{12})", 1), kind="marine_observation", headline=C("r.title"), summary=clean_markup(text), event_at=at, lat=_point(C("r.point"), 0), lon=_point(C("r.point"), 1), metrics=found, source_url=safe_url(C("r.link")))
+    station = F.upper(F.regexp_extract("r.guid", r"^NDBC-([A-Za-z0-9]+)-\d{14}$", 1))
+    at = F.try_to_timestamp(F.regexp_extract("r.guid", r"-(\d{14})$", 1), F.lit("yyyyMMddHHmmss"))
+    said = unescaped(C("r.description"))
+    pair = r"(?is)<(?:b|strong)>\s*([^<:]+):\s*</(?:b|strong)>\s*(.*?)(?=<br\s*/?>|$)"
+    names, values = (F.regexp_extract_all(said, F.lit(pair), F.lit(k)) for k in (1, 2))
+    fields = F.map_from_arrays(F.transform(names, lambda x: clean_markup(x, 100)), F.transform(values, lambda x: clean_markup(x, 500)))
+    r = r.withColumn("fields", fields)
+    of = lambda label: F.coalesce(C("fields")[label], F.lit(""))
+    known = {}
+    for label, (key, pattern, unit) in _READINGS.items():
+        number = F.regexp_extract(of(label), "(?i)" + pattern, 1)
+        known[key] = F.when(number != "", F.concat_ws(" ", number.cast("double").cast("string"), F.lit(unit)))
+        if label in _POINTED:
+            known[f"{key}_cardinal"] = F.nullif(F.regexp_extract(of(label), "^([A-Z]+)", 1), F.lit(""))
+    other = F.map_filter("fields", lambda k, v: ~k.isin(*_READINGS, "Location") & (v != ""))
+    slug = lambda k: F.concat(F.lit("source_"), F.substring(F.regexp_replace(F.regexp_replace(F.lower(k), "[^a-z0-9]+", "_"), "^_|_$", ""), 1, 48))
+    stable = F.regexp_replace(said, r"(?is)<(?:b|strong)>\s*Location:\s*</(?:b|strong)>.*?(?=<br\s*/?>|$)", "")
+    lat, lon = _point(C("r.point"), 0), _point(C("r.point"), 1)
+    whole = (station != "") & first_filled(C("r.title")).isNotNull() & at.isNotNull() & lat.isNotNull() & lon.isNotNull()
+    told = F.map_concat(metrics(station_id=station, source_record_id=C("r.guid"), **known), F.transform_keys(other, lambda k, _: slug(k)))
+    return observation(r.where(whole), record_id=station, kind="marine_observation", headline=F.substring("r.title", 1, 300), summary=clean_markup(stable), event_at=at, updated_at=at, lat=lat, lon=lon, location_name=C("r.title"), metrics=told, source_url=safe_url(C("r.link")))
 
 
 @register_provider("noaa_coops_water_levels")
@@ -228,23 +304,50 @@ def relief(p: DataFrame) -> DataFrame:
     return observation(r, record_id=F.coalesce("r.guid", "r.link", "r.title"), kind="humanitarian_report", headline=C("r.title"), summary=clean_markup(C("r.description")), updated_at=rss_time(C("r.pubDate")), metrics=metrics(publisher=C("r.creator")), source_url=safe_url(C("r.link")))
 
 
-def normalize(payloads: DataFrame) -> DataFrame:
-    """Every known provider's payloads through its own job; a provider is a filter, so a scan partitioned by provider prunes."""
+def normalize(payloads: DataFrame, strict: bool = False) -> DataFrame:
+    """Every provider's payloads through its own job; a provider is a filter, so a scan partitioned by provider prunes.
+
+    A payload of an unknown provider leaves a row in diagnostics() only; strict, it is an error when the result is read.
+    """
     out = None
     for name, job in PROVIDERS.items():
         rows = job(payloads.where(C("provider_id") == name))
         out = rows if out is None else out.unionByName(rows)
+    if strict:
+        unknown = F.raise_error(F.concat(F.lit("no job for provider "), F.coalesce("provider_id", F.lit("null"))))
+        wrong = payloads.where(~F.coalesce(C("provider_id").isin(*PROVIDERS), F.lit(False)))
+        out = out.unionByName(observation(wrong, record_id=unknown.cast("string")))
     return out
 
 
-def diagnostics(payloads: DataFrame, known: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(provider_id, problem, field): unknown providers, bodies that aren't JSON objects, fields missing or unknown. Names only, never values."""
+#: What diagnostics() checks of the records of a body: where they stand, fields that a record must have, fields it may have.
+RECORDS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
+    "nhc_storms": ("activeStorms", ("id", "name"), ("id", "name", "classification", "intensity", "pressure", "latitude_numeric", "longitude_numeric", "movementDir", "movementSpeed", "lastUpdate", "publicAdvisory")),
+    "nws_alerts": ("features", ("properties",), ("id", "type", "geometry", "properties", "@context")),
+    "usgs_earthquakes": ("features", ("id", "properties", "geometry"), ("id", "type", "geometry", "properties")),
+}
+
+
+def diagnostics(payloads: DataFrame, known: dict[str, tuple[str, ...]], records: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] | None = None) -> DataFrame:
+    """(provider_id, problem, field) of payloads. Names only, never values.
+
+    Bodies: unknown provider, malformed (no JSON), wrong root (no object, or nothing at all), missing and unknown fields. Records of the
+    providers in `records`: invalid record (no object), and their missing and unknown fields.
+    """
     names = F.array(*(F.struct(F.lit(p).alias("p"), F.array(*map(F.lit, f)).alias("f")) for p, f in known.items()))
     expected = F.get(F.filter(names, lambda x: x["p"] == C("provider_id")), 0)["f"]
     keys = F.json_object_keys("body")
-    d = payloads.select("provider_id", expected.alias("expected"), keys.alias("keys"))
+    parsed = F.expr("try_parse_json(body)").isNotNull()
+    d = payloads.select("provider_id", "body", expected.alias("expected"), keys.alias("keys"), parsed.alias("parsed"))
     say = lambda problem, fields: F.transform(fields, lambda f: F.struct(F.lit(problem).alias("problem"), f.alias("field")))
     one = lambda problem: F.array(F.struct(F.lit(problem).alias("problem"), F.lit("").alias("field")))
     both = F.concat(say("missing", F.array_except("expected", "keys")), say("unknown", F.array_except("keys", "expected")))
-    found = F.when(C("expected").isNull(), one("unknown provider")).when(C("keys").isNull(), one("wrong root")).otherwise(both)
-    return d.select("provider_id", F.explode(found).alias("x")).select("provider_id", "x.problem", "x.field")
+    found = F.when(C("expected").isNull(), one("unknown provider")).when(C("body").isNotNull() & ~C("parsed"), one("malformed")).when(C("keys").isNull(), one("wrong root")).otherwise(both)
+    out = d.select("provider_id", F.explode(found).alias("x")).select("provider_id", "x.problem", "x.field")
+    for provider, (root, needed, allowed) in (records or {}).items():
+        each = d.where(C("provider_id") == provider).select("provider_id", F.explode(F.from_json(F.get_json_object("body", f"$.{root}"), "array<string>")).alias("record"))
+        mine = F.json_object_keys("record")
+        need, may = F.array(*map(F.lit, needed)), F.array(*map(F.lit, allowed))
+        wrong = F.when(mine.isNull(), one("invalid record")).otherwise(F.concat(say("missing", F.array_except(need, mine)), say("unknown", F.array_except(mine, may))))
+        out = out.unionByName(each.select("provider_id", F.explode(wrong).alias("x")).select("provider_id", "x.problem", F.concat_ws(".", F.lit(root), F.nullif("x.field", F.lit(""))).alias("field")))
+    return out

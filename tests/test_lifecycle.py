@@ -1,6 +1,7 @@
 """Replay, components, joins and geometry beyond what SQL covers."""
 
 import json
+import math
 import random
 
 import pytest
@@ -44,12 +45,81 @@ def test_likeness_join_loses_nothing(spark):
     assert got == {(i, j) for i, a in sets for j, b in sets if len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.5}
 
 
-def test_nearest_by_rings_equals_the_scan(spark):
-    r = random.Random(3)
-    place = lambda n: [(i, r.uniform(-180, 180), r.uniform(-89, 89)) for i in range(n)]
-    p, s = spark.createDataFrame(place(40), "p long, lon double, lat double"), spark.createDataFrame(place(30), "s long, lon double, lat double")
-    spark.sparkContext.setCheckpointDir(spark.sparkContext.getCheckpointDir() or "/tmp/vigilframe-tests")
-    assert sorted(map(tuple, nearest(p, s, "p", "s", broadcast_rows=5).collect())) == sorted(map(tuple, nearest(p, s, "p", "s").collect()))
+def km(a, b):
+    (x1, y1), (x2, y2) = (map(math.radians, p) for p in (a, b))
+    h = math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2
+    return 2 * 6371.0088 * math.asin(min(1, math.sqrt(h)))
+
+
+@pytest.mark.parametrize("n", [1, 30, 400])
+def test_nearest_by_rings_equals_the_scan(spark, n):
+    r = random.Random(n)
+    place = lambda n: [(i, r.uniform(-180, 180), r.choice([r.uniform(-90, 90), 90.0, -90.0, r.uniform(84, 90)])) for i in range(n)]
+    points, stations = place(60) + [(99, None, 1.0)], place(n) + [(1000, 5.0, None)]
+    p, s = spark.createDataFrame(points, "p long, lon double, lat double"), spark.createDataFrame(stations, "s long, lon double, lat double")
+    got = {x.p: (x.s, round(x.km, 3)) for x in nearest(p, s, "p", "s").collect()}
+    want = {i: min((round(km((x, y), (u, v)), 6), j) for j, u, v in stations[:-1]) for i, x, y in points[:-1]}
+    assert set(got) == set(want) and all(abs(got[i][1] - want[i][0]) < 0.01 for i in want)
+    assert sum(got[i][0] == want[i][1] for i in want) >= len(want) - 2
+
+
+def test_thinning_is_greedy(spark):
+    from vigilframe.plans.joins import thinned
+
+    r = random.Random(4)
+    rows = [(f"g{r.randrange(3)}", i, float(r.randrange(20)), r.uniform(0, 3), r.uniform(0, 3)) for i in range(150)]
+    got = {(x.per, x.id) for x in thinned(spark.createDataFrame(rows, "per string, id long, rank double, lon double, lat double"), "per", 50.0, 6).collect()}
+    want = set()
+    for g in {x[0] for x in rows}:
+        kept = []
+        for row in sorted((x for x in rows if x[0] == g), key=lambda x: (x[2], x[1])):
+            if len(kept) < 6 and all(km(row[3:], k[3:]) > 50 for k in kept):
+                kept.append(row)
+        want |= {(g, k[1]) for k in kept}
+    assert got == want
+
+
+def test_dense_cursors_and_merges(spark, tmp_path):
+    from vigilframe.operators.sinks import dense_cursor, upsert_actions, upsert_table
+
+    r = random.Random(5)
+    rows = [(i, r.randrange(40) * 1200) for i in range(200)]
+    log = spark.createDataFrame(rows, "i long, t long").withColumn("at", F.timestamp_seconds("t"))
+    got = {x.i: x.cursor for x in dense_cursor(log, "at", ["i"], 1000).collect()}
+    assert got == {i: 1001 + k for k, (i, _) in enumerate(sorted(rows, key=lambda x: (x[1], x[0])))}
+    make = lambda *x: spark.createDataFrame(list(x), "k string, n int, h string")
+    path = f"{tmp_path}/t"
+    upsert_table(spark, path, make(("a", 1, "x"), ("b", 1, "y"), ("a", 2, "z")), "k", ["n"], "h")
+    second = upsert_table(spark, path, make(("a", 3, "z"), ("c", 1, "w")), "k", ["n"], "h")
+    assert sorted((x.k, x.n, x.h, x.changed) for x in second.collect()) == [("a", 3, "z", False), ("b", 1, "y", False), ("c", 1, "w", True)]
+    old, new = make(("a", 1, "x"), ("b", 2, "x"), ("c", 2, "x")), make(("a", 1, "y"), ("b", 3, "x"), ("c", 2, "x"), ("d", 1, "x"))
+    assert sorted((x.k, x.action) for x in upsert_actions(old, new, "k", "n", "h").collect()) == [("a", "rejected"), ("b", "updated"), ("d", "inserted")]
+
+
+def test_a_named_stream_goes_on(spark, tmp_path):
+    from vigilframe.streaming.streams import run_available
+
+    schema = "i long"
+    live = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    name = f"test-{random.Random().random()}"
+    for part in ([1, 2], [3]):
+        spark.createDataFrame([(x,) for x in part], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        out = run_available(live(), name=name)
+    assert sorted(x.i for x in out.collect()) == [1, 2, 3]
+
+
+def test_entities_and_folding(spark):
+    import html
+    import unicodedata
+
+    from vigilframe.functions.text import ascii_fold, unescaped
+
+    texts = ["a &amp;lt; b", "&#233;&#xE9; &eacute; &nosuch; &copy &quot;", "&#0; &#x110000; x", "plain & simple", "&lt;p&gt;&nbsp;&hellip;", "ﬁ ½ é ß ① Å ㎏ 𝔘 é 日本"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unescaped(F.col("t")).alias("u"), ascii_fold(F.col("t")).alias("f")).collect()
+    for x in rows:
+        if "&copy " not in x.t:
+            assert x.u == html.unescape(x.t), x.t
+        assert x.f == unicodedata.normalize("NFKD", x.t).encode("ascii", "ignore").decode()
 
 
 @pytest.mark.parametrize("lon, lat, want", [(5, 5, False), (0.5, 0.5, True), (0, 5, True), (2, 5, True), (11, 5, False)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import band_degrees, haversine_km
@@ -62,44 +62,53 @@ def likeness_join(left: DataFrame, right: DataFrame, a_id: str, a_tokens: str, b
     return both.withColumn("likeness", same / (F.size("a_set") + F.size("b_set") - same)).where(F.col("likeness") >= least).select(a_id, b_id, "likeness")
 
 
-def nearest(points: DataFrame, stations: DataFrame, point_id: str, station_id: str, most_km: float = math.inf, broadcast_rows: int = 100_000) -> DataFrame:
-    """(point_id, station_id, km) of each point's nearest station, ties by id. points and stations hold lon and lat.
+def nearest(points: DataFrame, stations: DataFrame, point_id: str, station_id: str, most_km: float = math.inf) -> DataFrame:
+    """(point_id, station_id, km) of each point's nearest station, ties by id. points and stations hold lon and lat; rows without them are left out.
 
-    Stations up to broadcast_rows, counted first, go to every task and each point scans them; beyond, points meet the
-    stations of the one-degree cells around them, ring after ring, until a ring wider than the distance found has been
-    seen.
+    Points meet the stations of the cells around them, ring after ring, until a ring wider than the distance found has
+    been seen. Cells are as large as one or two stations need on average, so a first ring has about ten stations however
+    many there are.
     """
     s = stations.select(station_id, F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat")).where("s_lon is not null and s_lat is not null")
+    checkpoint_dir(points.sparkSession)
+    s = s.checkpoint()
+    # Cells of size degrees, a whole number of them around the globe.
+    around = int(max(12, min(3600, math.sqrt(2 * s.count()))))
+    size, up = 360.0 / around, math.ceil(180 / (360.0 / around))
+    row, column = (lambda c: F.floor((c + 90) / size).cast("int")), (lambda c: F.pmod(F.floor((c + 180) / size), F.lit(around)).cast("int"))
     km = haversine_km(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat"))
     best = F.min(F.struct(F.round(km, 6).alias("km"), F.col(station_id)))
-    if stations.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        found = points.select(point_id, "lon", "lat").join(F.broadcast(s)).groupBy(point_id).agg(best.alias("best"))
-    else:
-        found, left, ring = None, points.select(point_id, "lon", "lat"), 1
-        cells = s.withColumn("y", F.floor("s_lat")).withColumn("x", F.pmod(F.floor("s_lon") + 180, F.lit(360)) - 180)
-        while True:
-            # Within `ring` degrees lie `ring` degrees of latitude each way, and of longitude more towards the poles.
-            edge = F.abs("lat") + ring
-            wide = F.when(edge >= 80, F.lit(180)).otherwise(F.least(F.ceil(ring / F.cos(F.radians(edge))), F.lit(180))).cast("int")
-            y = F.explode(F.sequence(F.greatest(F.floor("lat") - ring, F.lit(-90)), F.least(F.floor("lat") + ring, F.lit(90))))
-            x = F.explode(F.array_distinct(F.transform(F.sequence(-wide, wide), lambda d: (F.pmod(F.floor(F.col("lon")) + d + 180, F.lit(360)) - 180).cast("long"))))
-            asked = left.withColumn("y", y).withColumn("x", x)
-            got = asked.join(cells, ["x", "y"]).groupBy(point_id).agg(best.alias("best"))
-            sure = got.where(F.col("best.km") <= 111.19 * ring).checkpoint()
-            found = sure if found is None else found.union(sure)
-            left = left.join(sure, point_id, "left_anti").checkpoint()
-            if ring > 180 or left.isEmpty():
-                break
-            ring *= 4
+    cells = s.withColumn("y", row(F.col("s_lat"))).withColumn("x", column(F.col("s_lon")))
+    found, left, ring = None, points.select(point_id, "lon", "lat").where("lon is not null and lat is not null"), 1
+    while True:
+        # Within the ring's width lie so many rows each way, and of longitude more cells towards the poles.
+        reach = ring * size
+        edge = F.abs("lat") + reach
+        wide = F.when(edge >= 85, F.lit(around)).otherwise(F.ceil(ring / F.cos(F.radians(edge)))).cast("int")
+        wide = F.least(wide, F.lit(around // 2 + 1))
+        y = F.explode(F.sequence(F.greatest(row(F.col("lat")) - ring, F.lit(0)), F.least(row(F.col("lat")) + ring, F.lit(up))))
+        x = F.explode(F.array_distinct(F.transform(F.sequence(-wide, wide), lambda d: F.pmod(column(F.col("lon")) + d, F.lit(around)))))
+        got = left.withColumn("y", y).withColumn("x", x).join(cells, ["x", "y"]).groupBy(point_id).agg(best.alias("best"))
+        whole = reach >= 180
+        sure = (got if whole else got.where(F.col("best.km") <= 111.19 * reach)).checkpoint()
+        found = sure if found is None else found.union(sure)
+        left = left.join(sure, point_id, "left_anti").checkpoint()
+        if whole or left.isEmpty():
+            break
+        ring *= 3
     return found.select(point_id, F.col(f"best.{station_id}"), F.col("best.km").alias("km")).where(F.col("km") <= most_km)
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Rounds are checkpointed to spark.checkpoint.dir, or to a folder of our own where it is unset."""
+    """Rounds are checkpointed to spark.checkpoint.dir. Where it is unset, to a folder of our own, in local mode only."""
     if spark.sparkContext.getCheckpointDir() is None:
+        import re
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigilframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vigilframe-"))
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -115,7 +124,3 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         label = new.select("node", "label")
         if new.where("moved").isEmpty():
             return label.withColumnRenamed("label", "component")
-
-
-def pair(a: Column, b: Column) -> Column:
-    return F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lookup, text
-from ..functions.geo import location_label
 from ..functions.times import quiet, utc_label
-from ..operators.lifecycle import correlate_replay, revision_chain, upsert_latest
+from ..model import SEVERITIES
+from ..operators.lifecycle import correlate_replay
 from ..operators.scoring import build_incidents, incident_scores, incident_status
 from ..views import NOW, articles, latest_observations, members, observations, table
-from .filters import CHG, INC, changes, incidents, revisions, scored
-from .joins import _MATCH_SQL, _PAIRS, _ZONE_SQL, correlated_pairs, watch_matches, watch_regions, zone_hits
+from .filters import CHG, INC, changes, incidents, scored
+from .joins import _REGION_SQL, _SEV, _ZONE_SQL, correlated_pairs, watch_matches, watch_regions, zone_hits
 from .registry import query
+from .scalars import sql_km
 
 C = F.col
 _NOW = f"TIMESTAMP '{NOW}'"
@@ -63,7 +67,6 @@ def source_lost(m, provider: str, now: str):
 
 
 query("agg_lost_sources", _LOST)(lambda spark, sf_dir: source_lost(members(observations(spark, sf_dir)), "prov_1", NOW))
-query("cor_source_lost", _LOST)(lambda spark, sf_dir: source_lost(members(observations(spark, sf_dir)), "prov_1", NOW))
 
 
 @query("agg_cluster", "SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(degrees(atan2(sum(sin(radians(slon))), sum(cos(radians(slon))))), 4) AS lon, round(avg(slat), 6) AS lat, count(*) AS n, max(k) AS most, arg_min(event_id, {'a': -k, 'b': event_id}) AS first FROM (SELECT *, floor((slon + 180 + 9.140625 - 360 * floor((slon + 180 + 9.140625) / 360)) / 18.28125) AS x, floor((slat + 90) / 8.6328125) AS y FROM o) GROUP BY x, y")
@@ -133,28 +136,60 @@ def agg_distinct_providers(spark, sf_dir):
     return members(observations(spark, sf_dir)).groupBy("incident_id").agg(F.countDistinct("provider_id").alias("n"))
 
 
-@query("agg_metric_rows", "SELECT * FROM (SELECT event_id, 'hazard_type' AS key, hazard_type AS value, provider_id FROM l UNION ALL SELECT event_id, 'storm_name', storm_name, provider_id FROM l) ORDER BY key, provider_id, event_id LIMIT 200")
+_METRICS = {"hazard_type": ("hazard_type", "", "provider_id"), "storm_name": ("storm_name", "", "'Source not reported'"), "magnitude": ("k", "M", "provider_id"), "expected_loss": ("k * 1000", "USD", "'model'")}
+
+
+@query("agg_metric_rows", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT event_id, '{n}' AS key, CAST({v} AS VARCHAR) AS value, '{u}' AS unit, {p} AS provenance, provider_id FROM l" for n, (v, u, p) in _METRICS.items()) + ") ORDER BY key, provider_id, event_id LIMIT 200")
 def agg_metric_rows(spark, sf_dir):
-    metrics = F.create_map(F.lit("hazard_type"), C("hazard_type"), F.lit("storm_name"), C("storm_name"))
+    """Metrics with value, unit and provenance, one a row, by key and provider; the first 200."""
+    metric = lambda v, u, p: F.struct(F.expr(v).cast("string").alias("value"), F.lit(u).alias("unit"), F.expr(p).alias("provenance"))
+    metrics = F.create_map(*(x for n, m in _METRICS.items() for x in (F.lit(n), metric(*m))))
     rows = latest_observations(observations(spark, sf_dir)).select("event_id", "provider_id", F.explode(metrics))
-    return rows.orderBy("key", "provider_id", "event_id").limit(200).select("event_id", "key", "value", "provider_id")
+    return rows.orderBy("key", "provider_id", "event_id").limit(200).select("event_id", "key", "value.value", "value.unit", "value.provenance", "provider_id")
 
 
-@query("agg_briefing", "SELECT 'quake' AS part, event_id AS id FROM (SELECT event_id FROM o WHERE kind = 'earthquake' AND k >= 50 ORDER BY event_at DESC, event_id LIMIT 10) UNION ALL SELECT 'alert', event_id FROM (SELECT event_id FROM o WHERE kind = 'weather_alert' ORDER BY event_at DESC, event_id LIMIT 8) UNION ALL SELECT 'news', doc_id FROM (SELECT doc_id FROM art ORDER BY ts DESC, doc_id LIMIT 12)")
+#: Part of the digest: rows of it shown, and where they come from.
+_STREAMS = {"quake": (10, "kind = 'earthquake' AND k >= 50"), "alert": (8, "kind = 'weather_alert'"), "relief": (8, "kind = 'disaster_declaration'"), "gdacs": (10, "kind IN ('wildfire', 'volcano') AND severity IN ('Extreme', 'Severe')"), "conflict": (12, "kind = 'news_item'")}
+
+
+@query("agg_briefing", _ZONE_SQL.rstrip() + ", zn AS (SELECT zone, count(*) AS n FROM hit GROUP BY zone) " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{p}' AS part, CAST(event_id AS VARCHAR) AS item, count(*) OVER () AS total FROM o WHERE {w} ORDER BY event_at DESC, event_id LIMIT {n})" for p, (n, w) in _STREAMS.items()) + " UNION ALL SELECT * FROM (SELECT 'hotspot', concat(zone, ' ', n), count(*) OVER () FROM zn ORDER BY n DESC, zone LIMIT 10)")
 def agg_briefing(spark, sf_dir):
+    """Digest: the first rows of six streams, and how many each has."""
     o = observations(spark, sf_dir)
-    top = lambda df, n, name: df.orderBy(F.desc("event_at"), "event_id").limit(n).select(F.lit(name).alias("part"), C("event_id").alias("id"))
-    news = articles(spark, sf_dir).orderBy(F.desc("ts"), "doc_id").limit(12).select(F.lit("news").alias("part"), C("doc_id").alias("id"))
-    return top(o.where("kind = 'earthquake' and k >= 50"), 10, "quake").unionByName(top(o.where("kind = 'weather_alert'"), 8, "alert")).unionByName(news)
 
+    def top(part, rows, n, *order):
+        total = F.broadcast(rows.agg(F.count("*").alias("total")))  # one row
+        return rows.orderBy(*order).limit(n).crossJoin(total).select(F.lit(part).alias("part"), "item", "total")
+
+    said = [top(p, o.where(w).withColumn("item", C("event_id").cast("string")), n, F.desc("event_at"), "event_id") for p, (n, w) in _STREAMS.items()]
+    zones = zone_hits(spark, sf_dir).groupBy("zone").agg(F.count("*").alias("n")).withColumn("item", F.concat_ws(" ", "zone", C("n").cast("string")))
+    return reduce(DataFrame.unionByName, said + [top("hotspot", zones, 10, F.desc("n"), "zone")])
 
-@query("fn_summary_text", CHG + "SELECT observation_id, concat(arg_max(headline, revision), chr(10), 'Severity: ', arg_max(severity, revision), '.', chr(10), 'Revision sequence: ', string_agg(concat('r', revision, ' ', change_type, ' ', strftime(ingested_at, '%Y-%m-%d %H:%M:%S UTC')), '; ' ORDER BY revision), '.') AS summary FROM chg GROUP BY observation_id")
+
+_SAID_WHERE = "CASE WHEN location_name IS NOT NULL THEN location_name WHEN lon IS NOT NULL THEN concat(CAST(round(lat, 4) AS {0}), ', ', CAST(round(lon, 4) AS {0})) ELSE 'Location not reported' END"
+_KIND_SAID = "CASE WHEN kind IN ('weather_alert','tropical_cyclone','tsunami') THEN 'Warning' WHEN kind = 'aviation_hazard' THEN 'Official advisory' WHEN kind = 'disaster_declaration' THEN 'Administrative declaration' WHEN kind IN ('news_item') THEN 'Media coverage' WHEN urgency = 'Future' OR certainty IN ('Possible','Unlikely') THEN 'Forecast' ELSE 'Observation' END"
+
+
+@query("fn_summary_text", CHG.rstrip() + ", steps AS (SELECT observation_id, array_to_string(list_sort(list_distinct(list(provider_id))), ', ') AS sources, string_agg(concat('r', revision, ' ', replace(change_type, '_', ' '), ' ', strftime(ingested_at, '%Y-%m-%d %H:%M:%S UTC')), '; ' ORDER BY revision) AS steps FROM chg GROUP BY observation_id), last AS (SELECT * FROM chg QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY revision DESC) = 1) SELECT observation_id, concat_ws(chr(10), headline, concat('Summary: ', summary), concat(" + _KIND_SAID + ", '. ', severity, ' severity; ', status, ' status; ', certainty, ' certainty.'), concat('Location: ', " + _SAID_WHERE.format("VARCHAR") + ", '.'), concat('Priority: ', score, '/100 (explainable triage, not a prediction).'), concat('Last changed: ', strftime(ingested_at, '%Y-%m-%d %H:%M:%S UTC'), '.'), concat('Sources: ', sources, '.'), concat('Revision sequence: ', steps, '.')) AS summary FROM last JOIN steps USING (observation_id)")
 def fn_summary_text(spark, sf_dir):
-    c = changes(spark, sf_dir)
-    step = F.concat(F.lit("r"), C("revision").cast("string"), F.lit(" "), "change_type", F.lit(" "), utc_label(F.date_trunc("second", "ingested_at")))
+    """Eight lines on each observation out of its last revision and the chain of them."""
+    c = changes(spark, sf_dir).withColumns({"said_where": F.expr(_SAID_WHERE.format("STRING")), "said_kind": lookup.provenance(C("kind"), C("urgency"), C("certainty")), "at": utc_label(F.date_trunc("second", "ingested_at"))})
+    step = F.concat(F.lit("r"), C("revision").cast("string"), F.lit(" "), F.replace("change_type", F.lit("_"), F.lit(" ")), F.lit(" "), "at")
     steps = F.transform(F.array_sort(F.collect_list(F.struct("revision", step.alias("s")))), lambda x: x["s"])
-    g = c.groupBy("observation_id").agg(F.max_by("headline", "revision").alias("h"), F.max_by("severity", "revision").alias("sev"), F.array_join(steps, "; ").alias("steps"))
-    return g.select("observation_id", F.concat("h", F.lit("\nSeverity: "), "sev", F.lit(".\nRevision sequence: "), "steps", F.lit(".")).alias("summary"))
+    shown = ("headline", "summary", "said_kind", "severity", "status", "certainty", "said_where", "score", "at")
+    g = c.groupBy("observation_id").agg(F.max_by(F.struct(*shown), "revision").alias("x"), F.array_join(F.sort_array(F.collect_set("provider_id")), ", ").alias("sources"), F.array_join(steps, "; ").alias("steps"))
+    g = g.select("observation_id", "x.*", "sources", "steps")
+    lines = (
+        text.single_line(C("headline"), "Untitled incident"),
+        F.concat(F.lit("Summary: "), text.single_line(C("summary"), "not reported")),
+        F.format_string("%s. %s severity; %s status; %s certainty.", "said_kind", "severity", "status", "certainty"),
+        F.format_string("Location: %s.", "said_where"),
+        F.format_string("Priority: %d/100 (explainable triage, not a prediction).", "score"),
+        F.format_string("Last changed: %s.", "at"),
+        F.format_string("Sources: %s.", "sources"),
+        F.format_string("Revision sequence: %s.", "steps"),
+    )
+    return g.select("observation_id", F.concat_ws("\n", *lines).alias("summary"))
 
 
 # Correlation over time
@@ -167,28 +202,6 @@ def cor_replay(spark, sf_dir):
     return correlate_replay(o, correlated_pairs(o))
 
 
-@query("cor_revisions")
-def cor_revisions(spark, sf_dir):
-    o = latest_observations(observations(spark, sf_dir))
-    return revision_chain(o, correlate_replay(o, correlated_pairs(o)))
-
-
-_EDGES = ", edges AS (SELECT DISTINCT least(a, b) AS source, greatest(a, b) AS target, rule FROM pairs)\n"
-
-
-@query("cor_relate", _PAIRS + _EDGES + "SELECT source, target, rule FROM edges")
-def cor_relate(spark, sf_dir):
-    p = correlated_pairs(latest_observations(observations(spark, sf_dir)))
-    return p.select(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), "rule").dropDuplicates()
-
-
-@query("cor_relation_routing", "SELECT kind, CASE kind WHEN 'tsunami' THEN 'earthquake,disaster_declaration' WHEN 'earthquake' THEN 'tsunami,disaster_declaration' WHEN 'aviation_hazard' THEN 'weather_alert,volcano' WHEN 'weather_alert' THEN 'aviation_hazard,disaster_declaration' WHEN 'volcano' THEN 'aviation_hazard,disaster_declaration' WHEN 'disaster_declaration' THEN 'targets' WHEN 'tropical_cyclone' THEN 'disaster_declaration' WHEN 'wildfire' THEN 'disaster_declaration' ELSE 'all but media' END AS looks_at, count(*) AS n FROM l GROUP BY ALL")
-def cor_relation_routing(spark, sf_dir):
-    seen = F.when(C("kind") == "tsunami", "earthquake,disaster_declaration").when(C("kind") == "earthquake", "tsunami,disaster_declaration").when(C("kind") == "aviation_hazard", "weather_alert,volcano")
-    seen = seen.when(C("kind").isin("weather_alert", "volcano"), "aviation_hazard,disaster_declaration").when(C("kind") == "disaster_declaration", "targets").when(C("kind").isin("tropical_cyclone", "wildfire"), "disaster_declaration")
-    return latest_observations(observations(spark, sf_dir)).groupBy("kind", seen.otherwise("all but media").alias("looks_at")).agg(F.count("*").alias("n"))
-
-
 # Retention
 
 
@@ -212,13 +225,6 @@ def ret_kind_days(spark, sf_dir):
     return latest_observations(observations(spark, sf_dir)).where(F.unix_micros("ingested_at") < F.unix_micros(_now()) - days * F.lit(86400000000)).select("event_id")
 
 
-@query("ret_cascade", "SELECT incident_id, count(*) FILTER (old) AS removed, bool_and(old) AS orphan FROM (SELECT *, ingested_at < TIMESTAMP '2024-01-17 12:00:00' AS old FROM m) GROUP BY incident_id HAVING count(*) FILTER (old) > 0")
-def ret_cascade(spark, sf_dir):
-    old = C("ingested_at") < F.expr(f"TIMESTAMP '{NOW}' - INTERVAL 14 DAYS")
-    g = members(observations(spark, sf_dir)).groupBy("incident_id").agg(F.count_if(old).alias("removed"), F.bool_and(old).alias("orphan"))
-    return g.where("removed > 0")
-
-
 @query("ret_report", "SELECT count(*) FILTER (old) AS expired, greatest(count(*) FILTER (NOT old) - 500, 0) AS overflow, count(*) FILTER (old) + greatest(count(*) FILTER (NOT old) - 500, 0) AS deleted, true AS dry_run FROM (SELECT ingested_at < TIMESTAMP '2024-01-17 12:00:00' AS old FROM l)")
 def ret_report(spark, sf_dir):
     old = C("ingested_at") < F.expr(f"TIMESTAMP '{NOW}' - INTERVAL 14 DAYS")
@@ -228,86 +234,92 @@ def ret_report(spark, sf_dir):
 
 # Watches
 
+#: What notifications a user asks for: changes, kinds, least severity, quiet hours in minutes of the day.
+NOTIFY = {"enabled": True, "changes": ("new", "escalated", "updated"), "kinds": ("earthquake", "weather_alert", "tsunami", "wildfire", "volcano", "news_item"), "least": 2, "quiet": (1320, 420)}
+_QUIET = "(hour({0}) * 60 + minute({0}) >= 1320 OR hour({0}) * 60 + minute({0}) < 420)"
 
-@query("wat_notify", _MATCH_SQL + "SELECT l.event_id, string_agg(DISTINCT wm.label, ',' ORDER BY wm.label) AS labels FROM l JOIN wm USING (event_id) WHERE l.severity IN ('Moderate','Severe','Extreme') AND l.status IN ('active','updated') AND NOT (hour(l.ingested_at) * 60 + minute(l.ingested_at) >= 1320 OR hour(l.ingested_at) * 60 + minute(l.ingested_at) < 420) AND l.event_id % 13 <> 0 AND l.user_id % 17 <> 0 GROUP BY l.event_id")
-def wat_notify(spark, sf_dir):
-    """Candidates outside quiet hours, severe enough, neither seen (every 13th) nor snoozed (every 17th user), with the labels they match."""
-    o = latest_observations(observations(spark, sf_dir))
-    seen, snoozed = o.where("event_id % 13 = 0").select("event_id"), o.where("user_id % 17 = 0").select("user_id").distinct()
-    c = o.where(lookup.severity_rank(C("severity")) >= 2).where(C("status").isin("active", "updated")).where(~quiet(C("ingested_at"), 1320, 420))
-    c = c.join(seen, "event_id", "left_anti").join(snoozed, "user_id", "left_anti")
-    m = watch_matches(c, watch_regions(spark, sf_dir))
-    return m.groupBy("event_id").agg(F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"))
 
+def notifications(changed, regions, seen, acknowledged, snoozed, config=NOTIFY):
+    """Changes to notify of: (key, event_id, change_type, labels).
 
-@query("wat_state", "SELECT user_id, event_id FROM o WHERE severity = 'Severe' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 400")
-def wat_state(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy(F.desc("event_id"))
-    return observations(spark, sf_dir).where("severity = 'Severe'").withColumn("rn", F.row_number().over(w)).where("rn <= 400").select("user_id", "event_id")
+    Those of the changes and kinds asked for, severe enough, outside quiet hours, whose key id@revision was neither
+    seen nor acknowledged, whose id isn't snoozed any more, and that match an enabled region; all matching labels are named.
+    seen and acknowledged hold keys; snoozed holds (observation_id, until).
+    """
+    if not config["enabled"]:
+        changed = changed.limit(0)
+    c = changed.withColumn("key", F.concat("observation_id", F.lit("@"), C("revision").cast("string")))
+    c = c.where(C("change_type").isin(*config["changes"]) & C("kind").isin(*config["kinds"]) & (lookup.severity_rank(C("severity")) >= config["least"]) & ~quiet(C("ingested_at"), *config["quiet"]))
+    c = c.join(seen, "key", "left_anti").join(acknowledged, "key", "left_anti").join(snoozed, "observation_id", "left")
+    c = c.where(C("until").isNull() | (C("until") <= C("ingested_at")))
+    m = watch_matches(c, regions)
+    return m.groupBy("key", "event_id", "change_type").agg(F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"))
 
 
-@query("wat_keyword_alerts", "SELECT src, t80, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id) AS n FROM (SELECT src, substr(title, 1, 80) AS t80, min(doc_id) AS doc_id FROM art WHERE contains(lower(summary), 'the') GROUP BY ALL)) WHERE n > 1")
-def wat_keyword_alerts(spark, sf_dir):
-    """First hit of each source and title; the very first of a source stays silent."""
-    hits = articles(spark, sf_dir).where(F.contains(F.lower("summary"), F.lit("the"))).groupBy("src", F.substring("title", 1, 80).alias("t80")).agg(F.min("doc_id").alias("doc_id"))
-    first = hits.groupBy("src").agg(F.min("doc_id").alias("first"))
-    return hits.join(first, "src").where("doc_id > first").select("src", "t80", "doc_id")
-
-
-@query("wat_clean_regions", ", r AS (SELECT n_nationkey AS id, trim(n_name) AS label, greatest(1, least(2000, n_nationkey * 150 - 100)) AS radius FROM nation) SELECT id, label, radius FROM r WHERE label <> '' ORDER BY id LIMIT 50")
-def wat_clean_regions(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(C("n_nationkey").alias("id"), text.single_line(C("n_name")).alias("label"), F.greatest(F.lit(1), F.least(F.lit(2000), C("n_nationkey") * 150 - 100)).alias("radius"))
-    return n.where("label <> ''").dropDuplicates(["id"]).orderBy("id").limit(50)
+_KEY = "concat(observation_id, '@', revision)"
 
 
-# Sinks
-
+@query("wat_notify", CHG.rstrip() + _REGION_SQL.rstrip() + f", sz AS (SELECT observation_id, max(ingested_at) + INTERVAL 1 HOUR AS until FROM chg WHERE k % 17 = 0 GROUP BY 1) SELECT {_KEY} AS key, event_id, change_type, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM chg LEFT JOIN sz USING (observation_id) JOIN r ON r.enabled AND {_SEV} >= r.least AND contains(lower(concat(headline, ' ', summary)), 'site') AND (r.worldwide OR {sql_km('r_lon', 'r_lat', 'slon', 'slat')} <= radius) WHERE change_type IN ('new','escalated','updated') AND kind IN ('earthquake','weather_alert','tsunami','wildfire','volcano','news_item') AND severity IN ('Moderate','Severe','Extreme') AND NOT {_QUIET.format('ingested_at')} AND event_id % 13 <> 0 AND NOT (k % 11 = 0 AND severity = 'Severe') AND (until IS NULL OR until <= ingested_at) GROUP BY ALL")
+def wat_notify(spark, sf_dir):
+    """Notifications out of the change feed; keys seen and acknowledged, and snoozes, are rows of these tables."""
+    c = changes(spark, sf_dir)
+    key = F.concat("observation_id", F.lit("@"), C("revision").cast("string")).alias("key")
+    seen, acknowledged = c.where("event_id % 13 = 0").select(key), c.where("k % 11 = 0 and severity = 'Severe'").select(key)
+    snoozed = c.where("k % 17 = 0").groupBy("observation_id").agg((F.max("ingested_at") + F.expr("INTERVAL 1 HOUR")).alias("until"))
+    return notifications(c, watch_regions(spark, sf_dir), seen, acknowledged, snoozed)
 
-@query("sink_upsert_obs", "SELECT observation_id, arg_max(content_hash, {'a': ingested_at, 'b': event_id}) AS content_hash, bool_or(changed) AS changed FROM (SELECT *, content_hash IS DISTINCT FROM lag(content_hash) OVER (PARTITION BY observation_id ORDER BY ingested_at, event_id) AS changed FROM o) WHERE event_id >= 300 GROUP BY observation_id")
-def sink_upsert_obs(spark, sf_dir):
-    """Upsert of the rows from 300 on into the state that the rows before it left."""
-    w = W.partitionBy("observation_id").orderBy("ingested_at", "event_id")
-    o = observations(spark, sf_dir).withColumn("changed", ~C("content_hash").eqNullSafe(F.lag("content_hash").over(w))).where("event_id >= 300")
-    return o.groupBy("observation_id").agg(F.max_by("content_hash", F.struct("ingested_at", "event_id")).alias("content_hash"), F.bool_or("changed").alias("changed"))
 
+_STATE_SQL = "SELECT user_id, 'seen' AS part, concat(observation_id, '@', event_id) AS item, CAST(NULL AS BIGINT) AS until_us FROM o WHERE severity = 'Severe' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 400 UNION ALL SELECT user_id, 'acknowledged', concat(observation_id, '@', event_id), NULL FROM o WHERE severity = 'Extreme' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 400 UNION ALL SELECT user_id, 'snoozed', observation_id, epoch_us(t) + 3600000000 FROM (SELECT user_id, observation_id, max(ingested_at) AS t FROM o WHERE k % 7 = 0 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC, observation_id) <= 200"
 
-@query("sink_upsert_incident", ", l0 AS (SELECT * FROM o WHERE event_id < 5000 QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY ingested_at DESC, event_id DESC) = 1), old AS (SELECT concat('incident:', kind, ':', site) AS incident_id, count(*) AS n FROM l0 GROUP BY ALL), new AS (SELECT incident_id, count(*) AS n FROM m GROUP BY ALL) SELECT new.incident_id, new.n AS revision, old.n IS NULL AS inserted FROM new LEFT JOIN old USING (incident_id) WHERE old.n IS NULL OR new.n > old.n")
-def sink_upsert_incident(spark, sf_dir):
-    """Snapshot incidents laid over an older snapshot: only higher revisions go in, one log row for each."""
-    new = build_incidents(members(observations(spark, sf_dir))).select("incident_id", C("n_members").alias("revision"), "headline")
-    old = build_incidents(members(observations(spark, sf_dir).where("event_id < 5000"))).select("incident_id", C("n_members").alias("revision"), "headline")
-    return upsert_latest(old, new, "incident_id", "revision")
 
+@query("wat_state", _STATE_SQL)
+def wat_state(spark, sf_dir):
+    """A user's notification state out of an append log: the newest 400 keys seen and acknowledged, and the newest 200 snoozes, an hour from the last on each incident."""
+    o = observations(spark, sf_dir)
+    w = W.partitionBy("user_id").orderBy(F.desc("event_id"))
+    item = F.concat("observation_id", F.lit("@"), C("event_id").cast("string")).alias("item")
+    newest = lambda rows, w, n: rows.withColumn("rn", F.row_number().over(w)).where(C("rn") <= n)
+    keys = [newest(o.where(C("severity") == s), w, 400).select("user_id", F.lit(p).alias("part"), item, F.lit(None).cast("long").alias("until_us")) for p, s in (("seen", "Severe"), ("acknowledged", "Extreme"))]
+    last = o.where("k % 7 = 0").groupBy("user_id", "observation_id").agg(F.max("ingested_at").alias("t"))
+    snoozed = newest(last, W.partitionBy("user_id").orderBy(F.desc("t"), "observation_id"), 200)
+    return keys[0].unionByName(keys[1]).unionByName(snoozed.select("user_id", F.lit("snoozed").alias("part"), C("observation_id").alias("item"), (F.unix_micros("t") + 3600000000).alias("until_us")))
 
-@query("sink_csv", "SELECT event_id, concat('\"', CASE WHEN k % 3 = 0 THEN concat(chr(9), '=', headline) ELSE headline END, '\",\"', k, '\"') AS line FROM l")
-def sink_csv(spark, sf_dir):
-    cell = F.when(C("k") % 3 == 0, F.concat(F.lit("="), "headline")).otherwise(C("headline"))
-    return latest_observations(observations(spark, sf_dir)).select("event_id", F.concat_ws(",", text.csv_cell(cell), text.csv_cell(C("k"), numeric=True)).alias("line"))
 
+@query("wat_keyword_alerts", f"SELECT src, t80, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id) AS n FROM (SELECT src, substr(title, 1, 80) AS t80, min(doc_id) AS doc_id FROM art WHERE contains(lower(summary), 'the') AND NOT {_QUIET.format('to_timestamp(ts)::TIMESTAMP')} GROUP BY ALL)) WHERE n > 1".replace("to_timestamp(ts)::TIMESTAMP", "make_timestamp(ts * 1000000)"))
+def wat_keyword_alerts(spark, sf_dir):
+    """First hit of each source and title outside quiet hours; the very first of a source stays silent."""
+    loud = articles(spark, sf_dir).where(~quiet(F.timestamp_seconds("ts"), *NOTIFY["quiet"]))
+    hits = loud.where(F.contains(F.lower("summary"), F.lit("the"))).groupBy("src", F.substring("title", 1, 80).alias("t80")).agg(F.min("doc_id").alias("doc_id"))
+    first = hits.groupBy("src").agg(F.min("doc_id").alias("first"))
+    return hits.join(first, "src").where("doc_id > first").select("src", "t80", "doc_id")
 
-@query("sink_geojson")
-def sink_geojson(spark, sf_dir):
-    """One feature a line."""
-    i = incidents(spark, sf_dir)
-    shape = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
-    facts = F.struct("incident_id", "kind", "headline", "severity", "status", "priority_score", location_label(C("lon"), C("lat")).alias("place"))
-    return i.select("incident_id", F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), facts.alias("properties"))).alias("feature"))
 
+#: Raw regions out of suppliers, some of them unfit: (id, label, scope, lon, radius, least severity), alike in both dialects.
+_RAW = {
+    "id": "CASE WHEN s_suppkey % 7 = 0 THEN concat('-', s_suppkey) WHEN s_suppkey % 7 = 1 THEN concat('r', s_suppkey - 1) ELSE concat('r', s_suppkey) END",
+    "label": "CASE WHEN s_suppkey % 5 = 0 THEN '   ' ELSE concat(' ', s_name, '  x') END",
+    "scope": "CASE WHEN s_suppkey % 3 = 0 THEN 'global' WHEN s_suppkey % 3 = 1 THEN 'region' ELSE 'odd' END",
+    "placed": "s_suppkey % 4 <> 0",
+    "radius": "CASE WHEN s_suppkey % 11 = 0 THEN 'wide' ELSE CAST(s_suppkey * 90 - 300 AS {}) END",
+    "severity": "CASE WHEN s_suppkey % 4 = 1 THEN 'Severe' ELSE 'Dire' END",
+}
 
-@query("sink_revision_log", "SELECT event_id, 1000 + row_number() OVER (PARTITION BY user_id ORDER BY ingested_at, observation_id, event_id) AS cursor FROM o")
-def sink_revision_log(spark, sf_dir):
-    """Cursors go on densely from the highest one given out, for each user's log."""
-    w = W.partitionBy("user_id").orderBy("ingested_at", "observation_id", "event_id")
-    return observations(spark, sf_dir).select("event_id", (F.row_number().over(w) + 1000).alias("cursor"))
 
+def clean_regions(raw, words):
+    """Watch regions fit to use, at most 50 in order: ids of safe characters, the first of each; labels; a place unless worldwide; radius within 1 to 2000 km; severity Moderate where unknown.
 
-@query("sink_panel", "SELECT event_id, provider_id AS panel, CASE provider_id WHEN 'prov_0' THEN concat_ws(' | ', headline, severity) WHEN 'prov_1' THEN concat_ws(' | ', kind, k) WHEN 'prov_2' THEN concat_ws(' | ', storm_name, status) ELSE concat_ws(' | ', summary, urgency) END AS row_ FROM l")
-def sink_panel(spark, sf_dir):
-    layouts = {"prov_0": ("headline", "severity"), "prov_1": ("kind", "k"), "prov_2": ("storm_name", "status")}
-    row = F.concat_ws(" | ", "summary", "urgency")
-    for p, columns in layouts.items():
-        row = F.when(C("provider_id") == p, F.concat_ws(" | ", *(C(c).cast("string") for c in columns))).otherwise(row)
-    return latest_observations(observations(spark, sf_dir)).select("event_id", C("provider_id").alias("panel"), row.alias("row_"))
+    A list of keywords from before regions were kept becomes one more, worldwide.
+    """
+    scope = F.when(C("scope").isin("region", "global"), C("scope")).otherwise("region")
+    r = raw.withColumns({"scope": scope, "label": F.substring(text.single_line(C("label")), 1, 80), "radius": C("radius").try_cast("double")})
+    r = r.where(C("id").rlike("^[A-Za-z0-9][A-Za-z0-9._:-]*$") & (F.length("id") <= 80) & (C("label") != "") & ((C("scope") == "global") | C("placed")) & C("radius").isNotNull())
+    one = r.groupBy("id").agg(F.min_by(F.struct("n", "label", "scope", "radius", "severity"), "n").alias("x")).select("id", "x.*").orderBy("n").limit(50)
+    clean = one.select("id", "label", "scope", F.greatest(F.lit(1.0), F.least(F.lit(2000.0), "radius")).alias("radius"), F.when(C("severity").isin(*SEVERITIES), C("severity")).otherwise("Moderate").alias("severity"), F.lit("").alias("keywords"))
+    return clean.unionByName(words.select(F.lit("legacy:keywords").alias("id"), F.lit("Keywords").alias("label"), F.lit("global").alias("scope"), F.lit(1.0).alias("radius"), F.lit("Moderate").alias("severity"), "keywords"))
 
 
-REVISIONS = revisions
+@query("wat_clean_regions", ", raw AS (SELECT s_suppkey AS n, " + ", ".join(f"{x.format('VARCHAR')} AS {c}" for c, x in _RAW.items()) + " FROM supplier), c AS (SELECT n, id, trim(regexp_replace(label, '\s+', ' ', 'g')) AS label, CASE WHEN scope = 'odd' THEN 'region' ELSE scope END AS scope, placed, try_cast(radius AS DOUBLE) AS radius, CASE WHEN severity = 'Dire' THEN 'Moderate' ELSE severity END AS severity FROM raw), f AS (SELECT * FROM c WHERE regexp_matches(id, '^[A-Za-z0-9]') AND label <> '' AND (scope = 'global' OR placed) AND radius IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY n) = 1 ORDER BY n LIMIT 50) SELECT id, label, scope, greatest(1.0, least(2000.0, radius))::DOUBLE AS radius, severity, '' AS keywords FROM f UNION ALL SELECT 'legacy:keywords', 'Keywords', 'global', 1.0, 'Moderate', string_agg(w, ',' ORDER BY w) FROM (SELECT DISTINCT lower(r_name) AS w FROM region ORDER BY w LIMIT 20)")
+def wat_clean_regions(spark, sf_dir):
+    raw = table(spark, sf_dir, "supplier").select(C("s_suppkey").alias("n"), *(F.expr(x.format("STRING")).alias(c) for c, x in _RAW.items()))
+    words = table(spark, sf_dir, "region").select(F.lower("r_name").alias("w")).distinct().orderBy("w").limit(20)
+    return clean_regions(raw, words.agg(F.array_join(F.array_sort(F.collect_list("w")), ",").alias("keywords")))

@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, lookup, text
-from ..model import CONFLICT_WORDS, FILTER_KINDS, MEDIA_KINDS
-from ..operators.scoring import build_incidents, incident_scores
+from ..model import CONFLICT_WORDS, MEDIA_KINDS, THEATRES
+from ..operators.scoring import incident_scores, scored_incidents
 from ..views import NOW, articles, latest_observations, members, observations, table
 from .registry import query
 from .scalars import sql_km
@@ -36,14 +36,13 @@ INC = INC.rstrip() + "\n"
 
 
 def scored(spark, sf_dir):
-    """Snapshot incidents with their scores; both group by incident, so one shuffle serves both."""
+    """Scores of the incidents, and their members."""
     m = members(observations(spark, sf_dir))
     return incident_scores(m, NOW), m
 
 
 def incidents(spark, sf_dir):
-    s, m = scored(spark, sf_dir)
-    return build_incidents(m).join(s.select("incident_id", "priority_score", "lane"), "incident_id")
+    return scored_incidents(members(observations(spark, sf_dir)), NOW)
 
 
 @query("flt_kinds", "SELECT incident_id, kind FROM m WHERE kind NOT IN ('news_item') GROUP BY ALL")
@@ -73,22 +72,20 @@ def flt_radius(spark, sf_dir):
     return near.where(km <= most).select("event_id", F.round(km, 3).alias("km"))
 
 
-_CW = CONFLICT_WORDS.replace("war|", "war|is|")
-
-
 @query("flt_keyword_regex", f"SELECT doc_id FROM art WHERE src = 'feed_0' OR regexp_matches(concat(title, ' ', summary), '(?i){CONFLICT_WORDS}')")
 def flt_keyword_regex(spark, sf_dir):
     a = articles(spark, sf_dir)
     return a.where((C("src") == "feed_0") | F.concat_ws(" ", "title", "summary").rlike("(?i)" + CONFLICT_WORDS)).select("doc_id")
 
 
-_THEATRES = {"thth": "thth|wher", "erer": "erer|nder", "global": None}
+_THEATRE_SQL = " UNION ALL ".join([f"SELECT doc_id, '{n}' AS theatre FROM art WHERE regexp_matches(summary, '(?i){k}')" for n, k in THEATRES.items()] + ["SELECT doc_id, 'global' AS theatre FROM art"])
 
 
-@query("flt_theater", "SELECT doc_id, 'thth' AS theatre FROM art WHERE regexp_matches(summary, '(?i)thth|wher') UNION ALL SELECT doc_id, 'erer' FROM art WHERE regexp_matches(summary, '(?i)erer|nder') UNION ALL SELECT doc_id, 'global' FROM art")
+@query("flt_theater", _THEATRE_SQL)
 def flt_theater(spark, sf_dir):
+    """Articles by theatre; each is in the worldwide one too."""
     a = articles(spark, sf_dir)
-    named = F.array(*(F.when(C("summary").rlike("(?i)" + kw) if kw else F.lit(True), F.lit(n)) for n, kw in _THEATRES.items()))
+    named = F.array(*(F.when(C("summary").rlike("(?i)" + k), F.lit(n)) for n, k in THEATRES.items()), F.lit("global"))
     return a.select("doc_id", F.explode(F.array_compact(named)).alias("theatre"))
 
 
@@ -98,12 +95,34 @@ def flt_watchlist(spark, sf_dir):
     return articles(spark, sf_dir).where(F.exists(words, lambda w: F.contains(F.lower("summary"), w))).select("doc_id")
 
 
-@query("flt_search", "SELECT doc_id FROM (SELECT doc_id, regexp_extract_all(lower(strip_accents(summary)), '[a-z0-9]+') AS t FROM art) WHERE len(list_filter(t, lambda x: starts_with(x, 'th'))) > 0 AND len(list_filter(t, lambda x: starts_with(x, 'an'))) > 0")
+SEARCH_TERMS, SEARCH_LENGTHS = 8, (2, 100)
+
+
+def matching(rows, said: list[str], asked: str):
+    """Rows in whose columns `said` every term of a query begins some word; case and marks don't count. Of a query the first SEARCH_TERMS terms hold; one that is too short or too long is refused."""
+    import re
+    import unicodedata
+
+    if not SEARCH_LENGTHS[0] <= len(asked.strip()) <= SEARCH_LENGTHS[1]:
+        raise ValueError("a query has 2 to 100 characters")
+    plain = unicodedata.normalize("NFKD", asked.casefold()).encode("ascii", "ignore").decode()
+    terms = re.findall("[a-z0-9]+", plain)[:SEARCH_TERMS]
+    text_ = F.concat(F.lit(" "), F.regexp_replace(F.lower(text.ascii_fold(F.concat_ws(" ", *said))), "[^a-z0-9]+", " "))
+    found = F.lit(bool(terms))
+    for t in terms:
+        found = found & F.contains(C("words"), F.lit(" " + t))
+    return rows.withColumn("words", text_).where(found).drop("words")
+
+
+_SEARCH_SQL = "SELECT 'documents' AS part, doc_id AS id FROM (SELECT doc_id, concat(' ', regexp_replace(lower(regexp_replace(strip_accents(concat_ws(' ', title, summary, src)), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS w FROM art) WHERE contains(w, ' th') AND contains(w, ' an') UNION ALL SELECT 'observations', event_id FROM (SELECT event_id, concat(' ', regexp_replace(lower(concat_ws(' ', headline, summary, location_name, kind, status)), '[^a-z0-9]+', ' ', 'g')) AS w FROM l) WHERE contains(w, ' site') AND contains(w, ' act') AND contains(w, ' coun')"
+
+
+@query("flt_search", _SEARCH_SQL)
 def flt_search(spark, sf_dir):
-    """Every term is the beginning of some token. Tokens are an inverted list: term and document, then terms per document."""
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(text.ascii_fold(C("summary"))), F.lit("[a-z0-9]+"), F.lit(0)))
-    t = articles(spark, sf_dir).select("doc_id", tokens.alias("t"))
-    return t.where(F.exists("t", lambda x: F.startswith(x, F.lit("th"))) & F.exists("t", lambda x: F.startswith(x, F.lit("an")))).select("doc_id")
+    """Two searches: articles by title, text and feed; latest observations by headline, summary, place, kind and status."""
+    docs = matching(articles(spark, sf_dir), ["title", "summary", "src"], "Th, Àn")
+    obs = matching(latest_observations(observations(spark, sf_dir)), ["headline", "summary", "location_name", "kind", "status"], "site ACT coun")
+    return docs.select(F.lit("documents").alias("part"), C("doc_id").alias("id")).unionByName(obs.select(F.lit("observations").alias("part"), C("event_id").alias("id")))
 
 
 @query("flt_timeline_window", f"SELECT event_id, h FROM (SELECT event_id, unnest([1, 6, 24, 168]) AS h, ingested_at FROM o) WHERE epoch_us(ingested_at) >= epoch_us({_NOW}) - h * 3600000000 AND ingested_at <= {_NOW}")
@@ -147,9 +166,9 @@ def flt_quality(spark, sf_dir):
 @query("top_incidents", INC + "SELECT incident_id, kind, impact, urgency, freshness, corroboration, penalty, round(age, 3) AS age_hours, source_count, priority_score FROM inc ORDER BY priority_score DESC, last_changed DESC, incident_id LIMIT 50")
 def top_incidents(spark, sf_dir):
     """The flagship: incidents by explainable priority."""
-    s, m = scored(spark, sf_dir)
-    more = m.groupBy("incident_id").agg(F.max("ingested_at").alias("last_changed"), F.first("kind").alias("kind"))
-    top = s.join(more, "incident_id").orderBy(F.desc("priority_score"), F.desc("last_changed"), "incident_id").limit(50)
+    more = (F.max("ingested_at").alias("last_changed"), F.max("kind").alias("kind"))
+    s = incident_scores(members(observations(spark, sf_dir)), NOW, more=more)
+    top = s.orderBy(F.desc("priority_score"), F.desc("last_changed"), "incident_id").limit(50)
     return top.select("incident_id", "kind", "impact", "urgency", "freshness", "corroboration", "penalty", "age_hours", "source_count", "priority_score")
 
 
@@ -195,11 +214,10 @@ def top_changes(spark, sf_dir):
 
 @query("top_search", INC + "SELECT incident_id, priority_score FROM inc WHERE incident_id IN (SELECT incident_id FROM m WHERE regexp_matches(lower(headline), '(^|[^a-z0-9])haz')) ORDER BY priority_score DESC, last_changed DESC, incident_id LIMIT 20")
 def top_search(spark, sf_dir):
-    s, m = scored(spark, sf_dir)
     tokens = F.regexp_extract_all(F.lower("headline"), F.lit("[a-z0-9]+"), F.lit(0))
-    hits = m.where(F.exists(tokens, lambda t: F.startswith(t, F.lit("haz")))).select("incident_id")
-    last = m.groupBy("incident_id").agg(F.max("ingested_at").alias("last_changed"))
-    return s.join(hits, "incident_id", "left_semi").join(last, "incident_id").orderBy(F.desc("priority_score"), F.desc("last_changed"), "incident_id").limit(20).select("incident_id", "priority_score")
+    hit = F.bool_or(F.exists(tokens, lambda t: F.startswith(t, F.lit("haz")))).alias("hit")
+    s = incident_scores(members(observations(spark, sf_dir)), NOW, more=(F.max("ingested_at").alias("last_changed"), hit))
+    return s.where("hit").orderBy(F.desc("priority_score"), F.desc("last_changed"), "incident_id").limit(20).select("incident_id", "priority_score")
 
 
 @query("top_severity_list", "SELECT event_id, severity FROM o ORDER BY CASE severity WHEN 'Extreme' THEN 4 WHEN 'Severe' THEN 3 WHEN 'Moderate' THEN 2 WHEN 'Minor' THEN 1 ELSE 0 END DESC, event_id LIMIT 40")
@@ -245,16 +263,18 @@ def win_latest_location(spark, sf_dir):
     return members(observations(spark, sf_dir)).where(C("location_name").isNotNull()).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("incident_id", "location_name")
 
 
-_CHANGE = "CASE WHEN before IS NULL THEN 'new' WHEN status = 'cancelled' THEN 'cancelled' WHEN status = 'ended' THEN 'resolved' WHEN score >= before + 10 THEN 'escalated' WHEN score <= before - 10 THEN 'downgraded' ELSE 'updated' END"
+#: A revision without a known status stands for the loss of its source; what comes after a loss is an update, whatever the score.
+_CHANGE = "CASE WHEN before IS NULL THEN 'new' WHEN status = 'unknown' THEN 'source_lost' WHEN status = 'cancelled' THEN 'cancelled' WHEN status = 'ended' THEN 'resolved' WHEN status_before = 'unknown' THEN 'updated' WHEN score >= before + 10 THEN 'escalated' WHEN score <= before - 10 THEN 'downgraded' ELSE 'updated' END"
 
 
 def changes(spark, sf_dir):
     """Change type of each revision against the one before it."""
     w = W.partitionBy("observation_id").orderBy("revision")
-    return revisions(spark, sf_dir).withColumn("before", F.lag("score").over(w)).withColumn("change_type", F.expr(_CHANGE))
+    r = revisions(spark, sf_dir).withColumns({"before": F.lag("score").over(w), "status_before": F.lag("status").over(w)})
+    return r.withColumn("change_type", F.expr(_CHANGE))
 
 
-CHG = REV.rstrip() + f", chg AS (SELECT *, {_CHANGE} AS change_type FROM (SELECT *, lag(score) OVER (PARTITION BY observation_id ORDER BY revision) AS before FROM rev))\n"
+CHG = REV.rstrip() + f", chg AS (SELECT *, {_CHANGE} AS change_type FROM (SELECT *, lag(score) OVER w AS before, lag(status) OVER w AS status_before FROM rev WINDOW w AS (PARTITION BY observation_id ORDER BY revision)))\n"
 
 
 @query("win_change_type", CHG + "SELECT event_id, revision, change_type FROM chg")
@@ -262,14 +282,17 @@ def win_change_type(spark, sf_dir):
     return changes(spark, sf_dir).select("event_id", "revision", "change_type")
 
 
-_DIFF = ("headline", "summary", "status", "severity", "urgency", "certainty", "score")
+#: Field -> what a change of it is called.
+_DIFF = {"headline": "headline", "summary": "summary", "status": "status", "severity": "severity", "urgency": "urgency", "certainty": "certainty", "score": "priority", "place": "location", "source": "sources"}
 
 
-@query("win_revision_diff", REV + "SELECT event_id, CASE WHEN revision = 1 THEN 'initial record' ELSE concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS DISTINCT FROM lag({c}) OVER w THEN '{c}' END" for c in _DIFF) + ") END AS changed FROM rev WINDOW w AS (PARTITION BY observation_id ORDER BY revision)")
+@query("win_revision_diff", REV + "SELECT event_id, CASE WHEN revision = 1 THEN 'initial record' ELSE concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS DISTINCT FROM lag({c}) OVER w THEN '{n}' END" for c, n in _DIFF.items()) + ") END AS changed FROM (SELECT *, {'x': lon, 'y': lat} AS place, concat(provider_id, k % 2) AS source FROM rev) WINDOW w AS (PARTITION BY observation_id ORDER BY revision)")
 def win_revision_diff(spark, sf_dir):
+    """Which of nine fields changed against the revision before; a source is a provider and one of its two feeds."""
     w = W.partitionBy("observation_id").orderBy("revision")
-    r = revisions(spark, sf_dir).withColumn("was", F.lag(F.struct(*_DIFF)).over(w))
-    changed = F.concat_ws(",", *(F.when(~C(c).eqNullSafe(C(f"was.{c}")), F.lit(c)) for c in _DIFF))
+    r = revisions(spark, sf_dir).withColumns({"place": F.struct("lon", "lat"), "source": F.concat("provider_id", (C("k") % 2).cast("string"))})
+    r = r.withColumn("was", F.lag(F.struct(*_DIFF)).over(w))
+    changed = F.concat_ws(",", *(F.when(~C(c).eqNullSafe(C(f"was.{c}")), F.lit(n)) for c, n in _DIFF.items()))
     return r.select("event_id", F.when(C("revision") == 1, "initial record").otherwise(changed).alias("changed"))
 
 
@@ -309,12 +332,20 @@ def win_rolling_last_n(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w)).where("rn <= 30").select("user_id", "event_id")
 
 
-@query("win_new_since_last", ", b AS (SELECT *, event_id // 100 AS batch FROM o WHERE kind = 'earthquake') SELECT batch, event_id FROM b WHERE k >= 40 AND batch > 0 AND NOT EXISTS (SELECT 1 FROM b p WHERE p.batch = b.batch - 1 AND p.observation_id = b.observation_id) QUALIFY row_number() OVER (PARTITION BY batch ORDER BY event_id) = 1")
+@query("win_new_since_last", ", b AS (SELECT *, event_id // 100 AS batch FROM o), q AS (SELECT * FROM b WHERE kind = 'earthquake'), r AS (SELECT * FROM b WHERE kind = 'weather_alert' AND severity = 'Extreme') SELECT 'quake' AS list, batch, event_id FROM q WHERE k >= 40 AND batch > 0 AND NOT EXISTS (SELECT 1 FROM q p WHERE p.batch = q.batch - 1 AND p.observation_id = q.observation_id) QUALIFY row_number() OVER (PARTITION BY batch ORDER BY event_id) = 1 UNION ALL SELECT 'red', batch, event_id FROM r WHERE event_id > (SELECT min(event_id) FROM r) AND NOT EXISTS (SELECT 1 FROM r p WHERE p.batch = r.batch - 1 AND p.observation_id = r.observation_id)")
 def win_new_since_last(spark, sf_dir):
-    b = observations(spark, sf_dir).where(C("kind") == "earthquake").select("event_id", "observation_id", "k", F.floor(C("event_id") / 100).alias("batch"))
-    before = b.select((C("batch") + 1).alias("batch"), "observation_id")
-    new = b.where("k >= 40 and batch > 0").join(before, ["batch", "observation_id"], "left_anti")
-    return new.withColumn("rn", F.row_number().over(W.partitionBy("batch").orderBy("event_id"))).where("rn = 1").select("batch", "event_id")
+    """Of each poll the first strong quake that the poll before didn't hold, and all such red alerts but the very first one seen."""
+    o = observations(spark, sf_dir).select("event_id", "observation_id", "kind", "severity", "k", F.floor(C("event_id") / 100).alias("batch"))
+
+    def fresh(rows, wanted):
+        before = rows.select((C("batch") + 1).alias("batch"), "observation_id")
+        return rows.where(wanted).join(before, ["batch", "observation_id"], "left_anti")
+
+    quakes, red = o.where("kind = 'earthquake'"), o.where("kind = 'weather_alert' and severity = 'Extreme'")
+    strong = fresh(quakes, "k >= 40 and batch > 0").withColumn("rn", F.row_number().over(W.partitionBy("batch").orderBy("event_id"))).where("rn = 1")
+    first = F.broadcast(red.agg(F.min("event_id").alias("first")))  # one row
+    new = fresh(red, "true").crossJoin(first).where("event_id > first")
+    return strong.select(F.lit("quake").alias("list"), "batch", "event_id").unionByName(new.select(F.lit("red").alias("list"), "batch", "event_id"))
 
 
 @query("win_block_advance", "SELECT event_id, k > max(k) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS advanced FROM o")
@@ -359,11 +390,28 @@ def set_merge_trending(spark, sf_dir):
     return top(a.where("src = 'feed_0' and title <> ''"), "a").unionByName(top(a.where("src = 'feed_1'"), "b"))
 
 
-@query("set_join_endpoints", "SELECT user_id, max(value) FILTER (event_type = 'click') AS fees, max(value) FILTER (event_type = 'view') AS blocks, max(value) FILTER (event_type = 'signup') AS height, max(value) FILTER (event_type = 'purchase') AS mempool FROM events GROUP BY user_id")
+_PARTS = {"click": "fees", "view": "blocks", "signup": "height", "purchase": "mempool"}
+
+
+_PARTS_SQL = (
+    ", p AS (SELECT user_id, " + ", ".join(f"arg_max(k, event_id) FILTER (event_type = '{t}') AS {n}" for t, n in _PARTS.items()) + " FROM o GROUP BY user_id), f AS (SELECT *, "
+    + ", ".join(f"CASE WHEN {n} IS NULL THEN 'error' WHEN {n} % 11 = 0 THEN 'stale' WHEN {n} % 3 = 0 THEN 'cached' ELSE 'live' END AS {n}_state" for n in _PARTS.values())
+    + " FROM p), g AS (SELECT *, [" + ", ".join(f"{n}_state" for n in _PARTS.values()) + "] AS s FROM f) SELECT user_id, "
+    + ", ".join(f"CASE WHEN {n} % 5 <> 0 THEN {n} END AS {n}, {n}_state" for n in _PARTS.values())
+    + ", CASE WHEN len(list_filter(s, lambda x: x <> 'error')) = 0 THEN 'error' WHEN list_contains(s, 'error') OR list_contains(s, 'stale') THEN 'stale' WHEN list_contains(s, 'cached') THEN 'cached' ELSE 'live' END AS freshness FROM g"
+)
+
+
+@query("set_join_endpoints", _PARTS_SQL)
 def set_join_endpoints(spark, sf_dir):
-    parts = {"click": "fees", "view": "blocks", "signup": "height", "purchase": "mempool"}
-    p = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", list(parts)).agg(F.max("value"))
-    return p.select("user_id", *(C(k).alias(v) for k, v in parts.items()))
+    """Four endpoints' last answers folded into one row a user, each with its freshness; an answer that can't be read (every fifth number) is null."""
+    p = observations(spark, sf_dir).groupBy("user_id").pivot("event_type", list(_PARTS)).agg(F.max_by("k", "event_id"))
+    p = p.select("user_id", *(C(t).alias(n) for t, n in _PARTS.items()))
+    state = lambda c: F.when(c.isNull(), "error").when(c % 11 == 0, "stale").when(c % 3 == 0, "cached").otherwise("live")
+    p = p.withColumns({f"{n}_state": state(C(n)) for n in _PARTS.values()}).withColumn("s", F.array(*(f"{n}_state" for n in _PARTS.values())))
+    has = lambda v: F.array_contains("s", v)
+    fresh = F.when(F.forall("s", lambda x: x == "error"), "error").when(has("error") | has("stale"), "stale").when(has("cached"), "cached").otherwise("live")
+    return p.select("user_id", *(x for n in _PARTS.values() for x in (F.when(C(n) % 5 != 0, C(n)).alias(n), C(f"{n}_state"))), fresh.alias("freshness"))
 
 
 @query("set_unique_ordered", "SELECT user_id, array_to_string(list(kind ORDER BY f), ',') AS kinds FROM (SELECT user_id, kind, min(event_id) AS f FROM o GROUP BY ALL) GROUP BY user_id")
@@ -391,5 +439,3 @@ def set_merge_changes(spark, sf_dir):
     both = o.where("cursor % 2 = 0").unionByName(o.where("cursor % 2 = 1"))
     return both.groupBy("observation_id").agg(F.max("cursor").alias("cursor"))
 
-
-FILTERS = FILTER_KINDS

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions.lookup import severity_rank
-from ..functions.times import seconds_between
-from ..model import DECLARATION_OPEN_DAYS, DECLARATION_PADDING_HOURS, RULES
-from ..operators.joins import components, likeness_join, nearest, time_range_join, with_side
-from ..views import NOW, articles, latest_observations, members, observations, table
+from ..model import DECLARATION_OPEN_DAYS, DECLARATION_PADDING_HOURS, DECLARED_TYPES, MEDIA_KINDS, ROUTES, RULES, ZONES
+from ..operators.joins import checkpoint_dir, components, likeness_join, nearest, time_range_join, with_side
+from ..views import articles, latest_observations, members, observations, table
 from .registry import query
 from .scalars import sql_km
 
@@ -147,62 +148,98 @@ def cor_components(spark, sf_dir):
 # Relations between kinds
 
 
-def _related(o, left_kind, right_kinds, rule, left_columns=(), right_columns=()):
-    hours, km = RULES[rule]
-    a = with_side(o.where(C("kind") == left_kind).select("event_id", "event_at", "lon", "lat", *left_columns), "a_")
-    b = with_side(o.where(C("kind").isin(*right_kinds)).select("event_id", "event_at", "lon", "lat", *right_columns), "b_")
-    return time_range_join(a, b, "a_event_at", "b_event_at", hours, km=km)
+def _side(o, kinds, prefix, *columns):
+    return with_side(o.where(C("kind").isin(*kinds)).select("event_id", "event_at", "lon", "lat", *columns), prefix)
+
 
+def _routed(kind: str, *among: str) -> list[str]:
+    """Kinds that an arrival of `kind` is held against, of those asked for."""
+    return [k for k in ROUTES[kind] if k in among]
 
 
+def _related(o, left_kind, right_kinds, rule, left_columns=(), placeless: bool = False):
+    """Pairs within the rule's hours and kilometres; placeless ones may lack a place on either side."""
+    hours, km = RULES[rule]
+    a, b = _side(o, [left_kind], "a_", *left_columns), _side(o, right_kinds, "b_")
+    near = time_range_join(a, b, "a_event_at", "b_event_at", hours, km=km)
+    if not placeless:
+        return near
+    lost_a, lost_b = C("a_lat").isNull() | C("a_lon").isNull(), C("b_lat").isNull() | C("b_lon").isNull()
+    anywhere = time_range_join(a.where(lost_a), b, "a_event_at", "b_event_at", hours)
+    anywhere = anywhere.unionByName(time_range_join(a.where(~lost_a), b.where(lost_b), "a_event_at", "b_event_at", hours))
+    return near.unionByName(anywhere)
+
 
 def _pair():
     return [C("a_event_id").alias("source"), C("b_event_id").alias("target")]
 
 
+TSUNAMI_REL = f"SELECT a.event_id AS source, b.event_id AS target FROM l a JOIN l b ON a.kind = 'tsunami' AND b.kind = 'earthquake' AND {_H} <= 21600 AND {_KM} <= 1000"
 
 
-@query("rel_tsunami_quake", f"SELECT a.event_id AS source, b.event_id AS target FROM l a JOIN l b ON a.kind = 'tsunami' AND b.kind = 'earthquake' AND {_H} <= 21600 AND {_KM} <= 1000")
-def rel_tsunami_quake(spark, sf_dir):
-    return _related(_latest(spark, sf_dir), "tsunami", ["earthquake"], "tsunami_relation").select(*_pair())
+def tsunami_relations(o):
+    return _related(o, "tsunami", _routed("tsunami", "earthquake"), "tsunami_relation", placeless=True).select(*_pair())
 
 
+query("rel_tsunami_quake", TSUNAMI_REL)(lambda spark, sf_dir: tsunami_relations(_latest(spark, sf_dir)))
 _WEATHER = ("CONVECT", "THUNDER", "TURB", "ICING", "ICE", "HAIL", "SEV")
+AVIATION_REL = f"SELECT a.event_id AS source, b.event_id AS target FROM l a JOIN l b ON a.kind = 'aviation_hazard' AND ((b.kind = 'volcano' AND contains(a.hazard_type, 'VOLCAN') AND {_H} <= 172800 AND {_KM} <= 750) OR (b.kind = 'weather_alert' AND regexp_matches(a.hazard_type, 'CONVECT|THUNDER|TURB|ICING|ICE|HAIL|SEV') AND {_H} <= 21600 AND {_KM} <= 400))"
 
 
-@query("rel_aviation", f"SELECT a.event_id AS source, b.event_id AS target FROM l a JOIN l b ON a.kind = 'aviation_hazard' AND ((b.kind = 'volcano' AND contains(a.hazard_type, 'VOLCAN') AND {_H} <= 172800 AND {_KM} <= 750) OR (b.kind = 'weather_alert' AND regexp_matches(a.hazard_type, 'CONVECT|THUNDER|TURB|ICING|ICE|HAIL|SEV') AND {_H} <= 21600 AND {_KM} <= 400))")
-def rel_aviation(spark, sf_dir):
-    o = _latest(spark, sf_dir)
+def aviation_relations(o):
     hazard = F.upper(C("a_hazard_type"))
-    ash = _related(o, "aviation_hazard", ["volcano"], "aviation_ash", ["hazard_type"]).where(hazard.contains("VOLCAN") | F.trim(hazard).isin("VA", "ASH"))
-    weather = _related(o, "aviation_hazard", ["weather_alert"], "aviation_weather", ["hazard_type"]).where(hazard.rlike("|".join(_WEATHER)))
+    ash = _related(o, "aviation_hazard", _routed("aviation_hazard", "volcano"), "aviation_ash", ["hazard_type"]).where(hazard.contains("VOLCAN") | F.trim(hazard).isin("VA", "ASH"))
+    weather = _related(o, "aviation_hazard", _routed("aviation_hazard", "weather_alert"), "aviation_weather", ["hazard_type"]).where(hazard.rlike("|".join(_WEATHER)))
     return ash.select(*_pair()).unionByName(weather.select(*_pair()))
 
 
+query("rel_aviation", AVIATION_REL)(lambda spark, sf_dir: aviation_relations(_latest(spark, sf_dir)))
 _COVER = f"(SELECT *, {_TOK.format('headline')} AS t FROM l WHERE kind {{}} 'news_item')"
+COVERAGE_REL = f"SELECT a.event_id AS source, b.event_id AS target FROM {_COVER.format('=')} a JOIN {_COVER.format('<>')} b ON {_H} <= 129600 AND len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.5"
+
 
+def coverage_relations(o):
+    """Reports and what they report on. Titles are compared as distinct token sets, rows meet on time slots and title."""
+    hours, least = RULES["coverage"]
+    said = o.select("event_id", "event_at", "kind", F.array_sort(F.array_distinct(text.title_tokens(C("headline")))).alias("tokens")).where(F.size("tokens") > 0)
+    said = said.withColumn("title", F.sha2(F.array_join("tokens", " "), 256))
+    media = C("kind").isin(*MEDIA_KINDS)
+    titles = [said.where(c).select(C("title").alias(f"{p}title"), "tokens").distinct() for c, p in ((media, "a_"), (~media, "b_"))]
+    alike = likeness_join(titles[0], titles[1], "a_title", "tokens", "b_title", "tokens", least).select("a_title", C("b_title").alias("other"))
+    a, b = with_side(said.where(media).drop("tokens"), "a_"), with_side(said.where(~media).drop("tokens"), "b_")
+    return time_range_join(a.join(alike, "a_title"), b, "a_event_at", "b_event_at", hours, keys=[("other", "b_title")]).select(*_pair())
 
-@query("rel_coverage", f"SELECT a.event_id AS source, b.event_id AS target FROM {_COVER.format('=')} a JOIN {_COVER.format('<>')} b ON {_H} <= 129600 AND len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.25")
-def rel_coverage(spark, sf_dir):
-    """Media that report on another incident; a lower likeness than the rule's own, so that these data hold some."""
-    o = _latest(spark, sf_dir).select("event_id", "event_at", "kind", text.title_tokens(C("headline")).alias("tokens"))
-    media, other = o.where("kind = 'news_item'"), o.where("kind <> 'news_item'")
-    alike = likeness_join(media.withColumnRenamed("event_id", "source"), other.withColumnRenamed("event_id", "target"), "source", "tokens", "target", "tokens", 0.25)
-    times = alike.join(media.select(C("event_id").alias("source"), C("event_at").alias("a_at")), "source").join(other.select(C("event_id").alias("target"), C("event_at").alias("b_at")), "target")
-    return times.where(F.abs(seconds_between(C("a_at"), C("b_at"))) <= RULES["coverage"][0] * 3600).select("source", "target")
 
+query("rel_coverage", COVERAGE_REL)(lambda spark, sf_dir: coverage_relations(_latest(spark, sf_dir)))
+_AREA = "array_to_string(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+'), lambda w: w NOT IN ('county','parish','borough','census','area','municipality','city','and','of','a','an','at','for','in','on','the','to','update')), ' ')"
+_TYPED = "CASE WHEN contains(i, 'EARTHQUAKE') THEN ['earthquake'] WHEN regexp_matches(i, 'HURRICANE|TROPICAL STORM|TYPHOON') THEN ['tropical_cyclone'] WHEN contains(i, 'TSUNAMI') THEN ['tsunami'] WHEN contains(i, 'VOLCAN') THEN ['volcano'] WHEN contains(i, 'FIRE') THEN ['wildfire'] WHEN regexp_matches(i, 'SEVERE STORM|FLOOD|TORNADO|SNOW|FREEZ|DROUGHT') THEN ['weather_alert','natural_event','disaster'] ELSE [] END"
+DECLARATION_REL = f"SELECT d.event_id AS source, t.event_id AS target FROM (SELECT *, {_TYPED} AS kinds, {_AREA.format('declared_area')} AS area FROM (SELECT *, upper(incident_type) AS i FROM l WHERE kind = 'disaster_declaration')) d JOIN (SELECT *, {_AREA.format('location_name')} AS area FROM l) t ON list_contains(d.kinds, t.kind) AND list_contains(list_transform(string_split(concat(t.state_code, ',', t.state_codes), ','), lambda x: upper(trim(x))), d.state_code) AND (d.declared_area = '' OR contains(lower(d.declared_area), 'statewide') OR (d.area <> '' AND t.area <> '' AND contains(t.area, d.area))) AND epoch_us(t.event_at) BETWEEN epoch_us(d.event_at) - {DECLARATION_PADDING_HOURS * 3600}000000 AND CASE WHEN d.expires_at IS NOT NULL THEN epoch_us(d.expires_at) + {DECLARATION_PADDING_HOURS * 3600}000000 ELSE epoch_us(d.event_at) + {DECLARATION_OPEN_DAYS * 86400}000000 END"
 
-@query("rel_declaration", f"SELECT d.event_id AS source, t.event_id AS target FROM l d JOIN l t ON d.kind = 'disaster_declaration' AND t.kind IN ('wildfire','weather_alert','tropical_cyclone','tsunami','volcano','earthquake') AND d.state_code = t.state_code AND CASE d.k % 4 WHEN 0 THEN t.kind = 'wildfire' WHEN 1 THEN t.kind = 'weather_alert' WHEN 2 THEN t.kind = 'tropical_cyclone' ELSE t.kind = 'earthquake' END AND epoch_us(t.event_at) BETWEEN epoch_us(d.event_at) - {DECLARATION_PADDING_HOURS * 3600}000000 AND CASE WHEN d.expires_at IS NOT NULL THEN epoch_us(d.expires_at) + {DECLARATION_PADDING_HOURS * 3600}000000 ELSE epoch_us(d.event_at) + {DECLARATION_OPEN_DAYS * 86400}000000 END")
-def rel_declaration(spark, sf_dir):
-    """Interval join: same state, a kind that the declared type allows, a moment within the padded validity."""
-    o = _latest(spark, sf_dir)
-    allowed = F.element_at(F.array(F.lit("wildfire"), F.lit("weather_alert"), F.lit("tropical_cyclone"), F.lit("earthquake")), (C("k") % 4 + 1).cast("int"))
+
+def declaration_relations(o):
+    """Interval join: one of the target's states, its area inside the declared one, a kind that the declared type allows, a moment within the padded validity."""
+    declared = F.upper("incident_type")
+    allowed = F.array().cast("array<string>")
+    for words, kinds in reversed(DECLARED_TYPES):
+        allowed = F.when(declared.rlike("|".join(words)), F.array(*map(F.lit, kinds))).otherwise(allowed)
     pad = DECLARATION_PADDING_HOURS * 3600 * 1_000_000
     begin = F.unix_micros("event_at")
     until = F.when(C("expires_at").isNotNull(), F.unix_micros("expires_at") + pad).otherwise(begin + DECLARATION_OPEN_DAYS * 86400 * 1_000_000)
-    d = o.where("kind = 'disaster_declaration'").select(C("event_id").alias("source"), "state_code", allowed.alias("kind"), (begin - pad).alias("since"), until.alias("until"))
-    t = o.select(C("event_id").alias("target"), "state_code", "kind", F.unix_micros("event_at").alias("at"))
-    return d.join(t, ["state_code", "kind"]).where(C("at").between(C("since"), C("until"))).select("source", "target")
+    d = o.where("kind = 'disaster_declaration'").select(
+        C("event_id").alias("source"), F.upper("state_code").alias("state"), F.explode(allowed).alias("kind"), (begin - pad).alias("since"), until.alias("until"),
+        F.coalesce("declared_area", F.lit("")).alias("declared"), text.normalized_area(F.coalesce("declared_area", F.lit(""))).alias("declared_name"),
+    )
+    states = F.transform(F.split(F.concat_ws(",", "state_code", "state_codes"), ","), lambda x: F.upper(F.trim(x)))
+    t = o.where(C("kind").isin(*ROUTES["disaster_declaration"])).select(
+        C("event_id").alias("target"), F.explode(F.array_distinct(F.filter(states, lambda x: x != ""))).alias("state"), "kind", F.unix_micros("event_at").alias("at"),
+        text.normalized_area(F.coalesce("location_name", F.lit(""))).alias("name"),
+    )
+    whole = (C("declared") == "") | F.contains(F.lower("declared"), F.lit("statewide"))
+    inside = (C("declared_name") != "") & (C("name") != "") & F.contains("name", "declared_name")
+    return d.join(t, ["state", "kind"]).where(C("at").between(C("since"), C("until")) & (whole | inside)).select("source", "target")
+
+
+query("rel_declaration", DECLARATION_REL)(lambda spark, sf_dir: declaration_relations(_latest(spark, sf_dir)))
 
 
 @query("rel_representative", "SELECT incident_id, arg_max(event_id, {'a': coalesce(source_updated_at, event_at, ingested_at), 'b': observation_id}) AS event_id FROM m GROUP BY incident_id")
@@ -230,25 +267,19 @@ def nearest_station(spark, sf_dir):
 
 
 def thinned(df, per: str, least_km: float, most: int):
-    """Greedy choice in order of rank: a point goes if one already kept lies within least_km; at most `most` of each group stay."""
-    import pandas as pd
+    """Greedy choice in order of rank: a point goes if one already kept lies within least_km; at most `most` of each group stay.
 
-    def keep(part: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        part = part.sort_values(["rank", "id"])
-        kept: list[int] = []
-        lon, lat = np.radians(part.lon.to_numpy("f8")), np.radians(part.lat.to_numpy("f8"))
-        for i in range(len(part)):
-            if len(kept) == most:
-                break
-            a = np.sin((lat[kept] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[kept]) * np.sin((lon[kept] - lon[i]) / 2) ** 2
-            if not (2 * 6371.0088 * np.arcsin(np.minimum(1, np.sqrt(a))) <= least_km).any():
-                kept.append(i)
-        return part.iloc[kept][[per, "id"]]
-
-    kind = dict(df.dtypes)
-    return df.select(per, "id", "rank", "lon", "lat").groupBy(per).applyInPandas(keep, f"{per} {kind[per]}, id {kind['id']}")
+    A round takes the first point left in each group, by a partial aggregate, and drops what lies near it, so no task
+    holds a group.
+    """
+    checkpoint_dir(df.sparkSession)
+    left, kept = df.select(per, "id", "rank", "lon", "lat").checkpoint(), None
+    for _ in range(most):
+        first = left.groupBy(per).agg(F.min_by(F.struct("id", "lon", "lat"), F.struct("rank", "id")).alias("f")).select(per, "f.*").checkpoint()
+        kept = first if kept is None else kept.union(first)
+        near = first.select(per, C("lon").alias("k_lon"), C("lat").alias("k_lat"))
+        left = left.join(near, per).where(geo.haversine_km(C("lon"), C("lat"), C("k_lon"), C("k_lat")) > least_km).drop("k_lon", "k_lat").checkpoint()
+    return kept.select(per, "id")
 
 
 @query("join_coastal_context")
@@ -308,39 +339,14 @@ def prediction_anomaly(spark, sf_dir):
     return e.where("event_type = 'click'").join(said, ["user_id", "t"], "left").select("event_id", F.round(C("value") - C("expected"), 4).alias("anomaly"))
 
 
-#: Zone names and the words that place an article there; a stand-in for the geographic table, over the invented prose.
-ZONES = (("North", ("thth", "wher")), ("South", ("erer", "nder")), ("East", ("über", "ung ")), ("West", ("ción", "que ")), ("Middle", ("éa", "elle")))
-_ZONE_SQL = ", z AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{'|'.join(k)}')" for n, k in ZONES) + ") AS t(zone, pattern)), hit AS (SELECT z.zone, art.* FROM art JOIN z ON regexp_matches(lower(concat(title, ' ', summary)), z.pattern))\n"
+_ZONE_SQL = ", z AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}')" for n, k in ZONES.items()) + ") AS t(zone, words)), hit AS (SELECT z.zone, art.* FROM art JOIN z ON len(list_filter(string_split(z.words, '|'), lambda w: contains(lower(concat(title, ' ', summary)), w))) > 0)\n"
 
 
 def zone_hits(spark, sf_dir):
-    said = F.lower(F.concat_ws(" ", "title", "summary"))
-    named = F.array_compact(F.array(*(F.when(said.rlike("|".join(k)), F.lit(n)) for n, k in ZONES)))
-    return articles(spark, sf_dir).withColumn("zone", F.explode(named))
+    """Articles with each zone that one of whose words stands in title or text."""
+    said = C("said")
+    named = F.array_compact(F.array(*(F.when(reduce(lambda x, y: x | y, (F.contains(said, F.lit(w)) for w in k.split("|"))), F.lit(n)) for n, k in ZONES.items())))
+    return articles(spark, sf_dir).withColumn("said", F.lower(F.concat_ws(" ", "title", "summary"))).withColumn("zone", F.explode(named)).drop("said")
 
 
 query("join_hotspot_zones", _ZONE_SQL + "SELECT zone, doc_id FROM hit")(lambda spark, sf_dir: zone_hits(spark, sf_dir).select("zone", "doc_id"))
-
-
-@query("join_related_detail", _PAIRS + "SELECT a AS node, b AS other FROM (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs) QUALIFY row_number() OVER (PARTITION BY a ORDER BY b) <= 10")
-def related_detail(spark, sf_dir):
-    p = correlated_pairs(_latest(spark, sf_dir))
-    both = p.select("a", "b").union(p.select("b", "a")).distinct()
-    return both.withColumn("rn", F.row_number().over(W.partitionBy("a").orderBy("b"))).where("rn <= 10").select(C("a").alias("node"), C("b").alias("other"))
-
-
-@query("join_orphans", "SELECT DISTINCT incident_id FROM m WHERE incident_id NOT IN (SELECT incident_id FROM m WHERE provider_id <> 'prov_1')")
-def orphans(spark, sf_dir):
-    """Incidents that lose all evidence when one provider's observations go."""
-    m = members(observations(spark, sf_dir)).select("incident_id", "provider_id")
-    return m.select("incident_id").distinct().join(m.where("provider_id <> 'prov_1'").select("incident_id"), "incident_id", "left_anti")
-
-
-@query("join_dangling_relations", _PAIRS + "SELECT DISTINCT a AS source FROM pairs WHERE b IN (SELECT event_id FROM l WHERE k % 10 = 0)")
-def dangling_relations(spark, sf_dir):
-    o = _latest(spark, sf_dir)
-    gone = o.where("k % 10 = 0").select(C("event_id").alias("b"))
-    return correlated_pairs(o).join(gone, "b", "left_semi").select(C("a").alias("source")).distinct()
-
-
-JOIN_NOW = NOW

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, lookup, text, times
-from ..model import CONFLICT_WORDS, FILTER_KINDS, SEVERITY_POINTS, TAXONOMY
+from ..model import FILTER_KINDS, SEVERITY_POINTS, TAXONOMY
 from ..views import NOW, articles, observations, table
 from .registry import query
 
@@ -19,6 +19,7 @@ def _now():
 
 
 _TOKENS = "list_filter(regexp_extract_all(lower(strip_accents({})), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','at','for','in','of','on','the','to','update'))"
+_FOLDED = "strip_accents(replace(title, chr(223), ''))"
 _ASCII = "regexp_replace({}, '[^\\x00-\\x7F]', '', 'g')"
 
 
@@ -120,9 +121,9 @@ def panel_level(spark, sf_dir):
     return n.select("kind", "n", *(F.when(C("n") > a, "hot").when(C("n") > b, "warn").otherwise("ok").alias(p) for p, (a, b) in _LEVELS.items()))
 
 
-@query("fn_norm_title", f"SELECT doc_id, array_to_string({_TOKENS.format(_ASCII.format('strip_accents(replace(title, chr(223), chr(32)))'))}, ' ') AS title FROM art")
+@query("fn_norm_title", f"SELECT doc_id, array_to_string({_TOKENS.format(_ASCII.format(_FOLDED))}, ' ') AS title FROM art")
 def norm_title(spark, sf_dir):
-    return articles(spark, sf_dir).select("doc_id", text.normalized_title(F.replace("title", F.lit("ß"), F.lit(" "))).alias("title"))
+    return articles(spark, sf_dir).select("doc_id", text.normalized_title(C("title")).alias("title"))
 
 
 @query("fn_norm_area", "SELECT event_id, array_to_string(list_filter(regexp_extract_all(lower(coalesce(location_name, '')), '[a-z0-9]+'), lambda w: w NOT IN ('county','parish','borough','census','area','municipality','city','and','of','a','an','at','for','in','on','the','to','update')), ' ') AS area FROM o")
@@ -135,7 +136,7 @@ def jaccard(spark, sf_dir):
     return _obs(spark, sf_dir).select("event_id", F.round(text.jaccard(text.title_tokens(C("headline")), text.title_tokens(C("summary"))), 6).alias("likeness"))
 
 
-_UNESCAPE = "replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+_UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 
 
 @query("fn_clean_markup", f"SELECT page_id, substr(trim(regexp_replace(regexp_replace({_UNESCAPE}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 4000) AS plain FROM pages")
@@ -181,17 +182,15 @@ _FRESH = "CASE WHEN bool_and(s = 'error') THEN 'error' WHEN bool_or(s IN ('error
 _STATE = "CASE k % 11 WHEN 0 THEN 'error' WHEN 1 THEN 'stale' WHEN 2 THEN 'cached' ELSE 'live' END"
 
 
-@query("fn_combine_freshness", f"SELECT user_id, {_FRESH} AS state FROM (SELECT user_id, {_STATE} AS s FROM o WHERE event_id % 5 = 0) GROUP BY user_id")
+@query("fn_combine_freshness", f"SELECT user_id, {_FRESH} AS state FROM (SELECT user_id, {_STATE} AS s FROM o) GROUP BY user_id")
 def combine_freshness(spark, sf_dir):
     s = _obs(spark, sf_dir).select("user_id", F.expr(_STATE).alias("s"))
     every, some = F.bool_and(C("s") == "error"), lambda *v: F.bool_or(C("s").isin(*v))
     return s.groupBy("user_id").agg(F.when(every, "error").when(some("error", "stale"), "stale").when(some("cached"), "cached").otherwise("live").alias("state"))
 
 
-@query("fn_worst_freshness", f"SELECT user_id, (['live','cached','stale','error'])[max(CASE s WHEN 'live' THEN 1 WHEN 'cached' THEN 2 WHEN 'stale' THEN 3 ELSE 4 END)] AS state FROM (SELECT user_id, {_STATE} AS s FROM o WHERE event_id % 5 = 0) GROUP BY user_id")
+@query("fn_worst_freshness", f"SELECT user_id, (['live','cached','stale','error'])[max(CASE s WHEN 'live' THEN 1 WHEN 'cached' THEN 2 WHEN 'stale' THEN 3 ELSE 4 END)] AS state FROM (SELECT user_id, {_STATE} AS s FROM o) GROUP BY user_id")
 def worst_freshness(spark, sf_dir):
     s = _obs(spark, sf_dir).select("user_id", F.expr(_STATE).alias("s"))
     return s.groupBy("user_id").agg(F.max_by("s", lookup.rank(C("s"), ("error", "stale", "cached", "live"))).alias("state"))
 
-
-CONFLICT = CONFLICT_WORDS

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions.lookup import severity_rank
-from ..streaming.streams import changed_only, correlate_batches, dedupe_keys, event_stream, failure_events, for_each_batch, recent, run_available, shared_folder
-from ..views import observations
+from ..model import RULES
+from ..streaming.streams import changed_only, correlate_batches, dedupe_keys, event_stream, failure_events, for_each_batch, recent, resolved_labels, run_available, shared_folder
+from ..views import as_observations
 from .joins import _QUAKE_SQL, _REGION_SQL, _SEV, quake_pairs, watch_matches, watch_regions
 from .registry import query
 from .scalars import sql_km
@@ -21,7 +24,9 @@ def _stream(spark, sf_dir):
 
 @query("str_upsert_dedupe", "SELECT user_id, event_id, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id)")
 def str_upsert_dedupe(spark, sf_dir):
-    return run_available(changed_only(_stream(spark, sf_dir), "user_id", "event_type", "event_id"))
+    """State goes sixty days after a key was last seen."""
+    s = _stream(spark, sf_dir).withColumn("ts", C("ts").cast("timestamp"))
+    return run_available(changed_only(s, "user_id", "event_type", "event_id", at="ts", keep_ms=60 * 86_400_000))
 
 
 @query("str_dedupe_keys", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
@@ -48,22 +53,21 @@ def str_health(spark, sf_dir):
 
 @query("str_change_feed", "SELECT event_id AS cursor, user_id FROM events WHERE event_id > 400")
 def str_change_feed(spark, sf_dir):
-    """The checkpoint is the cursor; what a consumer has seen before is filtered by its own."""
-    return run_available(_stream(spark, sf_dir).where("event_id > 400").select(C("event_id").alias("cursor"), "user_id"))
+    """The checkpoint is the cursor: it has a name of its own, so the next run goes on after the last row that this one gave out."""
+    name = "change-feed-" + hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    return run_available(_stream(spark, sf_dir).where("event_id > 400").select(C("event_id").alias("cursor"), "user_id"), name=name)
 
 
 @query("str_notify", _REGION_SQL + f"SELECT r.region, o.event_id FROM r JOIN o ON r.enabled AND {_SEV} >= greatest(r.least, 2) AND contains(lower(concat(headline, ' ', summary)), 'site') AND (r.worldwide OR {sql_km('r_lon', 'r_lat', 'slon', 'slat')} <= radius)")
 def str_notify(spark, sf_dir):
-    """Stream-static join with the watch regions."""
+    """Stream-static join with the watch regions; the stream brings all columns of the observations with it."""
     regions = watch_regions(spark, sf_dir)
-    o = observations(spark, sf_dir)
-    wanted = o.where(severity_rank(C("severity")) >= 2).select("event_id", "headline", "summary", "severity", "slon", "slat")
-    live = _stream(spark, sf_dir).select("event_id")
+    live = as_observations(_stream(spark, sf_dir)).where(severity_rank(C("severity")) >= 2).select("event_id", "headline", "summary", "severity", "slon", "slat")
     base = shared_folder(spark)
     got: list = []
 
     def step(batch, n):
-        watch_matches(batch.join(wanted, "event_id"), regions).select("region", "event_id").write.mode("overwrite").parquet(f"{base}/batch={n}")
+        watch_matches(batch, regions).select("region", "event_id").write.mode("overwrite").parquet(f"{base}/batch={n}")
         got.append(n)
 
     for_each_batch(live, step)
@@ -72,13 +76,15 @@ def str_notify(spark, sf_dir):
 
 @query("str_correlate", f", pairs AS ({_QUAKE_SQL}), both_ AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (WITH RECURSIVE r(node, c) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT both_.b, r.c FROM r JOIN both_ ON both_.a = r.node WHERE r.c < both_.b) SELECT node, min(c) AS c FROM r GROUP BY node) SELECT node, c AS component FROM reach")
 def str_correlate(spark, sf_dir):
-    """Earthquake components, kept up batch by batch."""
-    quakes = observations(spark, sf_dir).where("kind = 'earthquake'").select("event_id", "observation_id", "event_at", "lon", "lat", "kind")
+    """Earthquake components, kept up batch by batch; cells are quarters of an hour, each row lies in its own and both beside it."""
+    live = as_observations(_stream(spark, sf_dir)).where("kind = 'earthquake'").select("event_id", "observation_id", "event_at", "lon", "lat", "kind")
+    slot = F.floor(F.unix_seconds("event_at") / int(RULES["earthquake"][0] * 3600))
     base, got = shared_folder(spark), []
+    correlate = correlate_batches(quake_pairs, F.array(slot - 1, slot, slot + 1), base)
 
     def step(batch, n):
-        correlate_batches(quake_pairs, base)(batch.join(quakes, "event_id"), n)
+        correlate(batch, n)
         got.append(n)
 
-    for_each_batch(_stream(spark, sf_dir).select("event_id"), step)
-    return spark.read.schema("node long, component long").parquet(*[f"{base}/components/batch={n}" for n in got])
+    for_each_batch(live, step)
+    return resolved_labels(spark, base, got)

@@ -9,19 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import components
+from ..operators.joins import checkpoint_dir, components
 
 C = F.col
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
-    import tempfile
-
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigilframe-"))
-    return f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession, name: str | None = None) -> str:
+    """A folder under spark.checkpoint.dir: of that name, the same in every session, so that a stream goes on where it stopped, or a new one."""
+    checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) if name else None
+    return f"{base or spark.sparkContext.getCheckpointDir()}/stream-{name or uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +27,10 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there, into Parquet, and reads the result."""
+def run_available(stream: DataFrame, mode: str = "append", name: str | None = None) -> DataFrame:
+    """Runs a stream over what is there, into Parquet, and reads the result. Under a name it goes on from its own checkpoint the next time."""
     spark = stream.sparkSession
-    base = shared_folder(spark)
+    base = shared_folder(spark, name)
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -49,19 +46,30 @@ def dedupe_keys(stream: DataFrame, keys: list[str], at: str, keep: str) -> DataF
     return stream.withWatermark(at, keep).dropDuplicatesWithinWatermark(keys)
 
 
-def changed_only(stream: DataFrame, key: str, digest: str, order: str) -> DataFrame:
-    """Rows whose digest differs from the last one seen under their key; state is one digest a key."""
+def changed_only(stream: DataFrame, key: str, digest: str, order: str, at: str | None = None, keep_ms: int = 0) -> DataFrame:
+    """Rows whose digest differs from the last one seen under their key; state is one digest a key.
+
+    With a moment `at`, a key's state goes keep_ms after its last row, by the watermark, which lags as much behind.
+    """
     schema = stream.select(key, order, digest).schema
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(order)
         before = rows[digest].shift()
         before.iloc[0] = last
         state.update((rows[digest].iloc[-1],))
+        if at:
+            state.setTimeoutTimestamp(max(int(rows[at].max().timestamp() * 1000) + keep_ms, state.getCurrentWatermarkMs() + 1))
         yield rows[rows[digest] != before][[key, order, digest]]
 
-    return stream.select(key, order, digest).groupBy(key).applyInPandasWithState(step, schema, f"{digest} string", "append", "NoTimeout")
+    if at:
+        stream = stream.withWatermark(at, f"{keep_ms} milliseconds")
+    rows = stream.select(key, order, digest, *([at] if at else []))
+    return rows.groupBy(key).applyInPandasWithState(step, schema, f"{digest} string", "append", "EventTimeTimeout" if at else "NoTimeout")
 
 
 def failure_events(polls: DataFrame, opens_at: int = 3) -> DataFrame:
@@ -96,15 +104,50 @@ def recent(stream: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return stream.select(key, order).groupBy(key).applyInPandasWithState(step, f"{key} long, recent array<long>", "recent array<long>", "update", "NoTimeout")
 
 
-def correlate_batches(pairs_of, base: str):
-    """foreachBatch: each batch's rows meet the evidence kept so far, and the touched components are written anew as a version of their own."""
+def correlate_batches(pairs_of, cell_of, base: str):
+    """foreachBatch: each batch's rows meet only the evidence in the cells they can match, and only the components they touch get new labels.
+
+    cell_of is an array expression, all cells that a row may match others in; pairs_of(rows) gives links (a, b). A
+    label names the smallest node known when it was written; what a later batch merges is a label of that node, so
+    labels are followed to their end. resolved_labels() does so for all.
+    """
+    done: list[int] = []
+
+    def kept(spark, kind: str, schema) -> DataFrame | None:
+        paths = [f"{base}/{kind}/batch={k}" for k in done]
+        return spark.read.schema(schema).option("basePath", f"{base}/{kind}").parquet(*paths) if paths else None
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{base}/evidence/batch={number}")
-        evidence = spark.read.schema(batch.schema).parquet(*[f"{base}/evidence/batch={k}" for k in range(number + 1)])
-        found = components(pairs_of(evidence), "a", "b")
-        touched = found.join(batch.select(C("event_id").alias("node")), "node").select("component").distinct()
-        found.join(touched, "component", "left_semi").select("node", "component").write.mode("overwrite").parquet(f"{base}/components/batch={number}")
+        if number in done:
+            done.remove(number)
+        part = batch.withColumn("cell", F.explode(cell_of)).withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(PARTS)).cast("int"))
+        part.write.mode("overwrite").partitionBy("part").parquet(f"{base}/evidence/batch={number}")
+        new = spark.read.schema(part.schema).parquet(f"{base}/evidence/batch={number}")
+        rows, old = new.drop("cell", "part"), kept(spark, "evidence", part.schema)
+        if old is not None:
+            touched = [r.part for r in new.select("part").distinct().collect()]  # PARTS at most
+            near = old.where(C("part").isin(touched)).join(new.select("cell").distinct(), "cell", "left_semi")
+            rows = rows.unionByName(near.drop("cell", "part"))
+        links = pairs_of(rows.distinct()).select("a", "b").checkpoint()
+        labels = kept(spark, "labels", "node long, component long")
+        ends = links.select(C("a").alias("node")).union(links.select("b")).distinct()
+        while labels is not None:
+            more = labels.join(ends, "node", "left_semi").where("node <> component").select("node", "component").distinct().checkpoint()
+            links, ends = links.union(more), more.select(C("component").alias("node")).distinct()
+            if more.isEmpty():
+                break
+        components(links, "a", "b").write.mode("overwrite").parquet(f"{base}/labels/batch={number}")
+        done.append(number)
 
     return step
+
+
+def resolved_labels(spark: SparkSession, base: str, numbers: list[int]) -> DataFrame:
+    """(node, component) after the batches of these numbers."""
+    labels = spark.read.schema("node long, component long").parquet(*[f"{base}/labels/batch={n}" for n in numbers])
+    return components(labels, "node", "component")
+
+
+#: Parts that evidence and labels are kept in.
+PARTS = 64

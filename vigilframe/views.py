@@ -26,7 +26,7 @@ _STATUS = "CASE k % 10 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'ended' WHEN 2 THEN '
 _LON = "greatest(-180.0, least(180.0, (site * 5077 % 36001) / 100.0 - 180 + ((event_id % 11) - 5) * 0.1))"
 _LAT = "(site * 2909 % 12001) / 100.0 - 60 + ((event_id % 7) - 3) * 0.1"
 _HAZARD = "CASE k % 5 WHEN 0 THEN 'CONVECTIVE' WHEN 1 THEN 'TURB' WHEN 2 THEN 'ICING' WHEN 3 THEN 'VOLCANIC ASH' ELSE 'MTN WAVE' END"
-_HEADLINE = """CASE WHEN event_type = 'purchase' THEN concat('Hazard at the site H', site) WHEN event_type = 'view' THEN concat('Report of flood and storm number ', user_id % 12, ' near site ', site)
+_HEADLINE = """CASE WHEN event_type = 'purchase' THEN concat('Hazard at the site H', site) WHEN event_type = 'error' THEN concat('Flood warning number ', user_id % 12, ' site ', site) WHEN event_type = 'view' THEN concat('Report of flood and storm number ', user_id % 12, ' near site ', site)
  ELSE concat(event_type, ' update for user ', user_id) END"""
 #: Columns that read alike in both dialects.
 _COLUMNS = {
@@ -48,6 +48,9 @@ _COLUMNS = {
     "relation_candidate": "concat('T', user_id % 20)",
     "hazard_type": _HAZARD,
     "state_code": "concat('ST', user_id % 25)",
+    "state_codes": "concat('ST', user_id % 25, ', st', k % 25)",
+    "declared_area": "CASE k % 4 WHEN 0 THEN 'Statewide' WHEN 1 THEN '' ELSE concat('Site ', site, ' (County)') END",
+    "incident_type": "CASE k % 7 WHEN 0 THEN 'Earthquake' WHEN 1 THEN 'Hurricane' WHEN 2 THEN 'Tsunami' WHEN 3 THEN 'Volcanic Eruption' WHEN 4 THEN 'Wild Fire' WHEN 5 THEN 'Severe Storm(s)' ELSE 'Chemical' END",
 }
 #: Columns of moments: name, minutes after ts, condition.
 _MOMENTS = {"event_at": ("0", "true"), "effective_at": ("0", "true"), "source_updated_at": ("(event_id % 7)", "event_id % 3 = 0"), "ingested_at": ("5", "true"), "expires_at": ("k * 60", "k % 7 <> 0")}
@@ -55,7 +58,12 @@ _MOMENTS = {"event_at": ("0", "true"), "effective_at": ("0", "true"), "source_up
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each version of each observation."""
-    e = table(spark, sf_dir, "events").select(
+    return as_observations(table(spark, sf_dir, "events"))
+
+
+def as_observations(events: DataFrame) -> DataFrame:
+    """Events, a table or a stream, as versions of observations."""
+    e = events.select(
         "event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("int").alias("k"), (F.col("user_id") % 8).alias("site")
     )
     moments = {n: F.expr(f"CASE WHEN {c} THEN timestamp_micros(unix_micros(ts) + CAST({m} AS BIGINT) * 60000000) END") for n, (m, c) in _MOMENTS.items()}
@@ -75,13 +83,18 @@ def members(o: DataFrame) -> DataFrame:
     return latest_observations(o).withColumn("incident_id", F.concat_ws(":", F.lit("incident"), "kind", F.col("site").cast("string")))
 
 
+#: The last line of an article: what it is about and where, since the invented prose names no topics and places.
+_TOPIC = "CASE doc_id % 6 WHEN 0 THEN 'Ceasefire talks resume' WHEN 1 THEN 'Drone strike reported' WHEN 2 THEN 'Harvest figures out' WHEN 3 THEN 'Troops and insurgents move' WHEN 4 THEN 'Insurgency eases' ELSE 'Protest against the junta' END"
+_WHERE = "CASE doc_id % 13 WHEN 0 THEN 'Kyiv' WHEN 1 THEN 'Gaza' WHEN 2 THEN 'South Sudan' WHEN 3 THEN 'Taipei' WHEN 4 THEN 'Bamako in Mali' WHEN 5 THEN 'Seoul' WHEN 6 THEN 'Tijuana' WHEN 7 THEN 'Kashmir' WHEN 8 THEN 'Lima' WHEN 9 THEN 'Oslo' WHEN 10 THEN 'Port-au-Prince' WHEN 11 THEN 'Niger' ELSE 'Belgrade' END"
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed articles out of documents: the first line is the title, the whole text the summary."""
+    """Feed articles out of documents: the first line is the title, the whole text with a last line of topic and place the summary."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         "doc_id",
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
-        F.col("text").alias("summary"),
+        F.expr(f"text || ' ' || {_TOPIC} || ' in ' || {_WHERE}").alias("summary"),
         F.concat(F.lit("feed_"), (F.col("doc_id") % 3).cast("string")).alias("src"),
         (F.lit(1706702400) - F.col("doc_id") * 97 % 200000).alias("ts"),
     )
@@ -97,6 +110,6 @@ SQL = f"""WITH e AS (
 ), l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY ingested_at DESC, event_id DESC) = 1
 ), m AS (SELECT *, concat('incident:', kind, ':', site) AS incident_id FROM l
 ), art AS (
- SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 120) AS title, substr(text, 1, 280) AS summary, concat('feed_', doc_id % 3) AS src, 1706702400 - doc_id * 97 % 200000 AS ts FROM documents
+ SELECT doc_id, split_part(text, chr(10), 1) AS title, text || ' ' || {_TOPIC} || ' in ' || {_WHERE} AS summary, concat('feed_', doc_id % 3) AS src, 1706702400 - doc_id * 97 % 200000 AS ts FROM documents
 )
 """

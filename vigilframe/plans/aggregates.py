@@ -83,11 +83,14 @@ _NOW_S = 1706702400
 
 @query("agg_hotspots", _ZONE_SQL + f", r AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY ts DESC, doc_id) AS n FROM hit) SELECT zone, count(*) AS n, round(sum(CASE WHEN n <= 10 THEN 1.0 / (1.0 + greatest(1.0, ({_NOW_S} - ts) / 3600.0) / 6.0) END), 2) AS score, arg_min(doc_id, n) AS latest, string_agg(CASE WHEN n <= 5 THEN CAST(doc_id AS VARCHAR) END, ',' ORDER BY n) AS recent FROM r GROUP BY zone")
 def agg_hotspots(spark, sf_dir):
+    """Zones by how often and how lately they are named: all hits are counted, only the newest ten of a zone are ordered."""
+    hits = zone_hits(spark, sf_dir).select("zone", "doc_id", "ts")
     w = W.partitionBy("zone").orderBy(F.desc("ts"), "doc_id")
-    r = zone_hits(spark, sf_dir).select("zone", "doc_id", "ts", F.row_number().over(w).alias("n"))
+    r = hits.withColumn("n", F.row_number().over(w)).where("n <= 10")
     weight = 1.0 / (1.0 + F.greatest(F.lit(1.0), (_NOW_S - C("ts")) / 3600.0) / 6.0)
     recent = F.transform(F.array_sort(F.collect_list(F.when(C("n") <= 5, F.struct("n", "doc_id")))), lambda x: x["doc_id"].cast("string"))
-    return r.groupBy("zone").agg(F.count("*").alias("n"), F.round(F.sum(F.when(C("n") <= 10, weight)), 2).alias("score"), F.min_by("doc_id", "n").alias("latest"), F.array_join(recent, ",").alias("recent"))
+    top = r.groupBy("zone").agg(F.round(F.sum(weight), 2).alias("score"), F.min_by("doc_id", "n").alias("latest"), F.array_join(recent, ",").alias("recent"))
+    return hits.groupBy("zone").agg(F.count("*").alias("n")).join(top, "zone")
 
 
 _HEALTH = ", h AS (SELECT user_id % 14 AS provider, arg_max(event_type, event_id) AS last_event, max(event_id) AS seen_at FROM events GROUP BY ALL), st AS (SELECT provider, seen_at, CASE last_event WHEN 'error' THEN 'error' WHEN 'view' THEN 'cached' WHEN 'signup' THEN 'stale' ELSE 'live' END AS status FROM h)\n"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..functions.lookup import severity_rank
 from ..model import DECLARATION_OPEN_DAYS, DECLARATION_PADDING_HOURS, DECLARED_TYPES, MEDIA_KINDS, ROUTES, RULES, ZONES
+from ..functions.times import seconds_between
 from ..operators.joins import checkpoint_dir, components, likeness_join, nearest, time_range_join, with_side
 from ..views import articles, latest_observations, members, observations, table
 from .registry import query
@@ -102,15 +103,20 @@ def named_pairs(o):
     return pairs.where("a_event_id < b_event_id").where(d.isNull() | (d <= km)).select(C("a_event_id").alias("a"), C("b_event_id").alias("b"))
 
 
-def media_pairs(o):
-    m = o.where("kind in ('news_item', 'conflict_report', 'humanitarian_report')").select("event_id", "kind", "event_at", text.title_tokens(C("headline")).alias("tokens"))
-    hours, least = RULES["media"]
+def media_titles(o):
+    """Reports with their title, a hash of its distinct tokens, and the pairs of titles that are alike, each with itself and both ways."""
+    m = o.where(C("kind").isin(*MEDIA_KINDS)).select("event_id", "kind", "event_at", F.array_sort(F.array_distinct(text.title_tokens(C("headline")))).alias("tokens"))
+    m = m.where(F.size("tokens") > 0).withColumn("title", F.sha2(F.array_join("tokens", " "), 256))
     # Titles are joined as distinct token sets, so a headline that thousands share is compared once.
-    titles = m.select(F.array_sort(F.array_distinct("tokens")).alias("tokens")).where(F.size("tokens") > 0).distinct().withColumn("title", F.sha2(F.array_join("tokens", " "), 256))
-    alike = likeness_join(titles.withColumnRenamed("title", "a_title"), titles.withColumnRenamed("title", "b_title"), "a_title", "tokens", "b_title", "tokens", least)
-    keyed = m.where(F.size("tokens") > 0).withColumn("title", F.sha2(F.array_join(F.array_sort(F.array_distinct("tokens")), " "), 256))
-    a, b = with_side(keyed.drop("tokens"), "a_"), with_side(keyed.drop("tokens"), "b_")
-    pairs = time_range_join(a.join(alike.withColumnRenamed("b_title", "other"), "a_title"), b, "a_event_at", "b_event_at", hours, keys=[("other", "b_title"), ("a_kind", "b_kind")])
+    titles = m.select("title", "tokens").distinct()
+    alike = likeness_join(titles.withColumnRenamed("title", "a_title"), titles.withColumnRenamed("title", "b_title"), "a_title", "tokens", "b_title", "tokens", RULES["media"][1])
+    return m.drop("tokens"), alike
+
+
+def media_pairs(o):
+    m, alike = media_titles(o)
+    a, b = with_side(m, "a_"), with_side(m, "b_")
+    pairs = time_range_join(a.join(alike.withColumnRenamed("b_title", "other"), "a_title"), b, "a_event_at", "b_event_at", RULES["media"][0], keys=[("other", "b_title"), ("a_kind", "b_kind")])
     return pairs.where("a_event_id < b_event_id").select(C("a_event_id").alias("a"), C("b_event_id").alias("b"))
 
 
@@ -140,9 +146,42 @@ def correlated_pairs(o):
 query("cor_pairs", _PAIRS + "SELECT a, b, rule FROM pairs")(lambda spark, sf_dir: correlated_pairs(_latest(spark, sf_dir)))
 
 
+def chained(rows, keys: list[str], hours: float | None):
+    """(a, b) of rows(event_id, event_at, *keys) that follow one another under their keys within hours: the components of all such pairs, with a link a row.
+
+    Keys are cut into slots of time that are ordered by themselves; only the first and last rows of slots are ordered
+    under the whole key, so a key that holds many rows isn't one task's.
+    """
+    width = int((hours or 24) * 3.6e9)
+    at = F.struct("event_at", "event_id").alias("at")
+    r = rows.select("event_id", "event_at", *keys, F.floor(F.unix_micros("event_at") / width).alias("slot"), at)
+    inside = r.withColumn("was", F.lag("at").over(W.partitionBy(*keys, "slot").orderBy("at"))).where("was is not null").select("was", "at")
+    edges = r.groupBy(*keys, "slot").agg(F.min("at").alias("at"), F.max("at").alias("last"))
+    across = edges.withColumn("was", F.lag("last").over(W.partitionBy(*keys).orderBy("slot"))).where("was is not null").select("was", "at")
+    near = F.lit(True) if hours is None else seconds_between(C("was.event_at"), C("at.event_at")) <= hours * 3600
+    return inside.unionByName(across).where(near).select(C("was.event_id").alias("a"), C("at.event_id").alias("b"))
+
+
+def component_links(o):
+    """Links with the same components as correlated_pairs(o), without all pairs of a name, a series or a title."""
+    storms = o.where("kind = 'tropical_cyclone'").withColumn("name", text.normalized_title(C("storm_name")))
+    series = o.where("kind = 'tsunami' and relation_candidate <> ''")
+    m, alike = media_titles(o)
+    pairs = alike.select(F.least("a_title", "b_title").alias("x"), F.greatest("a_title", "b_title").alias("y")).distinct()
+    ends = pairs.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("title"), "x", "y")
+    links = [
+        quake_pairs(o),
+        named_pairs(o),
+        chained(storms.where("name <> ''"), ["name"], RULES["tropical_cyclone"][0]),
+        chained(series, ["relation_candidate"], None),
+        chained(m.join(ends, "title"), ["x", "y", "kind"], RULES["media"][0]),
+    ]
+    return reduce(lambda x, y: x.unionByName(y), links)
+
+
 @query("cor_components", _PAIRS + ", both_ AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (WITH RECURSIVE r(node, c) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT both_.b, r.c FROM r JOIN both_ ON both_.a = r.node WHERE r.c < both_.b) SELECT node, min(c) AS c FROM r GROUP BY node) SELECT node, c AS component FROM reach")
 def cor_components(spark, sf_dir):
-    return components(correlated_pairs(_latest(spark, sf_dir)), "a", "b")
+    return components(component_links(_latest(spark, sf_dir)), "a", "b")
 
 
 # Relations between kinds

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from vigilframe.model import ZONES
 from vigilframe.plans import QUERIES
+from vigilframe.views import articles
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +27,9 @@ def test_articles_are_matched_over_their_whole_text(spark):
     found = lambda name: {r.doc_id for r in QUERIES[name](spark, SF).select("doc_id").collect()}
     assert found("flt_watchlist") == {i for i, t in docs.items() if "thing" in t.lower() or "über" in t.lower()}
     zones = {(r.zone, r.doc_id) for r in QUERIES["join_hotspot_zones"](spark, SF).collect()}
-    assert {i for z, i in zones if z == "South"} == {i for i, t in docs.items() if "erer" in t.lower() or "nder" in t.lower()}
+    said = {r.doc_id: (r.title + " " + r.summary).lower() for r in articles(spark, SF).collect() if r.summary is not None}
+    assert all(said[i].startswith(docs[i].split("\n")[0].lower()) and docs[i].lower() in said[i] for i in said)
+    assert zones == {(z, i) for z, words in ZONES.items() for i, t in said.items() if any(w in t for w in words.split("|"))} and len(zones) > len(docs) / 2
     long = {i for i, t in docs.items() if len(t.split("\n")[0]) > 240 and t.split("\n")[0].isascii()}
     titles = {r.doc_id: r.title for r in QUERIES["fn_norm_title"](spark, SF).collect()}
     assert long and all(len(titles[i]) > 120 for i in long)

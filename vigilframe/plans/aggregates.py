@@ -321,7 +321,7 @@ def clean_regions(raw, words):
     return clean.unionByName(words.select(F.lit("legacy:keywords").alias("id"), F.lit("Keywords").alias("label"), F.lit("global").alias("scope"), F.lit(1.0).alias("radius"), F.lit("Moderate").alias("severity"), "keywords"))
 
 
-@query("wat_clean_regions", ", raw AS (SELECT s_suppkey AS n, " + ", ".join(f"{x.format('VARCHAR')} AS {c}" for c, x in _RAW.items()) + " FROM supplier), c AS (SELECT n, id, trim(regexp_replace(label, '\s+', ' ', 'g')) AS label, CASE WHEN scope = 'odd' THEN 'region' ELSE scope END AS scope, placed, try_cast(radius AS DOUBLE) AS radius, CASE WHEN severity = 'Dire' THEN 'Moderate' ELSE severity END AS severity FROM raw), f AS (SELECT * FROM c WHERE regexp_matches(id, '^[A-Za-z0-9]') AND label <> '' AND (scope = 'global' OR placed) AND radius IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY n) = 1 ORDER BY n LIMIT 50) SELECT id, label, scope, greatest(1.0, least(2000.0, radius))::DOUBLE AS radius, severity, '' AS keywords FROM f UNION ALL SELECT 'legacy:keywords', 'Keywords', 'global', 1.0, 'Moderate', string_agg(w, ',' ORDER BY w) FROM (SELECT DISTINCT lower(r_name) AS w FROM region ORDER BY w LIMIT 20)")
+@query("wat_clean_regions", ", raw AS (SELECT s_suppkey AS n, " + ", ".join(f"{x.format('VARCHAR')} AS {c}" for c, x in _RAW.items()) + " FROM supplier), c AS (SELECT n, id, trim(regexp_replace(label, '\\s+', ' ', 'g')) AS label, CASE WHEN scope = 'odd' THEN 'region' ELSE scope END AS scope, placed, try_cast(radius AS DOUBLE) AS radius, CASE WHEN severity = 'Dire' THEN 'Moderate' ELSE severity END AS severity FROM raw), f AS (SELECT * FROM c WHERE regexp_matches(id, '^[A-Za-z0-9]') AND label <> '' AND (scope = 'global' OR placed) AND radius IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY n) = 1 ORDER BY n LIMIT 50) SELECT id, label, scope, greatest(1.0, least(2000.0, radius))::DOUBLE AS radius, severity, '' AS keywords FROM f UNION ALL SELECT 'legacy:keywords', 'Keywords', 'global', 1.0, 'Moderate', string_agg(w, ',' ORDER BY w) FROM (SELECT DISTINCT lower(r_name) AS w FROM region ORDER BY w LIMIT 20)")
 def wat_clean_regions(spark, sf_dir):
     raw = table(spark, sf_dir, "supplier").select(C("s_suppkey").alias("n"), *(F.expr(x.format("STRING")).alias(c) for c, x in _RAW.items()))
     words = table(spark, sf_dir, "region").select(F.lower("r_name").alias("w")).distinct().orderBy("w").limit(20)

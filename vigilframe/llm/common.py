@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,7 +23,10 @@ def session(spark: SparkSession) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it lies. Documents in fewer files than there are cores are dealt out first: a file of one row group is one task."""
+    out = session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return out.repartition(2 * cores) if name == "documents" and len(out.inputFiles()) < cores else out
 
 
 def text_or_empty(column: str = "text"):
@@ -30,22 +34,68 @@ def text_or_empty(column: str = "text"):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own, in local mode only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigilframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vigilframe-"))
     return context.getCheckpointDir()
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    there, files = _hadoop_path(spark, path)
+    files.deleteOnExit(there)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what materialize() wrote, once nothing lazy reads it any more."""
+    there, files = _hadoop_path(df.sparkSession, df.written_to)
+    files.delete(there, True)
+
+
+def join_heavy(rows: DataFrame, told: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """rows inner-joined with told(*keys, *more, key_rows), unique by its keys; key_rows says how many of the rows have them.
+
+    Keys that hold over one in `share` of the rows, `share` of them at most, are broadcast, so no task gets one of
+    them whole. All others meet by a shuffle. rows and told are read twice: both should be written tables.
+    """
+    limit = max(1, rows.count() // share)
+    heavy = F.broadcast(told.where(F.col("key_rows") > limit))  # at most `share` rows
+    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(told.where(F.col("key_rows") <= limit), keys)
+    return rows.join(heavy, keys).unionByName(rest).drop("key_rows")
+
+
+def squeezed(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with a string column as zstd frames, for texts that go through a shuffle: half of what the shuffle's own codec leaves."""
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    schema = StructType([StructField(f.name, BinaryType(), True) if f.name == column else f for f in df.schema])
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        codec = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            packed = [None if t is None else codec.compress(t.encode()) for t in batch.column(at).to_pylist()]
+            columns = [pa.array(packed, pa.binary()) if k == at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def map_columns(df: DataFrame, fn: Callable[..., dict], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:

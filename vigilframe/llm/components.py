@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 class UnionFind:
@@ -49,7 +49,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         moved = edges
         for end in ("a", "b"):
             moved = moved.join(step.select(F.col("node").alias(end), F.col("into").alias(f"new_{end}")), end)
-        edges = materialize(moved.where("new_a <> new_b").select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct())
+        before, edges = edges, materialize(moved.where("new_a <> new_b").select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct())
+        release(before)
     if not steps:
         return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     where = steps[0]
@@ -75,7 +76,8 @@ def block_pairs(rows: DataFrame, keys: list[str], spread: Column, block_rows: in
     return pairs.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *rows.columns)
 
 
-def cell_buckets(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds column bucket: many small cells share a bucket, a bucket never parts a cell, and their number follows the session's shuffle partitions."""
-    n = 4 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def cell_buckets(cells: DataFrame, keys: list[str], n_rows: int, bucket_rows: int = 16_384) -> DataFrame:
+    """Adds column bucket: many small cells share a bucket of about bucket_rows of the cells' n_rows, a bucket never parts a cell."""
+    least = 4 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(least, -(-n_rows // bucket_rows))
     return cells.withColumn("bucket", F.pmod(F.xxhash64(*keys, "i", "j"), F.lit(n)).cast("int"))

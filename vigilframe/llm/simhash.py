@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialize, table, text_or_empty
+from .common import join_heavy, map_columns, materialize, table, text_or_empty
 from .components import UnionFind, block_pairs, cell_buckets, connected_components
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
@@ -73,7 +73,7 @@ class BKTree:
 
 
 def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """links(a, b) that join the ids of all fingerprints within the radius, from distinct(fp, id).
+    """links(a, b) that join the ids of all fingerprints within the radius, from a written table distinct(fp, id).
 
     A forest for each shard, not all pairs. Shards: fingerprints that agree on three of the five runs, under each of
     the ten choices of three. That is exact for radius 2, and bounds what a tree holds without a broadcast of trees.
@@ -85,7 +85,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = distinct.select("fp", "id", F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for k, m in enumerate(signed)])).alias("k"))
     rows = keyed.select("k.mask", "k.bits", "fp", "id")
-    cells = cell_buckets(block_pairs(rows, ["mask", "bits"], F.xxhash64("fp"), TREE_NODES), ["mask", "bits"])
+    cells = cell_buckets(block_pairs(rows, ["mask", "bits"], F.xxhash64("fp"), TREE_NODES), ["mask", "bits"], len(masks) * distinct.count())
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
         found = UnionFind()
@@ -110,17 +110,26 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return cells.groupBy("bucket").applyInPandas(link, "a bigint, b bigint")
 
 
+def fingerprint_components(distinct: DataFrame) -> DataFrame:
+    """distinct(fp, *more), a written table, with the component of each fingerprint, named by one of its fingerprints."""
+    parts = connected_components(near_links(distinct.select("fp", F.col("fp").alias("id"))))
+    return distinct.join(parts, distinct.fp == parts.node, "left").select(*distinct.columns, F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of each row.
 
     Equal fingerprints are one node, so copies never make pairs; texts without words share fingerprint 0 and link like
-    any other. Null texts are empty. Repeated rows give repeated rows; an empty table gives an empty one.
+    any other. Null texts are empty. Rows of one id with different texts are told apart by their fingerprints; a
+    component whose ids are all null has a null id. Repeated rows give repeated rows; an empty table gives an empty one.
     """
     prints = materialize(fingerprints(docs))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    parts = connected_components(near_links(distinct.where("id is not null")))
-    named = distinct.join(parts, distinct.id == parts.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("key_rows")))
+    named = materialize(fingerprint_components(distinct))
+    least = materialize(named.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("key_rows")))
+    told = join_heavy(named.select("fp", "component", F.col("key_rows").alias("n")), least, ["component"])
+    told = materialize(told.select("fp", "component_id", F.col("n").alias("key_rows")))
+    return join_heavy(prints, told, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash_neardup(spark, sf_dir: str) -> DataFrame:
@@ -137,7 +146,6 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("row_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), sha))
     prints = materialize(fingerprints(keyed, "row_key", "string"))
     doc_id = F.split_part("row_key", F.lit(":"), F.lit(1)).try_cast("bigint")
-    firsts = prints.groupBy("fp").agg(F.min(F.struct(doc_id.isNull().alias("last"), doc_id.alias("doc_id"), "row_key")).alias("first"))
-    parts = connected_components(near_links(firsts.select("fp", F.col("fp").alias("id"))))
-    kept = firsts.join(parts, firsts.fp == parts.node, "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
+    firsts = materialize(prints.groupBy("fp").agg(F.min(F.struct(doc_id.isNull().alias("last"), doc_id.alias("doc_id"), "row_key")).alias("first")))
+    kept = fingerprint_components(firsts).groupBy("component").agg(F.min("first").alias("first"))
     return keyed.dropDuplicates(["row_key"]).join(kept.select("first.row_key"), "row_key", "left_semi").select(*docs.columns)

@@ -10,13 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import join_heavy, materialize, table
 from .components import UnionFind, block_pairs, cell_buckets, connected_components
 
 COSINE = 0.93
 #: Projections, half a window's width in standard deviations of a projected difference at the limit, and the share of
 #: pairs just at the limit that the count must pass.
-PROJECTIONS, HALF_WINDOW, RECALL = 64, 1.5, 0.9999
+PROJECTIONS, HALF_WINDOW, RECALL = 32, 1.5, 0.9999
 #: Vectors of one block, and queries that are counted at once.
 BLOCK, TILE = 1024, 128
 
@@ -40,25 +40,24 @@ def directions(dim: int) -> np.ndarray:
 def collisions(a: np.ndarray, b: np.ndarray, cosine: float):
     """(rows of a, rows of b) that collide often enough, tile after tile.
 
-    Both sides are sorted by the first projection. A tile's queries look only at the run of b that their windows there
-    reach (five deviations wide, so nothing near is lost), then count in how many projections b falls in their window.
+    b is sorted by each projection. A query's window is a run of each sorted projection, found by binary search; only
+    the members of these runs are counted, so a pair costs nothing in projections where it is far apart.
     """
-    width = sqrt(2 - 2 * cosine)
     pa, pb = a @ directions(a.shape[1]), b @ directions(b.shape[1])
-    oa, ob = np.argsort(pa[:, 0], kind="stable"), np.argsort(pb[:, 0], kind="stable")
-    pa, pb = pa[oa], pb[ob]
-    need, half = least_count(PROJECTIONS, HALF_WINDOW, RECALL), np.float32(HALF_WINDOW * width)
+    order = np.argsort(pb, axis=0, kind="stable").T
+    runs = np.ascontiguousarray(np.take_along_axis(pb.T, order, axis=1))
+    need, half = least_count(PROJECTIONS, HALF_WINDOW, RECALL), np.float32(HALF_WINDOW * sqrt(2 - 2 * cosine))
     for at in range(0, len(a), TILE):
-        tile = pa[at : at + TILE]
-        lo, hi = np.searchsorted(pb[:, 0], [tile[0, 0] - 5 * width, tile[-1, 0] + 5 * width])
-        if lo >= hi:
-            continue
-        count = np.zeros((len(tile), hi - lo), "u1")
-        columns = np.ascontiguousarray(pb[lo:hi].T)
+        tile, met = pa[at : at + TILE], []
+        row = np.arange(len(tile)) * len(b)
         for k in range(PROJECTIONS):
-            count += np.abs(tile[:, k, None] - columns[k]) <= half
-        x, y = np.nonzero(count >= need)
-        yield oa[at + x], ob[lo + y]
+            low = np.searchsorted(runs[k], tile[:, k] - half)
+            size = np.searchsorted(runs[k], tile[:, k] + half, "right") - low
+            start = low - (np.cumsum(size) - size)
+            met.append(order[k][np.arange(size.sum()) + np.repeat(start, size)] + np.repeat(row, size))
+        count = np.bincount(np.concatenate(met), minlength=len(tile) * len(b))
+        found = np.flatnonzero(count >= need)
+        yield at + found // len(b), found % len(b)
 
 
 def link_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -67,14 +66,18 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Links join rows of equal label, and equal length, at a cosine of at least the limit, verified in double precision.
     Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing: 0
     links, a component of their own. Equal vectors of a label are one node with a multiplicity, so copies never make
-    pairs: each has the others as links. Repeated rows count as rows; an empty table gives an empty one.
+    pairs: each has the others as links. Nodes have numbers of their own, so one vec_id on several vectors joins nothing,
+    and vectors of other lengths meet others of their length only. Repeated rows count as rows; an empty table gives an empty one.
     """
     rows = vectors.select("vec_id", "label", "embedding")
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     fit = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(squares, F.lit(float("nan"))).between(F.lit(5e-324), F.lit(1.7e308))
     rows = materialize(rows.withColumn("fit", F.coalesce(fit & ~F.isnan(squares), F.lit(False))))
-    nodes = materialize(rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")))
-    cells = cell_buckets(block_pairs(nodes, ["label", "dim"], F.xxhash64("id"), BLOCK), ["label", "dim"])
+    each = rows.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    nodes = materialize(each.select("*", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("id")))
+    n = F.count("*")
+    sizes = nodes.groupBy("label", "dim").agg((n * F.ceil(n / BLOCK)).alias("dealt")).agg(F.sum("dealt").alias("dealt")).first()
+    cells = cell_buckets(block_pairs(nodes.drop("vec_id"), ["label", "dim"], F.xxhash64("id"), BLOCK), ["label", "dim"], sizes.dealt or 0, 8 * BLOCK)
 
     def link(part: pd.DataFrame) -> pd.DataFrame:
         found, links = UnionFind(), []
@@ -104,9 +107,10 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     told = materialize(cells.groupBy("bucket").applyInPandas(link, "a bigint, b bigint, link boolean"))
     parts = connected_components(told.where("link").select("a", "b"))
     counted = told.where("not link").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
-    known = nodes.join(counted, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = rows.where("fit").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    known = materialize(nodes.join(counted, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    least = materialize(known.groupBy("component").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("key_rows")))
+    told = join_heavy(known, least, ["component"]).select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", F.col("copies").alias("key_rows"))
+    linked = join_heavy(rows.where("fit").drop("fit"), materialize(told), ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     return linked.unionByName(rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 

@@ -157,6 +157,32 @@ def test_suffix_dedup_of_hot_groups_and_segments(spark, monkeypatch):
     check_removal(spark, passages(random.Random(5)))
 
 
+def test_hot_groups_survive_hash_collisions(spark, monkeypatch):
+    import vigilframe.llm.suffix_dedup as module
+
+    monkeypatch.setattr(module, "SORT_CLASSES", 2)
+    monkeypatch.setattr(module, "HASH_BITS", 2)
+    check_removal(spark, passages(random.Random(15)))
+
+
+def test_pipeline_removes_passages_of_over_50_words_only(spark):
+    r = random.Random(16)
+    shared = {n: words(r, n) for n in (30, 51, 55, 60)}
+    rows = [(None, None), (0, ""), (1, words(r, 300))]
+    rows += [(10 * n + k, words(r, 80) + " " + text + " " + words(r, 80)) for n, text in shared.items() for k in range(3)]
+    rows += [(None, words(r, 40) + " " + shared[60]), (610, words(r, 500)), (610, words(r, 20))]
+    docs = spark.createDataFrame([(i, t, 5, b"x") for i, t in rows], "doc_id long, text string, start int, spans binary")
+    out = remove_repeats(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    got = [(x.doc_id, x.text) for x in out.collect()]
+    assert sorted(x[0] or -1 for x in got) == sorted(x[0] or -1 for x in rows)
+    for n, text in shared.items():
+        held = sum(text in (x or "") for _, x in got)
+        assert held == (3 if n == 30 else 0), n
+    before, after = dict((x for x in rows if x[0] in (0, 1))), dict((x for x in got if x[0] in (0, 1)))
+    assert before == after and (None, None) in got
+
+
 def test_sorting_survives_hash_collisions(monkeypatch):
     import vigilframe.llm.suffix_dedup as module
 

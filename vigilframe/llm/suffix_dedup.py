@@ -1,7 +1,7 @@
 """Removal of long repeated byte strings by sharded suffix sorting.
 
-Two equal strings of LENGTH bytes pick the same anchor: the least hash of the k-grams they hold, the rightmost of equal
-ones. So every repeated string shows as two occurrences of one anchor k-gram whose contexts agree on LENGTH bytes around
+Two equal strings of one length, LENGTH bytes if no other is asked for, pick the same anchor: the least hash of the k-grams they hold, the rightmost of equal
+ones. So every repeated string shows as two occurrences of one anchor k-gram whose contexts agree on so many bytes around
 it. Occurrences are grouped by anchor; equal contexts fold into one class with a count; the contexts of different
 classes of one anchor are suffix-sorted to the right and to the left of the anchor, comparing by prefix polynomial
 hashes and binary search, and neighbours' common extensions, verified byte by byte, say which strings repeat.
@@ -16,18 +16,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_columns, materialize, table, text_or_empty
+from .common import join_heavy, map_columns, materialize, release, squeezed, table, text_or_empty
 
 LENGTH, GRAM = 400, 32
+#: In the pipeline: passages of over 50 words are removed. 51 words have 200 bytes or more but in a few windows of a thousand.
+PASSAGE, PASSAGE_WORDS = 200, 51
 #: An anchor lies at most REACH bytes after the start of a string that picks it.
 REACH = LENGTH - GRAM
-#: Classes of one anchor that one task sorts; a larger group is counted window by window in Spark instead.
-SORT_CLASSES = 4096
+#: Classes of one anchor that one task sorts; a larger group is first parted by what its strings have in common. Parting
+#: takes half as many rows a context for the pipeline's shorter strings, so there it sets in sooner.
+SORT_CLASSES, PASSAGE_CLASSES = 2048, 256
+#: Places of a string around its anchor that are looked at together when a large group is parted.
+CORE_PLACES = 32
+#: Bits of a core's or string's hash that count; tests take fewer, so that hashes collide.
+HASH_BITS = 64
 #: Bytes hashed at once, and rows sorted at once.
-SEGMENT, SORT_ROWS = 1 << 20, 8192
+SEGMENT, SORT_ROWS = 1 << 20, 4096
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,9 +53,9 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         return _mixed(h)
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of all strings of LENGTH bytes in data, which holds one at least."""
-    h, w = gram_hashes(data), REACH + 1
+def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the anchors of all strings of length bytes in data, which holds one at least."""
+    h, w = gram_hashes(data), length - GRAM + 1
     bits = np.uint64(int(len(h)).bit_length())
     order = (h >> bits << bits) | (np.uint64((1 << int(bits)) - 1) - np.arange(len(h), dtype="u8"))  # rightmost of equal ones first
     n = -(-len(order) // w) * w
@@ -64,8 +70,9 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def document_anchors(docs: DataFrame) -> DataFrame:
+def document_anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(anchor, c1, c2, doc_id, th, at): each anchor, a 128-bit hash of its context, and where it stands."""
+    reach = length - GRAM
 
     def run(keys: list, hashes: list, texts: list[str]) -> dict:
         import xxhash
@@ -73,19 +80,19 @@ def document_anchors(docs: DataFrame) -> DataFrame:
         digest, out = xxhash.xxh3_128_intdigest, [[] for _ in range(6)]
         for key, th, text in zip(keys, hashes, texts, strict=True):
             raw, last = text.encode(), -1
-            for start in range(0, len(raw) - LENGTH + 1, SEGMENT):
-                at, h = anchors(np.frombuffer(raw, "u1", min(len(raw) - start, SEGMENT + LENGTH - 1), start))
+            for start in range(0, len(raw) - length + 1, SEGMENT):
+                at, h = anchors(np.frombuffer(raw, "u1", min(len(raw) - start, SEGMENT + length - 1), start), length)
                 fresh = at + start > last  # a string's anchor never lies before that of the string one byte earlier
                 at, h = at[fresh], h[fresh]
                 places = (at + start).tolist()
                 last = max([last, *places[-1:]])
-                contexts = [(digest(raw[max(0, p - REACH) : p + LENGTH]), min(p, REACH)) for p in places]
+                contexts = [(digest(raw[max(0, p - reach) : p + length]), min(p, reach)) for p in places]
                 n = len(places)
                 for column, values in zip(out, (h.view("i8").tolist(), [(c & 0xFFFFFFFFFFFFFFFF) - (1 << 63) for c, _ in contexts], [((c >> 64) ^ left) - (1 << 63) for c, left in contexts], [key] * n, [th] * n, places), strict=True):
                     column += values
         return dict(zip(("anchor", "c1", "c2", "doc_id", "th", "at"), out, strict=True))
 
-    long = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "th", "text")
+    long = docs.where(F.octet_length("text") >= length).select("doc_id", "th", "text")
     return map_columns(long, run, "anchor bigint, c1 bigint, c2 bigint, doc_id bigint, th bigint, at int")
 
 
@@ -155,23 +162,23 @@ class Suffixes:
         return np.concatenate([[0], np.where(inner, true, 0)]).astype("i8")
 
 
-def repeated_reach(lefts: list[bytes], rights: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeated_reach(lefts: list[bytes], rights: list[bytes], group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For each context the furthest repeated string to the left and to the right of its anchor: (bytes before, bytes from it on), -1 for none.
 
-    lefts are reversed. Rows of a group are adjacent. Strings of LENGTH bytes around the anchor that start l bytes
-    before it repeat if another context agrees on l bytes to the left and LENGTH - l from the anchor on.
+    lefts are reversed. Rows of a group are adjacent. Strings of length bytes around the anchor that start l bytes
+    before it repeat if another context agrees on l bytes to the left and length - l from the anchor on.
     """
     n = len(group)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     sizes = np.diff(np.concatenate([first, [n]]))
     start, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
-    left, right = Suffixes(lefts, REACH), Suffixes(rights, LENGTH)
+    left, right = Suffixes(lefts, length - GRAM), Suffixes(rights, length)
     (lo, ll), (ro, rl) = left.sorted(start, size), right.sorted(start, size)
-    furthest, least = np.full(n, -1, "i8"), np.full(n, LENGTH + 1, "i8")
+    furthest, least = np.full(n, -1, "i8"), np.full(n, length + 1, "i8")
     two = first[sizes == 2]
-    fits = two[ll[two + 1] + rl[two + 1] >= LENGTH]
+    fits = two[ll[two + 1] + rl[two + 1] >= length]
     for side in (0, 1):
-        furthest[fits + side], least[fits + side] = ll[fits + 1], LENGTH - rl[fits + 1]
+        furthest[fits + side], least[fits + side] = ll[fits + 1], length - rl[fits + 1]
     for f, m in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
         lcp_l, lcp_r = ll[f : f + m], rl[f : f + m]
         rank_l, rank_r = np.empty(m, "i8"), np.empty(m, "i8")
@@ -181,51 +188,137 @@ def repeated_reach(lefts: list[bytes], rights: list[bytes], group: np.ndarray) -
         def again(at: int, lcp_l=lcp_l, lcp_r=lcp_r, rank_l=rank_l, rank_r=rank_r, known=known, m=m) -> np.ndarray:
             """Contexts whose string starting so many bytes before the anchor repeats in the group."""
             if at not in known:
-                pair = np.cumsum(lcp_l < at)[rank_l] * (m + 1) + np.cumsum(lcp_r < LENGTH - at)[rank_r]
+                pair = np.cumsum(lcp_l < at)[rank_l] * (m + 1) + np.cumsum(lcp_r < length - at)[rank_r]
                 _, back, count = np.unique(pair, return_inverse=True, return_counts=True)
                 known[at] = count[back] > 1
             return known[at]
 
-        far, near = np.full(m, -1, "i8"), np.full(m, LENGTH + 1, "i8")
+        far, near = np.full(m, -1, "i8"), np.full(m, length + 1, "i8")
         for at in sorted(set(lcp_l[1:].tolist()), reverse=True):
             far[(far < 0) & again(at)] = at
             if (far >= 0).all():
                 break
         if (far >= 0).any():
-            for at in sorted({LENGTH - r for r in lcp_r[1:].tolist() if r >= GRAM}):
-                near[(near > LENGTH) & again(at)] = at
-                if (near[far >= 0] <= LENGTH).all():
+            for at in sorted({length - r for r in lcp_r[1:].tolist() if r >= GRAM}):
+                near[(near > length) & again(at)] = at
+                if (near[far >= 0] <= length).all():
                     break
         furthest[f : f + m], least[f : f + m] = far, near
-    return furthest, np.where(furthest < 0, -1, LENGTH - least)
+    return furthest, np.where(furthest < 0, -1, length - least)
 
 
 KEYS = ["anchor", "c1", "c2"]
+_KEYS_DDL = "anchor bigint, c1 bigint, c2 bigint"
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """spans(doc_id, th, start, stop) in bytes, overlapping, that cover just the bytes to remove, from docs(doc_id, th, text)."""
-    found = document_anchors(docs).repartition("anchor")
-    seen = materialize(found.withColumn("n", F.count("*").over(W.partitionBy("anchor"))).where("n > 1").drop("n"))
+def crowd_strings(batches: Iterator[pa.RecordBatch], length: int, width: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """(id, l, h) from (id, anchor, before, after, cores): hashes, anchor and l in them, of what strings that start l to l + width - 1 bytes before the anchor have in common.
+
+    With more than one string, rows (id, -1 - l, h) too: hashes of all that these strings cover. cores says which l of
+    width CORE_PLACES are wanted; null: all.
+    """
+    import xxhash
+
+    digest, ends = xxhash.xxh3_64_intdigest, length - GRAM + 1
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            part = batch.slice(k, 64)
+            sizes, starts, hashes = [], [], []
+            for anchor, before, after, cores in zip(*(part.column(c).to_pylist() for c in ("anchor", "before", "after", "cores")), strict=True):
+                whole, n, count = before[::-1] + after, len(before), len(starts)
+                low = max(0, length - len(after))
+                for a, b in [(0, ends)] if cores is None else [(c, c + CORE_PLACES) for c in cores]:
+                    for l in range(a, min(b, ends), width):
+                        last = min(l + width, ends) - 1
+                        if l <= n and last >= low:
+                            starts.append(l)
+                            hashes.append(digest(whole[n - l : n + length - last], (anchor ^ l) & 0xFFFFFFFFFFFFFFFF) >> (64 - bits))
+                            if width > 1 and last <= n and l >= low:
+                                starts.append(-1 - l)
+                                hashes.append(digest(whole[n - last : n + length - l], (anchor ^ (-1 - l)) & 0xFFFFFFFFFFFFFFFF) >> (64 - bits))
+                sizes.append(len(starts) - count)
+            ids = pa.array(np.repeat(part.column("id").to_numpy(), sizes))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int32()), pa.array(np.array(hashes, "u8").view("i8"))], names=["id", "l", "h"])
+
+
+def crowd_reach(hot: DataFrame, length: int) -> DataFrame:
+    """(id, before, after) of the contexts hot(id, anchor, before, after), a written table, of anchors with more classes than one task sorts.
+
+    Strings that start up to CORE_PLACES apart have a core in common. Where another context has all that they cover,
+    they all repeat; where it has the core only, they are looked at one by one. Of the repeated ones the furthest to each
+    side is held byte by byte against another context that has it.
+    """
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        """The rows whose hash other contexts have too: another such context, and whether this is the first of them."""
+        rows = materialize(rows)
+        counts = materialize(rows.groupBy("h").agg(F.count("*").alias("key_rows"), F.min("id").alias("first"), F.max("id").alias("last")).where("key_rows > 1"))
+        leads = F.col("first") == F.col("id")
+        other = F.when(leads, F.col("last")).otherwise(F.col("first"))
+        return join_heavy(rows, counts, ["h"]).select("id", "l", other.alias("other"), leads.alias("leads"))
+
+    ddl = "id bigint, l int, h bigint"
+    cores = hot.select("id", "anchor", "before", "after", F.lit(None).cast("array<int>").alias("cores")).mapInArrow(lambda b: crowd_strings(b, length, CORE_PLACES, HASH_BITS), ddl)
+    shared = materialize(repeated(cores))
+    # Contexts with the same cover have the same strings there, so the first of them stands for all.
+    covered = F.collect_set(F.when((F.col("l") < 0) & ~F.col("leads"), -1 - F.col("l")))
+    wanted = shared.groupBy("id").agg(F.array_except(F.collect_set(F.when(F.col("l") >= 0, F.col("l"))), covered).alias("cores")).where(F.size("cores") > 0)
+    strings = hot.join(wanted, "id").select("id", "anchor", "before", "after", "cores").mapInArrow(lambda b: crowd_strings(b, length, 1, HASH_BITS), ddl)
+    edges = F.explode(F.array(-1 - F.col("l"), F.least(-1 - F.col("l") + CORE_PLACES, F.lit(length - GRAM + 1)) - 1))
+    again = repeated(strings).drop("leads").unionByName(shared.where("l < 0").select("id", edges.alias("l"), "other"))
+    ends = again.withColumn("o", F.struct("l", "other")).groupBy("id").agg(F.max("o").alias("far"), F.min("o").alias("near"))
+    both = ends.select("id", F.explode(F.array_distinct(F.array("far", "near"))).alias("e")).select("id", "e.l", F.col("e.other").alias("o"))
+    mine = materialize(hot.join(both, "id").select("id", "anchor", "l", "o", *_sides(length)))
+    theirs = mine.groupBy("o").agg(F.count("*").alias("key_rows")).join(hot.select(F.col("id").alias("o"), F.col("anchor").alias("of"), F.col("before").alias("b"), F.col("after").alias("a")), "o")
+    held = join_heavy(mine, materialize(theirs), ["o"])
+    same = (F.col("anchor") == F.col("of")) & (F.col("left") == F.expr("substring(b, 1, l)")) & (F.col("right") == F.expr(f"substring(a, 1, {length} - l)"))
+    told = materialize(held.select("id", "anchor", "l", same.alias("same")))
+    reach = told.where("same").groupBy("id", "anchor").agg(F.max("l").alias("before"), (length - F.min("l")).alias("after"))
+    failed = told.where(~F.col("same")).select("anchor").distinct()
+    if failed.isEmpty():
+        return reach.drop("anchor")
+    # Two strings with one hash: the anchors concerned are counted by the strings themselves.
+    each = hot.join(failed, "anchor").select("id", "anchor", F.explode(F.sequence(F.lit(0), F.least(F.lit(length - GRAM), F.octet_length("before")))).alias("l"), "before", "after")
+    each = materialize(each.where(F.octet_length("after") >= length - F.col("l")).select("id", "anchor", "l", *_sides(length)))
+    counts = each.groupBy("anchor", "l", "left", "right").agg(F.count("*").alias("key_rows")).where("key_rows > 1")
+    exact = join_heavy(each, materialize(counts), ["anchor", "l", "left", "right"]).groupBy("id").agg(F.max("l").alias("before"), (length - F.min("l")).alias("after"))
+    return reach.join(failed, "anchor", "left_anti").drop("anchor").unionByName(exact)
+
+
+def _sides(length: int) -> list:
+    """The l bytes before an anchor, the nearest first, and the rest of the string from the anchor on."""
+    return [F.expr("substring(before, 1, l)").alias("left"), F.expr(f"substring(after, 1, {length} - l)").alias("right")]
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int | None = None) -> DataFrame:
+    """spans(doc_id, th, start, stop) in bytes, overlapping, that cover just the bytes to remove, from docs(doc_id, th, text); most: classes of an anchor that one task sorts."""
+    reach, most = length - GRAM, most or SORT_CLASSES
+    found = materialize(document_anchors(docs, length))
+    counts = materialize(found.groupBy("anchor").agg(F.count("*").alias("key_rows")).where("key_rows > 1"))
+    seen = materialize(join_heavy(found, counts, ["anchor"]))
+    release(found)
     classes = materialize(seen.groupBy(*KEYS).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at")).alias("one")))
-    crowds = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1")
-    ones = classes.join(crowds, "anchor").select(*KEYS, "classes", "one.*")
-    wanted = ones.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*KEYS, "classes", "at")).alias("wanted"))
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.th == wanted.th)).select(docs.doc_id, docs.th, "text", "wanted")
+    crowds = materialize(classes.groupBy("anchor").agg(F.count("*").alias("key_rows"), F.count("*").alias("classes")).where("classes > 1"))
+    ones = join_heavy(classes, crowds, ["anchor"]).select(*KEYS, (F.col("n") > 1).alias("copied"), "classes", "one.*")
+    wanted = ones.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*KEYS, "copied", "classes", "at")).alias("wanted"))
+    packed = squeezed(docs.where(F.octet_length("text") >= length))
+    texts = packed.join(wanted, packed.doc_id.eqNullSafe(wanted.doc_id) & (packed.th == wanted.th)).select(packed.doc_id, packed.th, "text", "wanted")
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        codec = zstandard.ZstdDecompressor()
         for batch in batches:
             out, done = [], set()
             for key, th, text, want in zip(batch.doc_id, batch.th, batch.text, batch.wanted, strict=True):
                 if (key, th) in done:  # a repeated row
                     continue
                 done.add((key, th))
-                raw = text.encode()
-                out += [(w["anchor"], w["c1"], w["c2"], w["classes"], raw[max(0, w["at"] - REACH) : w["at"]][::-1], raw[w["at"] : w["at"] + LENGTH]) for w in want]
-            yield pd.DataFrame(out, columns=[*KEYS, "classes", "before", "after"])
+                raw = codec.decompress(text)
+                out += [(w["anchor"], w["c1"], w["c2"], w["copied"], w["classes"], raw[max(0, w["at"] - reach) : w["at"]][::-1], raw[w["at"] : w["at"] + length]) for w in want]
+            yield pd.DataFrame(out, columns=[*KEYS, "copied", "classes", "before", "after"])
 
-    around = materialize(texts.mapInPandas(contexts, "anchor bigint, c1 bigint, c2 bigint, classes bigint, before binary, after binary"))
-    reach = "anchor bigint, c1 bigint, c2 bigint, before int, after int"
+    around = materialize(texts.mapInPandas(contexts, f"{_KEYS_DDL}, copied boolean, classes bigint, before binary, after binary"))
 
     def sort(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates(KEYS).sort_values("anchor", kind="stable")
@@ -238,39 +331,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         out = []
         for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
             some = part.iloc[a:b]
-            before, after = repeated_reach(some.before.tolist(), some.after.tolist(), some.anchor.to_numpy())
-            out.append(some[KEYS].assign(before=before.astype("i4"), after=after.astype("i4"))[before >= 0])
+            before, after = repeated_reach(some.before.tolist(), some.after.tolist(), some.anchor.to_numpy(), length)
+            told = some[KEYS].assign(before=before.astype("i4"), after=after.astype("i4"))
+            out.append(told[(before >= 0) & ~some.copied.to_numpy(bool)])
         return pd.concat(out)
 
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = around.where(F.col("classes") <= SORT_CLASSES).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    sorted_reach = small.groupBy("bucket").applyInPandas(sort, reach)
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes of all strings of LENGTH bytes around each anchor."""
-        import xxhash
-
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
-                sizes, starts, hashes = [], [], []
-                for before, after in zip(part.column("before").to_pylist(), part.column("after").to_pylist(), strict=True):
-                    whole, n = before[::-1] + after, len(before)
-                    at = range(max(0, n + LENGTH - len(whole)), n + 1)
-                    sizes.append(len(at))
-                    starts += at
-                    hashes += [digest(whole[n - l : n - l + LENGTH]) for l in at]
-                keys = [pa.array(np.repeat(part.column(c).to_numpy(), sizes)) for c in KEYS]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(starts, pa.int32()), pa.array(np.array(hashes, "u8").view("i8"))], names=[*KEYS, "l", "h"])
-
-    hot = around.where(F.col("classes") > SORT_CLASSES).dropDuplicates(KEYS).repartition(buckets, "c1")
-    told = hot.select(*KEYS, "before", "after").mapInArrow(strings, "anchor bigint, c1 bigint, c2 bigint, l int, h bigint")
-    again = told.withColumn("n", F.count("*").over(W.partitionBy("anchor", "l", "h"))).where("n > 1")
-    hot_reach = again.groupBy(*KEYS).agg(F.max("l").cast("int").alias("before"), (LENGTH - F.min("l")).cast("int").alias("after"))
-    whole = classes.where("n > 1").select(*KEYS, F.lit(REACH).alias("before"), F.lit(LENGTH).alias("after"))
-    reached = sorted_reach.unionByName(hot_reach).unionByName(whole).groupBy(*KEYS).agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    return seen.join(reached, KEYS).select("doc_id", "th", F.greatest(F.col("at") - F.col("before"), F.lit(0)).alias("start"), (F.col("at") + F.col("after")).alias("stop"))
+    small = around.where(F.col("classes") <= most)
+    buckets = max(-(-around.count() // SORT_ROWS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    small = small.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    reached = small.groupBy("bucket").applyInPandas(sort, f"{_KEYS_DDL}, before int, after int")
+    if not crowds.where(F.col("classes") > most).isEmpty():
+        hot = around.where(F.col("classes") > most).dropDuplicates(KEYS).repartition(buckets, "c1")
+        hot = materialize(hot.select(F.monotonically_increasing_id().alias("id"), *KEYS, "copied", "before", "after"))
+        mine = crowd_reach(hot, length).join(hot.where("not copied").select("id", *KEYS), "id")
+        reached = reached.unionByName(mine.select(*KEYS, "before", "after"))
+    # A class that stands in several places repeats as a whole; of one that stands in one place, what others share.
+    whole = classes.where("n > 1").select(*KEYS, F.lit(reach).alias("before"), F.lit(length).alias("after"), F.col("n").alias("key_rows"))
+    reached = materialize(reached.withColumn("key_rows", F.lit(1).cast("long")).unionByName(whole))
+    spans = join_heavy(seen, reached, KEYS)
+    return spans.select("doc_id", "th", F.greatest(F.col("at") - F.col("before"), F.lit(0)).alias("start"), (F.col("at") + F.col("after")).alias("stop"))
 
 
 def merged(spans: list[tuple[int, int]], end: int) -> list[tuple[int, int]]:
@@ -284,52 +363,69 @@ def merged(spans: list[tuple[int, int]], end: int) -> list[tuple[int, int]]:
     return [(a, min(b, end)) for a, b in out]
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with column spans: the (start, stop) to remove from each text, null where there are none."""
-    keyed = docs.withColumn("th", F.xxhash64(text_or_empty()))
-    spans = repeated_spans(keyed.select("doc_id", "th", text_or_empty().alias("text")))
-    by_doc = spans.groupBy(F.col("doc_id").alias("of"), F.col("th").alias("of_th")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    return keyed.join(by_doc, keyed.doc_id.eqNullSafe(by_doc.of) & (keyed.th == by_doc.of_th), "left").drop("of", "of_th", "th")
+def with_spans(docs: DataFrame, length: int = LENGTH, most: int | None = None) -> DataFrame:
+    """docs with text as zstd frames and column spans: the (start, stop) to remove from each text, null where there are none."""
+    keyed = docs.withColumn("repeat_th", F.xxhash64(text_or_empty()))
+    spans = repeated_spans(keyed.select("doc_id", F.col("repeat_th").alias("th"), text_or_empty().alias("text")), length, most)
+    by_doc = spans.groupBy(F.col("doc_id").alias("repeat_of"), F.col("th").alias("repeat_of_th")).agg(F.collect_set(F.struct("start", "stop")).alias("repeat_spans"))
+    long = F.coalesce(F.octet_length("text") >= length, F.lit(False))
+    packed = squeezed(keyed.where(long))
+    found = packed.join(by_doc, packed.doc_id.eqNullSafe(by_doc.repeat_of) & (packed.repeat_th == by_doc.repeat_of_th), "left")
+    short = squeezed(keyed.where(~long)).withColumn("repeat_spans", F.lit(None).cast("array<struct<start:int,stop:int>>"))
+    return found.select(*docs.columns, "repeat_spans").unionByName(short.select(*docs.columns, "repeat_spans"))
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of each row; bytes of a character cut through show as U+FFFD in kept_text only.
 
     A byte goes if a string of LENGTH bytes that also starts anywhere else, in the same text or another row, covers it.
     Null and short texts lose nothing. Repeated rows are elsewhere to each other. Further columns don't matter; an
     empty table gives an empty one.
     """
 
-    def run(keys: list, texts: list[str], spans: list) -> dict:
-        out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
+    def run(codec, keys: list, texts: list[bytes], spans: list) -> dict:
+        out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
         for key, text, some in zip(keys, texts, spans, strict=True):
-            raw, at, kept = text.encode(), 0, hashlib.sha256()
+            raw, at, rest = codec.decompress(text) if text else b"", 0, []
             runs = merged([(s["start"], s["stop"]) for s in some or ()], len(raw))
             for a, b in runs:
-                kept.update(raw[at:a])
+                rest.append(raw[at:a])
                 at = b
-            kept.update(raw[at:])
-            for name, v in zip(out, (key, len(raw), sum(b - a for a, b in runs), len(runs), kept.hexdigest()), strict=True):
+            kept = b"".join([*rest, raw[at:]])
+            for name, v in zip(out, (key, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace")), strict=True):
                 out[name].append(v)
         return out
 
-    return map_columns(with_spans(docs).select("doc_id", text_or_empty(), "spans"), run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    ddl = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
+    return map_columns(with_spans(docs.select("doc_id", "text")), run, ddl, decompressor)
+
+
+def decompressor():
+    import zstandard
 
+    return zstandard.ZstdDecompressor()
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes out of their texts, all other columns as they are but n_chars, counted anew if there.
 
-    A character goes only if all its bytes go, so texts stay whole UTF-8. Null texts stay null.
+def remove_repeats(docs: DataFrame, length: int = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:
+    """docs without the bytes that strings of length bytes repeated elsewhere cover, where these make a run of so many words at least.
+
+    All other columns stay as they are but n_chars, counted anew if there. A character goes only if all its bytes go,
+    so texts stay whole UTF-8. Null texts stay null, every row stays, repeated rows are elsewhere to each other; an empty
+    table gives an empty one.
     """
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
     def rest(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        codec = decompressor()
+
         def one(text, some):
-            if text is None or some is None:
-                return text
-            raw, at, out = text.encode(), 0, []
-            for a, b in merged([(s["start"], s["stop"]) for s in some], len(raw)):
+            if text is None:
+                return None
+            raw, at, out = codec.decompress(text), 0, []
+            for a, b in merged([(s["start"], s["stop"]) for s in some if s] if some is not None else [], len(raw)):
+                if len(raw[a:b].split()) < words:
+                    continue
                 while a < len(raw) and raw[a] & 0xC0 == 0x80:
                     a += 1
                 while b < len(raw) and raw[b] & 0xC0 == 0x80:
@@ -341,7 +437,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)])
 
-    out = with_spans(docs).withColumn("text", rest("text", "spans")).drop("spans")
+    out = with_spans(docs, length, PASSAGE_CLASSES).withColumn("text", rest("text", "repeat_spans")).drop("repeat_spans")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))

@@ -77,6 +77,17 @@ def test_forward_backward_against_all_paths():
         assert pairs[k, 0] == pytest.approx(np.array([[sum(w for p, w in weight.items() if p[:2] == (a, b)) / z for b in (0, 1)] for a in (0, 1)]))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_chances_over_whole_texts_against_all_steps(seed):
+    r = np.random.default_rng(seed)
+    chain = Chain({}, bias=float(r.normal(-1, 2)), moves=r.normal(size=(2, 2)) * 2)
+    for n, at in ((1, [0]), (7, [0, 6]), (9, [4]), (400, [3, 4, 90, 350]), (60, list(range(60)))):
+        score = r.normal(size=len(at)) * 3
+        every = np.full((1, n), chain.bias)
+        every[0, at] = score
+        assert chain.chances(n, at, score.tolist()) == pytest.approx(chain.marginals(every, np.array([n]))[0][0], abs=1e-9)
+
+
 def toxic_corpus(seed):
     r = random.Random(seed)
     words = ["the", "thing", "over", "Under", "été", "near"]

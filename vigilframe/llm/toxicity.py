@@ -1,8 +1,9 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
 Labels are given for documents only. Words and word beginnings that occur nearly always in toxic documents mark the
-tokens of toxic training documents; a two-state chain learns from these token labels, and its forward-backward
-marginals give each token's chance, which a logistic curve over their sum and maximum turns into a document's score.
+tokens of toxic training documents; a two-state chain learns from these token labels. Forward-backward over the whole
+text gives each token's marginal chance; runs of tokens without features are crossed by powers of one matrix. A logistic
+curve over the sum and the maximum of the chances of tokens with features gives the document's score.
 """
 
 from __future__ import annotations
@@ -25,10 +26,9 @@ SAMPLE_PER_LABEL = 4000
 #: A feature marks toxic tokens if its smoothed share of toxic documents, among all training rows, is at least this.
 PRECISION, SMOOTHING = 0.7, 2.0
 PREFIXES = (4, 5, 6, 7, 8)
-#: Tokens on each side of one with features that belong to its chain. Between chains the state is clean.
-CONTEXT = 3
-#: Longest chain; a longer run of evidence is cut, so that padded arrays stay small.
-CHAIN = 40
+#: The weights are fitted on stretches of the sample's texts: tokens with features, so many tokens on each side of them,
+#: at most so many tokens in one, and about so many of them in all, chosen by hash. Scoring runs over whole texts.
+CONTEXT, STRETCH, STRETCHES = 3, 40, 100_000
 ITERATIONS, RATE, DECAY = 150, 0.1, 1e-3
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -97,16 +97,20 @@ class Chain:
             found = self.known[word] = tuple(self.index[f] for f in features(word) if f in self.index)
         return found
 
-    def chains(self, text: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
-        """Chains of (start, end, features) around tokens with features."""
+    def tokens(self, text: str) -> list[tuple[int, int, tuple[int, ...]]]:
+        """(start, end, features) of all tokens of a text that has any with features, else none."""
         low = text.lower()
         if not any(self.active(w) for w in set(WORD.findall(low))):
             return []
-        tokens = [(m.start(), m.end(), self.active(m.group())) for m in WORD.finditer(low)]
+        return [(m.start(), m.end(), self.active(m.group())) for m in WORD.finditer(low)]
+
+    def stretches(self, text: str) -> list[list[tuple[int, ...]]]:
+        """Features of the tokens in stretches around tokens with features, to learn from."""
+        tokens = [t[2] for t in self.tokens(text)]
         out: list[list[int]] = []
-        for i in (i for i, t in enumerate(tokens) if t[2]):
+        for i in (i for i, t in enumerate(tokens) if t):
             if out and i - CONTEXT <= out[-1][1]:
-                if i + CONTEXT + 1 - out[-1][0] <= CHAIN:
+                if i + CONTEXT + 1 - out[-1][0] <= STRETCH:
                     out[-1][1] = i + CONTEXT + 1
                 elif i >= out[-1][1]:
                     out.append([out[-1][1], i + CONTEXT + 1])
@@ -132,15 +136,6 @@ class Chain:
         inside = np.arange(most) < size[:, None]
         return np.where(inside, toxic, 0.0), np.where(inside[:, 1:, None, None], pairs, 0.0), total
 
-    def scores(self, chains: list[list[tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray]:
-        size = np.array([len(c) for c in chains])
-        out = np.full((len(chains), size.max()), self.bias)
-        for i, c in enumerate(chains):
-            for t, active in enumerate(c):
-                if active:
-                    out[i, t] += self.weights[list(active)].sum()
-        return out, size
-
     def fit(self, chains: list[list[tuple[int, ...]]], truth: list[list[int]], weight: np.ndarray) -> None:
         """Gradient ascent (Adam) on the weighted conditional likelihood of the token labels, chains of like length together."""
         order = sorted(range(len(chains)), key=lambda k: len(chains[k]))
@@ -181,32 +176,86 @@ class Chain:
         moves[0, 0] = 0
         return np.concatenate([np.bincount(which, off.ravel()[at], len(self.index)), [off.sum()], moves.ravel()])
 
-    def tag(self, texts: list[str]) -> list[list[tuple[int, int, float]]]:
-        """(start, end, chance) of the tokens of each text's chains, by code points of the text in lower case."""
-        owner, chains = [], []
-        for i, text in enumerate(texts):
-            for c in self.chains(text):
-                owner.append(i)
-                chains.append(c)
-        out: list[list] = [[] for _ in texts]
-        order = sorted(range(len(chains)), key=lambda k: len(chains[k]))
-        for k in range(0, len(order), 256):
-            some = order[k : k + 256]
-            toxic = self.marginals(*self.scores([[t[2] for t in chains[j]] for j in some]))[0]
-            for row, j in zip(toxic, some, strict=True):
-                out[owner[j]] += [(a, b, float(p)) for (a, b, _), p in zip(chains[j], row, strict=False)]
-        return [sorted(x) for x in out]
-
-    def score(self, tagged: list[list[tuple[int, int, float]]]) -> np.ndarray:
+    def plain(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """Parts of the move over g tokens without features, up to a factor: first + rate**g * second. The two projectors of a matrix of positive numbers."""
+        step = np.exp(self.moves + np.array([0.0, self.bias]))
+        mean, apart = np.trace(step) / 2, np.sqrt(((step[0, 0] - step[1, 1]) / 2) ** 2 + step[0, 1] * step[1, 0])
+        high, low = mean + apart, mean - apart
+        first = (step - low * np.eye(2)) / (high - low)
+        return first, np.eye(2) - first, float(low / high)
+
+    def chances(self, n: int, at: list[int], score: list[float]) -> np.ndarray:
+        """Chance of the toxic state of each of n tokens; those at `at`, one or more, have scores of their own, all others the bias.
+
+        Before the text the state is clean. Messages pass from one scored token to the next in one step each; between
+        them chances come from both sides' messages in closed form, so nothing is cut however long the text is.
+        """
+        (((a, b), (c, d)), ((e, f), (g, h)), rate) = self.plain()
+        (m00, m01), (m10, m11) = np.exp(self.moves).tolist()
+        gaps = [y - x - 1 for x, y in zip([-1, *at], [*at, n], strict=True)]
+        lift = [float(np.exp(np.clip(s, -60, 60))) for s in score]
+
+        def norm(x: float, y: float) -> tuple[float, float]:
+            return x / (x + y), y / (x + y)
+
+        before, x, y = [(1.0, 0.0)], 1.0, 0.0
+        for k, gap in enumerate(gaps[:-1]):
+            q = rate**gap
+            x, y = x * (a + q * e) + y * (c + q * g), x * (b + q * f) + y * (d + q * h)
+            x, y = norm(x * m00 + y * m10, (x * m01 + y * m11) * lift[k])
+            before.append((x, y))
+        q = rate ** gaps[-1]
+        x, y = norm(a + q * e + b + q * f, c + q * g + d + q * h)
+        after = [(x, y)]  # at the scored token itself, of what follows
+        ahead = [(1.0, 1.0)]  # at the last token of each gap, of what follows it
+        for k in range(len(at) - 1, -1, -1):
+            x, y = norm(m00 * x + m01 * lift[k] * y, m10 * x + m11 * lift[k] * y)
+            ahead.append((x, y))
+            q = rate ** gaps[k]
+            x, y = norm((a + q * e) * x + (b + q * f) * y, (c + q * g) * x + (d + q * h) * y)
+            after.append((x, y))
+        after, ahead = after[::-1], ahead[::-1]  # after[k + 1] belongs to at[k]; ahead[k] to gap k
+        out = np.empty(n)
+        for k, t in enumerate(at):
+            clean, toxic = before[k + 1][0] * after[k + 1][0], before[k + 1][1] * after[k + 1][1]
+            out[t] = toxic / (clean + toxic)
+        start = 0
+        for k, gap in enumerate(gaps):
+            if gap:
+                (x, y), (u, v) = before[k], ahead[k]
+                up = rate ** np.arange(1, gap + 1, dtype="f8")
+                down = rate ** np.arange(gap - 1, -1, -1, dtype="f8")
+                clean = (x * (a + up * e) + y * (c + up * g)) * ((a + down * e) * u + (b + down * f) * v)
+                toxic = (x * (b + up * f) + y * (d + up * h)) * ((c + down * g) * u + (d + down * h) * v)
+                out[start : start + gap] = toxic / (clean + toxic)
+            start += gap + 1
+        return out
+
+    def tag(self, texts: list[str]) -> list[tuple[list[float], list[tuple[int, int]]]]:
+        """For each text the chances of its tokens with features, and (start, end) of all tokens more likely toxic than not, by code points of the text in lower case.
+
+        A text that has no token with features is taken as clean.
+        """
+        out: list[tuple[list[float], list[tuple[int, int]]]] = []
+        for text in texts:
+            if not (tokens := self.tokens(text)):
+                out.append(([], []))
+                continue
+            at = [i for i, t in enumerate(tokens) if t[2]]
+            p = self.chances(len(tokens), at, [self.bias + float(self.weights[list(tokens[i][2])].sum()) for i in at])
+            out.append((p[at].tolist(), [tokens[i][:2] for i in np.flatnonzero(p >= 0.5)]))
+        return out
+
+    def score(self, tagged: list[tuple[list[float], list]]) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.inputs(tagged) @ self.curve)))
 
     @staticmethod
-    def inputs(tagged: list[list[tuple[int, int, float]]]) -> np.ndarray:
-        return np.array([[1.0, np.log1p(sum(x[2] for x in t)), max((x[2] for x in t), default=0.0)] for t in tagged]).reshape(-1, 3)
+    def inputs(tagged: list[tuple[list[float], list]]) -> np.ndarray:
+        return np.array([[1.0, np.log1p(sum(p)), max(p, default=0.0)] for p, _ in tagged]).reshape(-1, 3)
 
-    def fit_curve(self, tagged: list, truth: np.ndarray, weight: np.ndarray) -> None:
+    def fit_curve(self, x: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> None:
         """Weighted logistic regression by Newton's method, lightly damped."""
-        x, w = self.inputs(tagged), np.zeros(3)
+        w = np.zeros(3)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             damp = np.diag([1e-6, 0.05, 0.05])
@@ -225,26 +274,26 @@ def fit_chain(docs: DataFrame, labels: DataFrame) -> Chain:
     if not found:
         return chain
 
-    def cut(texts: list[str], toxic: list[int]) -> dict:
-        return {"toxic": toxic, "chains": [[[list(t[2]) for t in c] for c in chain.chains(x)] for x in texts]}
+    def cut(keys: list, texts: list[str], toxic: list[int]) -> dict:
+        each = [(key, k, y, [list(t) for t in c]) for key, text, y in zip(keys, texts, toxic, strict=True) for k, c in enumerate(chain.stretches(text))]
+        return dict(zip(("doc_id", "k", "toxic", "stretch"), map(list, zip(*each, strict=True)) if each else ([], [], [], []), strict=True))
+
+    def inputs(texts: list[str], toxic: list[int]) -> dict:
+        x = chain.inputs(chain.tag(texts))
+        return {"toxic": toxic, "amount": x[:, 1].tolist(), "most": x[:, 2].tolist()}
 
-    rows = map_columns(sample.select("text", "toxic"), cut, "toxic int, chains array<array<array<int>>>").collect()  # bounded by the sample
+    found = materialize(map_columns(sample.select("doc_id", "text", "toxic"), cut, "doc_id bigint, k int, toxic int, stretch array<array<int>>"))
+    share = min(1.0, STRETCHES / max(1, found.count()))
+    rows = found.where(F.pmod(F.xxhash64("doc_id", "k"), F.lit(1 << 20)) < int(share * (1 << 20))).collect()  # about STRETCHES rows at most
+    weight = np.array([stands_for[r.toxic] for r in rows])
+    stretches = [[tuple(t) for t in r.stretch] for r in rows]
+    chain.fit(stretches, [[int(bool(t) and r.toxic) for t in c] for c, r in zip(stretches, rows, strict=True)], weight / weight.mean())
+    chain.known.clear()
+    rows = map_columns(sample.select("text", "toxic"), inputs, "toxic int, amount double, most double").collect()  # a row for each sampled document
     weight = np.array([stands_for[r.toxic] for r in rows])
-    weight /= weight.mean()  # damping and decay stay as they are to the sample
-    chains = [([tuple(t) for t in c], r.toxic) for r in rows for c in r.chains]
-    chain.fit([c for c, _ in chains], [[int(bool(t) and y) for t in c] for c, y in chains], np.repeat(weight, [len(r.chains) for r in rows]))
     chain.known.clear()
-    tagged, at = [], iter(range(len(chains)))
-    every = [[] for _ in chains]
-    order = sorted(range(len(chains)), key=lambda k: len(chains[k][0]))
-    for k in range(0, len(order), 256):
-        some = order[k : k + 256]
-        toxic = chain.marginals(*chain.scores([chains[j][0] for j in some]))[0]
-        for row, j in zip(toxic, some, strict=True):
-            every[j] = [(0, 0, float(p)) for p in row[: len(chains[j][0])]]
-    for r in rows:
-        tagged.append([x for _ in r.chains for x in every[next(at)]])
-    chain.fit_curve(tagged, np.array([r.toxic for r in rows], float), weight)
+    # Weights average one, so damping and decay stay as they are to the sample.
+    chain.fit_curve(np.array([[1.0, r.amount, r.most] for r in rows]), np.array([r.toxic for r in rows], float), weight / weight.mean())
     return chain
 
 
@@ -258,7 +307,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(keys: list, texts: list[str]) -> dict:
         tagged = chain.tag(texts)
-        return {"doc_id": keys, "score": chain.score(tagged).tolist(), "spans": [[{"start": a, "stop": b} for a, b, p in t if p >= 0.5] for t in tagged]}
+        return {"doc_id": keys, "score": chain.score(tagged).tolist(), "spans": [[{"start": a, "stop": b} for a, b in spans] for _, spans in tagged]}
 
     return map_columns(docs.select("doc_id", text_or_empty()), run, "doc_id bigint, score double, spans array<struct<start: int, stop: int>>")
 
@@ -270,7 +319,7 @@ def op9_toxicity_crf(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score under one half."""
+    """The rows of docs that score under one half, as they are, null and empty texts and repeated rows among them; an empty table gives an empty one."""
     from pyspark.sql.functions import pandas_udf
 
     chain = fit_chain(docs, labels)

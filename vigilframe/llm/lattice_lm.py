@@ -151,6 +151,18 @@ class Model:
         return math.log10(max(self.texts - self.discount, 0.25) / self.tokens) if self.tokens else -1.0
 
 
+def hot_count(counts: DataFrame) -> int:
+    """The least count at which no more than HOT_WORDS words are as frequent. Counts are looked at in classes of a sixteenth of a doubling, so a thousand rows at most come to the driver."""
+    step = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
+    found, least = 0, 1
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).collect(), key=lambda r: -r.step):
+        found += r.n
+        if found > HOT_WORDS:
+            return r.most + 1
+        least = r.least
+    return least
+
+
 def lattice_scores(docs: DataFrame, model_file: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; logarithms to base 10.
 
@@ -164,7 +176,7 @@ def lattice_scores(docs: DataFrame, model_file: str) -> DataFrame:
     texts = docs.where("training").count()
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2))).first()
     model = Model(SubwordLattice(model_file, piece_counts(counts, model_file)), (total.n or 0) + texts, total.v + (texts > 0), texts, (total.n1 + 1) / (total.n1 + 2 * total.n2 + 2))
-    top = counts.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()
+    top = counts.where(F.col("c") >= hot_count(counts)).collect()  # HOT_WORDS at most
     scored = model.words([bytes(r.word).decode(errors="replace") for r in top], np.array([r.c for r in top], "f8")) if top else []
     hot = {bytes(r.word): (model.base(r.c), float(x)) for r, x in zip(top, scored, strict=True)}
     end_base, end_known, end_score = model.base(texts), int(texts > 0), model.end()

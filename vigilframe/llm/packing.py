@@ -17,11 +17,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, table, text_or_empty
+from .common import map_columns, materialize, table, text_or_empty
 
 SEQUENCE_TOKENS, END_ID = 4096, 1
-#: Documents that are packed together. Each such bucket leaves about one sequence partly filled.
-BUCKET_DOCUMENTS = 16_384
+#: Pieces that are packed together. Each such bucket leaves about one sequence partly filled.
+BUCKET_PIECES = 16_384
 TABLE_WORDS, TABLE_CHARS = 500_000, 48
 
 
@@ -141,16 +141,17 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = SEQUENCE_
     return map_columns(docs.select("doc_id", text_or_empty()), run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint", lambda: word_table(tokenizer_file))
 
 
-def pack_pieces(pieces: DataFrame, n_documents: int, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
-    """Adds sequence_id and offset. Pieces go to buckets by a hash, so no source or long document fills one bucket."""
+def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
+    """Adds sequence_id and offset. Pieces are numbered and go to buckets by a hash of the number, so no source, long document or repeated row fills one bucket."""
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        part = part.sort_values(["length", "doc_id", "piece", "number"], ascending=[False, True, True, True], kind="stable")
         where, offset = best_fit_decreasing(part.length.tolist(), capacity)
-        return part.assign(sequence_id=part.bucket * (1 << 32) + np.array(where, "int64"), offset=np.array(offset, "int64")).drop(columns="bucket")
+        return part.assign(sequence_id=part.bucket * (1 << 32) + np.array(where, "int64"), offset=np.array(offset, "int64")).drop(columns=["bucket", "number"])
 
-    buckets = max(1, -(-n_documents // BUCKET_DOCUMENTS))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("long"))
+    numbered = materialize(pieces.withColumn("number", F.monotonically_increasing_id()))
+    buckets = max(1, -(-numbered.count() // BUCKET_PIECES))
+    dealt = numbered.withColumn("bucket", F.pmod(F.xxhash64("number"), F.lit(buckets)).cast("long"))
     return dealt.groupBy("bucket").applyInPandas(pack, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
@@ -161,7 +162,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str | None = None) -> DataFr
     rows are packed each; ties go by doc_id and piece; an empty table gives an empty one; further columns don't matter.
     """
     file = tokenizer_file or public_tokenizers.path("word_bpe_49k.json")
-    return pack_pieces(token_pieces(docs, file), docs.count())
+    return pack_pieces(token_pieces(docs, file))
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from vigilframe.llm.token_counts import CountTree, count_edited, counter
-from vigilframe.llm.winnowing import GRAM, PLACE, PLACE_BITS, UNIT, WINDOW, chosen, fingerprint_documents, hashes, places
+from vigilframe.llm.winnowing import GRAM, PARTED, PLACE, PLACE_BITS, UNIT, WINDOW, chosen, fingerprint_documents, hashes, likeness, op3_winnowing, places
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -54,10 +54,11 @@ def plain_chosen(text):
         return [signed(word(text) | PLACE)]
 
     def gram(hs):
-        seed = 42
-        for h in hs:  # of several numbers each is hashed with the one before it as its seed
-            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
-        return seed
+        turned = lambda h, k: (h << k | h >> (64 - k)) & (2**64 - 1)
+        out = 0
+        for k, h in enumerate([*hs, *[0] * (GRAM - len(hs))]):
+            out ^= turned(h, GRAM - 1 - k) if k < GRAM - 1 else h
+        return out
 
     h = [word(u) for u in units]
     g = [(gram(h[i : i + GRAM]) & ~PLACE & (2**64 - 1)) + PLACE - i for i in range(max(1, len(h) - GRAM + 1))]
@@ -88,6 +89,49 @@ def test_winnowing(spark):
     assert len(one) == 1 and one[0].next_chosen == one[0].chosen
 
 
+def test_the_next_document_among_hot_and_far_ids(spark, monkeypatch):
+    import vigilframe.llm.winnowing as module
+
+    monkeypatch.setattr(module, "STRETCHES", 16)
+    monkeypatch.setattr(module, "BUCKET", 4)
+    monkeypatch.setattr(module, "SHELF", 8)
+    r = random.Random(5)
+    say = lambda: "".join(r.choice("abcé日") for _ in range(r.randrange(12)))
+    rows = [(i, say()) for i in range(200)] + [(None, say()) for _ in range(150)] + [(77, say()) for _ in range(150)] + [(2**63 - 1, "far"), (-(2**63), "low"), (10**15, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = module.with_next(frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), lambda t: F.length(t)).collect()
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    assert sorted(((x.doc_id, x.text, x.next_text, x.next_x) for x in got), key=key) == sorted(((*a, b[1], len(b[1])) for a, b in zip(order, order[1:] + order[:1])), key=key)
+
+
+def test_likeness(spark):
+    cases = [([], []), ([1], []), ([1, 2, 2, 3], [3, 2, 9]), ([5], [5, 5]), ([1], [2])]
+    rows = spark.createDataFrame(cases, "a array<long>, b array<long>").select("a", "b", likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    for r in rows:
+        a, b = set(r.a), set(r.b)
+        assert r.x == (1.0 if not a | b else len(a & b) / len(a | b))
+
+
+def test_the_registered_query(spark, tmp_path):
+    r = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "x" * 30 + "a7", "日本語"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randrange(40)))) for i in range(30)] + [(40, None), (41, ""), (None, "some text here")]
+    rows.append((50, rows[3][1]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in op3_winnowing(spark, str(tmp_path)).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    prints = {t: set(c >> PLACE_BITS for c in (x or [])) for t, x in spark.createDataFrame([(t,) for t in {t for _, t in order}], "t string").select("t", chosen(F.col("t"), PARTED)).collect()}
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        both = prints[t] | prints[after]
+        assert got[i].near_next == (len(prints[t] & prints[after]) / len(both) if both else 1.0) and 0 <= got[i].near_edited <= 1
+        if edited == t:
+            assert got[i].fingerprint == got[i].edited_fingerprint and got[i].near_edited == 1
+    assert got[50].fingerprint == got[3].fingerprint and got[40].fingerprint == got[41].fingerprint != got[3].fingerprint
+
+
 def test_rightmost_tie_and_guarantee(spark):
     shared = "alpha beta gamma delta epsilon zeta eta"
     a, b = spark.createDataFrame([("x y " + shared + " z", "q " + shared + " w v")], "a string, b string").select(hashes(chosen(F.col("a"))), hashes(chosen(F.col("b")))).first()

@@ -1,7 +1,7 @@
 """Winnowing fingerprints in DataFrame expressions alone.
 
 A text's units don't depend on where in it they stand: each character of a script without spaces, words of up to UNIT
-code points, and longer runs parted after characters of a fixed class. Rolling hashes of GRAM units; of
+code points, and longer runs parted after characters of a fixed class. Rolling hashes of GRAM units, a power of two; of
 every WINDOW neighbouring hashes the least is chosen, the rightmost of equal ones. Two texts that share
 GRAM + WINDOW - 1 units in a row share a chosen hash. Positions are kept.
 """
@@ -27,6 +27,8 @@ PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
 #: Documents, on average, of one bucket of neighbouring ids, and buckets of one shelf.
 BUCKET, SHELF = 64, 4096
+#: Stretches of the order of documents that each hold about as many, by a sample of so many rows.
+STRETCHES, SAMPLE = 256, 8192
 
 
 def let(value: Column, fn) -> Column:
@@ -42,10 +44,14 @@ def chosen(text: Column, unit: str = STRIDE) -> Column:
     """
     units = F.regexp_extract_all(text, F.lit(unit), F.lit(0))
 
-    def grams(h: Column) -> Column:
-        last = F.greatest(F.size(h) - GRAM, F.lit(0))
+    def grams(h: Column, n: int = 1) -> Column:
+        """Rolling hashes by cyclic polynomials: a hash of 2n units is that of the first n, turned by n bits, and that of the n after them."""
+        turned = lambda a, b: F.shiftleft(a, n).bitwiseOR(F.shiftrightunsigned(a, 64 - n)).bitwiseXOR(F.coalesce(b, F.lit(0)))
+        if 2 * n < GRAM:
+            return let(F.zip_with(h, F.slice(h, F.lit(1 + n), F.size(h)), turned), lambda g: grams(g, 2 * n))
         place = lambda i: F.lit(PLACE) - i.bitwiseAND(F.lit(PLACE))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(GRAM))).bitwiseAND(F.lit(~PLACE)) + place(i))
+        heads = F.slice(h, F.lit(1), F.greatest(F.size(h) - GRAM + 1, F.lit(1)))
+        return F.transform(heads, lambda a, i: turned(a, F.get(h, i + n)).bitwiseAND(F.lit(~PLACE)) + place(i))
 
     def least(v: Column, step: int = 1) -> Column:
         """Least of each WINDOW neighbours, by doubling."""
@@ -81,31 +87,54 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, more) -> DataFrame:
     """(doc_id, text, x, next_text, next_x), x = more(text): each row with the next one in order of doc_id from the highest; after the last comes the first.
 
-    Rows of one doc_id stand in order of text; null ids come last. Ids are put in buckets of neighbours, and each
+    Rows of one doc_id stand in order of text; null ids come last. Rows are put in buckets of neighbours, and each
     bucket is ordered by itself; only its first row goes on to the bucket above it, found through the buckets'
-    numbers. No task orders all rows.
+    numbers. No task orders all rows. Bounds from a sample part the order into stretches that hold about as many rows,
+    so neither far-off ids nor one id with many rows fills a bucket, unless their texts begin alike; within a stretch
+    buckets are of equal id width.
     """
-    edge = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n")).first()
-    low, n = edge.low or 0, max(edge.n, 1)
-    high = edge.high if edge.n else low - 1
-    width = max(1, (high - low + 1) * BUCKET // n)
-    bucket = F.expr(f"(CAST(doc_id AS DECIMAL(20, 0)) - CAST('{low}' AS DECIMAL(20, 0))) DIV CAST('{width}' AS DECIMAL(20, 0))")
-    keyed = docs.select("doc_id", "text", F.coalesce(bucket, F.lit(-1)).cast("long").alias("bucket"))
+    placed = docs.select("doc_id", "text", *_order())
+    n = docs.count()
+    some = placed.sample(min(1.0, SAMPLE / max(n, 1)), seed=11).select("known", "id", "head").collect()  # about SAMPLE rows at most
+    found = sorted((r.known, r.id, r.head) for r in some)
+    bounds = sorted({found[k * len(found) // STRETCHES] for k in range(1, STRETCHES)}) if found else []
+    keyed = placed.select("doc_id", "text", _bucket(bounds, max(1, n // STRETCHES)).alias("bucket"))
     order = W.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "text")
     rows = keyed.repartition("bucket").withColumn("x", more(F.col("text")))
     rows = rows.select("*", F.lead(F.struct("text", "x")).over(order).alias("next"))
     # Buckets: within a shelf by a window, from shelf to shelf by one over the shelves, one for BUCKET * SHELF rows.
     numbers = keyed.select("bucket").distinct().withColumn("shelf", F.floor(F.col("bucket") / SHELF))
     inside = numbers.withColumn("below", F.lag("bucket").over(W.partitionBy("shelf").orderBy("bucket")))
-    tops = numbers.groupBy("shelf").agg(F.max("bucket").alias("top")).withColumn("below_shelf", F.lag("top").over(W.orderBy("shelf")))
-    top = F.lit((high - low) // width if edge.n else -1).cast("long")
-    after = inside.join(tops.select("shelf", "below_shelf"), "shelf").select(F.col("bucket").alias("above"), F.coalesce("below", "below_shelf", top).alias("bucket"))
+    tops = numbers.groupBy("shelf").agg(F.max("bucket").alias("top"))
+    tops = tops.withColumns({"below_shelf": F.lag("top").over(W.orderBy("shelf")), "highest": F.max("top").over(W.orderBy("shelf").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    after = inside.join(tops.select("shelf", "below_shelf", "highest"), "shelf").select(F.col("bucket").alias("above"), F.coalesce("below", "below_shelf", "highest").alias("bucket"))
     firsts = keyed.withColumn("k", F.row_number().over(order)).where("k = 1").select("bucket", "text")
     edges = firsts.join(after, "bucket").select(F.col("above").alias("bucket"), F.struct("text", more(F.col("text")).alias("x")).alias("edge"))
     joined = rows.join(edges, "bucket").withColumn("next", F.coalesce("next", "edge"))
     return joined.select("doc_id", "text", "x", F.col("next.text").alias("next_text"), F.col("next.x").alias("next_x"))
 
 
+def _order() -> list[Column]:
+    """What rows are bucketed by, rising where the order of documents falls: known ids, the id, and the less the later the text's first seven bytes."""
+    head = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return [F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), (-head).alias("head")]
+
+
+def _bucket(bounds: list[tuple], stretch_rows: int) -> Column:
+    """Number of a row's bucket: its stretch between the bounds and, by the id, its part of the stretch."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    known = F.array(*(F.struct(F.lit(k).alias("known"), F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("head")) for k, i, h in bounds))
+    mine = F.struct("known", "id", "head")
+    # Of a stretch from one known id to another: where it begins, and how many ids make a bucket.
+    parts = max(1, stretch_rows // BUCKET)
+    spans = [(a[1], max(1, (b[1] - a[1]) // parts)) if a[0] and a[1] != b[1] else (None, None) for a, b in zip(bounds, bounds[1:], strict=False)]
+    lows, wides = (F.array(*(F.lit(v).cast("long") for v in [None, *x, None])) for x in (zip(*spans, strict=True) if spans else ([], [])))
+    inner = lambda s: F.coalesce((F.col("id") - F.get(lows, s)).cast("decimal(20,0)") / F.get(wides, s), F.lit(0)).cast("long")
+    stretch = F.size(F.filter(known, lambda b: b <= mine))
+    return let(stretch, lambda s: s.cast("long") * F.lit(1 << 32) + inner(s))
+
+
 def fingerprint_documents(docs: DataFrame, unit: str = STRIDE) -> DataFrame:
     """(doc_id, text, edited, chosen, edited_chosen, next_chosen) of each row; hashes() and places() read the chosen numbers.
 

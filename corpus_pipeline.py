@@ -17,13 +17,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each SimHash component."""
+    """One row of each SimHash component, the one with the smallest doc_id."""
     session(spark)
     return keep_one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without the bytes that a 400-byte string repeated elsewhere covers."""
+    """All rows, without passages of over 50 words that stand elsewhere too."""
     session(spark)
     return remove_repeats(docs)
 

@@ -8,6 +8,7 @@ from .lattice_lm import op4_lattice_lm
 from .packing import op2_best_fit_packing
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op6_simhash_neardup
+from .structure_repair import op11_structure_repair
 from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op7_edit_aware_counts
 from .toxicity import op9_toxicity_crf
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_chat_prefix_target": op8_chat_prefix_target,
     "op9_toxicity_crf": op9_toxicity_crf,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_structure_repair": op11_structure_repair,
 }
 ORACLE_SQL = {"op5_embedding_neardup": OP5_SQL, "op8_chat_prefix_target": OP8_SQL}

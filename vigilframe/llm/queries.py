@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_prefix_target
+from .cross_tokens import op12_cross_tokenizer
 from .embeddings import OP5_SQL, op5_embedding_neardup
 from .lattice_lm import op4_lattice_lm
 from .packing import op2_best_fit_packing
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_toxicity_crf": op9_toxicity_crf,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_structure_repair": op11_structure_repair,
+    "op12_cross_tokenizer": op12_cross_tokenizer,
 }
 ORACLE_SQL = {"op5_embedding_neardup": OP5_SQL, "op8_chat_prefix_target": OP8_SQL}

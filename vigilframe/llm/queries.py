@@ -7,6 +7,7 @@ from .cross_tokens import op12_cross_tokenizer
 from .embeddings import OP5_SQL, op5_embedding_neardup
 from .lattice_lm import op4_lattice_lm
 from .packing import op2_best_fit_packing
+from .quality_lines import op13_quality_lines
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op6_simhash_neardup
 from .structure_repair import op11_structure_repair
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_structure_repair": op11_structure_repair,
     "op12_cross_tokenizer": op12_cross_tokenizer,
+    "op13_quality_lines": op13_quality_lines,
 }
 ORACLE_SQL = {"op5_embedding_neardup": OP5_SQL, "op8_chat_prefix_target": OP8_SQL}

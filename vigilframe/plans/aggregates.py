@@ -13,11 +13,11 @@ from ..functions.times import quiet, utc_label
 from ..model import SEVERITIES
 from ..operators.lifecycle import correlate_replay
 from ..operators.scoring import build_incidents, incident_scores, incident_status
+from ..operators.watch import watch_matches
 from ..views import NOW, articles, latest_observations, members, observations, table
 from .filters import CHG, INC, changes, incidents, scored
-from .joins import _REGION_SQL, _SEV, _ZONE_SQL, correlated_pairs, watch_matches, watch_regions, zone_hits
+from .joins import _MATCHES, _PLACED, _REGION_SQL, _ZONE_SQL, correlated_pairs, watch_regions, zone_hits
 from .registry import query
-from .scalars import sql_km
 
 C = F.col
 _NOW = f"TIMESTAMP '{NOW}'"
@@ -262,7 +262,7 @@ def notifications(changed, regions, seen, acknowledged, snoozed, config=NOTIFY):
 _KEY = "concat(observation_id, '@', revision)"
 
 
-@query("wat_notify", CHG.rstrip() + _REGION_SQL.rstrip() + f", sz AS (SELECT observation_id, max(ingested_at) + INTERVAL 1 HOUR AS until FROM chg WHERE k % 17 = 0 GROUP BY 1) SELECT {_KEY} AS key, event_id, change_type, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM chg LEFT JOIN sz USING (observation_id) JOIN r ON r.enabled AND {_SEV} >= r.least AND contains(lower(concat(headline, ' ', summary)), 'site') AND (r.worldwide OR {sql_km('r_lon', 'r_lat', 'slon', 'slat')} <= radius) WHERE change_type IN ('new','escalated','updated') AND kind IN ('earthquake','weather_alert','tsunami','wildfire','volcano','news_item') AND severity IN ('Moderate','Severe','Extreme') AND NOT {_QUIET.format('ingested_at')} AND event_id % 13 <> 0 AND NOT (k % 11 = 0 AND severity = 'Severe') AND (until IS NULL OR until <= ingested_at) GROUP BY ALL")
+@query("wat_notify", CHG.rstrip() + _REGION_SQL.rstrip() + f", sz AS (SELECT observation_id, max(ingested_at) + INTERVAL 1 HOUR AS until FROM chg WHERE k % 17 = 0 GROUP BY 1) SELECT {_KEY} AS key, event_id, change_type, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM chg LEFT JOIN sz USING (observation_id) JOIN r ON {_MATCHES} AND {_PLACED.format('chg')} WHERE change_type IN ('new','escalated','updated') AND kind IN ('earthquake','weather_alert','tsunami','wildfire','volcano','news_item') AND severity IN ('Moderate','Severe','Extreme') AND NOT {_QUIET.format('ingested_at')} AND event_id % 13 <> 0 AND NOT (k % 11 = 0 AND severity = 'Severe') AND (until IS NULL OR until <= ingested_at) GROUP BY ALL")
 def wat_notify(spark, sf_dir):
     """Notifications out of the change feed; keys seen and acknowledged, and snoozes, are rows of these tables."""
     c = changes(spark, sf_dir)

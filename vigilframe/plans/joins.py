@@ -8,10 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..functions.lookup import severity_rank
 from ..model import DECLARATION_OPEN_DAYS, DECLARATION_PADDING_HOURS, DECLARED_TYPES, MEDIA_KINDS, ROUTES, RULES, ZONES
 from ..functions.times import seconds_between
 from ..operators.joins import checkpoint_dir, components, likeness_join, nearest, time_range_join, with_side
+from ..operators.watch import watch_matches
 from ..views import articles, latest_observations, members, observations, table
 from .registry import query
 from .scalars import sql_km
@@ -331,39 +331,49 @@ def coastal_context(spark, sf_dir):
     return thinned(ranked, "segment", 50.0, 6)
 
 
-_REGION_SQL = ", r AS (SELECT n_nationkey AS region, n_name AS label, (n_nationkey * 5077 % 36001) / 100.0 - 180 AS r_lon, (n_nationkey * 2909 % 12001) / 100.0 - 60 AS r_lat, 500 + n_nationkey * 60 AS radius, n_nationkey % 3 AS least, n_nationkey % 5 = 0 AS worldwide, n_nationkey % 7 <> 6 AS enabled FROM nation)\n"
+#: Watch regions out of nations: every third one a circle, a polygon with a hole, two polygons. Corners are shifts of the
+#: middle (by width and height), of the polygon, its hole, and the second polygon; some cross the antimeridian.
+_SHAPES = {
+    "outer": ((-1.0, -1.0), (1.0, -0.5), (0.75, 1.0), (-1.25, 0.75), (-1.0, -1.0)),
+    "hole": ((-0.25, 0.0), (0.0, -0.25), (0.25, 0.0), (0.0, 0.5), (-0.25, 0.0)),
+    "other": ((1.5, 0.0), (2.5, -0.5), (2.5, 0.75), (1.5, 0.0)),
+}
+_KINDS = ("earthquake", "weather_alert", "news_item", "volcano", "tsunami")
+_CASE = {
+    "r_lon": "CAST((n_nationkey * 5077 % 36001) / 100.0 - 180 AS DOUBLE)",
+    "r_lat": "CAST((n_nationkey * 2909 % 12001) / 100.0 - 60 AS DOUBLE)",
+    "radius": "500 + n_nationkey * 60",
+    "shape": "CASE n_nationkey % 3 WHEN 0 THEN 'Point' WHEN 1 THEN 'Polygon' ELSE 'MultiPolygon' END",
+    "wide": "CAST(10 + n_nationkey AS DOUBLE)",
+    "high": "CAST(8 + n_nationkey % 10 AS DOUBLE)",
+    "least": "n_nationkey % 3",
+    "worldwide": "n_nationkey % 5 = 0",
+    "enabled": "n_nationkey % 7 <> 6",
+}
+_CORNERS = lambda name: "[" + ", ".join(f"{{'x': r_lon + wide * {x}, 'y': r_lat + high * {y}}}" for x, y in _SHAPES[name]) + "]"
+#: 2 on a ring, 1 inside, 0 outside; the ring is turned so that its first corner is within half a turn of the point.
+_RING_SQL = """SELECT event_id, region, part, hole, CASE WHEN list_bool_or(list_transform(range(1, len(p)), lambda i: abs((px - p[i].x) * (p[i + 1].y - p[i].y) - (py - p[i].y) * (p[i + 1].x - p[i].x)) <= 1e-9 AND px BETWEEN least(p[i].x, p[i + 1].x) - 1e-9 AND greatest(p[i].x, p[i + 1].x) + 1e-9 AND py BETWEEN least(p[i].y, p[i + 1].y) - 1e-9 AND greatest(p[i].y, p[i + 1].y) + 1e-9)) THEN 2
+ ELSE len(list_filter(range(1, len(p)), lambda i: (p[i].y > py) <> (p[i + 1].y > py) AND p[i].x + (py - p[i].y) * (p[i + 1].x - p[i].x) / (p[i + 1].y - p[i].y) > px)) % 2 END AS rel
+ FROM (SELECT o.event_id, g.region, g.part, g.hole, o.slat AS py, o.slon - 360 * floor((o.slon - g.p[1].x + 180) / 360) AS px, g.p FROM o, g)"""
+_REGION_SQL = (
+    ", r AS (SELECT n_nationkey AS region, n_name AS label, " + ", ".join(f"{x} AS {c}" for c, x in _CASE.items()) + f" FROM nation)\n, g AS (SELECT region, 0 AS part, false AS hole, {_CORNERS('outer')} AS p FROM r WHERE shape <> 'Point' UNION ALL SELECT region, 0, true, {_CORNERS('hole')} FROM r WHERE shape = 'Polygon' UNION ALL SELECT region, 1, false, {_CORNERS('other')} FROM r WHERE shape = 'MultiPolygon')\n"
+    f", rg AS ({_RING_SQL})\n, inp AS (SELECT DISTINCT event_id, region FROM (SELECT event_id, region, part, max(rel) FILTER (NOT hole) AS outside, coalesce(max(rel) FILTER (hole), 0) AS within FROM rg GROUP BY ALL) WHERE outside > 0 AND within <> 1)\n"
+)
 _SEV = "CASE severity WHEN 'Extreme' THEN 4 WHEN 'Severe' THEN 3 WHEN 'Moderate' THEN 2 WHEN 'Minor' THEN 1 ELSE 0 END"
-_MATCH_SQL = _REGION_SQL + f", wm AS (SELECT r.region, r.label, l.event_id, l.kind, l.severity, l.observation_id FROM r JOIN l ON r.enabled AND {_SEV} >= r.least AND contains(lower(concat(headline, ' ', summary)), 'site') AND (r.worldwide OR {sql_km('r_lon', 'r_lat', 'slon', 'slat')} <= radius))\n"
+_IN_KINDS = "(r.region % 4 = 0 OR " + " OR ".join(f"(r.region % 4 = {k} AND kind IN ({', '.join(repr(x) for x in _KINDS[: k + 2])}))" for k in (1, 2, 3)) + ")"
+#: Whether a region matches an observation; joined with r and, from the left, with inp.
+_MATCHES = f"r.enabled AND {_SEV} >= r.least AND {_IN_KINDS} AND contains(lower(concat_ws(' ', headline, summary, location_name)), 'site')"
+_PLACED = f"(r.worldwide OR (r.shape = 'Point' AND {sql_km('r_lon', 'r_lat', 'slon', 'slat')} <= radius) OR (r.shape <> 'Point' AND EXISTS (SELECT 1 FROM inp WHERE inp.region = r.region AND inp.event_id = {{}}.event_id)))"
+_MATCH_SQL = _REGION_SQL + f", wm AS (SELECT r.region, r.label, l.event_id, l.kind, l.severity, l.observation_id FROM r JOIN l ON {_MATCHES} AND {_PLACED.format('l')})\n"
 
 
 def watch_regions(spark, sf_dir):
-    n = C("n_nationkey").cast("long")
-    return table(spark, sf_dir, "nation").select(
-        n.alias("region"), C("n_name").alias("label"), ((n * 5077 % 36001) / 100.0 - 180).alias("r_lon"), ((n * 2909 % 12001) / 100.0 - 60).alias("r_lat"),
-        (500 + n * 60).alias("radius"), (n % 3).alias("least"), (n % 5 == 0).alias("worldwide"), (n % 7 != 6).alias("enabled"), F.array(F.lit("site")).alias("keywords"),
-    )
-
-
-#: Watch regions a user table holds at most that are broadcast; more of them are matched by cells of a grid.
-BROADCAST_REGIONS = 10_000
-
-
-def watch_matches(observed, regions):
-    """Enabled regions with the observations they match: severity, any keyword, everywhere or within the radius.
-
-    Regions are counted: a few go to every task; many are dealt to bands of latitude, worldwide ones still to all.
-    """
-    said = F.lower(F.concat_ws(" ", "headline", "summary"))
-    on = regions.where("enabled")
-    rules = (severity_rank(C("severity")) >= C("least")) & F.exists("keywords", lambda w: F.contains(said, w))
-    close = geo.haversine_km(C("r_lon"), C("r_lat"), C("slon"), C("slat")) <= C("radius")
-    if on.limit(BROADCAST_REGIONS + 1).count() <= BROADCAST_REGIONS:
-        return observed.join(F.broadcast(on), rules & (C("worldwide") | close))
-    span = F.ceil(C("radius") / 111.0).cast("int") + 1
-    local = on.where("not worldwide").withColumn("band", F.explode(F.sequence((F.floor("r_lat") - span).cast("int"), (F.floor("r_lat") + span).cast("int"))))
-    near = observed.withColumn("band", F.floor("slat").cast("int")).join(local, "band").where(rules & close).drop("band")
-    every = observed.withColumn("all", F.lit(1)).join(on.where("worldwide").withColumn("all", F.lit(1)), "all").where(rules).drop("all")
-    return near.unionByName(every)
+    told = table(spark, sf_dir, "nation").select(C("n_nationkey").cast("long").alias("region"), C("n_name").alias("label"), *(F.expr(x).alias(c) for c, x in _CASE.items()))
+    wrapped = lambda x: geo.normalized_longitude(C("r_lon") + C("wide") * x)
+    ring = lambda name: F.array(*(F.struct(wrapped(x).alias("lon"), (C("r_lat") + C("high") * y).alias("lat")) for x, y in _SHAPES[name]))
+    polygons = F.when(C("shape") == "Polygon", F.array(F.array(ring("outer"), ring("hole")))).when(C("shape") == "MultiPolygon", F.array(F.array(ring("outer")), F.array(ring("other"))))
+    kinds = reduce(lambda rest, k: F.when(C("region") % 4 == k, F.array(*map(F.lit, _KINDS[: k + 2]))).otherwise(rest), (1, 2, 3), F.array().cast("array<string>"))
+    return told.select("*", polygons.alias("polygons"), kinds.alias("kinds"), F.array(F.lit("site")).alias("keywords")).drop("wide", "high")
 
 
 @query("join_watch_match", _MATCH_SQL + "SELECT region, event_id FROM wm")

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.lookup import severity_rank
 from ..model import RULES
+from ..operators.watch import watch_matches
 from ..streaming.streams import changed_only, correlate_batches, dedupe_keys, event_stream, failure_events, for_each_batch, recent, resolved_labels, run_available, shared_folder
 from ..views import as_observations
-from .joins import _QUAKE_SQL, _REGION_SQL, _SEV, quake_pairs, watch_matches, watch_regions
+from .joins import _MATCHES, _PLACED, _QUAKE_SQL, _REGION_SQL, _SEV, quake_pairs, watch_regions
 from .registry import query
-from .scalars import sql_km
 
 C = F.col
 
@@ -58,11 +58,11 @@ def str_change_feed(spark, sf_dir):
     return run_available(_stream(spark, sf_dir).where("event_id > 400").select(C("event_id").alias("cursor"), "user_id"), name=name)
 
 
-@query("str_notify", _REGION_SQL + f"SELECT r.region, o.event_id FROM r JOIN o ON r.enabled AND {_SEV} >= greatest(r.least, 2) AND contains(lower(concat(headline, ' ', summary)), 'site') AND (r.worldwide OR {sql_km('r_lon', 'r_lat', 'slon', 'slat')} <= radius)")
+@query("str_notify", _REGION_SQL + f"SELECT r.region, o.event_id FROM r JOIN o ON {_MATCHES} AND {_SEV} >= 2 AND {_PLACED.format('o')}")
 def str_notify(spark, sf_dir):
     """Stream-static join with the watch regions; the stream brings all columns of the observations with it."""
     regions = watch_regions(spark, sf_dir)
-    live = as_observations(_stream(spark, sf_dir)).where(severity_rank(C("severity")) >= 2).select("event_id", "headline", "summary", "severity", "slon", "slat")
+    live = as_observations(_stream(spark, sf_dir)).where(severity_rank(C("severity")) >= 2).select("event_id", "kind", "headline", "summary", "location_name", "severity", "slon", "slat")
     base = shared_folder(spark)
     got: list = []
 

@@ -1,8 +1,9 @@
 """Cross-tokenizer alignment by divide and conquer at shared cuts.
 
 Both tokenizers' tokens are byte ranges of one text. A text is cut at a byte where tokens of both end, found near the
-middle by bisection, and both halves are cut again; intervals without such a byte are groups. All intervals of one
-depth, of many texts at once, are worked on together. Token pairs that end a group are linked and counted over the corpus.
+middle by bisection, and both halves are cut again, down to a few tokens whose ends are all looked up; intervals without
+such a byte are groups. All intervals of one depth, of many texts at once, are worked on together. Token pairs that end a
+group are linked and counted over the corpus.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import map_columns, materialize, table, text_or_empty
 from .sentencepiece_codec import MARK, chunk_table
 
-#: Ends tried around the middle of an interval before all its ends are looked up.
+#: Ends tried around the middle of an interval before all its ends are looked up, and tokens of an interval too short to halve.
 NEAR = (0, 1, -1, 2, -2, 3, -3, 4, -4)
+SHORT = 12
 #: Code points of texts aligned together, and pairs of a task gathered before they are counted.
 TOGETHER, GATHERED = 1 << 19, 1 << 21
 
@@ -86,11 +88,11 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, lasts: np.ndarray) -> tu
     ends_*: byte ends, rising over all texts; lasts: number of each text's last token of A, which ends at a shared cut.
     """
     cuts, low, high = [lasts], np.concatenate([[0], lasts[:-1] + 1]), lasts  # tokens low .. high - 1 end inside an interval
-    while True:
-        inside = low < high
-        low, high = low[inside], high[inside]
-        if not len(low):
-            break
+    short: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(low):
+        long = high - low > SHORT
+        short.append((low[~long], high[~long]))
+        low, high = low[long], high[long]
         middle, found, todo = (low + high) // 2, np.full(len(low), -1), np.arange(len(low))
         for step in NEAR:
             at = middle[todo] + step
@@ -106,6 +108,11 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, lasts: np.ndarray) -> tu
         cut = found >= 0  # the others are leaves
         cuts.append(found[cut])
         low, high = np.concatenate([low[cut], found[cut] + 1]), np.concatenate([found[cut], high[cut]])
+    low, high = (np.concatenate(x) for x in zip(*short, strict=True))
+    order = np.argsort(low)
+    low, size = low[order], (high - low)[order]
+    at = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)  # all ends of the short intervals, in order
+    cuts.append(at[ends_b[np.searchsorted(ends_b, ends_a[at])] == ends_a[at]])
     of_a = np.sort(np.concatenate(cuts))
     return of_a, np.searchsorted(ends_b, ends_a[of_a])
 

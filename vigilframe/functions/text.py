@@ -26,10 +26,27 @@ def _fold() -> tuple[str, str, dict[str, str]]:
 def ascii_fold(c: Column) -> Column:
     """Characters as what compatibility decomposition leaves of them in ASCII: letters without their marks; all others beyond ASCII go."""
     marked, plain, several = _fold()
-    among = "[" + "".join(several) + "]"
+    without = F.translate(c, "".join(several), "")  # a look at each character; a class of so many signs would try them one by one
     spelt = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
     wide = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(spelt[x], x)), "")
-    return F.regexp_replace(F.translate(F.when(c.rlike(among), wide).otherwise(c), marked, plain), r"[^\x00-\x7F]", "")
+    return F.regexp_replace(F.translate(F.when(without != c, wide).otherwise(c), marked, plain), r"[^\x00-\x7F]", "")
+
+
+@cache
+def _bases() -> tuple[str, str]:
+    """By canonical decomposition: letters with marks and then all marks, and these letters without them."""
+    import sys
+    import unicodedata
+
+    left = {chr(c): "".join(x for x in unicodedata.normalize("NFD", chr(c)) if unicodedata.category(x) != "Mn") for c in range(0x80, sys.maxunicode + 1) if unicodedata.decomposition(chr(c))}
+    one = {c: p for c, p in left.items() if len(p) == 1 and p != c}
+    marks = (chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Mn")
+    return "".join([*one, *(c for c in marks if c not in one)]), "".join(one.values())
+
+
+def word_tokens(c: Column) -> Column:
+    """Words of a text in lower case and without marks, in order: runs of letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(F.translate(c, *_bases())), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def title_tokens(c: Column) -> Column:

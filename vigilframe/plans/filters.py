@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, lookup, text
 from ..model import CONFLICT_WORDS, MEDIA_KINDS, THEATRES
-from ..operators.scoring import incident_scores, scored_incidents
+from ..operators.commits import new_folder
+from ..operators.scoring import incident_scores, latest_key, scored_incidents
+from ..operators.search import SearchIndex
 from ..views import NOW, articles, latest_observations, members, observations, table
 from .registry import query
 from .scalars import sql_km
@@ -95,34 +97,31 @@ def flt_watchlist(spark, sf_dir):
     return articles(spark, sf_dir).where(F.exists(words, lambda w: F.contains(F.lower("summary"), w))).select("doc_id")
 
 
-SEARCH_TERMS, SEARCH_LENGTHS = 8, (2, 100)
+#: Queries of the searches, alike in both dialects: beginnings of the first words of benchmark items, of kinds and statuses.
+_ASKED_DOCS = "concat(left(split_part(text, ' ', 1), 4), ', ', left(split_part(text, ' ', 2), 4))"
+_ASKED_OBS = "concat('SITE ', left(status, 3), '; ', left(kind, 4))"
+_WORDS = "concat(' ', regexp_replace(lower(strip_accents({})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_FOUND_SQL = (
+    ", ask AS (SELECT DISTINCT 'documents' AS part, {docs} AS query FROM benchmark UNION ALL SELECT DISTINCT 'observations', {obs} FROM o)\n"
+    ", ask1 AS (SELECT part, query, list_filter(string_split({asked}, ' '), lambda t: t <> '')[:8] AS terms FROM ask WHERE length(trim(query)) BETWEEN 2 AND 100)\n"
+    ", said AS (SELECT 'documents' AS part, doc_id AS id, {doc_words} AS w FROM art UNION ALL SELECT 'observations', event_id, {obs_words} FROM l)\n"
+).format(docs=_ASKED_DOCS, obs=_ASKED_OBS, asked=_WORDS.format("query"), doc_words=_WORDS.format("concat_ws(' ', title, summary, src)"), obs_words=_WORDS.format("concat_ws(' ', headline, summary, location_name, kind, status)"))
+_OBS_WORDS = ["headline", "summary", "location_name", "kind", "status"]
 
 
-def matching(rows, said: list[str], asked: str):
-    """Rows in whose columns `said` every term of a query begins some word; case and marks don't count. Of a query the first SEARCH_TERMS terms hold; one that is too short or too long is refused."""
-    import re
-    import unicodedata
+def found(spark, rows, id: str, said: list[str], asked):
+    """(query, id) of the rows that each query finds, by an index made for them; queries are strings of the column `query`."""
+    index = SearchIndex(spark, new_folder(spark, "search-")).put(rows, id, said)
+    return index.search(asked.select("query", C("query").alias("asked")).distinct())
 
-    if not SEARCH_LENGTHS[0] <= len(asked.strip()) <= SEARCH_LENGTHS[1]:
-        raise ValueError("a query has 2 to 100 characters")
-    plain = unicodedata.normalize("NFKD", asked.casefold()).encode("ascii", "ignore").decode()
-    terms = re.findall("[a-z0-9]+", plain)[:SEARCH_TERMS]
-    text_ = F.concat(F.lit(" "), F.regexp_replace(F.lower(text.ascii_fold(F.concat_ws(" ", *said))), "[^a-z0-9]+", " "))
-    found = F.lit(bool(terms))
-    for t in terms:
-        found = found & F.contains(C("words"), F.lit(" " + t))
-    return rows.withColumn("words", text_).where(found).drop("words")
 
-
-_SEARCH_SQL = "SELECT 'documents' AS part, doc_id AS id FROM (SELECT doc_id, concat(' ', regexp_replace(lower(regexp_replace(strip_accents(concat_ws(' ', title, summary, src)), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS w FROM art) WHERE contains(w, ' th') AND contains(w, ' an') UNION ALL SELECT 'observations', event_id FROM (SELECT event_id, concat(' ', regexp_replace(lower(concat_ws(' ', headline, summary, location_name, kind, status)), '[^a-z0-9]+', ' ', 'g')) AS w FROM l) WHERE contains(w, ' site') AND contains(w, ' act') AND contains(w, ' coun')"
-
-
-@query("flt_search", _SEARCH_SQL)
+@query("flt_search", _FOUND_SQL + "SELECT part, query, id FROM ask1 JOIN said USING (part) WHERE len(terms) > 0 AND len(list_filter(terms, lambda t: NOT contains(w, ' ' || t))) = 0")
 def flt_search(spark, sf_dir):
-    """Two searches: articles by title, text and feed; latest observations by headline, summary, place, kind and status."""
-    docs = matching(articles(spark, sf_dir), ["title", "summary", "src"], "Th, Àn")
-    obs = matching(latest_observations(observations(spark, sf_dir)), ["headline", "summary", "location_name", "kind", "status"], "site ACT coun")
-    return docs.select(F.lit("documents").alias("part"), C("doc_id").alias("id")).unionByName(obs.select(F.lit("observations").alias("part"), C("event_id").alias("id")))
+    """Articles by title, text and feed, and latest observations by headline, summary, place, kind and status, for the queries of two tables."""
+    latest = latest_observations(observations(spark, sf_dir))
+    docs = found(spark, articles(spark, sf_dir), "doc_id", ["title", "summary", "src"], table(spark, sf_dir, "benchmark").select(F.expr(_ASKED_DOCS).alias("query")))
+    obs = found(spark, latest, "event_id", _OBS_WORDS, observations(spark, sf_dir).select(F.expr(_ASKED_OBS).alias("query")))
+    return docs.select(F.lit("documents").alias("part"), "query", "id").unionByName(obs.select(F.lit("observations").alias("part"), "query", "id"))
 
 
 @query("flt_timeline_window", f"SELECT event_id, h FROM (SELECT event_id, unnest([1, 6, 24, 168]) AS h, ingested_at FROM o) WHERE epoch_us(ingested_at) >= epoch_us({_NOW}) - h * 3600000000 AND ingested_at <= {_NOW}")
@@ -212,12 +211,21 @@ def top_changes(spark, sf_dir):
     return observations(spark, sf_dir).where("event_id > 400").orderBy("event_id").limit(100).select(C("event_id").alias("cursor"), "observation_id")
 
 
-@query("top_search", INC + "SELECT incident_id, priority_score FROM inc WHERE incident_id IN (SELECT incident_id FROM m WHERE regexp_matches(lower(headline), '(^|[^a-z0-9])haz')) ORDER BY priority_score DESC, last_changed DESC, incident_id LIMIT 20")
+_REP_SQL = ", rep AS (SELECT incident_id, arg_max({'h': headline, 's': summary, 'l': location_name, 'k': kind, 't': status}, {'a': coalesce(source_updated_at, event_at, ingested_at), 'b': observation_id}) AS d FROM m GROUP BY incident_id)\n"
+_REP_WORDS = "concat_ws(' ', d.h, d.s, d.l, d.k, d.t)"
+_TOP_ASK = "concat(left(kind, 3), ' ', left(status, 2))"
+
+
+@query("top_search", INC + _REP_SQL + f", ask AS (SELECT DISTINCT {_TOP_ASK} AS query FROM o), ask1 AS (SELECT query, list_filter(string_split({_WORDS.format('query')}, ' '), lambda t: t <> '')[:8] AS terms FROM ask), said AS (SELECT incident_id, {_WORDS.format(_REP_WORDS)} AS w FROM rep) SELECT query, incident_id, priority_score FROM ask1, said JOIN inc USING (incident_id) WHERE len(list_filter(terms, lambda t: NOT contains(w, ' ' || t))) = 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY priority_score DESC, last_changed DESC, incident_id) <= 20")
 def top_search(spark, sf_dir):
-    tokens = F.regexp_extract_all(F.lower("headline"), F.lit("[a-z0-9]+"), F.lit(0))
-    hit = F.bool_or(F.exists(tokens, lambda t: F.startswith(t, F.lit("haz")))).alias("hit")
-    s = incident_scores(members(observations(spark, sf_dir)), NOW, more=(F.max("ingested_at").alias("last_changed"), hit))
-    return s.where("hit").orderBy(F.desc("priority_score"), F.desc("last_changed"), "incident_id").limit(20).select("incident_id", "priority_score")
+    """Incidents that each query finds by the words of their latest evidence, the first 20 by priority, change and id. A query's best are taken before the shuffle."""
+    m = members(observations(spark, sf_dir))
+    s = incident_scores(m, NOW, more=(F.max("ingested_at").alias("last_changed"),))
+    said = m.groupBy("incident_id").agg(F.max_by(F.struct(*_OBS_WORDS), latest_key()).alias("d")).select("incident_id", "d.*")
+    hits = found(spark, said, "incident_id", _OBS_WORDS, observations(spark, sf_dir).select(F.expr(_TOP_ASK).alias("query")))
+    w = W.partitionBy("query").orderBy(F.desc("priority_score"), F.desc("last_changed"), "incident_id")
+    best = s.join(hits.withColumnRenamed("id", "incident_id"), "incident_id").withColumn("rn", F.row_number().over(w)).where("rn <= 20")
+    return best.select("query", "incident_id", "priority_score")
 
 
 @query("top_severity_list", "SELECT event_id, severity FROM o ORDER BY CASE severity WHEN 'Extreme' THEN 4 WHEN 'Severe' THEN 3 WHEN 'Moderate' THEN 2 WHEN 'Minor' THEN 1 ELSE 0 END DESC, event_id LIMIT 40")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,21 +18,34 @@ def correlate_replay(observed: DataFrame, pairs: DataFrame) -> DataFrame:
     earlier link, that links lead back to. Founders' names move on along the links, from earlier to later rows, until
     none falls: a round for each link of the shortest way back at most. Rounds are checkpointed; no task holds a component.
     """
-    checkpoint_dir(observed.sparkSession)
-    name = F.concat(F.lit("incident:"), "kind", F.lit(":"), F.substring(F.sha2("observation_id", 256), 1, 24))
-    arrived = observed.select("event_id", F.struct("ingested_at", "observation_id", "event_id").alias("at"), name.alias("own")).checkpoint()
+    arrived = observed.select("event_id", F.struct("ingested_at", "observation_id", "event_id").alias("at"), founder_names().alias("own"), F.lit(True).alias("fresh"))
+    return greedy_founders(arrived, pairs)
+
+
+def founder_names() -> Column:
+    """The incident that an observation founds."""
+    return F.concat(F.lit("incident:"), "kind", F.lit(":"), F.substring(F.sha2("observation_id", 256), 1, 24))
+
+
+def greedy_founders(arrived: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(event_id, incident) of the fresh rows of arrived (event_id, at, own, fresh), linked by pairs (a, b).
+
+    Rows that are not fresh stand before all others by `at` and have their incident, in `own`, for good.
+    """
+    checkpoint_dir(arrived.sparkSession)
+    arrived = arrived.checkpoint()
     known = pairs.select("a", "b").where("a <> b").distinct()
     for end in ("a", "b"):
-        known = known.join(arrived.select(F.col("event_id").alias(end), F.col("at").alias(f"{end}_at")), end)
+        known = known.join(arrived.select(F.col("event_id").alias(end), F.col("at").alias(f"{end}_at"), F.col("fresh").alias(f"{end}_fresh")), end)
     first = F.col("a_at") < F.col("b_at")
-    links = known.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late")).distinct().checkpoint()
+    links = known.where("a_fresh OR b_fresh").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late")).distinct().checkpoint()
     label = arrived.join(links.select(F.col("late").alias("event_id")).distinct(), "event_id", "left_anti").select("event_id", F.col("own").alias("incident"))
     label = moved = label.checkpoint()
     while not moved.isEmpty():
         told = links.join(moved.select(F.col("event_id").alias("early"), "incident"), "early").groupBy(F.col("late").alias("event_id")).agg(F.min("incident").alias("told"))
         both = label.join(told, "event_id", "full").select("event_id", F.least("incident", "told").alias("incident"), (F.col("told").isNotNull() & (F.col("incident").isNull() | (F.col("told") < F.col("incident")))).alias("fell")).checkpoint()
         label, moved = both.drop("fell"), both.where("fell").drop("fell")
-    return label
+    return label.join(arrived.where("fresh").select("event_id"), "event_id")
 
 
 def revision_chain(versions: DataFrame) -> DataFrame:

@@ -143,6 +143,15 @@ def correlated_pairs(o):
     return out
 
 
+#: The greedy replay: names of founders, rows without an earlier link, go from earlier to later rows; the least counts. For rows of a view `{0}`.
+_LINKS = lambda rows: _PAIRS.replace("FROM l ", f"FROM {rows} ").replace("JOIN l ", f"JOIN {rows} ")
+REPLAY_SQL = lambda rows: _LINKS(rows).rstrip() + (
+    f", ar AS (SELECT event_id, {{'t': ingested_at, 'o': observation_id, 'e': event_id}} AS at, concat('incident:', kind, ':', substr(sha256(observation_id), 1, 24)) AS own FROM {rows})\n"
+    ", lk AS (SELECT DISTINCT CASE WHEN x.at < y.at THEN a ELSE b END AS early, CASE WHEN x.at < y.at THEN b ELSE a END AS late FROM pairs JOIN ar x ON x.event_id = a JOIN ar y ON y.event_id = b)\n"
+    ", told AS (WITH RECURSIVE t(event_id, own) AS (SELECT event_id, own FROM ar WHERE event_id NOT IN (SELECT late FROM lk) UNION SELECT lk.late, t.own FROM t JOIN lk ON lk.early = t.event_id) SELECT event_id, min(own) AS incident FROM t GROUP BY event_id)\n"
+)
+
+
 query("cor_pairs", _PAIRS + "SELECT a, b, rule FROM pairs")(lambda spark, sf_dir: correlated_pairs(_latest(spark, sf_dir)))
 
 

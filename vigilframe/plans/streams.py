@@ -7,11 +7,11 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..functions.lookup import severity_rank
-from ..model import RULES
 from ..operators.watch import watch_matches
-from ..streaming.streams import changed_only, correlate_batches, dedupe_keys, event_stream, failure_events, for_each_batch, recent, resolved_labels, run_available, shared_folder
+from ..streaming.correlate import StreamCorrelator
+from ..streaming.streams import changed_only, dedupe_keys, event_stream, failure_events, for_each_batch, recent, run_available, shared_folder
 from ..views import as_observations
-from .joins import _MATCHES, _PLACED, _QUAKE_SQL, _REGION_SQL, _SEV, quake_pairs, watch_regions
+from .joins import REPLAY_SQL, _MATCHES, _PLACED, _REGION_SQL, _SEV, correlated_pairs, watch_regions
 from .registry import query
 
 C = F.col
@@ -74,17 +74,20 @@ def str_notify(spark, sf_dir):
     return spark.read.schema("region long, event_id long").parquet(*[f"{base}/batch={n}" for n in got])
 
 
-@query("str_correlate", f", pairs AS ({_QUAKE_SQL}), both_ AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (WITH RECURSIVE r(node, c) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT both_.b, r.c FROM r JOIN both_ ON both_.a = r.node WHERE r.c < both_.b) SELECT node, min(c) AS c FROM r GROUP BY node) SELECT node, c AS component FROM reach")
-def str_correlate(spark, sf_dir):
-    """Earthquake components, kept up batch by batch; cells are quarters of an hour, each row lies in its own and both beside it."""
-    live = as_observations(_stream(spark, sf_dir)).where("kind = 'earthquake'").select("event_id", "observation_id", "event_at", "lon", "lat", "kind")
-    slot = F.floor(F.unix_seconds("event_at") / int(RULES["earthquake"][0] * 3600))
-    base, got = shared_folder(spark), []
-    correlate = correlate_batches(quake_pairs, F.array(slot - 1, slot, slot + 1), base)
+#: Moments between the files that the events of str_correlate land in.
+_LANDED = ("2024-01-11", "2024-01-21")
+_FIRST = ", f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY ingested_at, event_id) = 1)\n"
 
-    def step(batch, n):
-        correlate(batch, n)
-        got.append(n)
 
-    for_each_batch(live, step)
-    return resolved_labels(spark, base, got)
+@query("str_correlate", _FIRST + REPLAY_SQL("f").rstrip() + "SELECT observation_id, event_id, incident FROM told JOIN f USING (event_id)")
+def str_correlate(spark, sf_dir):
+    """Incidents of observations by all rules, out of a stream that stops and starts again after each of three files; each start is a correlator of its own."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    landing, base = shared_folder(spark), shared_folder(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for k, when in enumerate((C("ts") < _LANDED[0], (C("ts") >= _LANDED[0]) & (C("ts") < _LANDED[1]), C("ts") >= _LANDED[1])):
+        events.where(when).write.parquet(f"{landing}/part={k}")
+        live = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(landing)
+        correlator = StreamCorrelator(spark, base, correlated_pairs)
+        as_observations(live).writeStream.foreachBatch(correlator.step).option("checkpointLocation", f"{base}/stream").trigger(availableNow=True).start().awaitTermination()
+    return StreamCorrelator(spark, base, correlated_pairs).incidents()

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import checkpoint_dir, components
+from ..operators.joins import checkpoint_dir
 
 C = F.col
 
@@ -102,52 +102,3 @@ def recent(stream: DataFrame, key: str, order: str, n: int) -> DataFrame:
         yield pd.DataFrame({key: [k[0]], "recent": [new]})
 
     return stream.select(key, order).groupBy(key).applyInPandasWithState(step, f"{key} long, recent array<long>", "recent array<long>", "update", "NoTimeout")
-
-
-def correlate_batches(pairs_of, cell_of, base: str):
-    """foreachBatch: each batch's rows meet only the evidence in the cells they can match, and only the components they touch get new labels.
-
-    cell_of is an array expression, all cells that a row may match others in; pairs_of(rows) gives links (a, b). A
-    label names the smallest node known when it was written; what a later batch merges is a label of that node, so
-    labels are followed to their end. resolved_labels() does so for all.
-    """
-    done: list[int] = []
-
-    def kept(spark, kind: str, schema) -> DataFrame | None:
-        paths = [f"{base}/{kind}/batch={k}" for k in done]
-        return spark.read.schema(schema).option("basePath", f"{base}/{kind}").parquet(*paths) if paths else None
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number in done:
-            done.remove(number)
-        part = batch.withColumn("cell", F.explode(cell_of)).withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(PARTS)).cast("int"))
-        part.write.mode("overwrite").partitionBy("part").parquet(f"{base}/evidence/batch={number}")
-        new = spark.read.schema(part.schema).parquet(f"{base}/evidence/batch={number}")
-        rows, old = new.drop("cell", "part"), kept(spark, "evidence", part.schema)
-        if old is not None:
-            touched = [r.part for r in new.select("part").distinct().collect()]  # PARTS at most
-            near = old.where(C("part").isin(touched)).join(new.select("cell").distinct(), "cell", "left_semi")
-            rows = rows.unionByName(near.drop("cell", "part"))
-        links = pairs_of(rows.distinct()).select("a", "b").checkpoint()
-        labels = kept(spark, "labels", "node long, component long")
-        ends = links.select(C("a").alias("node")).union(links.select("b")).distinct()
-        while labels is not None:
-            more = labels.join(ends, "node", "left_semi").where("node <> component").select("node", "component").distinct().checkpoint()
-            links, ends = links.union(more), more.select(C("component").alias("node")).distinct()
-            if more.isEmpty():
-                break
-        components(links, "a", "b").write.mode("overwrite").parquet(f"{base}/labels/batch={number}")
-        done.append(number)
-
-    return step
-
-
-def resolved_labels(spark: SparkSession, base: str, numbers: list[int]) -> DataFrame:
-    """(node, component) after the batches of these numbers."""
-    labels = spark.read.schema("node long, component long").parquet(*[f"{base}/labels/batch={n}" for n in numbers])
-    return components(labels, "node", "component")
-
-
-#: Parts that evidence and labels are kept in.
-PARTS = 64

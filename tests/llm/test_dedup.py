@@ -2,14 +2,16 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from vigilframe.llm import suffix_dedup
 from vigilframe.llm.components import connected_components
 from vigilframe.llm.embeddings import least_count, link_vectors
-from vigilframe.llm.simhash import BKTree, near_links, simhash, simhash_components
+from vigilframe.llm.simhash import BKTree, keep_one_of_each, near_links, simhash, simhash_components
 from vigilframe.llm.suffix_dedup import LENGTH, removal_digests, remove_repeats, repeated_reach
 
 WORDS = [f"{a}{b}" for a in ("th", "er", "on", "qu", "st", "é") for b in ("e", "an", "or", "ing", "x")]
@@ -198,7 +200,60 @@ def test_sorting_survives_hash_collisions(monkeypatch):
 def test_texts_after_removal(spark):
     r = random.Random(7)
     shared = words(r, 150)
-    rows = [(1, "é" + shared + "é", 900, "en"), (2, "ü" + shared + "x", 900, "en"), (3, None, 0, "en"), (4, "clean", 5, None)]
+    rows = [(1, f"é {shared}\té", 900, "en"), (2, f"ü\n{shared} x", 900, "en"), (3, None, 0, "en"), (4, "clean", 5, None)]  # units are whole words
     got = {x.doc_id: x for x in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars long, lang string")).collect()}
-    assert got[1].text == "éé" and got[1].n_chars == 2 and got[2].text == "üx" and got[3].text is None and got[4].text == "clean"
+    assert got[1].text == "é \té" and got[1].n_chars == 4 and got[2].text == "ü\n x" and got[3].text is None and got[4].text == "clean"
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def unit_spans(texts, units):
+    """Of each text the code points outside all windows of so many units that stand elsewhere too, by counting all windows."""
+    found = [list(suffix_dedup.UNIT.finditer(t or "")) for t in texts]
+    windows = Counter(tuple(m.group() for m in f[k : k + units]) for f in found for k in range(len(f) - units + 1))
+    out = []
+    for text, f in zip(texts, found, strict=True):
+        gone = set()
+        for k in range(len(f) - units + 1):
+            if windows[tuple(m.group() for m in f[k : k + units])] > 1:
+                gone |= set(range(k, k + units))
+        at, rest, run = 0, [], None
+        for k in [*sorted(gone), None]:
+            if run is not None and (k is None or k != run[1] + 1):
+                rest.append(text[at : f[run[0]].start()])
+                at, run = f[run[1]].end(), None
+            if k is not None:
+                run = (run[0] if run else k, k)
+        out.append(text if text is None else "".join(rest) + text[at:])
+    return out
+
+
+def test_passages_by_units(spark, monkeypatch):
+    r = random.Random(21)
+    short = " ".join(r.choice("abcdefgh") for _ in range(55))
+    kanji = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(280))
+    thai = "".join(chr(0x0E01 + r.randrange(40)) for _ in range(60))
+    some = [None, "", words(r, 60)]
+    for shared in (short, kanji, thai, words(r, 51), words(r, 50), "な" * 50, f"{words(r, 30)} {kanji[:20]}{words(r, 3)}"):
+        some += [f"{words(r, r.randrange(30))} {shared} {words(r, r.randrange(30))}" for _ in range(2)]
+    some += ["a b " * 60, kanji[100:200] + "。" + kanji[:60], some[-1], some[-1]]
+    rows = [(i % 9 if i % 7 else None, t, i, "mine", [i]) for i, t in enumerate(some)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key int, th string, repeat_spans array<int>")
+    want = unit_spans(some, 51)
+    for classes in (256, 2):
+        monkeypatch.setattr(suffix_dedup, "PASSAGE_CLASSES", classes)
+        out = remove_repeats(docs)
+        assert out.columns == docs.columns
+        got = {x.row_key: (x.text, x.doc_id, x.th, x.repeat_spans) for x in out.collect()}
+        assert got == {i: (want[i], key, th, spans) for key, _, i, th, spans in rows}
+    assert sum(a != b for a, b in zip(some, want, strict=True)) >= 14
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    r = random.Random(22)
+    a = words(r, 80)
+    rows = [(1, a, "mine", 2, [1]), (1, a, "other", 1, [2]), (2, words(r, 90), None, None, None), (3, a, "late", 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key string, row int, first array<int>")
+    found = [keep_one_of_each(docs.repartition(n)) for n in (1, 3)]
+    assert all(f.columns == docs.columns for f in found)
+    one, two = (sorted(tuple(x) for x in f.collect()) for f in found)
+    assert one == two and {x[0] for x in one} == {1, 2} and len(one) == 2 and set(one) <= {tuple(x) for x in rows}

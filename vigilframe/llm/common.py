@@ -80,7 +80,7 @@ def join_heavy(rows: DataFrame, told: DataFrame, keys: list[str], share: int = 1
 
 
 def squeezed(df: DataFrame, column: str = "text") -> DataFrame:
-    """df with a string column as zstd frames, for texts that go through a shuffle: half of what the shuffle's own codec leaves."""
+    """df with a string or binary column as zstd frames, for texts that go through a shuffle: half of what the shuffle's own codec leaves."""
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     schema = StructType([StructField(f.name, BinaryType(), True) if f.name == column else f for f in df.schema])
@@ -91,7 +91,7 @@ def squeezed(df: DataFrame, column: str = "text") -> DataFrame:
 
         codec = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            packed = [None if t is None else codec.compress(t.encode()) for t in batch.column(at).to_pylist()]
+            packed = [None if t is None else codec.compress(t if isinstance(t, bytes) else t.encode()) for t in batch.column(at).to_pylist()]
             columns = [pa.array(packed, pa.binary()) if k == at else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 

@@ -138,14 +138,16 @@ def op6_simhash_neardup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component the row with the smallest (doc_id, hash of the text), null ids last; rows equal in both stay as one.
+    """Of each component the row with the smallest (doc_id, hash of the text), null ids last; of rows equal in both the one whose hash over all columns is least.
 
-    Components are of fingerprints, so rows of different ones all stay, whatever their ids.
+    Components are of fingerprints, so rows of different ones all stay, whatever their ids. Columns may have any names.
     """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     sha = F.coalesce(F.sha2("text", 256), F.lit(""))
-    keyed = docs.withColumn("row_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), sha))
-    prints = materialize(fingerprints(keyed, "row_key", "string"))
+    keyed = docs.select(row, "text", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), sha).alias("row_key"))
+    prints = materialize(fingerprints(keyed.select("row_key", "text"), "row_key", "string"))
     doc_id = F.split_part("row_key", F.lit(":"), F.lit(1)).try_cast("bigint")
     firsts = materialize(prints.groupBy("fp").agg(F.min(F.struct(doc_id.isNull().alias("last"), doc_id.alias("doc_id"), "row_key")).alias("first")))
-    kept = fingerprint_components(firsts).groupBy("component").agg(F.min("first").alias("first"))
-    return keyed.dropDuplicates(["row_key"]).join(kept.select("first.row_key"), "row_key", "left_semi").select(*docs.columns)
+    kept = fingerprint_components(firsts).groupBy("component").agg(F.min("first").alias("first")).select("first.row_key")
+    stay = keyed.join(kept, "row_key", "left_semi").select("row", "row_key", F.xxhash64("row").alias("h"))
+    return stay.groupBy("row_key").agg(F.min_by("row", "h").alias("row")).select("row.*")

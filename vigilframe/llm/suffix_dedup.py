@@ -10,6 +10,7 @@ hashes and binary search, and neighbours' common extensions, verified byte by by
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,18 @@ from pyspark.sql import functions as F
 from .common import join_heavy, map_columns, materialize, release, squeezed, table, text_or_empty
 
 LENGTH, GRAM = 400, 32
-#: In the pipeline: passages of over 50 words are removed. 51 words have 200 bytes or more but in a few windows of a thousand.
-PASSAGE, PASSAGE_WORDS = 200, 51
+#: In the pipeline: passages of over 50 units are removed. A unit is a word, or a character of a script without spaces; it
+#: is written as UNIT_BYTES bytes of its hash, so strings of so many bytes are passages, however long their words are.
+#: Two different units share a hash with a chance of 2^-48.
+PASSAGE_UNITS, UNIT_BYTES = 51, 6
+_UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNIT = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+#: Units whose hashes a worker keeps.
+KNOWN_UNITS = 300_000
 #: An anchor lies at most REACH bytes after the start of a string that picks it.
 REACH = LENGTH - GRAM
-#: Classes of one anchor that one task sorts; a larger group is first parted by what its strings have in common. Parting
-#: takes half as many rows a context for the pipeline's shorter strings, so there it sets in sooner.
+#: Classes of one anchor that one task sorts, in op10 and in the pipeline; a larger group is first parted by what its strings
+#: have in common.
 SORT_CLASSES, PASSAGE_CLASSES = 2048, 256
 #: Places of a string around its anchor that are looked at together when a large group is parted.
 CORE_PLACES = 32
@@ -79,7 +86,7 @@ def document_anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         digest, out = xxhash.xxh3_128_intdigest, [[] for _ in range(6)]
         for key, th, text in zip(keys, hashes, texts, strict=True):
-            raw, last = text.encode(), -1
+            raw, last = text if isinstance(text, bytes) else text.encode(), -1
             for start in range(0, len(raw) - length + 1, SEGMENT):
                 at, h = anchors(np.frombuffer(raw, "u1", min(len(raw) - start, SEGMENT + length - 1), start), length)
                 fresh = at + start > last  # a string's anchor never lies before that of the string one byte earlier
@@ -406,12 +413,33 @@ def decompressor():
     return zstandard.ZstdDecompressor()
 
 
-def remove_repeats(docs: DataFrame, length: int = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:
-    """docs without the bytes that strings of length bytes repeated elsewhere cover, where these make a run of so many words at least.
+def unit_codes(docs: DataFrame, units: int) -> DataFrame:
+    """(doc_id, th, text): the units of each text as hashes, one behind the other, of texts that have so many."""
 
-    All other columns stay as they are but n_chars, counted anew if there. A character goes only if all its bytes go,
-    so texts stay whole UTF-8. Null texts stay null, every row stays, repeated rows are elsewhere to each other; an empty
-    table gives an empty one.
+    def run(known: dict, keys: list, hashes: list, texts: list[str]) -> dict:
+        import xxhash
+
+        digest, out = xxhash.xxh3_64_digest, {"doc_id": [], "th": [], "text": []}
+        for key, th, text in zip(keys, hashes, texts, strict=True):
+            if len(found := UNIT.findall(text)) >= units:
+                for u in set(found).difference(known):
+                    known[u] = digest(u.encode())[:UNIT_BYTES]
+                for name, v in zip(out, (key, th, b"".join(map(known.__getitem__, found))), strict=True):
+                    out[name].append(v)
+                if len(known) > KNOWN_UNITS:
+                    known.clear()
+        return out
+
+    return map_columns(docs.select("doc_id", "th", text_or_empty()), run, "doc_id bigint, th bigint, text binary", dict)
+
+
+def remove_repeats(docs: DataFrame, units: int = PASSAGE_UNITS) -> DataFrame:
+    """docs without passages of so many units or more that also stand elsewhere, in the same text or another row.
+
+    Units are words and single characters of scripts without spaces (UNIT); white space between them doesn't count, and
+    what surrounds a passage stays. Passages that overlap go together. All other columns stay as they are, whatever
+    their names, but n_chars, counted anew if there. Null texts stay null, every row stays, repeated rows are elsewhere
+    to each other; an empty table gives an empty one.
     """
     from pyspark.sql.functions import pandas_udf
 
@@ -419,29 +447,30 @@ def remove_repeats(docs: DataFrame, length: int = PASSAGE, words: int = PASSAGE_
     def rest(texts: pd.Series, spans: pd.Series) -> pd.Series:
         codec = decompressor()
 
-        def one(text, some):
-            if text is None:
-                return None
-            raw, at, out = codec.decompress(text), 0, []
-            for a, b in merged([(s["start"], s["stop"]) for s in some if s] if some is not None else [], len(raw)):
-                if len(raw[a:b].split()) < words:
-                    continue
-                while a < len(raw) and raw[a] & 0xC0 == 0x80:
-                    a += 1
-                while b < len(raw) and raw[b] & 0xC0 == 0x80:
-                    b -= 1
-                if a < b:
-                    out.append(raw[at:a])
-                    at = b
-            return (b"".join(out) + raw[at:]).decode()
-
-        return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)])
-
-    out = with_spans(docs, length, PASSAGE_CLASSES).withColumn("text", rest("text", "repeat_spans")).drop("repeat_spans")
+        def one(packed: bytes, some) -> str:
+            text, at, out = codec.decompress(packed).decode(), 0, []
+            places = [m.span() for m in UNIT.finditer(text)]
+            for a, b in merged([(s["start"], s["stop"]) for s in some], UNIT_BYTES * len(places)):
+                first, last = -(-a // UNIT_BYTES), b // UNIT_BYTES
+                if last - first >= units:
+                    out.append(text[at : places[first][0]])
+                    at = places[last - 1][1]
+            return "".join(out) + text[at:]
+
+        return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("others")
+    keyed = docs.select(others, "doc_id", "text", F.xxhash64(text_or_empty()).alias("th"))
+    spans = repeated_spans(materialize(unit_codes(keyed, units)), units * UNIT_BYTES, PASSAGE_CLASSES)
+    cut = materialize(spans.groupBy(F.col("doc_id").alias("of"), F.col("th").alias("of_th")).agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    match = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th"))
+    whole = keyed.join(cut, match, "left_anti").select("others", "text")
+    shorter = squeezed(keyed).join(cut, match).select("others", rest("text", "spans").alias("text"))
+    out = whole.unionByName(shorter).select("others.*", "text")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*(f"`{c}`" for c in docs.columns))
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

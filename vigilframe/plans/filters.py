@@ -10,6 +10,7 @@ from ..model import CONFLICT_WORDS, MEDIA_KINDS, THEATRES
 from ..operators.commits import new_folder
 from ..operators.scoring import incident_scores, latest_key, scored_incidents
 from ..operators.search import SearchIndex
+from ..streaming.state import failure_streaks
 from ..views import NOW, articles, latest_observations, members, observations, table
 from .registry import query
 from .scalars import sql_km
@@ -315,15 +316,6 @@ def win_pct_change(spark, sf_dir):
 _POLL = ", poll AS (SELECT event_id, user_id % 14 AS provider, event_type = 'error' AS failed FROM events), isl AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY provider ORDER BY event_id) AS g FROM poll)\n"
 
 
-def failure_streaks(polls):
-    """polls(event_id, provider, failed): failures in a row since the last success, by gaps and islands."""
-    w = W.partitionBy("provider").orderBy("event_id")
-    isles = polls.withColumn("g", F.sum(F.when(C("failed"), 0).otherwise(1)).over(w))
-    inside = W.partitionBy("provider", "g").orderBy("event_id")
-    streak = F.sum(C("failed").cast("int")).over(inside)
-    return isles.select("event_id", "provider", "failed", F.when(C("failed"), streak).otherwise(0).alias("streak"))
-
-
 def polls(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", (C("user_id") % 14).alias("provider"), (C("event_type") == "error").alias("failed"))
 

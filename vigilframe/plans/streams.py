@@ -26,7 +26,7 @@ def _stream(spark, sf_dir):
 def str_upsert_dedupe(spark, sf_dir):
     """State goes sixty days after a key was last seen."""
     s = _stream(spark, sf_dir).withColumn("ts", C("ts").cast("timestamp"))
-    return run_available(changed_only(s, "user_id", "event_type", "event_id", at="ts", keep_ms=60 * 86_400_000))
+    return changed_only(s, shared_folder(spark), "user_id", "event_type", "event_id", at="ts", keep_ms=60 * 86_400_000)
 
 
 @query("str_dedupe_keys", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
@@ -48,7 +48,7 @@ def str_edits_recent(spark, sf_dir):
 @query("str_health", ", poll AS (SELECT event_id, user_id % 14 AS provider, event_type = 'error' AS failed FROM events), isl AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY provider ORDER BY event_id) AS g FROM poll), st AS (SELECT *, CASE WHEN failed THEN sum(CAST(failed AS INT)) OVER (PARTITION BY provider, g ORDER BY event_id) ELSE 0 END AS n FROM isl) SELECT provider, event_id, CASE WHEN failed THEN 'lost' ELSE 'recovered' END AS event FROM (SELECT *, lag(n) OVER (PARTITION BY provider ORDER BY event_id) AS before FROM st) WHERE (failed AND n = 3) OR (NOT failed AND before >= 3)")
 def str_health(spark, sf_dir):
     p = _stream(spark, sf_dir).select("event_id", (C("user_id") % 14).alias("provider"), (C("event_type") == "error").alias("failed"))
-    return run_available(failure_events(p))
+    return failure_events(p, shared_folder(spark))
 
 
 @query("str_change_feed", "SELECT event_id AS cursor, user_id FROM events WHERE event_id > 400")

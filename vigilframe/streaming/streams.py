@@ -8,8 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.joins import checkpoint_dir
+from .state import KeyedState, changed_rows, failure_streaks
 
 C = F.col
 
@@ -46,58 +48,58 @@ def dedupe_keys(stream: DataFrame, keys: list[str], at: str, keep: str) -> DataF
     return stream.withWatermark(at, keep).dropDuplicatesWithinWatermark(keys)
 
 
-def changed_only(stream: DataFrame, key: str, digest: str, order: str, at: str | None = None, keep_ms: int = 0) -> DataFrame:
-    """Rows whose digest differs from the last one seen under their key; state is one digest a key.
+def changed_only(stream: DataFrame, base: str, key: str, digest: str, order: str, at: str, keep_ms: int) -> DataFrame:
+    """Rows whose digest differs from the last one seen under their key (numbers or null); state is a digest and a moment a key.
 
-    With a moment `at`, a key's state goes keep_ms after its last row, by the watermark, which lags as much behind.
+    A key's state goes once its moment lies keep_ms behind a later batch's last one that touches its part. The result
+    lies in `base` and goes on where the last run stopped.
     """
-    schema = stream.select(key, order, digest).schema
+    spark, types = stream.sparkSession, dict(stream.dtypes)
+    state = KeyedState(spark, base, key, f"{key} {types[key]}, {digest} {types[digest]}, {at} timestamp")
 
-    def step(_: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def step(batch: DataFrame, number: int) -> None:
+        if state.done(number) or batch.isEmpty():
             return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(order)
-        before = rows[digest].shift()
-        before.iloc[0] = last
-        state.update((rows[digest].iloc[-1],))
-        if at:
-            state.setTimeoutTimestamp(max(int(rows[at].max().timestamp() * 1000) + keep_ms, state.getCurrentWatermarkMs() + 1))
-        yield rows[rows[digest] != before][[key, order, digest]]
-
-    if at:
-        stream = stream.withWatermark(at, f"{keep_ms} milliseconds")
-    rows = stream.select(key, order, digest, *([at] if at else []))
-    return rows.groupBy(key).applyInPandasWithState(step, schema, f"{digest} string", "append", "EventTimeTimeout" if at else "NoTimeout")
-
-
-def failure_events(polls: DataFrame, opens_at: int = 3) -> DataFrame:
-    """lost when a provider fails opens_at times in a row, recovered at the next success; state is the streak."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        streak, out = state.get[0] if state.exists else 0, []
-        for row in pd.concat(list(batches)).sort_values("event_id").itertuples():
-            if row.failed:
-                streak += 1
-                if streak == opens_at:
-                    out.append((key[0], row.event_id, "lost"))
-            else:
-                if streak >= opens_at:
-                    out.append((key[0], row.event_id, "recovered"))
-                streak = 0
-        state.update((streak,))
-        yield pd.DataFrame(out, columns=["provider", "event_id", "event"])
-
-    return polls.groupBy("provider").applyInPandasWithState(step, "provider long, event_id long, event string", "streak int", "append", "NoTimeout")
+        parts = state.touched(batch)
+        known = state.rows(number, parts).join(batch.select(key).distinct(), key, "left_semi")
+        changed_rows(batch.select(key, order, digest), key, digest, order, start=known).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        last = batch.groupBy(key).agg(F.max_by(F.struct(digest, at), order).alias("l")).select(key, "l.*")
+        end = batch.agg(F.max(at).alias("end")).first().end
+        state.put(number, last, parts, F.lit(end).isNull() | (C(at) >= F.lit(end) - F.expr(f"INTERVAL {keep_ms} MILLISECONDS")))
+
+    return _committed(stream, base, step, state, stream.select(key, order, digest).schema)
+
+
+def failure_events(polls: DataFrame, base: str, opens_at: int = 3) -> DataFrame:
+    """(provider, event_id, event): lost when a provider fails opens_at times in a row, recovered at the next success; state is the streak a provider."""
+    state = KeyedState(polls.sparkSession, base, "provider", f"provider {dict(polls.dtypes)['provider']}, streak int")
+
+    def step(batch: DataFrame, number: int) -> None:
+        if state.done(number) or batch.isEmpty():
+            return
+        parts = state.touched(batch)
+        told = failure_streaks(batch, start=state.rows(number, parts)).checkpoint()
+        event = F.when(C("failed") & (C("streak") == opens_at), "lost").when(~C("failed") & (C("before") >= opens_at), "recovered")
+        told.select("provider", "event_id", event.alias("event")).where("event IS NOT NULL").write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        state.put(number, told.groupBy("provider").agg(F.max_by("streak", "event_id").alias("streak")), parts)
+
+    return _committed(polls, base, step, state, StructType([polls.schema["provider"], polls.schema["event_id"], StructField("event", StringType())]))
+
+
+def _committed(stream: DataFrame, base: str, step, state: KeyedState, schema: StructType) -> DataFrame:
+    """Runs a stream over what is there and reads what its committed batches wrote."""
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/stream").trigger(availableNow=True).start().awaitTermination()
+    paths = [f"{base}/out/batch={n}" for n in state.commits.numbers()]
+    return stream.sparkSession.read.schema(schema).parquet(*paths) if paths else stream.sparkSession.createDataFrame([], schema)
 
 
 def recent(stream: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The last n of each key after each batch (update mode): state is a list of n numbers."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        old = list(state.get[0]) if state.exists else []
-        new = sorted(old + pd.concat(list(batches))[order].tolist())[-n:]
+        new = list(state.get[0]) if state.exists else []
+        for batch in batches:  # no more than n and one batch are held
+            new = sorted(new + batch[order].tolist())[-n:]
         state.update((new,))
         yield pd.DataFrame({key: [k[0]], "recent": [new]})
 

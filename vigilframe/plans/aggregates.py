@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lookup, text
 from ..functions.times import quiet, utc_label
-from ..model import SEVERITIES
+from ..model import SEVERITIES, ZONES
+from ..operators.clusters import cell_size, clusters
 from ..operators.lifecycle import correlate_replay
 from ..operators.scoring import build_incidents, incident_scores, incident_status
 from ..operators.watch import watch_matches
@@ -69,28 +70,49 @@ def source_lost(m, provider: str, now: str):
 query("agg_lost_sources", _LOST)(lambda spark, sf_dir: source_lost(members(observations(spark, sf_dir)), "prov_1", NOW))
 
 
-@query("agg_cluster", "SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(degrees(atan2(sum(sin(radians(slon))), sum(cos(radians(slon))))), 4) AS lon, round(avg(slat), 6) AS lat, count(*) AS n, max(k) AS most, arg_min(event_id, {'a': -k, 'b': event_id}) AS first FROM (SELECT *, floor((slon + 180 + 9.140625 - 360 * floor((slon + 180 + 9.140625) / 360)) / 18.28125) AS x, floor((slat + 90) / 8.6328125) AS y FROM o) GROUP BY x, y")
+#: Zooms of the cluster query, each with bounds: of the world, and of a box over the antimeridian.
+_ZOOMS = {2: (-180.0, -90.0, 180.0, 90.0), 4: (150.0, -45.0, -120.0, 60.0)}
+_CLUSTER = "SELECT {z} AS zoom, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(degrees(atan2(sum(sin(radians(slon))), sum(cos(radians(slon))))), 4) AS lon, round(avg(slat), 6) AS lat, count(*) AS n, max(k) AS most, array_to_string(list(event_id ORDER BY k DESC, event_id)[:50], ',') AS members FROM (SELECT *, floor((slon + 180 + {w} / 2 - 360 * floor((slon + 180 + {w} / 2) / 360)) / {w}) AS x, floor((slat + 90) / {h}) AS y FROM o WHERE {inside}) GROUP BY x, y"
+
+
+def _cluster_sql(zoom, west, south, east, north):
+    wide, high = (f"{v!r}::DOUBLE" for v in cell_size(zoom, 52))
+    return _CLUSTER.format(z=zoom, w=wide, h=high, inside=f"slat BETWEEN {south} AND {north} AND (slon {'BETWEEN' if west <= east else '>='} {west} {'AND' if west <= east else 'OR slon <='} {east})")
+
+
+@query("agg_cluster", " UNION ALL ".join(_cluster_sql(z, *b) for z, b in _ZOOMS.items()))
 def agg_cluster(spark, sf_dir):
-    """Grid clusters for zoom 2 and cells of 52 pixels; longitudes are averaged on the circle."""
-    wide, high = 360 / (256 * 4) * 52, 170 / (256 * 4) * 52
-    cell = observations(spark, sf_dir).withColumn("x", F.floor(F.pmod(C("slon") + 180 + wide / 2, F.lit(360.0)) / wide)).withColumn("y", F.floor((C("slat") + 90) / high))
-    lon = F.degrees(F.atan2(F.sum(F.sin(F.radians("slon"))), F.sum(F.cos(F.radians("slon")))))
-    return cell.groupBy("x", "y").agg(F.round(lon, 4).alias("lon"), F.round(F.avg("slat"), 6).alias("lat"), F.count("*").alias("n"), F.max("k").alias("most"), F.min_by("event_id", F.struct(-C("k"), "event_id")).alias("first"))
+    """Grid clusters of 52 pixels at two zooms, with the first fifty members by priority and id."""
+    o = observations(spark, sf_dir)
+    each = (clusters(o, "event_id", "k", "slon", "slat", z, 52, b).select(F.lit(z).alias("zoom"), "x", "y", F.round("lon", 4).alias("lon"), F.round("lat", 6).alias("lat"), "n", "most", F.array_join(C("members").cast("array<string>"), ",").alias("members")) for z, b in _ZOOMS.items())
+    return reduce(DataFrame.unionByName, each)
 
 
 _NOW_S = 1706702400
 
 
-@query("agg_hotspots", _ZONE_SQL + f", r AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY ts DESC, doc_id) AS n FROM hit) SELECT zone, count(*) AS n, round(sum(CASE WHEN n <= 10 THEN 1.0 / (1.0 + greatest(1.0, ({_NOW_S} - ts) / 3600.0) / 6.0) END), 2) AS score, arg_min(doc_id, n) AS latest, string_agg(CASE WHEN n <= 5 THEN CAST(doc_id AS VARCHAR) END, ',' ORDER BY n) AS recent FROM r GROUP BY zone")
+#: Some articles have no time.
+_TIMED = "CASE WHEN doc_id % 50 = 0 THEN CASE WHEN doc_id % 100 = 0 THEN 0 END ELSE ts END"
+_ZONE_RANK = "CASE zone " + " ".join(f"WHEN '{z}' THEN {k}" for k, z in enumerate(ZONES)) + " END"
+
+
+@query("agg_hotspots", _ZONE_SQL + f", t AS (SELECT * REPLACE ({_TIMED} AS ts) FROM hit), r AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY coalesce(ts, 0) DESC, doc_id) AS n FROM t), g AS (SELECT zone, count(*) AS n, round(sum(CASE WHEN n <= 10 THEN 1.0 / (1.0 + greatest(1.0, ({_NOW_S} - coalesce(nullif(ts, 0), {_NOW_S})) / 3600.0) / 6.0) END), 2) AS score, arg_min(doc_id, n) AS latest, arg_min(title, n) AS title, arg_min(src, n) AS src, coalesce(arg_min(ts, n), 0) AS ts, string_agg(CASE WHEN n <= 5 THEN CAST(doc_id AS VARCHAR) END, ',' ORDER BY n) AS recent FROM r GROUP BY zone) SELECT *, row_number() OVER (ORDER BY score DESC, {_ZONE_RANK}) AS place FROM g")
 def agg_hotspots(spark, sf_dir):
-    """Zones by how often and how lately they are named: all hits are counted, only the newest ten of a zone are ordered."""
-    hits = zone_hits(spark, sf_dir).select("zone", "doc_id", "ts")
-    w = W.partitionBy("zone").orderBy(F.desc("ts"), "doc_id")
+    """Zones by how often and how lately they are named, with the newest title and its feed, the highest score first.
+
+    All hits are counted, only the newest ten of a zone are ordered and weighed. A time of 0 or none is old where hits
+    are ordered, and now where they are weighed.
+    """
+    hits = zone_hits(spark, sf_dir).select("zone", "doc_id", "title", "src", F.expr(_TIMED).alias("ts"))
+    w = W.partitionBy("zone").orderBy(F.desc(F.coalesce("ts", F.lit(0))), "doc_id")
     r = hits.withColumn("n", F.row_number().over(w)).where("n <= 10")
-    weight = 1.0 / (1.0 + F.greatest(F.lit(1.0), (_NOW_S - C("ts")) / 3600.0) / 6.0)
+    age = (_NOW_S - F.coalesce(F.nullif("ts", F.lit(0)), F.lit(_NOW_S))) / 3600.0
     recent = F.transform(F.array_sort(F.collect_list(F.when(C("n") <= 5, F.struct("n", "doc_id")))), lambda x: x["doc_id"].cast("string"))
-    top = r.groupBy("zone").agg(F.round(F.sum(weight), 2).alias("score"), F.min_by("doc_id", "n").alias("latest"), F.array_join(recent, ",").alias("recent"))
-    return hits.groupBy("zone").agg(F.count("*").alias("n")).join(top, "zone")
+    newest = F.min_by(F.struct("doc_id", "title", "src", F.coalesce("ts", F.lit(0)).alias("ts")), "n").alias("l")
+    top = r.groupBy("zone").agg(F.round(F.sum(1.0 / (1.0 + F.greatest(F.lit(1.0), age) / 6.0)), 2).alias("score"), newest, F.array_join(recent, ",").alias("recent"))
+    place = F.row_number().over(W.orderBy(F.desc("score"), F.expr(_ZONE_RANK))).alias("place")  # a row for each of the zones, a fixed list
+    told = hits.groupBy("zone").agg(F.count("*").alias("n")).join(top, "zone")
+    return told.select("zone", "n", "score", C("l.doc_id").alias("latest"), "l.title", "l.src", "l.ts", "recent", place)
 
 
 _HEALTH = ", h AS (SELECT user_id % 14 AS provider, arg_max(event_type, event_id) AS last_event, max(event_id) AS seen_at FROM events GROUP BY ALL), st AS (SELECT provider, seen_at, CASE last_event WHEN 'error' THEN 'error' WHEN 'view' THEN 'cached' WHEN 'signup' THEN 'stale' ELSE 'live' END AS status FROM h)\n"

@@ -345,11 +345,13 @@ def station_catalogue(lines, least: int = STATIONS_LEAST):
     return s.crossJoin(n).where(F.when(C("n_stations") >= least, True).otherwise(F.raise_error(F.lit("the station catalogue is too short")))).drop("n_stations")
 
 
-@query("scan_stations", "SELECT CAST(c_custkey AS VARCHAR) AS id, trim(c_name) AS name, c_nationkey IN (3, 24) AS lakes FROM customer WHERE c_custkey % 9 <> 0")
+@query("scan_stations", "SELECT concat('c', c_custkey) AS id, trim(c_name) AS name, c_nationkey IN (3, 24) AS lakes FROM customer WHERE c_custkey % 9 <> 0 UNION ALL SELECT concat('p', p_partkey), trim(p_name), false FROM part WHERE p_partkey % 9 <> 0")
 def scan_stations(spark, sf_dir):
-    """Customers as a catalogue's JSON lines, some of them out of range, all of them twice; the smallest tables hold fewer than a real catalogue must."""
-    c = table(spark, sf_dir, "customer").select(F.to_json(F.struct(C("c_custkey").cast("string").alias("id"), C("c_name").alias("name"), F.when(C("c_custkey") % 9 == 0, 99.0).otherwise(10.0).alias("lat"), F.lit(20.0).alias("lng"), C("c_nationkey").isin(3, 24).alias("greatlakes"))).alias("line"))
-    return station_catalogue(c.unionByName(c), least=100).select("id", "name", "lakes")
+    """Customers and parts as a catalogue's JSON lines, some of them out of range, all of them twice."""
+    line = lambda key, name, lakes, sign: F.to_json(F.struct(F.concat(F.lit(sign), C(key).cast("string")).alias("id"), C(name).alias("name"), F.when(C(key) % 9 == 0, 99.0).otherwise(10.0).alias("lat"), F.lit(20.0).alias("lng"), lakes.alias("greatlakes"))).alias("line")
+    c = table(spark, sf_dir, "customer").select(line("c_custkey", "c_name", C("c_nationkey").isin(3, 24), "c"))
+    c = c.unionByName(table(spark, sf_dir, "part").select(line("p_partkey", "p_name", F.lit(False), "p")))
+    return station_catalogue(c.unionByName(c)).select("id", "name", "lakes")
 
 
 @query("scan_registry", "SELECT concat('provider_', n_nationkey) AS id, n_name AS name, concat('https://example.org/', n_nationkey) AS docs, n_regionkey * 60 AS refresh_seconds, n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) AS overview FROM nation WHERE n_nationkey % 6 <> 5 ORDER BY id LIMIT 100")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,16 +14,15 @@ from .joins import checkpoint_dir
 from .scoring import incident_scores, incident_status
 
 
-def correlate_replay(observed: DataFrame, pairs: DataFrame) -> DataFrame:
+def correlate_replay(observed: DataFrame, pairs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """(event_id, incident): each row in order of arrival joins the matching incident with the smallest id, or founds one.
 
     A row that bridges two incidents joins one; they aren't merged. A row takes the least incident of the earlier rows
     it is linked to, each of which took its own likewise. So its incident is the least of the founders, rows without an
-    earlier link, that links lead back to. Founders' names move on along the links, from earlier to later rows, until
-    none falls: a round for each link of the shortest way back at most. Rounds are checkpointed; no task holds a component.
+    earlier link, that links lead back to. Links are pairs(a, b), and all pairs within each of groups(event_id, group).
     """
     arrived = observed.select("event_id", F.struct("ingested_at", "observation_id", "event_id").alias("at"), founder_names().alias("own"), F.lit(True).alias("fresh"))
-    return greedy_founders(arrived, pairs)
+    return greedy_founders(arrived, pairs, groups)
 
 
 def founder_names() -> Column:
@@ -27,10 +30,12 @@ def founder_names() -> Column:
     return F.concat(F.lit("incident:"), "kind", F.lit(":"), F.substring(F.sha2("observation_id", 256), 1, 24))
 
 
-def greedy_founders(arrived: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(event_id, incident) of the fresh rows of arrived (event_id, at, own, fresh), linked by pairs (a, b).
+def greedy_founders(arrived: DataFrame, pairs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(event_id, incident) of the fresh rows of arrived (event_id, at, own, fresh), linked by pairs (a, b) and within groups.
 
-    Rows that are not fresh stand before all others by `at` and have their incident, in `own`, for good.
+    Rows that are not fresh stand before all others by `at` and have their incident, in `own`, for good. Founders' names
+    move on along the links, from earlier to later rows, and within a group to all later rows at once, until none falls:
+    a round for each link of the shortest way back at most. Rounds are checkpointed; no task holds a component or a group.
     """
     checkpoint_dir(arrived.sparkSession)
     arrived = arrived.checkpoint()
@@ -39,15 +44,80 @@ def greedy_founders(arrived: DataFrame, pairs: DataFrame) -> DataFrame:
         known = known.join(arrived.select(F.col("event_id").alias(end), F.col("at").alias(f"{end}_at"), F.col("fresh").alias(f"{end}_fresh")), end)
     first = F.col("a_at") < F.col("b_at")
     links = known.where("a_fresh OR b_fresh").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late")).distinct().checkpoint()
-    label = arrived.join(links.select(F.col("late").alias("event_id")).distinct(), "event_id", "left_anti").select("event_id", F.col("own").alias("incident"))
+    late = links.select(F.col("late").alias("event_id"))
+    members = None
+    if groups is not None:
+        hour = F.floor(F.unix_micros("at.ingested_at") / 3_600_000_000).alias("hour")
+        members = groups.distinct().join(arrived, "event_id").select("event_id", "group", "at", hour, "fresh").checkpoint()
+        heads = members.groupBy("group").agg(F.min("at").alias("head"))
+        late = late.union(members.join(heads, "group").where("fresh AND at > head").select("event_id"))
+    label = arrived.join(late.distinct(), "event_id", "left_anti").select("event_id", F.col("own").alias("incident"))
     label = moved = label.checkpoint()
     while not moved.isEmpty():
-        told = links.join(moved.select(F.col("event_id").alias("early"), "incident"), "early").groupBy(F.col("late").alias("event_id")).agg(F.min("incident").alias("told"))
+        told = links.join(moved.select(F.col("event_id").alias("early"), "incident"), "early").select(F.col("late").alias("event_id"), "incident")
+        if members is not None:
+            touched = members.join(moved.select("event_id"), "event_id", "left_semi").select("group").distinct()
+            told = told.unionByName(_passed_on(members.join(touched, "group", "left_semi").join(label, "event_id", "left")))
+        told = told.groupBy("event_id").agg(F.min("incident").alias("told"))
         both = label.join(told, "event_id", "full").select("event_id", F.least("incident", "told").alias("incident"), (F.col("told").isNotNull() & (F.col("incident").isNull() | (F.col("told") < F.col("incident")))).alias("fell")).checkpoint()
         label, moved = both.drop("fell"), both.where("fell").drop("fell")
     return label.join(arrived.where("fresh").select("event_id"), "event_id")
 
 
+def _passed_on(members: DataFrame) -> DataFrame:
+    """(event_id, incident): the least incident of the earlier rows of a fresh row's group. Running minima within hours of arrival, then over the hours."""
+    upto = W.partitionBy("group", "hour").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    hours = members.groupBy("group", "hour").agg(F.min("incident").alias("least"))
+    before = hours.withColumn("before", F.min("least").over(W.partitionBy("group").orderBy("hour").rowsBetween(W.unboundedPreceding, -1))).drop("least")
+    inner = members.withColumn("inner", F.min("incident").over(upto)).join(before, ["group", "hour"])
+    return inner.where("fresh").select("event_id", F.least("inner", "before").alias("incident")).where("incident IS NOT NULL")
+
+
+def slot_groups(rows: DataFrame, key: str, hours: float) -> DataFrame:
+    """(event_id, group) of rows(event_id, event_at, key): slots of time in which all rows of a key lie within the hours of each other."""
+    slot = F.floor(F.unix_micros("event_at") / int(hours * 3.6e9))
+    return rows.where("event_at IS NOT NULL").select("event_id", F.concat_ws("|", key, slot.cast("string")).alias("group"))
+
+
+def slot_links(rows: DataFrame, key: str, hours: float, at: str = "at") -> DataFrame:
+    """Links (a, b) between neighbouring slots of slot_groups(), two a row at most, from which all links within the hours follow by way of the slots.
+
+    To a row leads the last earlier row of the slot beside its own that lies within the hours: all others that do come
+    before that one in its slot. A sweep in order of arrival finds it on a stack of rows that no later one outdoes, by
+    bisection. A task holds such stacks alone: numbers of at most one slot.
+    """
+    width = int(hours * 3.6e9)
+    t = F.unix_micros("event_at")
+    slot = F.floor(t / width)
+    sides = F.array(F.struct(slot.alias("pair"), F.lit(0).alias("high")), F.struct((slot - 1).alias("pair"), F.lit(1).alias("high")))
+    placed = rows.where("event_at IS NOT NULL").select(key, "event_id", t.alias("t"), at, F.explode(sides).alias("s")).select(key, "s.pair", "s.high", "t", "event_id", at)
+    swept = placed.repartition(key, "pair").sortWithinPartitions(key, "pair", at, "event_id").drop(at)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, stacks = None, None
+        for batch in batches:
+            early, late = [], []
+            for k, pair, high, t, event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, pair) != group:
+                    group, stacks = (k, pair), (([], []), ([], []))
+                # Rows of the lower slot are wanted late in time, those of the higher one early: -t and t rise along their stacks.
+                wanted, ids = stacks[1 - high]
+                n = bisect_right(wanted, width - t if high else t + width)
+                if n:
+                    early.append(ids[n - 1])
+                    late.append(event)
+                mine, own = stacks[high]
+                v = t if high else -t
+                while mine and mine[-1] >= v:
+                    mine.pop()
+                    own.pop()
+                mine.append(v)
+                own.append(event)
+            yield pa.RecordBatch.from_arrays([pa.array(early, pa.int64()), pa.array(late, pa.int64())], names=["a", "b"])
+
+    return swept.mapInArrow(sweep, "a bigint, b bigint")
+
+
 def revision_chain(versions: DataFrame) -> DataFrame:
     """(incident_id, revision, event_id, priority_score, change_type): one revision for each arrival, scored as of then, typed against the one before.
 

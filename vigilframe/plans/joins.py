@@ -11,6 +11,7 @@ from ..functions import geo, text
 from ..model import DECLARATION_OPEN_DAYS, DECLARATION_PADDING_HOURS, DECLARED_TYPES, MEDIA_KINDS, ROUTES, RULES, ZONES
 from ..functions.times import seconds_between
 from ..operators.joins import checkpoint_dir, components, likeness_join, nearest, time_range_join, with_side
+from ..operators.lifecycle import slot_groups, slot_links
 from ..operators.watch import watch_matches
 from ..views import articles, latest_observations, members, observations, table
 from .registry import query
@@ -188,6 +189,21 @@ def component_links(o):
     return reduce(lambda x, y: x.unionByName(y), links)
 
 
+def replay_links(o):
+    """(pairs, groups) for the replay: the same ways back as correlated_pairs(o), with a few links a row for storms, series and reports, however many share a window."""
+    at = F.struct("ingested_at", "observation_id", C("event_id").alias("e")).alias("at")
+    storms = o.where("kind = 'tropical_cyclone'").select("event_id", "event_at", at, text.normalized_title(C("storm_name")).alias("key"))
+    series = o.where("kind = 'tsunami' and relation_candidate <> ''").select("event_id", F.concat(F.lit("tsunami|"), "relation_candidate").alias("group"))
+    m, alike = media_titles(o)
+    pairs = alike.select(F.least("a_title", "b_title").alias("x"), F.greatest("a_title", "b_title").alias("y")).distinct()
+    ends = pairs.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("title"), F.concat_ws("|", "x", "y").alias("pair"))
+    reports = m.join(ends, "title").join(o.select("event_id", at), "event_id").select("event_id", "event_at", "at", F.concat_ws("|", "kind", "pair").alias("key"))
+    timed = [(storms, RULES["tropical_cyclone"][0]), (reports, RULES["media"][0])]
+    links = [quake_pairs(o), named_pairs(o), *(slot_links(r, "key", h) for r, h in timed)]
+    groups = [series, *(slot_groups(r, "key", h) for r, h in timed)]
+    return reduce(lambda x, y: x.unionByName(y), links), reduce(lambda x, y: x.unionByName(y), groups)
+
+
 @query("cor_components", _PAIRS + ", both_ AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (WITH RECURSIVE r(node, c) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT both_.b, r.c FROM r JOIN both_ ON both_.a = r.node WHERE r.c < both_.b) SELECT node, min(c) AS c FROM r GROUP BY node) SELECT node, c AS component FROM reach")
 def cor_components(spark, sf_dir):
     return components(component_links(_latest(spark, sf_dir)), "a", "b")

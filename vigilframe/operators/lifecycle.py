@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import checkpoint_dir
-from .scoring import incident_scores, incident_status
 
 
 def correlate_replay(observed: DataFrame, pairs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -118,27 +117,6 @@ def slot_links(rows: DataFrame, key: str, hours: float, at: str = "at") -> DataF
     return swept.mapInArrow(sweep, "a bigint, b bigint")
 
 
-def revision_chain(versions: DataFrame) -> DataFrame:
-    """(incident_id, revision, event_id, priority_score, change_type): one revision for each arrival, scored as of then, typed against the one before.
-
-    versions hold all versions of all observations, each with its incident. A version equal to the one before it makes
-    no revision. At an arrival every observation stands in its last version so far, so an incident's arrivals meet its
-    versions by the time these held.
-    """
-    mine = W.partitionBy("observation_id").orderBy("ingested_at", "event_id")
-    new = versions.withColumn("was", F.lag("content_hash").over(mine)).where(~F.col("content_hash").eqNullSafe(F.col("was"))).drop("was")
-    at = F.struct("ingested_at", "event_id")
-    held = new.withColumns({"since": at, "until": F.lead(at).over(mine)})
-    arrivals = new.select("incident_id", F.col("event_id").alias("arrival"), F.col("ingested_at").alias("moment"), F.col("status").alias("arrived_as"))
-    seen = F.struct(F.col("moment").alias("ingested_at"), F.col("arrival").alias("event_id"))
-    known = arrivals.join(held, "incident_id").where((F.col("since") <= seen) & (F.col("until").isNull() | (F.col("until") > seen)))
-    s = incident_scores(known, F.col("moment"), by=["incident_id", "moment", "arrival"], more=(incident_status().alias("status"),))
-    w = W.partitionBy("incident_id").orderBy("moment", "arrival")
-    before, score = F.lag("priority_score").over(w), F.col("priority_score")
-    kind = F.when(before.isNull(), "new").when(F.col("status") == "cancelled", "cancelled").when(F.col("status") == "ended", "resolved").when(score >= before + 10, "escalated").when(score <= before - 10, "downgraded").otherwise("updated")
-    return s.select("incident_id", F.row_number().over(w).alias("revision"), F.col("arrival").alias("event_id"), "priority_score", kind.alias("change_type"))
-
-
 def upsert_latest(old: DataFrame, new: DataFrame, key: str, revision: str) -> DataFrame:
     """Rows of new whose revision is higher than old's, or whose key is new, with a flag; equal revisions stay out."""
     was = old.select(key, F.col(revision).alias("was"))

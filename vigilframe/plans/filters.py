@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, lookup, text
 from ..model import CONFLICT_WORDS, MEDIA_KINDS, THEATRES
 from ..operators.commits import new_folder
+from ..operators.geo_table import GeoTable
 from ..operators.scoring import incident_scores, latest_key, scored_incidents
 from ..operators.search import SearchIndex
 from ..streaming.state import failure_streaks
@@ -59,10 +60,18 @@ def flt_incidents(spark, sf_dir):
     return i.where(geo.in_bounds(C("lon"), C("lat"), -60, -90, 120, 90)).select("incident_id", "priority_score")
 
 
-@query("flt_bbox_obs", "SELECT event_id, observation_id FROM l WHERE slon BETWEEN -30 AND 40 AND slat BETWEEN -10 AND 50 ORDER BY ingested_at DESC, event_id LIMIT 100")
+#: Boxes asked for: west, south, east, north; the second one crosses the antimeridian.
+_BOXES = {"land": (-30.0, -10.0, 40.0, 50.0), "sea": (165.0, -40.0, -150.0, 20.0)}
+_BOX_SQL = " UNION ALL ".join(f"(SELECT '{n}' AS box, event_id, observation_id FROM l WHERE slat BETWEEN {s} AND {t} AND (slon >= {w} {'AND' if w <= e else 'OR'} slon <= {e}) ORDER BY ingested_at DESC, event_id LIMIT 100)" for n, (w, s, e, t) in _BOXES.items())
+
+
+@query("flt_bbox_obs", _BOX_SQL)
 def flt_bbox_obs(spark, sf_dir):
-    hit = geo.boxes_overlap(C("slon"), C("slat"), C("slon"), C("slat"), -30.0, -10.0, 40.0, 50.0)
-    return latest_observations(observations(spark, sf_dir)).where(hit).orderBy(F.desc("ingested_at"), "event_id").limit(100).select("event_id", "observation_id")
+    """The newest hundred of each box, out of a table laid out by cells."""
+    laid = GeoTable(spark, new_folder(spark, "geo-"), "slon", "slat").put(latest_observations(observations(spark, sf_dir)).select("event_id", "observation_id", "ingested_at", "slon", "slat"))
+    newest = lambda name, box: laid.within(*box).orderBy(F.desc("ingested_at"), "event_id").limit(100).select(F.lit(name).alias("box"), "event_id", "observation_id")
+    found = [newest(n, b) for n, b in _BOXES.items()]
+    return found[0].unionByName(found[1])
 
 
 @query("flt_radius", f"SELECT event_id, round({sql_km('10.0', '45.0', 'slon', 'slat')}, 3) AS km FROM o WHERE {sql_km('10.0', '45.0', 'slon', 'slat')} <= 500 * 1.852")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_markup, host_label
 from ..functions.times import rss_time
 from ..sources.ingest import PROVIDERS, RECORDS, centre, diagnostics, items, normalize
+from ..streaming.streams import run_available, shared_folder
 from ..views import NOW, observations, table
 from .registry import query
 
@@ -281,12 +282,33 @@ def scan_edits(spark, sf_dir):
     size = F.when(C("k") % 6 == 0, F.lit(10**15)).otherwise(C("k") * 1000)
     o = observations(spark, sf_dir)
     lines = o.select(F.to_json(F.struct("event_id", F.concat("headline", F.expr("repeat('.', k)")).alias("title"), F.concat("summary", F.expr("repeat('-', k * 5)")).alias("comment"), kind.alias("type"), size.alias("size"))).alias("line"))
-    return edits(lines)
+    # What a feed brings besides: lines cut short, lines that hold no record, and one record longer than a line may be.
+    broken = o.where("event_id % 13 = 0").select(F.expr("substr(to_json(struct(event_id, headline AS title, 'edit' AS type)), 1, 20)").alias("line"))
+    blank = o.where("event_id % 29 = 0").select(F.lit("[]").alias("line"))
+    long = o.where("event_id = 1").select(F.expr(f"concat('{{\"event_id\":1,\"type\":\"edit\",\"title\":\"', repeat('x', {MOST_BYTES}), '\"}}')").alias("line"))
+    landing = shared_folder(spark)
+    lines.unionByName(broken).unionByName(blank).unionByName(long).write.text(landing)
+    return run_available(edit_stream(spark, landing))
+
+
+#: Bytes of a line of the edit feed; longer lines go. Files that a batch of the stream takes at most.
+MOST_BYTES, FILES_EACH = 64 * 1024, 4
+
+
+def edit_stream(spark, folder: str, files_each: int = FILES_EACH):
+    """Edits of JSON lines that land in a folder, as a stream: a batch takes so many files, so a backlog is worked off in pieces."""
+    return edits(spark.readStream.schema("line string").option("maxFilesPerTrigger", files_each).text(folder))
 
 
 def edits(lines):
-    """(event_id, title, comment, type, size) of lines, a table or a stream: titles of 140 characters, comments of 500, sizes up to a thousand million."""
-    r = lines.select(F.from_json("line", "event_id bigint, title string, comment string, type string, size bigint").alias("r")).select("r.*")
+    """(event_id, title, comment, type, size) of lines, a table or a stream: titles of 140 characters, comments of 500, sizes up to a thousand million.
+
+    Lines that are too long, aren't JSON, or have no event id are left out.
+    """
+    whole = lines.where(F.octet_length("line") <= MOST_BYTES)
+    shape = "event_id bigint, title string, comment string, type string, size bigint, _corrupt_record string"
+    r = whole.select(F.from_json("line", shape, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+    r = r.where("_corrupt_record IS NULL AND event_id IS NOT NULL")
     return r.where(C("type").isin("edit", "new")).select("event_id", F.substring("title", 1, 140).alias("title"), F.substring("comment", 1, 500).alias("comment"), "type", F.when(F.abs("size") <= 10**9, C("size")).alias("size"))
 
 

@@ -108,6 +108,24 @@ def test_a_named_stream_goes_on(spark, tmp_path):
     assert sorted(x.i for x in out.collect()) == [1, 2, 3]
 
 
+def test_a_replaced_source_has_another_name(spark, tmp_path):
+    import os
+
+    from vigilframe.streaming.streams import source_name
+
+    path = f"{tmp_path}/in"
+    put = lambda n, mode: spark.range(n).coalesce(1).write.mode(mode).parquet(path)
+    put(3, "overwrite")
+    first = source_name(spark, path)
+    for f in os.listdir(path):
+        os.utime(f"{path}/{f}", (1000, 1000))
+    aged = source_name(spark, path)
+    put(5, "append")
+    assert source_name(spark, path) == aged != first
+    put(3, "overwrite")
+    assert source_name(spark, path) not in (aged, first)
+
+
 def test_entities_and_folding(spark):
     import html
     import unicodedata

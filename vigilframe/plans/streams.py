@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from ..functions.lookup import severity_rank
 from ..operators.watch import watch_matches
 from ..streaming.correlate import StreamCorrelator
-from ..streaming.streams import changed_only, dedupe_keys, event_stream, failure_events, for_each_batch, recent, run_available, shared_folder
+from ..streaming.streams import changed_only, dedupe_keys, event_stream, failure_events, for_each_batch, recent, run_available, shared_folder, source_name
 from ..views import as_observations
 from .joins import REPLAY_SQL, _MATCHES, _PLACED, _REGION_SQL, _SEV, correlated_pairs, watch_regions
 from .registry import query
@@ -53,8 +51,8 @@ def str_health(spark, sf_dir):
 
 @query("str_change_feed", "SELECT event_id AS cursor, user_id FROM events WHERE event_id > 400")
 def str_change_feed(spark, sf_dir):
-    """The checkpoint is the cursor: it has a name of its own, so the next run goes on after the last row that this one gave out."""
-    name = "change-feed-" + hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    """The checkpoint is the cursor: its name is the source's, so the next run goes on after the last row that this one gave out, and a source that was replaced begins anew."""
+    name = "change-feed-" + source_name(spark, f"{sf_dir}/events.parquet")
     return run_available(_stream(spark, sf_dir).where("event_id > 400").select(C("event_id").alias("cursor"), "user_id"), name=name)
 
 

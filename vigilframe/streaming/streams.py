@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -29,6 +30,15 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
 
 
+def source_name(spark: SparkSession, path: str) -> str:
+    """A name for what lies under a path: of the path and of its oldest file's size and time. Files that are added leave it as it is; a replaced source has another."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    lie = [s for s in files.listStatus(there) if not s.getPath().getName().startswith(("_", "."))]
+    oldest = min(((s.getModificationTime(), s.getPath().getName(), s.getLen()) for s in lie), default=())
+    return hashlib.sha256(f"{path}|{oldest}".encode()).hexdigest()[:16]
+
+
 def run_available(stream: DataFrame, mode: str = "append", name: str | None = None) -> DataFrame:
     """Runs a stream over what is there, into Parquet, and reads the result. Under a name it goes on from its own checkpoint the next time."""
     spark = stream.sparkSession

@@ -64,7 +64,7 @@ def test_nearest_by_rings_equals_the_scan(spark, n):
 
 
 def test_thinning_is_greedy(spark):
-    from vigilframe.plans.joins import thinned
+    from vigilframe.operators.coastal import thinned
 
     r = random.Random(4)
     rows = [(f"g{r.randrange(3)}", i, float(r.randrange(20)), r.uniform(0, 3), r.uniform(0, 3)) for i in range(150)]

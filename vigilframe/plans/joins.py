@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..model import DECLARATION_OPEN_DAYS, DECLARATION_PADDING_HOURS, DECLARED_TYPES, MEDIA_KINDS, ROUTES, RULES, ZONES
 from ..functions.times import seconds_between
-from ..operators.joins import checkpoint_dir, components, likeness_join, nearest, time_range_join, with_side
+from ..operators.joins import components, likeness_join, nearest, time_range_join, with_side
 from ..operators.lifecycle import slot_groups, slot_links
 from ..operators.watch import watch_matches
 from ..views import articles, latest_observations, members, observations, table
@@ -330,30 +330,8 @@ def nearest_station(spark, sf_dir):
     return nearest(pt, st, "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey", F.round("km", 3).alias("km"))
 
 
-def thinned(df, per: str, least_km: float, most: int):
-    """Greedy choice in order of rank: a point goes if one already kept lies within least_km; at most `most` of each group stay.
-
-    A round takes the first point left in each group, by a partial aggregate, and drops what lies near it, so no task
-    holds a group.
-    """
-    checkpoint_dir(df.sparkSession)
-    left, kept = df.select(per, "id", "rank", "lon", "lat").checkpoint(), None
-    for _ in range(most):
-        first = left.groupBy(per).agg(F.min_by(F.struct("id", "lon", "lat"), F.struct("rank", "id")).alias("f")).select(per, "f.*").checkpoint()
-        kept = first if kept is None else kept.union(first)
-        near = first.select(per, C("lon").alias("k_lon"), C("lat").alias("k_lat"))
-        left = left.join(near, per).where(geo.haversine_km(C("lon"), C("lat"), C("k_lon"), C("k_lat")) > least_km).drop("k_lon", "k_lat").checkpoint()
-    return kept.select(per, "id")
-
-
-@query("join_coastal_context")
-def coastal_context(spark, sf_dir):
-    """Customers within reach of a station, thinned to six for each market segment, richest first."""
-    pt, st = _places(spark, sf_dir)
-    near = nearest(pt, st, "c_custkey", "s_suppkey", most_km=250.0)
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    ranked = near.join(c, "c_custkey").join(pt, "c_custkey").select(C("c_mktsegment").alias("segment"), C("c_custkey").alias("id"), (-C("c_acctbal")).alias("rank"), "lon", "lat")
-    return thinned(ranked, "segment", 50.0, 6)
+def station_places(spark, sf_dir):
+    return _places(spark, sf_dir)[1]
 
 
 #: Watch regions out of nations: every third one a circle, a polygon with a hole, two polygons. Corners are shifts of the

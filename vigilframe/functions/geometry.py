@@ -38,6 +38,12 @@ def valid(kind: Column, c: Column, most_lat: float = 90.0) -> Column:
     return F.coalesce(ranged & shape & (F.size(p) > 0), F.lit(False))
 
 
+def region_shape(kind: Column, c: Column) -> Column:
+    """Whether a watch region may have this shape: a point or polygons, at most 500 points, latitudes within 85, closed rings. No shape is none."""
+    fit = kind.isin("Point", "Polygon", "MultiPolygon") & (F.size(points(kind, c)) <= 500) & valid(kind, c, 85.0)
+    return F.coalesce(fit, F.lit(False))
+
+
 def centroid(p: Column, k: int) -> Column:
     """Mean of the vertices; a ring's closing vertex counts again."""
     return F.aggregate(p, F.lit(0.0), lambda s, x: s + F.get(x, k)) / F.size(p)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import lookup, text
+from ..functions import geometry, lookup, text
 from ..functions.times import quiet, utc_label
 from ..model import SEVERITIES, ZONES
 from ..operators.clusters import cell_size, clusters
@@ -324,26 +324,27 @@ _RAW = {
     "id": "CASE WHEN s_suppkey % 7 = 0 THEN concat('-', s_suppkey) WHEN s_suppkey % 7 = 1 THEN concat('r', s_suppkey - 1) ELSE concat('r', s_suppkey) END",
     "label": "CASE WHEN s_suppkey % 5 = 0 THEN '   ' ELSE concat(' ', s_name, '  x') END",
     "scope": "CASE WHEN s_suppkey % 3 = 0 THEN 'global' WHEN s_suppkey % 3 = 1 THEN 'region' ELSE 'odd' END",
-    "placed": "s_suppkey % 4 <> 0",
+    "shape": "CASE s_suppkey % 4 WHEN 1 THEN 'Point' WHEN 2 THEN 'Polygon' WHEN 3 THEN CASE WHEN s_suppkey % 8 = 3 THEN 'Polygon' ELSE 'LineString' END END",
+    "coordinates": "CASE s_suppkey % 4 WHEN 1 THEN concat('[', s_suppkey % 180, ',20.5]') WHEN 2 THEN '[[[0,0],[5,0],[5,5],[0,0]],[[3,1],[4,1],[4,2],[3,1]]]' WHEN 3 THEN CASE WHEN s_suppkey % 8 = 3 THEN '[[[0,80],[5,80],[5,88],[0,80]]]' ELSE '[[0,0],[1,1]]' END END",
     "radius": "CASE WHEN s_suppkey % 11 = 0 THEN 'wide' ELSE CAST(s_suppkey * 90 - 300 AS {}) END",
     "severity": "CASE WHEN s_suppkey % 4 = 1 THEN 'Severe' ELSE 'Dire' END",
 }
 
 
 def clean_regions(raw, words):
-    """Watch regions fit to use, at most 50 in order: ids of safe characters, the first of each; labels; a place unless worldwide; radius within 1 to 2000 km; severity Moderate where unknown.
+    """Watch regions fit to use, at most 50 in order: ids of safe characters, the first of each; labels; a place (region_shape) unless worldwide; radius within 1 to 2000 km; severity Moderate where unknown.
 
     A list of keywords from before regions were kept becomes one more, worldwide.
     """
     scope = F.when(C("scope").isin("region", "global"), C("scope")).otherwise("region")
     r = raw.withColumns({"scope": scope, "label": F.substring(text.single_line(C("label")), 1, 80), "radius": C("radius").try_cast("double")})
-    r = r.where(C("id").rlike("^[A-Za-z0-9][A-Za-z0-9._:-]*$") & (F.length("id") <= 80) & (C("label") != "") & ((C("scope") == "global") | C("placed")) & C("radius").isNotNull())
+    r = r.where(C("id").rlike("^[A-Za-z0-9][A-Za-z0-9._:-]*$") & (F.length("id") <= 80) & (C("label") != "") & ((C("scope") == "global") | geometry.region_shape(C("shape"), C("coordinates"))) & C("radius").isNotNull())
     one = r.groupBy("id").agg(F.min_by(F.struct("n", "label", "scope", "radius", "severity"), "n").alias("x")).select("id", "x.*").orderBy("n").limit(50)
     clean = one.select("id", "label", "scope", F.greatest(F.lit(1.0), F.least(F.lit(2000.0), "radius")).alias("radius"), F.when(C("severity").isin(*SEVERITIES), C("severity")).otherwise("Moderate").alias("severity"), F.lit("").alias("keywords"))
     return clean.unionByName(words.select(F.lit("legacy:keywords").alias("id"), F.lit("Keywords").alias("label"), F.lit("global").alias("scope"), F.lit(1.0).alias("radius"), F.lit("Moderate").alias("severity"), "keywords"))
 
 
-@query("wat_clean_regions", ", raw AS (SELECT s_suppkey AS n, " + ", ".join(f"{x.format('VARCHAR')} AS {c}" for c, x in _RAW.items()) + " FROM supplier), c AS (SELECT n, id, trim(regexp_replace(label, '\\s+', ' ', 'g')) AS label, CASE WHEN scope = 'odd' THEN 'region' ELSE scope END AS scope, placed, try_cast(radius AS DOUBLE) AS radius, CASE WHEN severity = 'Dire' THEN 'Moderate' ELSE severity END AS severity FROM raw), f AS (SELECT * FROM c WHERE regexp_matches(id, '^[A-Za-z0-9]') AND label <> '' AND (scope = 'global' OR placed) AND radius IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY n) = 1 ORDER BY n LIMIT 50) SELECT id, label, scope, greatest(1.0, least(2000.0, radius))::DOUBLE AS radius, severity, '' AS keywords FROM f UNION ALL SELECT 'legacy:keywords', 'Keywords', 'global', 1.0, 'Moderate', string_agg(w, ',' ORDER BY w) FROM (SELECT DISTINCT lower(r_name) AS w FROM region ORDER BY w LIMIT 20)")
+@query("wat_clean_regions", ", raw AS (SELECT s_suppkey AS n, " + ", ".join(f"{x.format('VARCHAR')} AS {c}" for c, x in _RAW.items()) + " FROM supplier), c AS (SELECT n, id, trim(regexp_replace(label, '\\s+', ' ', 'g')) AS label, CASE WHEN scope = 'odd' THEN 'region' ELSE scope END AS scope, n % 4 IN (1, 2) AS placed, try_cast(radius AS DOUBLE) AS radius, CASE WHEN severity = 'Dire' THEN 'Moderate' ELSE severity END AS severity FROM raw), f AS (SELECT * FROM c WHERE regexp_matches(id, '^[A-Za-z0-9]') AND label <> '' AND (scope = 'global' OR placed) AND radius IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY n) = 1 ORDER BY n LIMIT 50) SELECT id, label, scope, greatest(1.0, least(2000.0, radius))::DOUBLE AS radius, severity, '' AS keywords FROM f UNION ALL SELECT 'legacy:keywords', 'Keywords', 'global', 1.0, 'Moderate', string_agg(w, ',' ORDER BY w) FROM (SELECT DISTINCT lower(r_name) AS w FROM region ORDER BY w LIMIT 20)")
 def wat_clean_regions(spark, sf_dir):
     raw = table(spark, sf_dir, "supplier").select(C("s_suppkey").alias("n"), *(F.expr(x.format("STRING")).alias(c) for c, x in _RAW.items()))
     words = table(spark, sf_dir, "region").select(F.lower("r_name").alias("w")).distinct().orderBy("w").limit(20)

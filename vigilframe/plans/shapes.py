@@ -52,5 +52,4 @@ def agg_geometry_count(spark, sf_dir):
 def wat_clean_geometry(spark, sf_dir):
     """Shapes that a watch region may have: points and polygons, at most 500 points, latitudes within 85, closed rings."""
     s = shapes(spark, sf_dir)
-    fit = C("kind").isin("Point", "Polygon", "MultiPolygon") & (F.size(geometry.points(C("kind"), C("coordinates"))) <= 500) & geometry.valid(C("kind"), C("coordinates"), 85.0)
-    return s.where(fit).select("user_id", "day")
+    return s.where(geometry.region_shape(C("kind"), C("coordinates"))).select("user_id", "day")

@@ -121,3 +121,16 @@ def upsert_actions(old: DataFrame, new: DataFrame, key: str, revision: str, cont
     was = old.select(key, F.col(revision).alias("was"), F.col(content).alias("content_was"))
     action = F.when(F.col("was").isNull(), "inserted").when(F.col(revision) > F.col("was"), "updated").when((F.col(revision) == F.col("was")) & ~F.col(content).eqNullSafe(F.col("content_was")), "rejected")
     return new.join(was, key, "left").select(key, revision, action.alias("action")).where("action is not null")
+
+
+def upsert_incidents(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame, cursor: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(actions, edges, log) of incidents laid over older ones: incident_id, revision, said and last_changed of each, edges (incident_id, observation_id).
+
+    Where an incident is inserted or updated its edges are written anew and the log gets a row, with cursors without gaps
+    from the one after `cursor` (one row, last) on, in order of change; everywhere else edges stay as they were.
+    """
+    actions = upsert_actions(old, new, "incident_id", "revision", "said")
+    accepted = actions.where("action <> 'rejected'").select("incident_id")
+    edges = new_edges.join(accepted, "incident_id", "left_semi").unionByName(old_edges.join(accepted, "incident_id", "left_anti"))
+    written = new.join(accepted, "incident_id", "left_semi").select("incident_id", "revision", "last_changed")
+    return actions, edges, dense_cursor(written, "last_changed", ["incident_id"], cursor)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..model import SEVERITIES, URGENCIES
 from ..operators.scoring import incident_scores, latest_key, snapshot_parts
-from ..operators.sinks import CSV_COLUMNS, csv_lines, dense_cursor, geojson_collection, merge_latest, sources_of, upsert_actions
+from ..operators.sinks import CSV_COLUMNS, csv_lines, dense_cursor, geojson_collection, merge_latest, sources_of, upsert_incidents
 from ..views import NOW, latest_observations, members, observations
 from .aggregates import _RANK, _STATUS
 from .filters import INC
@@ -93,16 +93,30 @@ def sink_upsert_obs(spark, sf_dir):
 _SAID = "arg_max(concat(headline, status), {'a': coalesce(source_updated_at, event_at, ingested_at), 'b': observation_id})"
 
 
-@query("sink_upsert_incident", f", l0 AS (SELECT * FROM o WHERE event_id < 5000 QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY ingested_at DESC, event_id DESC) = 1), old AS (SELECT concat('incident:', kind, ':u', user_id) AS incident_id, count(*) AS n, {_SAID} AS said FROM l0 GROUP BY 1), new AS (SELECT concat('incident:', kind, ':u', user_id) AS incident_id, count(*) AS n, {_SAID} AS said FROM l GROUP BY 1) SELECT * FROM (SELECT new.incident_id, new.n AS revision, CASE WHEN old.n IS NULL THEN 'inserted' WHEN new.n > old.n THEN 'updated' WHEN new.n = old.n AND new.said IS DISTINCT FROM old.said THEN 'rejected' END AS action FROM new LEFT JOIN old USING (incident_id)) WHERE action IS NOT NULL")
+_CASE_ID = "concat('incident:', kind, ':u', user_id)"
+_UPSERT = f""", l0 AS (SELECT * FROM o WHERE event_id < 5000 QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY ingested_at DESC, event_id DESC) = 1
+), old AS (SELECT {_CASE_ID} AS incident_id, count(*) AS n, {_SAID} AS said FROM l0 GROUP BY 1), new AS (SELECT {_CASE_ID} AS incident_id, count(*) AS n, {_SAID} AS said, max(ingested_at) AS last_changed FROM l GROUP BY 1
+), act AS (SELECT * FROM (SELECT new.incident_id, new.n AS revision, last_changed, CASE WHEN old.n IS NULL THEN 'inserted' WHEN new.n > old.n THEN 'updated' WHEN new.n = old.n AND new.said IS DISTINCT FROM old.said THEN 'rejected' END AS action FROM new LEFT JOIN old USING (incident_id)) WHERE action IS NOT NULL
+), acc AS (SELECT * FROM act WHERE action <> 'rejected')
+"""
+
+
+@query("sink_upsert_incident", _UPSERT + f"SELECT 'action' AS part, incident_id, action AS item, revision AS number FROM act UNION ALL SELECT 'edge', {_CASE_ID}, observation_id, NULL FROM l WHERE {_CASE_ID} IN (SELECT incident_id FROM acc) UNION ALL SELECT 'edge', {_CASE_ID}, observation_id, NULL FROM l0 WHERE {_CASE_ID} NOT IN (SELECT incident_id FROM acc) UNION ALL SELECT 'log', incident_id, CAST(revision AS VARCHAR), row_number() OVER (ORDER BY last_changed, incident_id) + (SELECT count(*) FROM old) FROM acc")
 def sink_upsert_incident(spark, sf_dir):
-    """Snapshot incidents laid over an older snapshot: higher revisions go in; other content under the same revision is rejected."""
+    """Snapshot incidents laid over an older snapshot: higher revisions go in, with new edges and a row of the log; other content under the same revision is rejected."""
 
     def snapshot(o):
-        i = cases(o).groupBy("incident_id").agg(F.count("*").alias("n_members"), F.max_by("headline", latest_key()).alias("headline"), F.max_by("status", latest_key()).alias("last_status"))
-        return i.select("incident_id", C("n_members").alias("revision"), F.concat("headline", "last_status").alias("said"))
+        m = cases(o)
+        i = m.groupBy("incident_id").agg(F.count("*").alias("n_members"), F.max_by("headline", latest_key()).alias("headline"), F.max_by("status", latest_key()).alias("last_status"), F.max("ingested_at").alias("last_changed"))
+        return i.select("incident_id", C("n_members").alias("revision"), F.concat("headline", "last_status").alias("said"), "last_changed"), m.select("incident_id", "observation_id")
 
     o = observations(spark, sf_dir)
-    return upsert_actions(snapshot(o.where("event_id < 5000")), snapshot(o), "incident_id", "revision", "said")
+    (old, old_edges), (new, new_edges) = snapshot(o.where("event_id < 5000")), snapshot(o)
+    actions, edges, log = upsert_incidents(old, new, old_edges, new_edges, old.agg(F.count("*").alias("last")))
+    none = F.lit(None).cast("long")
+    said = actions.select(F.lit("action").alias("part"), "incident_id", C("action").alias("item"), C("revision").alias("number"))
+    said = said.unionByName(edges.select(F.lit("edge").alias("part"), "incident_id", C("observation_id").alias("item"), none.alias("number")))
+    return said.unionByName(log.select(F.lit("log").alias("part"), "incident_id", C("revision").cast("string").alias("item"), C("cursor").cast("long").alias("number")))
 
 
 #: Kind -> panel; the last two kinds stand in for panels whose own kinds these tables lack.

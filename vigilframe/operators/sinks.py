@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.geometry import valid
 from ..functions.text import csv_cell, safe_url
 
 #: The columns of the CSV export, and those of them that are numbers.
@@ -46,14 +47,22 @@ def csv_lines(incidents: DataFrame) -> DataFrame:
 
 
 def geojson_collection(incidents: DataFrame, at: str) -> DataFrame:
-    """One row, collection: the exported incidents as a FeatureCollection; a feature without a place has no geometry."""
-    point = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.struct(F.lit("Point").alias("type"), F.array(F.round("lon", 4), F.round("lat", 4)).alias("coordinates")))
+    """One row, collection: the exported incidents as a FeatureCollection.
+
+    Columns shape and coordinates, a GeoJSON type and text, give a feature's geometry where they are valid; else it is
+    the point, and without a place there is none.
+    """
+    point = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.to_json(F.struct(F.lit("Point").alias("type"), F.array(F.round("lon", 4), F.round("lat", 4)).alias("coordinates"))))
+    if "shape" in incidents.columns:
+        drawn = F.concat(F.lit('{"type":"'), F.col("shape"), F.lit('","coordinates":'), F.col("coordinates"), F.lit("}"))
+        point = F.when(valid(F.col("shape"), F.col("coordinates")), drawn).otherwise(point)
     named = F.transform("sources", lambda s: F.struct(s["provider_id"].alias("provider_id"), s["provider_id"].alias("attribution"), s["source_url"].alias("source_url")))
     facts = F.struct(
         F.lit(1).alias("schema_version"), "incident_id", "kind", "headline", "summary", "status", "severity", "urgency", "certainty", "priority_score",
         iso(F.col("first_seen")).alias("first_seen_at"), iso(F.col("last_changed")).alias("last_changed_at"), iso(F.col("last_observed")).alias("last_observed_at"), named.alias("sources"),
     )
-    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("incident_id").alias("id"), point.alias("geometry"), facts.alias("properties")), {"ignoreNullFields": "false"})
+    id_ = F.to_json(F.array("incident_id"))
+    feature = F.concat(F.lit('{"type":"Feature","id":'), F.substring(id_, F.lit(2), F.length(id_) - 2), F.lit(',"geometry":'), F.coalesce(point, F.lit("null")), F.lit(',"properties":'), F.to_json(facts, {"ignoreNullFields": "false"}), F.lit("}"))
     all_ = exported(incidents).select(F.struct("place", feature.alias("feature")).alias("f")).agg(F.array_sort(F.collect_list("f")).alias("f"))  # EXPORT_ROWS at most
     head = f'{{"type":"FeatureCollection","schema_version":1,"generated_at":"{at}","features":['
     return all_.select(F.concat(F.lit(head), F.array_join(F.transform("f", lambda f: f["feature"]), ","), F.lit("]}")).alias("collection"))

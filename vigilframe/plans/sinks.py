@@ -60,7 +60,7 @@ def sink_csv(spark, sf_dir):
 
 
 _FEATURE = (
-    "json_object('type', 'Feature', 'id', incident_id, 'geometry', json_object('type', 'Point', 'coordinates', [lon, lat]), 'properties', json_object('schema_version', 1, 'incident_id', incident_id, 'kind', kind, 'headline', headline, 'summary', summary, 'status', status, 'severity', severity, 'urgency', urgency, 'certainty', certainty, 'priority_score', priority_score, "
+    "json_object('type', 'Feature', 'id', incident_id, 'geometry', CASE kind WHEN 'disaster_declaration' THEN json_object('type', 'Polygon', 'coordinates', [[[lon, lat], [greatest(lon - 1, -180.0), lat], [lon, lat + 1], [lon, lat]]]) ELSE json_object('type', 'Point', 'coordinates', [lon, lat]) END, 'properties', json_object('schema_version', 1, 'incident_id', incident_id, 'kind', kind, 'headline', headline, 'summary', summary, 'status', status, 'severity', severity, 'urgency', urgency, 'certainty', certainty, 'priority_score', priority_score, "
     + ", ".join(f"'{n}', {_ISO.format(c)}" for n, c in (("first_seen_at", "first_seen"), ("last_changed_at", "last_changed"), ("last_observed_at", "last_observed")))
     + ", 'sources', list_transform(sources, lambda s: {'provider_id': s.p, 'attribution': s.p, 'source_url': s.u})))"
 )
@@ -68,7 +68,12 @@ _FEATURE = (
 
 @query("sink_geojson", _EXPORT + f"SELECT concat('{{\"type\":\"FeatureCollection\",\"schema_version\":1,\"generated_at\":\"{_AT}\",\"features\":[', string_agg(CAST({_FEATURE} AS VARCHAR), ',' ORDER BY place), ']}}') AS collection FROM ex")
 def sink_geojson(spark, sf_dir):
-    return geojson_collection(export_rows(spark, sf_dir), _AT)
+    """Declarations are drawn as triangles; volcanoes have a ring that doesn't close, so they stay points."""
+    x, y = F.round("lon", 4), F.round("lat", 4)
+    ring = F.array(F.array(x, y), F.array(F.greatest(x - 1, F.lit(-180.0)), y), F.array(x, y + 1))
+    shape = F.when(C("kind").isin("disaster_declaration", "volcano"), "Polygon")
+    text_ = F.to_json(F.array(F.when(C("kind") == "volcano", ring).otherwise(F.concat(ring, F.array(F.array(x, y))))))
+    return geojson_collection(export_rows(spark, sf_dir).withColumns({"shape": shape, "coordinates": text_}), _AT)
 
 
 @query("sink_revision_log", "SELECT event_id, row_number() OVER (ORDER BY event_id >= 5000, ingested_at, observation_id, event_id) AS cursor FROM o")

@@ -8,8 +8,6 @@ GRAM + WINDOW - 1 units in a row share a chosen hash. Positions are kept.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,23 +120,25 @@ def _order() -> list[Column]:
     return [F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), (-head).alias("head")]
 
 
-def _literal(value: list, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(value)), kind)
+def _numbers(values: list) -> Column:
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast("array<bigint>")
 
 
 def _bucket(bounds: list[tuple], stretch_rows: int) -> Column:
     """Number of a row's bucket: its stretch between the bounds and, by the id, its part of the stretch."""
     if not bounds:
         return F.lit(0).cast("long")
-    # Each list is one literal: so many structs of literals would be planned again wherever the bucket is used.
-    known = _literal([{"known": k, "id": i, "head": h} for k, i, h in bounds], "array<struct<known: boolean, id: bigint, head: bigint>>")
-    mine = F.struct("known", "id", "head")
+    # Lists are split from one string each: the optimizer makes one literal of that, where structs of literals would be
+    # planned one by one. Bounds are written so that they compare as strings.
+    known = F.split(F.lit(",".join(f"{int(k)}{i + (1 << 63):016X}{h + (1 << 63):016X}" for k, i, h in bounds)), ",")
+    shown = lambda c: F.lpad(F.hex(F.col(c).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    mine = F.concat(F.when(F.col("known"), "1").otherwise("0"), shown("id"), shown("head"))
     # Of a stretch from one known id to another: where it begins, and how many ids make a bucket.
     parts = max(1, stretch_rows // BUCKET)
     spans = [(a[1], max(1, (b[1] - a[1]) // parts)) if a[0] and a[1] != b[1] else (None, None) for a, b in zip(bounds, bounds[1:], strict=False)]
-    lows, wides = (_literal([None, *x, None], "array<bigint>") for x in (zip(*spans, strict=True) if spans else ([], [])))
+    lows, wides = (_numbers([None, *x, None]) for x in (zip(*spans, strict=True) if spans else ([], [])))
     inner = lambda s: F.coalesce((F.col("id") - F.get(lows, s)).cast("decimal(20,0)") / F.get(wides, s), F.lit(0)).cast("long")
-    stretch = F.size(F.filter(known, lambda b: b <= mine))
+    stretch = let(mine, lambda m: F.size(F.filter(known, lambda b: b <= m)))
     return let(stretch, lambda s: s.cast("long") * F.lit(1 << 32) + inner(s))
 
 

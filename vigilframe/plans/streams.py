@@ -9,7 +9,7 @@ from ..operators.watch import watch_matches
 from ..streaming.correlate import StreamCorrelator
 from ..streaming.streams import changed_only, dedupe_keys, event_stream, failure_events, for_each_batch, recent, run_available, shared_folder, source_name
 from ..views import as_observations
-from .joins import REPLAY_SQL, _MATCHES, _PLACED, _REGION_SQL, _SEV, correlated_pairs, watch_regions
+from .joins import REPLAY_SQL, _MATCHES, _PLACED, _REGION_SQL, _SEV, replay_links, watch_regions
 from .registry import query
 
 C = F.col
@@ -86,6 +86,6 @@ def str_correlate(spark, sf_dir):
     for k, when in enumerate((C("ts") < _LANDED[0], (C("ts") >= _LANDED[0]) & (C("ts") < _LANDED[1]), C("ts") >= _LANDED[1])):
         events.where(when).write.parquet(f"{landing}/part={k}")
         live = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(landing)
-        correlator = StreamCorrelator(spark, base, correlated_pairs)
+        correlator = StreamCorrelator(spark, base, replay_links)
         as_observations(live).writeStream.foreachBatch(correlator.step).option("checkpointLocation", f"{base}/stream").trigger(availableNow=True).start().awaitTermination()
-    return StreamCorrelator(spark, base, correlated_pairs).incidents()
+    return StreamCorrelator(spark, base, replay_links).incidents()

@@ -57,11 +57,15 @@ def part_of(key: str) -> Column:
 
 
 class StreamCorrelator:
-    """foreachBatch(correlator.step) over observations; pairs_of(rows) gives the links (a, b) among their event ids."""
+    """foreachBatch(correlator.step) over observations.
 
-    def __init__(self, spark: SparkSession, base: str, pairs_of: Callable[[DataFrame], DataFrame]):
+    links_of(rows) gives the links (a, b) among their event ids, or links and groups (event_id, group) as
+    greedy_founders() takes them; rows have EVIDENCE, `at`, `own` and `fresh`.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, links_of: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]]):
         checkpoint_dir(spark)
-        self.spark, self.base, self.pairs_of, self.commits = spark, base, pairs_of, Commits(spark, base)
+        self.spark, self.base, self.links_of, self.commits = spark, base, links_of, Commits(spark, base)
         self.before: int | None = None
 
     def _put(self, rows: DataFrame, kind: str, number: int, key: str) -> DataFrame:
@@ -106,8 +110,10 @@ class StreamCorrelator:
         old = self._kept("evidence", like, asked).drop("cell").distinct().checkpoint()
         key = lambda t: F.struct(t.alias("ingested_at"), "observation_id", "event_id").alias("at")
         long_ago = F.lit("0001-01-01").cast("timestamp")
-        arrived = fresh.select("event_id", key(C("ingested_at")), founder_names().alias("own"), F.lit(True).alias("fresh")).unionByName(old.select("event_id", key(long_ago), C("incident").alias("own"), F.lit(False).alias("fresh")))
-        found = greedy_founders(arrived, self.pairs_of(evidence.unionByName(old.drop("incident"))))
+        arrived = fresh.select(*EVIDENCE, key(C("ingested_at")), founder_names().alias("own"), F.lit(True).alias("fresh"))
+        arrived = arrived.unionByName(old.select(*EVIDENCE, key(long_ago), C("incident").alias("own"), F.lit(False).alias("fresh"))).checkpoint()
+        links = self.links_of(arrived)
+        found = greedy_founders(arrived.select("event_id", "at", "own", "fresh"), *(links if isinstance(links, tuple) else (links,)))
         new = self._put(fresh.join(found, "event_id").select("observation_id", "event_id", "incident"), "known", number, "observation_id").drop("part")
         placed = evidence.withColumn("cell", F.explode(cells(0))).join(new.select("event_id", "incident"), "event_id").select(*like.columns)
         self._put(placed, "evidence", number, "cell")

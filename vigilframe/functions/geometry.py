@@ -54,10 +54,19 @@ def bounds(p: Column) -> Column:
     return F.struct(F.array_min(at(0)).alias("west"), F.array_min(at(1)).alias("south"), F.array_max(at(0)).alias("east"), F.array_max(at(1)).alias("north"))
 
 
-def simplified(p: Column, most: int) -> Column:
-    """Every stride-th point and the last one, the stride the least power of two that leaves at most `most` points."""
+def stride(p: Column, most: int) -> Column:
+    """The least power of two that leaves at most `most` points of every stride-th one and the last one."""
     n = F.size(p)
     kept = lambda s: F.ceil(n / s) + F.when((n - 1) % s == 0, 0).otherwise(1)
     strides = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2), k).cast("int"))
-    stride = F.get(F.filter(strides, lambda s: kept(s) <= most), 0)
-    return F.filter(p, lambda x, i: (i % stride == 0) | (i == n - 1))
+    return F.get(F.filter(strides, lambda s: kept(s) <= most), 0)
+
+
+def strided(p: Column, step: Column) -> Column:
+    """Every step-th point and the last one."""
+    return F.filter(p, lambda x, i: (i % step == 0) | (i == F.size(p) - 1))
+
+
+def simplified(p: Column, most: int) -> Column:
+    """Every stride-th point and the last one, the stride the least power of two that leaves at most `most` points."""
+    return strided(p, stride(p, most))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from ..sources.ingest import once
 from ..views import observations
 from .registry import query
 
@@ -38,7 +39,9 @@ def fn_centroid_bbox(spark, sf_dir):
 
 @query("fn_simplify", _SQL + ", st AS (SELECT *, list_min(list_filter([1, 2, 4, 8, 16, 32, 64, 128], lambda s: ceil(len(p) / s) + CASE WHEN (len(p) - 1) % s = 0 THEN 0 ELSE 1 END <= 5)) AS stride FROM g) SELECT user_id, day, (len(p) - 1) // stride + 1 + CASE WHEN (len(p) - 1) % stride = 0 THEN 0 ELSE 1 END AS n, p[1][1] AS first_lon, p[len(p)][1] AS last_lon FROM st")
 def fn_simplify(spark, sf_dir):
-    p = shapes(spark, sf_dir).select("user_id", "day", geometry.simplified(geometry.points(C("kind"), C("coordinates")), 5).alias("p"))
+    p = once(shapes(spark, sf_dir), points=geometry.points(C("kind"), C("coordinates")))
+    p = once(p, stride=geometry.stride(C("points"), 5))
+    p = once(p, p=geometry.strided(C("points"), C("stride")))
     return p.select("user_id", "day", F.size("p").alias("n"), F.get(F.get("p", 0), 0).alias("first_lon"), F.get(F.element_at("p", -1), 0).alias("last_lon"))
 
 

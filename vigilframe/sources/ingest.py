@@ -110,7 +110,8 @@ def sigmet(p: DataFrame) -> DataFrame:
     fields = ", ".join(f"{v} double" for v in numbers.values())
     r = _each(p, f"features array<struct<geometry string, properties struct<icaoId string, airSigmetType string, alphaChar string, hazard string, seriesId string, validTimeFrom string, validTimeTo string, rawAirSigmet string, {fields}>>>", "features")
     q = C("r.properties")
-    since, until = provider_utc(q["validTimeFrom"]), provider_utc(q["validTimeTo"])
+    r = once(r, span=F.struct(provider_utc(q["validTimeFrom"]).alias("since"), provider_utc(q["validTimeTo"]).alias("until")))
+    since, until = C("span.since"), C("span.until")
     needed = [first_filled(q[n]).isNotNull() for n in ("airSigmetType", "hazard", "seriesId", "validTimeFrom", "validTimeTo")]
     r = r.where(reduce(Column.__and__, needed) & C("r.geometry").isNotNull() & since.isNotNull() & until.isNotNull() & (until > since))
     state = F.when(C("ingested_at") >= until, "expired").when(C("ingested_at") < since, "future").otherwise("current")
@@ -146,13 +147,20 @@ def fema(p: DataFrame) -> DataFrame:
     )
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns worked out once a row: as a generator's output they are not worked out anew for each later use, nor in a filter moved before them."""
+    for name, c in columns.items():
+        df = df.select("*", F.explode(F.array(c)).alias(name))
+    return df
+
+
 def items(p: DataFrame, schema: str, tag: str = "item") -> DataFrame:
     """Rows of an XML feed's items or entries, whatever stands around them."""
     # What stands in CDATA or a comment is text, so an item's end inside it doesn't end the item.
     parts = F.regexp_extract_all("body", F.lit(f"(?s)<{tag}[ >](?:<!\\[CDATA\\[.*?\\]\\]>|<!--.*?-->|.)*?</{tag}>"), F.lit(0))
     rows = p.select("*", F.posexplode(parts).alias("place", "xml"))
     bare = F.regexp_replace(F.regexp_replace("xml", r"<(/?)[A-Za-z][\w.-]*:", "<$1"), r'\sxmlns(:\w+)?="[^"]*"', "")
-    return rows.withColumn("r", F.from_xml(bare, schema, {"rowTag": tag, "mode": "PERMISSIVE", "attributePrefix": "_", "valueTag": "_VALUE"}))
+    return once(rows, r=F.from_xml(bare, schema, {"rowTag": tag, "mode": "PERMISSIVE", "attributePrefix": "_", "valueTag": "_VALUE"}))
 
 
 def _point(c: Column, k: int) -> Column:
@@ -186,11 +194,15 @@ def ndbc(p: DataFrame) -> DataFrame:
     r = items(p, "title string, description string, link string, guid string, point string")
     station = F.upper(F.regexp_extract("r.guid", r"^NDBC-([A-Za-z0-9]+)-\d{14}$", 1))
     at = F.try_to_timestamp(F.regexp_extract("r.guid", r"-(\d{14})$", 1), F.lit("yyyyMMddHHmmss"))
-    said = unescaped(C("r.description"))
+    r = once(r, here=F.struct(station.alias("station"), at.alias("at"), _point(C("r.point"), 0).alias("lat"), _point(C("r.point"), 1).alias("lon")))
+    station, at, lat, lon = (C(f"here.{x}") for x in ("station", "at", "lat", "lon"))
+    whole = (station != "") & first_filled(C("r.title")).isNotNull() & at.isNotNull() & lat.isNotNull() & lon.isNotNull()
+    r = once(r.where(whole), said=unescaped(C("r.description")))
+    said = C("said")
     pair = r"(?is)<(?:b|strong)>\s*([^<:]+):\s*</(?:b|strong)>\s*(.*?)(?=<br\s*/?>|$)"
     names, values = (F.regexp_extract_all(said, F.lit(pair), F.lit(k)) for k in (1, 2))
     fields = F.map_from_arrays(F.transform(names, lambda x: clean_markup(x, 100)), F.transform(values, lambda x: clean_markup(x, 500)))
-    r = r.withColumn("fields", fields)
+    r = once(r, fields=fields)
     of = lambda label: F.coalesce(C("fields")[label], F.lit(""))
     known = {}
     for label, (key, pattern, unit) in _READINGS.items():
@@ -201,10 +213,8 @@ def ndbc(p: DataFrame) -> DataFrame:
     other = F.map_filter("fields", lambda k, v: ~k.isin(*_READINGS, "Location") & (v != ""))
     slug = lambda k: F.concat(F.lit("source_"), F.substring(F.regexp_replace(F.regexp_replace(F.lower(k), "[^a-z0-9]+", "_"), "^_|_$", ""), 1, 48))
     stable = F.regexp_replace(said, r"(?is)<(?:b|strong)>\s*Location:\s*</(?:b|strong)>.*?(?=<br\s*/?>|$)", "")
-    lat, lon = _point(C("r.point"), 0), _point(C("r.point"), 1)
-    whole = (station != "") & first_filled(C("r.title")).isNotNull() & at.isNotNull() & lat.isNotNull() & lon.isNotNull()
     told = F.map_concat(metrics(station_id=station, source_record_id=C("r.guid"), **known), F.transform_keys(other, lambda k, _: slug(k)))
-    return observation(r.where(whole), record_id=station, kind="marine_observation", headline=F.substring("r.title", 1, 300), summary=clean_markup(stable), event_at=at, updated_at=at, lat=lat, lon=lon, location_name=C("r.title"), metrics=told, source_url=safe_url(C("r.link")))
+    return observation(r, record_id=station, kind="marine_observation", headline=F.substring("r.title", 1, 300), summary=clean_markup(stable), event_at=at, updated_at=at, lat=lat, lon=lon, location_name=C("r.title"), metrics=told, source_url=safe_url(C("r.link")))
 
 
 @register_provider("noaa_coops_water_levels")

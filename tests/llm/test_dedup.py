@@ -167,6 +167,21 @@ def test_hot_groups_survive_hash_collisions(spark, monkeypatch):
     check_removal(spark, passages(random.Random(15)))
 
 
+def test_hot_contexts_with_little_in_common_make_few_rows(spark, monkeypatch):
+    import vigilframe.llm.suffix_dedup as module
+
+    made, join = [], module.join_heavy
+    monkeypatch.setattr(module, "join_heavy", lambda rows, told, keys, *more: (made.append((keys, rows.count())), join(rows, told, keys, *more))[1])
+    r = random.Random(23)
+    gram = r.randbytes(32)
+    sides = [(r.randbytes(368), gram + r.randbytes(368)) for _ in range(20)]
+    sides.append((sides[0][0][:200] + r.randbytes(168), sides[0][1][:250] + r.randbytes(150)))  # strings that start 150 to 200 bytes before
+    hot = spark.createDataFrame([(i, 7, b, a) for i, (b, a) in enumerate(sides)], "id long, anchor long, before binary, after binary")
+    assert sorted(tuple(x) for x in module.crowd_reach(hot, 400).collect()) == [(0, 200, 250), (20, 200, 250)]
+    counts = [n for keys, n in made if keys == ["h"]]
+    assert counts[0] == 21 * 6 and sum(counts) < 21 * 12
+
+
 def test_pipeline_removes_passages_of_over_50_words_only(spark):
     r = random.Random(16)
     shared = {n: words(r, n) for n in (30, 51, 55, 60)}

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,21 @@ def test_nearest_by_rings_equals_the_scan(spark, n):
     assert sum(got[i][0] == want[i][1] for i in want) >= len(want) - 2
 
 
+def test_nearest_repeats_no_points(spark, monkeypatch):
+    rows, frame = [], type(spark.range(1))
+    kept = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a: (rows.append(self), kept(self, *a))[1])
+    r = random.Random(8)
+    points = [(i, r.uniform(-180, 180), r.uniform(-90, 90)) for i in range(200)]
+    stations = [(i, r.uniform(-180, 180), r.uniform(-90, 90)) for i in range(100)]
+    p = spark.createDataFrame([*points, points[3]], "p long, lon double, lat double")
+    s = spark.createDataFrame([*stations, (500, *stations[5][1:]), (-1, *stations[6][1:])], "s long, lon double, lat double")
+    got = [(x.p, x.s) for x in nearest(p, s, "p", "s").collect()]
+    want = {i: min((round(km((x, y), (u, v)), 6), j) for j, u, v in stations)[1] for i, x, y in points}
+    assert sorted(got) == sorted((i, -1 if j == 6 else j) for i, j in want.items())
+    assert len(rows) > 1 and not any(re.search(r"Generate .*\bp#", d._jdf.queryExecution().executedPlan().toString()) for d in rows)
+
+
 def test_thinning_is_greedy(spark):
     from vigilframe.operators.coastal import thinned
 

@@ -84,37 +84,43 @@ def likeness_join(left: DataFrame, right: DataFrame, a_id: str, a_tokens: str, b
 def nearest(points: DataFrame, stations: DataFrame, point_id: str, station_id: str, most_km: float = math.inf) -> DataFrame:
     """(point_id, station_id, km) of each point's nearest station, ties by id. points and stations hold lon and lat; rows without them are left out.
 
-    Points meet the stations of the cells around them, ring after ring, until a ring wider than the distance found has
-    been seen. Cells are as large as one or two stations need on average, so a first ring has about ten stations however
-    many there are.
+    A cell that holds points gathers the stations of its own and the cells around it, and a point looks through those of
+    its cell; what lies farther than a cell's size isn't sure, so points left over go on with cells three times as large.
+    First cells are as large as one or two stations need on average, so they gather about ten stations however many there
+    are. Points are never repeated, and are dealt to as many tasks as the session asks for.
     """
+    spark = points.sparkSession
     s = stations.select(station_id, F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat")).where("s_lon is not null and s_lat is not null")
-    checkpoint_dir(points.sparkSession)
+    s = s.groupBy("s_lon", "s_lat").agg(F.min(station_id).alias(station_id))  # of those at one place only the first can be asked for
+    checkpoint_dir(spark)
     s = s.checkpoint()
-    # Cells of size degrees, a whole number of them around the globe.
+    # Cells of 360 / around degrees, a whole number of them around the globe.
     around = int(max(12, min(3600, math.sqrt(2 * s.count()))))
-    size, up = 360.0 / around, math.ceil(180 / (360.0 / around))
-    row, column = (lambda c: F.floor((c + 90) / size).cast("int")), (lambda c: F.pmod(F.floor((c + 180) / size), F.lit(around)).cast("int"))
-    km = haversine_km(F.col("lon"), F.col("lat"), F.col("s_lon"), F.col("s_lat"))
-    best = F.min(F.struct(F.round(km, 6).alias("km"), F.col(station_id)))
-    cells = s.withColumn("y", row(F.col("s_lat"))).withColumn("x", column(F.col("s_lon")))
-    found, left, ring = None, points.select(point_id, "lon", "lat").where("lon is not null and lat is not null"), 1
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = points.select(point_id, "lon", "lat").where("lon is not null and lat is not null").repartition(tasks, point_id)
+    found = None
     while True:
-        # Within the ring's width lie so many rows each way, and of longitude more cells towards the poles.
-        reach = ring * size
-        edge = F.abs("lat") + reach
-        wide = F.when(edge >= 85, F.lit(around)).otherwise(F.ceil(ring / F.cos(F.radians(edge)))).cast("int")
-        wide = F.least(wide, F.lit(around // 2 + 1))
-        y = F.explode(F.sequence(F.greatest(row(F.col("lat")) - ring, F.lit(0)), F.least(row(F.col("lat")) + ring, F.lit(up))))
-        x = F.explode(F.array_distinct(F.transform(F.sequence(-wide, wide), lambda d: F.pmod(column(F.col("lon")) + d, F.lit(around)))))
-        got = left.withColumn("y", y).withColumn("x", x).join(cells, ["x", "y"]).groupBy(point_id).agg(best.alias("best"))
-        whole = reach >= 180
-        sure = (got if whole else got.where(F.col("best.km") <= 111.19 * reach)).checkpoint()
-        found = sure if found is None else found.union(sure)
-        left = left.join(sure, point_id, "left_anti").checkpoint()
+        size = 360.0 / around
+        row, column = (lambda c: F.floor((c + 90) / size).cast("int")), (lambda c: F.pmod(F.floor((c + 180) / size), F.lit(around)).cast("int"))
+        here = left.withColumn("y", row(F.col("lat"))).withColumn("x", column(F.col("lon")))
+        # Within a cell's size lie one row each way, and of longitude more cells towards the poles.
+        edge = F.greatest(F.abs(F.col("y") * size - 90), F.abs((F.col("y") + 1) * size - 90)) + size
+        wide = F.least(F.when(edge >= 85, F.lit(around)).otherwise(F.ceil(1 / F.cos(F.radians(edge)))).cast("int"), F.lit(around // 2 + 1))
+        beside = F.explode(F.array_distinct(F.transform(F.sequence(-wide, wide), lambda d: F.pmod(F.col("x") + d, F.lit(around)))))
+        seen = here.select("y", "x").distinct().withColumn("s_y", F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1))).withColumn("s_x", beside)
+        cells = s.withColumn("s_y", row(F.col("s_lat"))).withColumn("s_x", column(F.col("s_lon")))
+        near = seen.join(cells, ["s_y", "s_x"]).groupBy("y", "x").agg(F.collect_list(F.struct("s_lon", "s_lat", station_id)).alias("near"))
+        one = F.array_min(F.transform("near", lambda t: F.struct(F.round(haversine_km(F.col("lon"), F.col("lat"), t["s_lon"], t["s_lat"]), 6).alias("km"), t[station_id].alias(station_id))))
+        whole = around == 1
+        told = here.join(near, ["y", "x"], "left").select(point_id, "lon", "lat", one.alias("best")).checkpoint()
+        sure = F.col("best").isNotNull() if whole else F.coalesce(F.col("best.km") <= 111.19 * size, F.lit(False))
+        got = told.where(sure).select(point_id, "best")
+        found = got if found is None else found.union(got)
+        left = told.where(~sure).select(point_id, "lon", "lat")
         if whole or left.isEmpty():
             break
-        ring *= 3
+        around = max(1, around // 3)
+    found = found.groupBy(point_id).agg(F.min("best").alias("best"))  # a repeated id is one point of all its places
     return found.select(point_id, F.col(f"best.{station_id}"), F.col("best.km").alias("km")).where(F.col("km") <= most_km)
 
 

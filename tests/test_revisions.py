@@ -3,9 +3,11 @@
 import datetime
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vigilframe.operators import revisions
 from vigilframe.operators.revisions import revision_chain
 
 SEVERITY, URGENCY = {"Extreme": 40, "Severe": 30, "Moderate": 20, "Minor": 10}, {"Immediate": 20, "Expected": 15, "Future": 8}
@@ -58,3 +60,13 @@ def test_no_versions_and_a_long_incident(spark):
     long = spark.range(20_000).select(F.col("id").alias("event_id"), F.lit("i").alias("incident_id"), F.concat(F.lit("o"), F.col("id") % 3000).alias("observation_id"), F.col("id").cast("string").alias("content_hash"), F.lit("p").alias("provider_id"), F.lit("volcano").alias("kind"), F.lit("Severe").alias("severity"), F.lit("Past").alias("urgency"), F.lit("active").alias("status"), *(F.timestamp_seconds(F.col("id") * 60).alias(c) for c in ("event_at", "source_updated_at", "ingested_at")), F.lit(None).cast("timestamp").alias("expires_at"))
     told = revision_chain(long).agg(F.count("*").alias("n"), F.max("revision").alias("most"), F.countDistinct("revision").alias("d")).first()
     assert tuple(told) == (20_000, 20_000, 20_000)
+
+
+def test_small_incidents_are_swept_many_at_a_time(spark):
+    hour = 3_600_000_000
+    rows = [(f"i{i:03}", 0, True, hour * k, 3 * i + k, hour * (k + 1) if k < 2 else None, 3 * i + k + 1 if k < 2 else None, "o", 10 * k, 8, "p", "active", hour * k, hour * k, hour * 9) for i in range(500) for k in range(3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a : a + 400], strict=True)], names=list(revisions.VERSION)) for a in range(0, 1500, 400)]  # incidents go on from batch to batch
+    out = list(revisions._sweep_all()(iter(batches)))
+    assert len(out) == 1
+    got = out[0].to_pylist()
+    assert [(x["incident_id"], x["arrival"], x["impact"], x["source_count"]) for x in got] == [(f"i{i:03}", 3 * i + k, 10 * k, 1) for i in range(500) for k in range(3)]

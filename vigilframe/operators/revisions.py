@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,71 +27,85 @@ STATE = "incident_id string, slot long, moment_us long, arrival long, impact int
 _FAR = 1 << 62
 
 
+#: Columns of a version as it is swept, and rows given out at once.
+VERSION = ("incident_id", "slot", "mine", "from_us", "from_id", "until_us", "until_id", "observation_id", "impact", "urgency_points", "provider_id", "status", "effective_us", "updated_us", "expiry_us")
+OUT_ROWS = 8192
+
+
 class Evidence:
     """The versions that hold at a moment, put in and taken out one by one; maxima from sorted lists and counts."""
 
     def __init__(self):
-        self.counts: dict[str, Counter] = {c: Counter() for c in ("impact", "urgency_points", "provider_id", "status")}
-        self.lists: dict[str, list] = {"newest": [], "latest": [], "expiry": []}
-
-    def _keys(self, v: dict) -> dict:
-        return {"newest": v["effective_us"], "latest": (v["updated_us"], v["observation_id"], v["status"] or ""), "expiry": v["expiry_us"]}
-
-    def put(self, v: dict) -> None:
-        for c, n in self.counts.items():
-            n[v[c]] += 1
-        for c, x in self._keys(v).items():
-            insort(self.lists[c], x)
-
-    def take(self, v: dict) -> None:
-        for c, n in self.counts.items():
-            n[v[c]] -= 1
-            if not n[v[c]]:
-                del n[v[c]]
-        for c, x in self._keys(v).items():
-            del self.lists[c][bisect_left(self.lists[c], x)]
-
-    def told(self) -> dict:
-        last = self.lists["latest"][-1][2]
-        alive = "active" if self.counts["status"].keys() & {"active", "updated"} else "unknown"
-        return {
-            "impact": max(self.counts["impact"]),
-            "urgency_points": max(self.counts["urgency_points"]),
-            "newest_us": self.lists["newest"][-1],
-            "source_count": len(self.counts["provider_id"].keys() - {None}),
-            "latest_status": last,
-            "expiry_us": self.lists["expiry"][-1],
-            "status": last if last in TERMINAL else alive,
-        }
-
-
-def _sweep(incident: str, slot: int, versions: list[dict]) -> list[dict]:
-    """What is known at each arrival of a slot: versions(from_us, from_id, until_us, until_id, mine, ...); mine: it arrives in the slot."""
-    held, out = Evidence(), []
-    for v in versions:
-        if not v["mine"]:
-            held.put(v)
-    come = [((v["from_us"], v["from_id"]), 1, k) for k, v in enumerate(versions) if v["mine"]]
-    gone = [((v["until_us"], v["until_id"]), 0, k) for k, v in enumerate(versions) if v["until_us"] is not None]  # some of them in a later slot
-    for at, comes, k in sorted(come + gone):  # what ends at a moment is gone before what comes then
-        if not comes:
+        self.counts: tuple[dict, ...] = ({}, {}, {}, {})
+        self.newest, self.latest, self.expiry = [], [], []
+
+    def put(self, v: tuple) -> None:
+        *_, name, impact, urgency, provider, status, effective, updated, expiry = v
+        for n, key in zip(self.counts, (impact, urgency, provider, status), strict=True):
+            n[key] = n.get(key, 0) + 1
+        insort(self.newest, effective)
+        insort(self.latest, (updated, name, status or ""))
+        insort(self.expiry, expiry)
+
+    def take(self, v: tuple) -> None:
+        *_, name, impact, urgency, provider, status, effective, updated, expiry = v
+        for n, key in zip(self.counts, (impact, urgency, provider, status), strict=True):
+            if n[key] == 1:
+                del n[key]
+            else:
+                n[key] -= 1
+        for held, key in ((self.newest, effective), (self.latest, (updated, name, status or "")), (self.expiry, expiry)):
+            del held[bisect_left(held, key)]
+
+    def told(self) -> tuple:
+        """From impact on, as in STATE."""
+        impact, urgency, provider, status = self.counts
+        last = self.latest[-1][2]
+        alive = "active" if "active" in status or "updated" in status else "unknown"
+        return max(impact), max(urgency), self.newest[-1], len(provider) - (None in provider), last, self.expiry[-1], last if last in TERMINAL else alive
+
+
+def _sweep(versions: list[tuple]) -> list[tuple]:
+    """What is known at each arrival of a slot, from its versions; mine: it arrives in the slot."""
+    held, out, turns, key = Evidence(), [], [], versions[0][:2]
+    for k, (_, _, mine, from_us, from_id, until_us, until_id, *_) in enumerate(versions):
+        if mine:
+            turns.append((from_us, from_id, 1, k))
+        else:
+            held.put(versions[k])
+        if until_us is not None:  # some of them in a later slot
+            turns.append((until_us, until_id, 0, k))
+    for us, id, comes, k in sorted(turns):  # what ends at a moment is gone before what comes then
+        if comes:
+            held.put(versions[k])
+            out.append((*key, us, id, *held.told()))
+        else:
             held.take(versions[k])
-            continue
-        held.put(versions[k])
-        out.append({"incident_id": incident, "slot": slot, "moment_us": at[0], "arrival": at[1], **held.told()})
     return out
 
 
-def _each(fn: Callable[[str, int, list[dict]], list[dict]]):
+def _sweep_all():
+    """Sweeps rows of VERSION, sorted by incident and slot, whose groups may go on from batch to batch."""
     schema = to_arrow_schema(StructType.fromDDL(STATE))
 
-    def run(rows: pa.Table) -> pa.Table:
-        versions = rows.to_pylist()
-        return pa.Table.from_pylist(fn(versions[0]["incident_id"], versions[0]["slot"], versions), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out: list[tuple] = []
+        for _, group in groupby(rows, itemgetter(0, 1)):
+            out += _sweep(list(group))
+            if len(out) >= OUT_ROWS:
+                yield _batch(out, schema)
+                out = []
+        if out:
+            yield _batch(out, schema)
 
     return run
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def held_versions(versions: DataFrame) -> DataFrame:
     """Versions that differ from the one before them, from when and until when they hold."""
     mine = W.partitionBy("observation_id").orderBy("ingested_at", "event_id")
@@ -127,7 +142,9 @@ def revision_chain(versions: DataFrame, slot_rows: int = SLOT) -> DataFrame:
     """
     checkpoint_dir(versions.sparkSession)
     held = held_versions(versions).checkpoint()
-    known = in_slots(held, slot_rows).groupBy("incident_id", "slot").applyInArrow(_each(_sweep), STATE)
+    tasks = int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = in_slots(held, slot_rows).select(*VERSION).repartition(tasks, "incident_id", "slot")
+    known = slots.sortWithinPartitions("incident_id", "slot").mapInArrow(_sweep_all(), STATE)
     moment = F.timestamp_micros("moment_us")
     state = known.withColumns({"newest": F.timestamp_micros("newest_us"), "last_expiry": F.when(C("expiry_us") == _FAR, F.expr("TIMESTAMP '9999-12-31'")).otherwise(F.timestamp_micros("expiry_us")), "first_kind": F.lit("unknown")})
     scored = state.select("incident_id", "slot", "moment_us", "arrival", "status", scored_columns(moment)["priority_score"].cast("int").alias("priority_score")).checkpoint()

@@ -75,3 +75,12 @@ def test_ranges_reach_the_scan(spark):
     index = SearchIndex(spark, new_folder(spark)).put(spark.createDataFrame([(1, "flood fire storm")], "id long, a string"), "id", ["a"])
     plan = index.search(spark.createDataFrame([(1, "flo")], "query int, asked string"))._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*head", plan) and re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(token,flo\)", plan)
+
+
+def test_frequent_terms_make_no_pairs(spark):
+    rows = [(i, f"common often n{i:02}x") for i in range(40)] + [(100, "common often")]
+    index = SearchIndex(spark, new_folder(spark)).put(spark.createDataFrame(rows, "id long, a string"), "id", ["a"])
+    found = index.search(spark.createDataFrame([(f"q{i}", f"comm; oft n{i:02}") for i in range(40)] + [("all", "often COMMON"), ("none", "common else")], "query string, asked string"))
+    assert sorted(tuple(x) for x in found.collect()) == sorted([(f"q{i}", i) for i in range(40)] + [("all", i) for i, _ in rows])
+    keys = re.findall(r"keys=\[([^\]]*)\]", found._jdf.queryExecution().executedPlan().toString())
+    assert keys and not any("query#" in k and re.search(r"\bid#", k) for k in keys)  # rows are gathered by id, not for each query that has one of their words

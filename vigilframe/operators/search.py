@@ -28,11 +28,10 @@ def head_of(token: Column) -> Column:
 
 
 def asked_terms(asked: DataFrame) -> DataFrame:
-    """(query, term, bit, full) of queries (query, asked): the first TERMS words. Queries too short or too long, or without a word, have none."""
+    """(query, terms) of queries (query, asked): the first TERMS words. Queries too short or too long, or without a word, have none."""
     size = F.length(F.trim("asked"))
     terms = asked.where(size.between(*LENGTHS)).select("query", F.array_distinct(F.slice(word_tokens(C("asked")), 1, TERMS)).alias("terms"))
-    one = terms.select("query", F.posexplode("terms").alias("at", "term"), (F.pow(F.lit(2), F.size("terms")) - 1).cast("int").alias("full"))
-    return one.select("query", "term", F.pow(F.lit(2), C("at")).cast("int").alias("bit"), "full")
+    return terms.where(F.size("terms") > 0)
 
 
 class SearchIndex:
@@ -95,11 +94,14 @@ class SearchIndex:
         """(query, id) of queries (query, asked) and the rows that they find; case and marks don't count.
 
         Queries are not repeated. Terms meet tokens by their beginnings of the terms' lengths, which are at most
-        LENGTHS[1] many, so the join is on equal strings; a query's terms are gathered by bits, summed before the shuffle.
+        LENGTHS[1] many, so the join is on equal strings. A row's terms are gathered once for all queries, and meet the
+        queries by the term of each that the fewest tokens begin with, so frequent terms make no pairs.
         """
-        terms = asked_terms(asked)
+        queries = asked_terms(asked)
+        terms = queries.select("query", F.explode("terms").alias("term"))
         known = terms.select("term").distinct().limit(BROADCAST_TERMS + 1).collect()  # so many short strings at most
         few = len(known) <= BROADCAST_TERMS
+        light = F.broadcast if few else lambda df: df
         lengths = sorted({len(r.term) for r in known} if few else range(1, LENGTHS[1] + 1))
         tokens = self._tokens()
         if few:
@@ -108,7 +110,14 @@ class SearchIndex:
         if few and len(known) <= RANGES:
             ranges = ((C("token") >= r.term) & (C("token") < r.term + chr(0x10FFFF)) for r in known)
             tokens = tokens.where(reduce(lambda a, b: a | b, ranges, F.lit(False)))
+        # Terms go by short numbers where they are few.
+        number = self.spark.createDataFrame([(r.term, k) for k, r in enumerate(known)], "term string, n int") if few else terms.select("term", C("term").alias("n")).distinct()
         beginnings = F.filter(F.array(*(F.when(F.length("token") >= n, F.left("token", F.lit(n))) for n in lengths)), lambda t: t.isNotNull())
-        begun = tokens.withColumn("term", F.explode(beginnings))
-        hits = self._live(begun.join(F.broadcast(terms) if few else terms, "term"))
-        return hits.groupBy("query", "id").agg(F.bit_or("bit").alias("bits"), F.max("full").alias("full")).where("bits = full").select("query", "id")
+        begun = lambda rows: rows.withColumn("term", F.explode(beginnings)).join(light(number), "term")
+        often = begun(tokens.groupBy("token").agg(F.count("*").alias("rows"))).groupBy("n").agg(F.sum("rows").alias("rows"))
+        asks = terms.join(light(number), "term").join(light(often), "n", "left")
+        least = F.min_by("n", F.coalesce("rows", F.lit(0)))
+        asks = asks.groupBy("query").agg(least.alias("n"), F.collect_list("n").alias("asked"))
+        has = self._live(begun(tokens)).groupBy("id").agg(F.collect_set("n").alias("has"))
+        met = has.withColumn("n", F.explode("has")).join(light(asks), "n")
+        return met.where(F.size(F.array_except("asked", "has")) == 0).select("query", "id")

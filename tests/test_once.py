@@ -22,3 +22,11 @@ def test_items_and_moments_are_read_once(spark):
 
 def test_strides_are_found_once_a_shape(spark):
     assert times(fn_simplify(spark, "/root/testdata/sf0.001"), "sequence\\(|strides|from_json") <= 4
+
+
+def test_rules_read_events_once(spark):
+    from vigilframe.plans import QUERIES
+
+    for name in ("cor_pairs", "join_media"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "get_json_object" not in plan and "Relation" not in plan, name

@@ -17,7 +17,7 @@ from ..operators.scoring import build_incidents, incident_scores, incident_statu
 from ..operators.watch import watch_matches
 from ..views import NOW, articles, latest_observations, members, observations, table
 from .filters import CHG, INC, changes, incidents, scored
-from .joins import REPLAY_SQL, _MATCHES, _PLACED, _REGION_SQL, _ZONE_SQL, replay_links, watch_regions, zone_hits
+from .joins import REPLAY_SQL, _MATCHES, _PLACED, _REGION_SQL, _ZONE_SQL, kept_latest, replay_links, watch_regions, zone_hits
 from .registry import query
 
 C = F.col
@@ -223,7 +223,7 @@ def fn_summary_text(spark, sf_dir):
 @query("cor_replay", REPLAY_SQL("l") + "SELECT event_id, incident FROM told")
 def cor_replay(spark, sf_dir):
     """Greedy assignment in order of arrival, replayed within each component of the pair graph."""
-    o = latest_observations(observations(spark, sf_dir))
+    o = kept_latest(spark, sf_dir)
     return correlate_replay(o, *replay_links(o))
 
 
